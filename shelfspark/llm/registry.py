@@ -1,12 +1,14 @@
 """The queries of this subpackage and their SQL twins."""
 
 from shelfspark.llm.decontamination import op7_decontamination
+from shelfspark.llm.language_id import op1_language_id
 from shelfspark.llm.mixing import op10_mix_sources
 from shelfspark.llm.quality import op9_quality_rules
 from shelfspark.llm.secret_scan import op3_secret_scan
 from shelfspark.llm.sharding import op4_balanced_shards
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op3_secret_scan": op3_secret_scan,
     "op4_balanced_shards": op4_balanced_shards,
     "op7_decontamination": op7_decontamination,
