@@ -6,12 +6,14 @@ from shelfspark.llm.mixing import op10_mix_sources
 from shelfspark.llm.quality import op9_quality_rules
 from shelfspark.llm.secret_scan import op3_secret_scan
 from shelfspark.llm.sharding import op4_balanced_shards
+from shelfspark.llm.token_counts import op8_token_counts
 
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_secret_scan": op3_secret_scan,
     "op4_balanced_shards": op4_balanced_shards,
     "op7_decontamination": op7_decontamination,
+    "op8_token_counts": op8_token_counts,
     "op9_quality_rules": op9_quality_rules,
     "op10_mix_sources": op10_mix_sources,
 }

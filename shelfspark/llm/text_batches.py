@@ -132,3 +132,11 @@ class Words:
         for j in range(k):
             value = mixed(value * np.uint64(_ODD) + self.hash[at + j])
         return at, value
+
+
+def point_hashes(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """As span_hashes, over code points."""
+    up, down = _power_tables(len(points) + 1)
+    run = np.zeros(len(points) + 1, np.uint64)
+    np.cumsum(mixed(points.astype(np.uint64) + np.uint64(1)) * up[:-1], out=run[1:])
+    return mixed((run[end] - run[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
