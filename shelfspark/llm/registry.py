@@ -7,8 +7,10 @@ from shelfspark.llm.quality import op9_quality_rules
 from shelfspark.llm.secret_scan import op3_secret_scan
 from shelfspark.llm.sharding import op4_balanced_shards
 from shelfspark.llm.token_counts import op8_token_counts
+from shelfspark.llm.toxicity import op5_toxicity
 
 QUERIES = {
+    "op5_toxicity": op5_toxicity,
     "op1_language_id": op1_language_id,
     "op3_secret_scan": op3_secret_scan,
     "op4_balanced_shards": op4_balanced_shards,
