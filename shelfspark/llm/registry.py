@@ -1,6 +1,7 @@
 """The queries of this subpackage and their SQL twins."""
 
 from shelfspark.llm.decontamination import op7_decontamination
+from shelfspark.llm.html_extraction import op6_html_extraction
 from shelfspark.llm.language_id import op1_language_id
 from shelfspark.llm.mixing import op10_mix_sources
 from shelfspark.llm.quality import op9_quality_rules
@@ -10,6 +11,7 @@ from shelfspark.llm.token_counts import op8_token_counts
 from shelfspark.llm.toxicity import op5_toxicity
 
 QUERIES = {
+    "op6_html_extraction": op6_html_extraction,
     "op5_toxicity": op5_toxicity,
     "op1_language_id": op1_language_id,
     "op3_secret_scan": op3_secret_scan,
