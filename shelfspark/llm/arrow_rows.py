@@ -6,10 +6,10 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 from shelfspark.llm.text_batches import slices, small_batches
+from shelfspark.session import ship_package
 
 
 def with_text_columns(docs: DataFrame, fields: str, make: Callable[[], Callable[[pa.RecordBatch], list]], keep: list[str] | None = None, text: str = "text", also: list[str] | None = None) -> DataFrame:
@@ -34,6 +34,7 @@ def with_text_columns(docs: DataFrame, fields: str, make: Callable[[], Callable[
             columns += [c if isinstance(c, pa.Array) else pa.array(c) for c in work(batch)]
             yield pa.RecordBatch.from_arrays(columns, [*kept, *(f.name for f in new.fields)])
 
+    ship_package(docs.sparkSession)
     return small_batches(source).mapInArrow(run, schema)
 
 
@@ -47,8 +48,5 @@ def text_rows(docs: DataFrame, fields: str, make: Callable[[], Callable[[pa.Reco
             yield from work(batch)
         yield from work(None)
 
+    ship_package(docs.sparkSession)
     return small_batches(source).mapInArrow(run, fields)
-
-
-def seeded_order(*columns: str, seed: int):
-    return [F.xxhash64(F.lit(seed), *columns), *[F.col(c) for c in columns]]

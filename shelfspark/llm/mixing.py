@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfspark.llm.ranks import group_ranks
-from shelfspark.session import cut_lineage, table
+from shelfspark.session import cut_lineage, ship_package, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 MOST_REPEATS = 3
@@ -93,6 +93,7 @@ def _plan(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _times(docs: DataFrame, seed: int) -> DataFrame:
     """``docs`` without texts, and size, source_size, target, copy_key and times: how often the mix takes the row."""
+    ship_package(docs.sparkSession)
     new = ["size", "source_size", "target", "docs", "passes", "extra", "place", "taken", "copy_key", "times"]
     kept = [c for c in docs.columns if c not in ["text", *new]]
     text = F.coalesce(F.col("text"), F.lit(""))
