@@ -41,6 +41,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="shelfspark-checkpoint-"))
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder itself, for tables that a job writes between its steps."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the reliable checkpoint folder and go on from the written copy."""
     ensure_checkpoint_dir(df.sparkSession)
