@@ -1,4 +1,70 @@
-"""The corpus pipeline: stages over the documents, each written as Parquet before the next."""
+"""The corpus pipeline: from all documents to shards of a deduplicated, decontaminated, mixed corpus.
 
-STAGES: list = []
+``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and
+returns a DataFrame that is written as Parquet and read again as the next one's
+docs. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from shelfspark.llm.decontamination import benchmark_hits
+from shelfspark.llm.mixing import mix_documents
+from shelfspark.llm.ngram_join import one_of_each
+from shelfspark.llm.quality import quality_rules
+from shelfspark.llm.sharding import balanced_shards
+from shelfspark.session import checkpoint_folder, table
+
+#: Some stages can't be expressed in SQL; tests hold them against brute force.
 ORACLE_SQL = None
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and whose content lines prevail."""
+    return quality_rules(docs, table(spark, sf_dir, "labels")).filter("kept").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group: five-word shingles, similarity of 0.8 or more."""
+    return one_of_each(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of a benchmark item."""
+    return benchmark_hits(docs, table(spark, sf_dir, "benchmark")).filter(~F.col("contaminated")).select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows as often as the mix of sources takes them."""
+    return mix_documents(docs)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A shard and a slot in it for each row."""
+    return balanced_shards(docs)
+
+
+STAGES = [
+    ("quality_rules", keep_quality),
+    ("ngram_jaccard_join", drop_near_duplicates),
+    ("benchmark_decontamination", drop_contaminated),
+    ("mix_sources", mix),
+    ("balanced_sharding", shard),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents below ``sf_dir``; what is between them is written to the shared checkpoint folder."""
+    docs = table(spark, sf_dir, "documents")
+    top = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4()}"
+    for i, (_, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        if i == len(STAGES) - 1:
+            return out
+        out.write.parquet(f"{top}/{i}")
+        docs = spark.read.parquet(f"{top}/{i}")
+    return docs

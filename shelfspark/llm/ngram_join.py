@@ -320,5 +320,27 @@ def large_families(large: DataFrame, percent: int) -> DataFrame:
     return links.unionByName(cut_lineage(_trees(paired, "pair", percent, True)))
 
 
+#: Ids (8 bytes each) that are broadcast; more are joined.
+BROADCAST_IDS = 4 << 20
+
+
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` less all but one document of each group that similar_sets finds: the one with the smallest doc_id.
+
+    Documents without words stay. Rows that share a doc_id stand or fall
+    together, except that of rows with equal id and text one stays. Only ids are
+    shuffled, unless more than BROADCAST_IDS of them go.
+    """
+    found = similar_sets(docs.select("doc_id", "text"), n, percent)
+    best = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    ids = cut_lineage(found.groupBy("doc_id").agg(F.max(best).alias("stays"), F.count(F.lit(1)).alias("rows")).filter(~F.col("stays") | (F.col("rows") > 1)).withColumnRenamed("doc_id", "d_id"))
+    hint = F.broadcast if ids.count() <= BROADCAST_IDS else (lambda df: df)
+    same = docs["doc_id"].eqNullSafe(ids["d_id"])
+    single = docs.join(hint(ids), same, "left_anti")
+    repeated = docs.join(hint(ids.filter("stays")), same, "left_semi")
+    repeated = repeated.withColumn("d_text", F.xxhash64("text")).dropDuplicates(["doc_id", "d_text"]).select(*docs.columns)
+    return single.unionByName(repeated)
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_sets(table(spark, sf_dir, "documents"))

@@ -1,9 +1,11 @@
 """The queries of this subpackage and their SQL twins."""
 
+import corpus_pipeline
 from shelfspark.llm.decontamination import op7_decontamination
 from shelfspark.llm.html_extraction import op6_html_extraction
 from shelfspark.llm.language_id import op1_language_id
 from shelfspark.llm.mixing import op10_mix_sources
+from shelfspark.llm.ngram_join import op2_ngram_jaccard_join
 from shelfspark.llm.quality import op9_quality_rules
 from shelfspark.llm.secret_scan import op3_secret_scan
 from shelfspark.llm.sharding import op4_balanced_shards
@@ -11,14 +13,16 @@ from shelfspark.llm.token_counts import op8_token_counts
 from shelfspark.llm.toxicity import op5_toxicity
 
 QUERIES = {
-    "op6_html_extraction": op6_html_extraction,
-    "op5_toxicity": op5_toxicity,
     "op1_language_id": op1_language_id,
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_secret_scan": op3_secret_scan,
     "op4_balanced_shards": op4_balanced_shards,
+    "op5_toxicity": op5_toxicity,
+    "op6_html_extraction": op6_html_extraction,
     "op7_decontamination": op7_decontamination,
     "op8_token_counts": op8_token_counts,
     "op9_quality_rules": op9_quality_rules,
     "op10_mix_sources": op10_mix_sources,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {}
