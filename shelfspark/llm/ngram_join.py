@@ -19,6 +19,8 @@ from shelfspark.session import cut_lineage, table
 FREQUENT, MOST_FREQUENT = 1000, 1 << 20
 #: Sets and tokens of a family that one task may hold.
 FAMILY_SETS, FAMILY_TOKENS = 512, 2 << 20
+#: Ids (8 bytes each) that are broadcast; more are joined.
+BROADCAST_IDS = 4 << 20
 #: Rounds in which the sets of a larger family are dealt at random.
 ROUNDS = 2
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -48,7 +50,7 @@ def token_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def set_keys(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """A 128-bit hash of each set, as two columns."""
+    """Two 64-bit hashes of each set, as two columns."""
     out = []
     for salt in (_K, _OTHER):
         total = np.concatenate([[np.uint64(0)], np.cumsum(mixed(tokens ^ salt), dtype=np.uint64)])
@@ -56,9 +58,10 @@ def set_keys(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
-def _binary(keys: np.ndarray) -> pa.Array:
-    raw = np.ascontiguousarray(keys).astype(">u8").tobytes()
-    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(keys), [None, pa.py_buffer(raw)]).cast(pa.binary())
+def node_numbers(tokens: np.ndarray, bounds: np.ndarray, shared: np.ndarray) -> pa.Array:
+    """The number of each set: its first hash, or its second if other sets have the first one too."""
+    keys = set_keys(tokens, bounds)
+    return pa.array(np.where(np.isin(keys[:, 0], shared), keys[:, 1], keys[:, 0]).view(np.int64))
 
 
 def needed(size: np.ndarray, percent: int) -> np.ndarray:
@@ -122,9 +125,9 @@ def _by_group(batches: Iterable[pa.RecordBatch], key: str, work: Callable[[pa.Ta
         yield from work(pa.Table.from_batches(held))
 
 
-def _pairs(pairs: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+def _pairs(pairs: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
     if pairs:
-        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.binary()), pa.array([b for _, b in pairs], pa.binary())], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], ["a", "b"])
 
 
 def _batched(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,9 +153,11 @@ def _trees(rows: DataFrame, key: str, percent: int, exact: bool) -> DataFrame:
     labelled = "label" in rows.columns
 
     def work(group: pa.Table) -> Iterator[pa.RecordBatch]:
-        nodes = group.column("node").to_pylist()
-        if len(nodes) < 2:
+        once = np.unique(group.column("node").to_numpy(), return_index=True)[1]
+        if len(once) < 2:
             return
+        group = group.take(pa.array(once))
+        nodes = group.column("node").to_pylist()
         sizes = group.column("size").to_numpy().astype(np.int64)
         labels = np.unique(np.array(group.column("label").to_pylist(), object), return_inverse=True)[1] if labelled else None
         if exact:
@@ -172,7 +177,7 @@ def _trees(rows: DataFrame, key: str, percent: int, exact: bool) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _batched(_by_group(batches, key, work))
 
-    return rows.repartition(key).sortWithinPartitions(key).mapInArrow(run, "a binary, b binary")
+    return rows.repartition(key).sortWithinPartitions(key).mapInArrow(run, "a long, b long")
 
 
 def similar_sets(docs: DataFrame, n: int = 3, percent: int = 90, keep: list[str] | None = None) -> DataFrame:
@@ -197,39 +202,42 @@ def similar_sets(docs: DataFrame, n: int = 3, percent: int = 90, keep: list[str]
        A frequent token's tree is not grown: all its nodes become one family.
     4. Families, the components of candidates, hold all links. In each, a tree
        over whole sets is traversed again, and sets are compared token by token.
-       A large family is dealt at random to trees of bounded size, twice, and
+       A large family is dealt at random to trees of bounded size, some times, and
        then in pairs of blocks that are not yet joined.
     """
     spark = docs.sparkSession
     names = list(keep or ["doc_id"])
-    texts = docs.select(F.col("text"))
+    texts = docs.select("doc_id", "text")
 
     def counting():
         def work(batch):
             if batch is not None:
-                got, bounds = prefixes(*token_sets(batch.column("_text"), n), percent, None, 1.25)
+                got, _ = prefixes(*token_sets(batch.column("_text"), n), percent, None, 1.25)
                 yield pa.RecordBatch.from_arrays([pa.array(got.view(np.int64))], ["key"])
 
         return work
 
     counts = text_rows(texts, "key long", counting, []).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > FREQUENT)
     often = [r["key"] for r in counts.orderBy(F.col("n").desc(), "key").limit(MOST_FREQUENT).select("key").collect()]
-    shared = spark.sparkContext.broadcast(np.array(often, np.int64).view(np.uint64))  # MOST_FREQUENT at most
+    often = spark.sparkContext.broadcast(np.array(often, np.int64).view(np.uint64))  # MOST_FREQUENT at most
 
     def describing():
         def work(batch):
             tokens, bounds = token_sets(batch.column("_text"), n)
-            keys = set_keys(tokens, bounds)
-            size = np.diff(bounds)
-            node = pa.array([None if s == 0 else k for s, k in zip(size.tolist(), _binary(keys).to_pylist(), strict=True)], pa.binary())
-            return [size.astype(np.int64), node]
+            keys, size = set_keys(tokens, bounds).view(np.int64), np.diff(bounds)
+            return [size.astype(np.int64), pa.array(keys[:, 0], mask=size == 0), pa.array(keys[:, 1], mask=size == 0)]
 
         return work
 
-    rows = cut_lineage(with_text_columns(docs, "n_shingles long, node binary", describing, names))
+    described = cut_lineage(with_text_columns(docs, "n_shingles long, key_1 long, key_2 long", describing, names))
+    # sets that differ but have one first hash: about one pair in 2^64
+    sets = described.filter("n_shingles > 0").groupBy("key_1").agg(F.min("key_2").alias("low"), F.max("key_2").alias("high"))
+    shared = [r["key_1"] for r in sets.filter("low <> high").select("key_1").collect()]
+    rows = described.withColumn("node", F.when(F.col("key_1").isin(shared), F.col("key_2")).otherwise(F.col("key_1")) if shared else F.col("key_1"))
+    shared = np.array(shared, np.int64).view(np.uint64)
 
     def routing():
-        frequent = Frequent(shared.value)
+        frequent = Frequent(often.value)
 
         def work(batch):
             if batch is None:
@@ -237,45 +245,49 @@ def similar_sets(docs: DataFrame, n: int = 3, percent: int = 90, keep: list[str]
             tokens, bounds = token_sets(batch.column("_text"), n)
             prefix, edges = prefixes(tokens, bounds, percent, frequent)
             bits = [bitmap(tokens[lo:hi]).tobytes() for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)]
-            some = np.diff(bounds) > 0
-            out = pa.RecordBatch.from_arrays([_binary(set_keys(tokens, bounds)), pa.array(np.diff(bounds)), pa.array(bits, pa.binary()), _lists(prefix, edges)], ["node", "size", "bits", "keys"])
-            yield out.filter(pa.array(some))
+            out = pa.RecordBatch.from_arrays([node_numbers(tokens, bounds, shared), pa.array(np.diff(bounds)), pa.array(bits, pa.binary()), _lists(prefix, edges)], ["node", "size", "bits", "keys"])
+            yield out.filter(pa.array(np.diff(bounds) > 0))
 
         return work
 
-    routed = text_rows(texts, "node binary, size long, bits binary, keys array<long>", routing, [])
+    routed = text_rows(texts, "node long, size long, bits binary, keys array<long>", routing, [])
     nodes = cut_lineage(routed.groupBy("node").agg(F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("keys").alias("keys")))
     spread = nodes.select("node", F.explode("keys").alias("key"))
     found = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members"))
     several = cut_lineage(found.filter("n > 1"))
     # trees with the same members are one
     small = several.filter(F.col("n") <= FREQUENT).groupBy("n", "least", "members").agg(F.min("key").alias("key")).select("key")
-    small = cut_lineage(spread.join(small, "key").select("key", "node"))
+    small = spread.join(cut_lineage(small), "key").select("key", "node")
     candidates = _trees(small.join(nodes.select("node", "size", "bits"), "node"), "key", percent, False)
     hot = several.filter(F.col("n") > FREQUENT).select("key", "least")
     stars = spread.join(hot, "key").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    family = cut_lineage(components(candidates.unionByName(stars)).withColumnRenamed("label", "family"))
+    family = components(candidates.unionByName(stars)).withColumnRenamed("label", "family")
 
     members = family.join(nodes.select("node", "size"), "node")
-    sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("sets"), F.sum("size").alias("total"))
-    members = members.join(sizes, "family").withColumn("large", (F.col("sets") > FAMILY_SETS) | (F.col("total") > FAMILY_TOKENS))
+    sizes = cut_lineage(members.groupBy("family").agg(F.count(F.lit(1)).alias("sets"), F.sum("size").alias("total")))
+    # of equal sets, the texts with the smallest id give theirs
+    givers = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("giver"))
+    members = members.join(sizes, "family").join(givers, "node").withColumn("large", (F.col("sets") > FAMILY_SETS) | (F.col("total") > FAMILY_TOKENS))
+    members = cut_lineage(members.select(F.col("node").alias("m_node"), "giver", "family", "sets", "total", "large"))
 
     def listing():
         def work(batch):
             if batch is not None:
                 tokens, bounds = token_sets(batch.column("_text"), n)
-                yield pa.RecordBatch.from_arrays([_binary(set_keys(tokens, bounds)), pa.array(np.diff(bounds)), _lists(tokens, bounds)], ["node", "size", "tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), node_numbers(tokens, bounds, shared), pa.array(np.diff(bounds)), _lists(tokens, bounds)], ["doc_id", "node", "size", "tokens"])
 
         return work
 
-    whole = text_rows(texts, "node binary, size long, tokens array<long>", listing, []).filter("size > 0")
-    wanted = members.select("node", "family", "sets", "total", "large")
-    held = whole.join(wanted, "node").groupBy("node").agg(*[F.first(c).alias(c) for c in ("family", "size", "tokens", "sets", "total", "large")])
-    held = cut_lineage(held)
-    links = cut_lineage(_trees(held.filter(~F.col("large")).select("family", "node", "size", "tokens"), "family", percent, True))
-    large = held.filter("large")
-    if large.limit(1).count():
-        links = links.unionByName(large_families(large, percent))
+    def whole(wanted: DataFrame) -> DataFrame:
+        """Whole sets of some nodes. The nodes go to the texts if there are few."""
+        from_texts = text_rows(texts, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, size long, tokens array<long>", listing, ["doc_id"])
+        wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS // 8 else wanted
+        return from_texts.join(wanted, (F.col("node") == F.col("m_node")) & F.col("doc_id").eqNullSafe(F.col("giver"))).drop("m_node", "giver", "doc_id")
+
+    links = cut_lineage(_trees(whole(members.filter("NOT large").select("m_node", "giver", "family")), "family", percent, True))
+    if members.filter("large").limit(1).count():
+        large = whole(members.filter("large").drop("large"))
+        links = links.unionByName(large_families(cut_lineage(large.dropDuplicates(["node"])), percent))
     labels = components(links)
 
     known = rows.join(labels, "node", "left").withColumn("class", F.coalesce("label", "node"))
@@ -320,10 +332,6 @@ def large_families(large: DataFrame, percent: int) -> DataFrame:
     return links.unionByName(cut_lineage(_trees(paired, "pair", percent, True)))
 
 
-#: Ids (8 bytes each) that are broadcast; more are joined.
-BROADCAST_IDS = 4 << 20
-
-
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` less all but one document of each group that similar_sets finds: the one with the smallest doc_id.
 
