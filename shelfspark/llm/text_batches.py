@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 #: Rows and bytes that a task holds at once. A longer text is a slice of its own.
-SLICE_ROWS, SLICE_BYTES = 1024, 4 << 20
+SLICE_ROWS, SLICE_BYTES = 512, 1 << 20
 
 _MASK = (1 << 64) - 1
 _ODD = 0x9E3779B97F4A7C15
