@@ -15,8 +15,10 @@ from shelfspark.llm.signature_tree import bitmap, joined
 from shelfspark.llm.text_batches import SPACED, Words, mixed
 from shelfspark.session import cut_lineage, table
 
-#: A key with more sets than this is frequent: it comes last in the order of tokens.
-FREQUENT, MOST_FREQUENT = 1000, 1 << 20
+#: A token of more sets than this is frequent: it comes last in the order of tokens. So many tokens may be, the most frequent ones.
+FREQUENT, MOST_FREQUENT = 64, 1 << 20
+#: Sets that one routing tree may hold; those of a token with more become one family.
+TREE_SETS = 1000
 #: Sets and tokens of a family that one task may hold.
 FAMILY_SETS, FAMILY_TOKENS = 512, 2 << 20
 #: Ids (8 bytes each) that are broadcast; more are joined.
@@ -90,8 +92,8 @@ class Frequent:
         return found
 
 
-def prefixes(tokens: np.ndarray, bounds: np.ndarray, percent: int, frequent: Frequent | None, stretch: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-    """(tokens, bounds) of each set's prefix: as many first tokens that two similar sets must share one of them.
+def prefixes(tokens: np.ndarray, bounds: np.ndarray, percent: int, frequent: Frequent | None, stretch: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens, sets, whether frequent) of the sets' prefixes: as many first tokens that two similar sets must share one of them.
 
     All sets order their tokens alike: frequent ones last, else by hash.
     """
@@ -105,7 +107,7 @@ def prefixes(tokens: np.ndarray, bounds: np.ndarray, percent: int, frequent: Fre
     n_rare = rare[bounds[1:]] - rare[bounds[:-1]]
     place = np.where(late, n_rare[text] + np.arange(len(tokens)) - bounds[:-1][text] - place, place)
     taken = place < length[text]
-    return tokens[taken], np.concatenate([[0], np.cumsum(length)])
+    return tokens[taken], text[taken], late[taken]
 
 
 def _by_group(batches: Iterable[pa.RecordBatch], key: str, work: Callable[[pa.Table], Iterator]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +214,7 @@ def similar_sets(docs: DataFrame, n: int = 3, percent: int = 90, keep: list[str]
     def counting():
         def work(batch):
             if batch is not None:
-                got, _ = prefixes(*token_sets(batch.column("_text"), n), percent, None, 1.25)
+                got, *_ = prefixes(*token_sets(batch.column("_text"), n), percent, None, 1.25)
                 yield pa.RecordBatch.from_arrays([pa.array(got.view(np.int64))], ["key"])
 
         return work
@@ -243,24 +245,28 @@ def similar_sets(docs: DataFrame, n: int = 3, percent: int = 90, keep: list[str]
             if batch is None:
                 return
             tokens, bounds = token_sets(batch.column("_text"), n)
-            prefix, edges = prefixes(tokens, bounds, percent, frequent)
+            prefix, text, late = prefixes(tokens, bounds, percent, frequent)
+            places = np.arange(batch.num_rows + 1)
+            keys = [_lists(prefix[on], np.searchsorted(text[on], places)) for on in (~late, late)]
             bits = [bitmap(tokens[lo:hi]).tobytes() for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)]
-            out = pa.RecordBatch.from_arrays([node_numbers(tokens, bounds, shared), pa.array(np.diff(bounds)), pa.array(bits, pa.binary()), _lists(prefix, edges)], ["node", "size", "bits", "keys"])
+            out = pa.RecordBatch.from_arrays([node_numbers(tokens, bounds, shared), pa.array(np.diff(bounds)), pa.array(bits, pa.binary()), *keys], ["node", "size", "bits", "keys", "late"])
             yield out.filter(pa.array(np.diff(bounds) > 0))
 
         return work
 
-    routed = text_rows(texts, "node long, size long, bits binary, keys array<long>", routing, [])
-    nodes = cut_lineage(routed.groupBy("node").agg(F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("keys").alias("keys")))
+    routed = text_rows(texts, "node long, size long, bits binary, keys array<long>, late array<long>", routing, [])
+    nodes = cut_lineage(routed.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "bits", "keys", "late")]))
     spread = nodes.select("node", F.explode("keys").alias("key"))
     found = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members"))
     several = cut_lineage(found.filter("n > 1"))
     # trees with the same members are one
-    small = several.filter(F.col("n") <= FREQUENT).groupBy("n", "least", "members").agg(F.min("key").alias("key")).select("key")
+    small = several.filter(F.col("n") <= TREE_SETS).groupBy("n", "least", "members").agg(F.min("key").alias("key")).select("key")
     small = spread.join(cut_lineage(small), "key").select("key", "node")
     candidates = _trees(small.join(nodes.select("node", "size", "bits"), "node"), "key", percent, False)
-    hot = several.filter(F.col("n") > FREQUENT).select("key", "least")
-    stars = spread.join(hot, "key").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    late = nodes.select("node", F.explode("late").alias("key"))
+    hot = late.groupBy("key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "least")
+    hot = cut_lineage(hot.unionByName(several.filter(F.col("n") > TREE_SETS).select("key", "least")))
+    stars = late.unionByName(spread).join(hot, "key").select(F.col("node").alias("a"), F.col("least").alias("b"))
     family = components(candidates.unionByName(stars)).withColumnRenamed("label", "family")
 
     members = family.join(nodes.select("node", "size"), "node")
@@ -268,7 +274,7 @@ def similar_sets(docs: DataFrame, n: int = 3, percent: int = 90, keep: list[str]
     # of equal sets, the texts with the smallest id give theirs
     givers = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("giver"))
     members = members.join(sizes, "family").join(givers, "node").withColumn("large", (F.col("sets") > FAMILY_SETS) | (F.col("total") > FAMILY_TOKENS))
-    members = cut_lineage(members.select(F.col("node").alias("m_node"), "giver", "family", "sets", "total", "large"))
+    members = cut_lineage(members.select(F.col("node").alias("m_node"), "giver", "family", members["size"].alias("size"), "sets", "total", "large"))
 
     def listing():
         def work(batch):
@@ -281,13 +287,13 @@ def similar_sets(docs: DataFrame, n: int = 3, percent: int = 90, keep: list[str]
     def whole(wanted: DataFrame) -> DataFrame:
         """Whole sets of some nodes. The nodes go to the texts if there are few."""
         from_texts = text_rows(texts, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, size long, tokens array<long>", listing, ["doc_id"])
-        wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS // 8 else wanted
+        wanted = F.broadcast(wanted.drop("size")) if wanted.count() <= BROADCAST_IDS // 8 else wanted.drop("size")
         return from_texts.join(wanted, (F.col("node") == F.col("m_node")) & F.col("doc_id").eqNullSafe(F.col("giver"))).drop("m_node", "giver", "doc_id")
 
     links = cut_lineage(_trees(whole(members.filter("NOT large").select("m_node", "giver", "family")), "family", percent, True))
-    if members.filter("large").limit(1).count():
-        large = whole(members.filter("large").drop("large"))
-        links = links.unionByName(large_families(cut_lineage(large.dropDuplicates(["node"])), percent))
+    large = members.filter("large").drop("large")
+    if large.limit(1).count():
+        links = links.unionByName(large_families(large, whole, percent))
     labels = components(links)
 
     known = rows.join(labels, "node", "left").withColumn("class", F.coalesce("label", "node"))
@@ -297,30 +303,31 @@ def similar_sets(docs: DataFrame, n: int = 3, percent: int = 90, keep: list[str]
     return out.select(*kept, "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def large_families(large: DataFrame, percent: int) -> DataFrame:
-    """Links within families that one task can't hold: family, node, size, tokens, sets, total.
+def large_families(large: DataFrame, whole: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """Links within families that one task can't hold: m_node, giver, family, size, sets, total; ``whole`` adds tokens.
 
     ROUNDS times, the sets of a family are dealt at random to blocks, and each
     block's tree gives links. Then blocks are formed of sets with one label, as
     far as a label has enough of them, else of sets with few; two blocks meet
     unless they have one label or no sizes that go together, and their tree,
-    over both, starts with what is joined.
+    over both, starts with what is joined. Only numbers are joined and grouped
+    here; tokens come from the texts to the trees.
     """
-    blocks = F.greatest(F.ceil(F.greatest(F.col("sets") / FAMILY_SETS, F.col("total") / FAMILY_TOKENS)), F.lit(1)).cast("long")
-    dealt = large.withColumn("blocks", blocks)
+    parts = lambda sets, total: F.greatest(F.ceil(F.greatest(F.col(sets) / FAMILY_SETS, F.col(total) / FAMILY_TOKENS)), F.lit(1)).cast("long")
+    dealt = large.withColumn("blocks", parts("sets", "total"))
     links = None
     for r in range(ROUNDS):
-        block = F.xxhash64("family", F.pmod(F.xxhash64(F.lit(r), "node"), F.col("blocks")))
-        found = cut_lineage(_trees(dealt.select(block.alias("block"), "node", "size", "tokens"), "block", percent, True))
+        block = F.xxhash64("family", F.pmod(F.xxhash64(F.lit(r), "m_node"), F.col("blocks")))
+        found = cut_lineage(_trees(whole(dealt.select("m_node", "giver", block.alias("block"))), "block", percent, True))
         links = found if links is None else links.unionByName(found)
     labels = components(links)
-    marked = dealt.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    of_label = marked.groupBy("label").agg(F.count(F.lit(1)).alias("same"), F.sum("size").alias("same_total"))
-    marked = marked.join(cut_lineage(of_label), "label")
+    marked = dealt.join(labels, F.col("m_node") == F.col("node"), "left").drop("node").withColumn("label", F.coalesce("label", "m_node"))
+    of_label = marked.groupBy("label").agg(F.count(F.lit(1)).alias("same"), F.sum("size").alias("same_total"), F.first("family").alias("l_family"))
+    open_ = of_label.groupBy("l_family").agg(F.count(F.lit(1)).alias("labels")).filter("labels > 1").select("l_family")
+    marked = marked.join(cut_lineage(of_label.join(open_, "l_family").drop("l_family")), "label")
     own = F.col("same") * 2 > FAMILY_SETS
-    parts = F.when(own, F.greatest(F.ceil(F.greatest(F.col("same") / FAMILY_SETS, F.col("same_total") / FAMILY_TOKENS)), F.lit(1)).cast("long")).otherwise(F.col("blocks"))
-    marked = marked.withColumn("pool", F.when(own, F.col("label"))).withColumn("block", F.xxhash64("family", "pool", F.pmod(F.xxhash64(F.lit(99), "node"), parts)))
-    marked = cut_lineage(marked.select("family", "block", "pool", "node", "label", "size", "tokens"))
+    marked = marked.withColumn("pool", F.when(own, F.col("label"))).withColumn("block", F.xxhash64("family", "pool", F.pmod(F.xxhash64(F.lit(99), "m_node"), F.when(own, parts("same", "same_total")).otherwise(F.col("blocks")))))
+    marked = cut_lineage(marked.select("family", "block", "pool", "m_node", "giver", "label", "size"))
     each = cut_lineage(marked.groupBy("family", "block").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.first("pool").alias("pool")))
     other = each.select(*[F.col(c).alias(f"o_{c}") for c in each.columns])
     meet = each.join(other, (F.col("family") == F.col("o_family")) & (F.col("block") <= F.col("o_block")))
@@ -328,8 +335,8 @@ def large_families(large: DataFrame, percent: int) -> DataFrame:
     meet = meet.filter(F.col("pool").isNull() | ~F.col("pool").eqNullSafe(F.col("o_pool")))
     meet = meet.withColumn("pair", F.xxhash64("family", "block", "o_block"))
     sides = meet.select("pair", "block").unionByName(meet.select("pair", F.col("o_block").alias("block"))).distinct()
-    paired = marked.join(sides, "block").select("pair", "node", "label", "size", "tokens")
-    return links.unionByName(cut_lineage(_trees(paired, "pair", percent, True)))
+    paired = cut_lineage(marked.join(sides, "block").select("m_node", "giver", "label", "pair"))
+    return links.unionByName(cut_lineage(_trees(whole(paired), "pair", percent, True)))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
