@@ -1,4 +1,25 @@
-"""Registered queries and their SQL twins."""
+"""Registered queries and their SQL twins. Modules with queries add to these when they are imported at the end."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register a query (spark, sf_dir) -> DataFrame, and its SQL if SQL can express it."""
+
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+from shelfspark.jobs import queries_items, queries_market, queries_recommend, queries_scores  # noqa: E402, F401
