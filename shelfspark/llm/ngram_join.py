@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -195,17 +196,18 @@ def similar_sets(docs: DataFrame, n: int = 3, percent: int = 90, keep: list[str]
     result.
 
     1. Every text gives a 128-bit key of its set; equal sets are one node.
-    2. Routing: similar sets share a token of their prefixes, so each node goes
-       to the trees of its prefix's tokens. Frequent tokens come last in the
-       order of all tokens, which keeps trees small.
-    3. Each tree's nodes hold OR-combined bitmaps and size ranges. A traversal
-       of the tree against itself prunes pairs of branches by their largest
-       possible overlap, and gives candidates, as a spanning set of each tree's.
-       A frequent token's tree is not grown: all its nodes become one family.
-    4. Families, the components of candidates, hold all links. In each, a tree
-       over whole sets is traversed again, and sets are compared token by token.
-       A large family is dealt at random to trees of bounded size, some times, and
-       then in pairs of blocks that are not yet joined.
+    2. Routing: similar sets share a token of their prefixes, so the sets of a
+       token go together. Frequent tokens come last in the order of all tokens.
+       What shared tokens connect is a family, if one task can hold it.
+    3. A larger family is divided: each of its tokens has a signature tree, whose
+       nodes hold OR-combined bitmaps and size ranges. A traversal of the tree
+       against itself prunes pairs of branches by their largest possible overlap,
+       and gives candidates, as a spanning set of each tree's. A frequent token's
+       sets stay together without a tree.
+    4. Families hold all links. In each, a signature tree over whole sets is
+       traversed against itself, and what it leaves is compared token by token.
+       A family that is still large is dealt at random to trees of bounded size,
+       some times, and then in pairs of blocks that are not yet joined.
     """
     spark = docs.sparkSession
     names = list(keep or ["doc_id"])
@@ -248,52 +250,71 @@ def similar_sets(docs: DataFrame, n: int = 3, percent: int = 90, keep: list[str]
             prefix, text, late = prefixes(tokens, bounds, percent, frequent)
             places = np.arange(batch.num_rows + 1)
             keys = [_lists(prefix[on], np.searchsorted(text[on], places)) for on in (~late, late)]
-            bits = [bitmap(tokens[lo:hi]).tobytes() for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)]
-            out = pa.RecordBatch.from_arrays([node_numbers(tokens, bounds, shared), pa.array(np.diff(bounds)), pa.array(bits, pa.binary()), *keys], ["node", "size", "bits", "keys", "late"])
+            out = pa.RecordBatch.from_arrays([node_numbers(tokens, bounds, shared), pa.array(np.diff(bounds)), *keys], ["node", "size", "keys", "late"])
             yield out.filter(pa.array(np.diff(bounds) > 0))
 
         return work
 
-    routed = text_rows(texts, "node long, size long, bits binary, keys array<long>, late array<long>", routing, [])
-    nodes = cut_lineage(routed.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "bits", "keys", "late")]))
-    spread = nodes.select("node", F.explode("keys").alias("key"))
-    found = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members"))
-    several = cut_lineage(found.filter("n > 1"))
-    # trees with the same members are one
-    small = several.filter(F.col("n") <= TREE_SETS).groupBy("n", "least", "members").agg(F.min("key").alias("key")).select("key")
-    small = spread.join(cut_lineage(small), "key").select("key", "node")
-    candidates = _trees(small.join(nodes.select("node", "size", "bits"), "node"), "key", percent, False)
-    late = nodes.select("node", F.explode("late").alias("key"))
-    hot = late.groupBy("key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "least")
-    hot = cut_lineage(hot.unionByName(several.filter(F.col("n") > TREE_SETS).select("key", "least")))
-    stars = late.unionByName(spread).join(hot, "key").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    family = components(candidates.unionByName(stars)).withColumnRenamed("label", "family")
-
-    members = family.join(nodes.select("node", "size"), "node")
-    sizes = cut_lineage(members.groupBy("family").agg(F.count(F.lit(1)).alias("sets"), F.sum("size").alias("total")))
+    routed = text_rows(texts, "node long, size long, keys array<long>, late array<long>", routing, [])
+    nodes = cut_lineage(routed.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "keys", "late")]))
     # of equal sets, the texts with the smallest id give theirs
     givers = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("giver"))
-    members = members.join(sizes, "family").join(givers, "node").withColumn("large", (F.col("sets") > FAMILY_SETS) | (F.col("total") > FAMILY_TOKENS))
-    members = cut_lineage(members.select(F.col("node").alias("m_node"), "giver", "family", members["size"].alias("size"), "sets", "total", "large"))
-
-    def listing():
-        def work(batch):
-            if batch is not None:
+    givers = cut_lineage(givers.join(nodes.select("node", "size"), "node"))
+
+    def whole(wanted: DataFrame, kind: str) -> DataFrame:
+        """Add tokens or bits to some nodes (m_node, giver, ...). The nodes go to the texts if there are few; only their givers' texts are split."""
+        more = [c for c in wanted.columns if c not in ("m_node", "giver")]
+        few = wanted.count() <= BROADCAST_IDS // 8
+        own = texts.join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("giver")))
+
+        def make():
+            def work(batch):
+                if batch is None:
+                    return
                 tokens, bounds = token_sets(batch.column("_text"), n)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), node_numbers(tokens, bounds, shared), pa.array(np.diff(bounds)), _lists(tokens, bounds)], ["doc_id", "node", "size", "tokens"])
-
-        return work
-
-    def whole(wanted: DataFrame) -> DataFrame:
-        """Whole sets of some nodes. The nodes go to the texts if there are few."""
-        from_texts = text_rows(texts, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, size long, tokens array<long>", listing, ["doc_id"])
-        wanted = F.broadcast(wanted.drop("size")) if wanted.count() <= BROADCAST_IDS // 8 else wanted.drop("size")
-        return from_texts.join(wanted, (F.col("node") == F.col("m_node")) & F.col("doc_id").eqNullSafe(F.col("giver"))).drop("m_node", "giver", "doc_id")
-
-    links = cut_lineage(_trees(whole(members.filter("NOT large").select("m_node", "giver", "family")), "family", percent, True))
-    large = members.filter("large").drop("large")
-    if large.limit(1).count():
-        links = links.unionByName(large_families(large, whole, percent))
+                node = node_numbers(tokens, bounds, shared)
+                if kind == "tokens":
+                    held = _lists(tokens, bounds)
+                else:
+                    held = pa.array([bitmap(tokens[lo:hi]).tobytes() for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())
+                out = pa.RecordBatch.from_arrays([node, pa.array(np.diff(bounds)), held, *[batch.column(c) for c in more]], ["node", "size", kind, *more])
+                yield out.filter(pc.and_(pc.equal(node, batch.column("m_node")), pa.array(np.diff(bounds) > 0)))
+
+            return work
+
+        kinds = "array<long>" if kind == "tokens" else "binary"
+        fields = ", ".join([f"node long, size long, {kind} {kinds}", *[f"{c} {own.schema[c].dataType.simpleString()}" for c in more]])
+        return text_rows(own, fields, make, ["m_node", *more])
+
+    def sized(family: DataFrame) -> DataFrame:
+        """The families' nodes (m_node, giver, family, size, sets, total, large)."""
+        members = family.join(givers, "node")
+        sizes = cut_lineage(members.groupBy("family").agg(F.count(F.lit(1)).alias("sets"), F.sum("size").alias("total")))
+        large = (F.col("sets") > FAMILY_SETS) | (F.col("total") > FAMILY_TOKENS)
+        return cut_lineage(members.join(sizes, "family").select(F.col("node").alias("m_node"), "giver", "family", "size", "sets", "total", large.alias("large")))
+
+    # all sets of a shared token are one family, if one task can hold it
+    spread = nodes.select("node", F.explode("keys").alias("key"), F.lit(False).alias("late")).unionByName(nodes.select("node", F.explode("late").alias("key"), F.lit(True).alias("late")))
+    found = spread.groupBy("key", "late").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members"))
+    several = cut_lineage(found.filter("n > 1"))
+    routes = cut_lineage(spread.select("node", "key").join(several, "key"))
+    coarse = sized(components(routes.select(F.col("node").alias("a"), F.col("least").alias("b"))).withColumnRenamed("label", "family"))
+    links = cut_lineage(_trees(whole(coarse.filter("NOT large").select("m_node", "giver", "family"), "tokens"), "family", percent, True))
+    wide = coarse.filter("large")
+    if wide.limit(1).count():
+        # larger ones are divided by the trees of their tokens; trees with the same members are one
+        own = cut_lineage(routes.join(wide.select(F.col("m_node").alias("node"), "giver"), "node"))
+        star = F.col("late") | (F.col("n") > TREE_SETS)
+        trees = own.filter(~star).groupBy("n", "least", "members").agg(F.min("key").alias("key")).select("key")
+        trees = cut_lineage(own.filter(~star).join(trees, "key").select("key", "node"))
+        bits = whole(trees.select("node").distinct().join(givers, "node").select(F.col("node").alias("m_node"), "giver"), "bits")
+        candidates = _trees(trees.join(bits, "node"), "key", percent, False)
+        stars = own.filter(star).select(F.col("node").alias("a"), F.col("least").alias("b"))
+        fine = sized(components(candidates.unionByName(stars)).withColumnRenamed("label", "family"))
+        links = links.unionByName(cut_lineage(_trees(whole(fine.filter("NOT large").select("m_node", "giver", "family"), "tokens"), "family", percent, True)))
+        large = fine.filter("large").drop("large")
+        if large.limit(1).count():
+            links = links.unionByName(large_families(large, whole, percent))
     labels = components(links)
 
     known = rows.join(labels, "node", "left").withColumn("class", F.coalesce("label", "node"))
@@ -303,7 +324,7 @@ def similar_sets(docs: DataFrame, n: int = 3, percent: int = 90, keep: list[str]
     return out.select(*kept, "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def large_families(large: DataFrame, whole: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+def large_families(large: DataFrame, whole: Callable[[DataFrame, str], DataFrame], percent: int) -> DataFrame:
     """Links within families that one task can't hold: m_node, giver, family, size, sets, total; ``whole`` adds tokens.
 
     ROUNDS times, the sets of a family are dealt at random to blocks, and each
@@ -318,7 +339,7 @@ def large_families(large: DataFrame, whole: Callable[[DataFrame], DataFrame], pe
     links = None
     for r in range(ROUNDS):
         block = F.xxhash64("family", F.pmod(F.xxhash64(F.lit(r), "m_node"), F.col("blocks")))
-        found = cut_lineage(_trees(whole(dealt.select("m_node", "giver", block.alias("block"))), "block", percent, True))
+        found = cut_lineage(_trees(whole(dealt.select("m_node", "giver", block.alias("block")), "tokens"), "block", percent, True))
         links = found if links is None else links.unionByName(found)
     labels = components(links)
     marked = dealt.join(labels, F.col("m_node") == F.col("node"), "left").drop("node").withColumn("label", F.coalesce("label", "m_node"))
@@ -336,7 +357,7 @@ def large_families(large: DataFrame, whole: Callable[[DataFrame], DataFrame], pe
     meet = meet.withColumn("pair", F.xxhash64("family", "block", "o_block"))
     sides = meet.select("pair", "block").unionByName(meet.select("pair", F.col("o_block").alias("block"))).distinct()
     paired = cut_lineage(marked.join(sides, "block").select("m_node", "giver", "label", "pair"))
-    return links.unionByName(cut_lineage(_trees(whole(paired), "pair", percent, True)))
+    return links.unionByName(cut_lineage(_trees(whole(paired, "tokens"), "pair", percent, True)))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
