@@ -99,7 +99,7 @@ def fit_weights(n: int, rows: np.ndarray, columns: np.ndarray, label: np.ndarray
     for k in range(1, rounds + 1):
         score = value[-1] + np.bincount(rows, weights=value[columns], minlength=n)
         pull = weight * (sigmoid(score) - label)
-        g = np.bincount(columns, weights=pull[rows], minlength=n_features + 1)
+        g = np.bincount(columns, weights=pull[rows], minlength=n_features + 1).astype(np.float64)
         g[:-1] += 2 * RIDGE * value[:-1]
         g[-1] = pull.sum()
         if n_swaps:
