@@ -12,7 +12,7 @@ from shelfspark.jobs import adapters as A
 from shelfspark.jobs import sql as S
 from shelfspark.jobs.registry import query
 from shelfspark.operators import attributes as O
-from shelfspark.session import table
+from shelfspark.session import cut_lineage, table
 from shelfspark.sources import ingest as I
 
 
@@ -205,6 +205,11 @@ def attrs(spark: SparkSession, d: str) -> DataFrame:
     return O.fill_attributes(O.normalize_items(it), I.build_interactions(A.interactions_raw(spark, d), it))
 
 
+def attrs_table(spark: SparkSession, d: str) -> DataFrame:
+    """The attributes as a written table, for jobs that look items up several times: the rules run once."""
+    return cut_lineage(attrs(spark, d))
+
+
 SQL_ATTRS = f"{A.SQL_BASE},\n{S.NORM},\n{S.SECTIONS},\n{S.ATTRS}"
 
 

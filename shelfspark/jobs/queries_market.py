@@ -129,7 +129,7 @@ UNION ALL SELECT 'skin_only_all', avg(CASE WHEN skin_seller = ['all'] THEN 1.0 E
 UNION ALL SELECT 'form_agreement', avg(CASE WHEN list_has_any(form_seller, form_text) THEN 1.0 ELSE 0 END) FROM attrs WHERE len(form_seller) > 0 AND len(form_text) > 0
 UNION ALL SELECT 'benefit_fifth_' || bin, avg(CASE WHEN len(benefit_seller) > 0 THEN 1.0 ELSE 0 END) FROM b GROUP BY bin""")
 def a15(spark, d):
-    return M.seller_quality(Q.attrs(spark, d), inter(spark, d))
+    return M.seller_quality(Q.attrs_table(spark, d), inter(spark, d))
 
 
 WORDS = [("the", r"\b(the|and)\b"), ("of", r"\bof\b"), ("this", r"\bth(is|at)\b")]
@@ -204,7 +204,7 @@ def overlaps(other: str, where: str = "true", attributes=P.ATTRIBUTES) -> str:
 
 
 def labelled(spark, d):
-    return P.attach_pair_attributes(drawn(spark, d), P.item_labels(Q.attrs(spark, d)))
+    return P.attach_pair_attributes(drawn(spark, d), P.item_labels(Q.attrs_table(spark, d)))
 
 
 @query("j8_attach_pair_attributes", f"{PAIRED} SELECT p.segment, user_id, first, second, rand, x.brand AS first_brand, y.brand AS second_brand, z.brand AS rand_brand, {S.text('x.skin')} AS first_skin, {S.text('z.active')} AS rand_active FROM drawn p LEFT JOIN lab x ON x.item_id = first LEFT JOIN lab y ON y.item_id = second LEFT JOIN lab z ON z.item_id = rand")
@@ -249,7 +249,7 @@ def a13(spark, d):
 @query("w4_popularity_expected", f"""{PAIRED}, f AS (SELECT p.segment, x.benefit AS s FROM pairs p JOIN lab x ON x.item_id = first WHERE len(x.benefit) > 0), g AS (SELECT a.segment, x.benefit AS s FROM act a JOIN lab x USING (item_id) WHERE len(x.benefit) > 0)
 SELECT f.segment, any_value(k.n) AS n, avg(CASE WHEN list_has_any(f.s, g.s) THEN 1.0 ELSE 0 END) AS expected FROM f JOIN g USING (segment) JOIN (SELECT segment, count(*) AS n FROM f GROUP BY 1) k USING (segment) GROUP BY f.segment""")
 def w4(spark, d):
-    return P.popularity_expected(pairs(spark, d), active(spark, d), P.item_labels(Q.attrs(spark, d)), "benefit")
+    return P.popularity_expected(pairs(spark, d), active(spark, d), P.item_labels(Q.attrs_table(spark, d)), "benefit")
 
 
 @query("w5_quantile_bins", f"{BASE}, c AS (SELECT item_id, count(*) AS n FROM inter GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY n, item_id) - 1 AS rk, count(*) OVER () AS cnt FROM c) SELECT item_id, n, CAST(greatest(1, ceil(rk * 5.0 / (cnt - 1))) AS INTEGER) AS bin FROM r")

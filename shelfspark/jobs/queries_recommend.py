@@ -57,14 +57,14 @@ UNION ALL SELECT item_id, 'active', 'active:active=' || unnest(active) FROM attr
 
 @query("r4_item_tokens", f"{Q.SQL_ATTRS}, {TOKENS} SELECT * FROM tok")
 def r4(spark, d):
-    return R.item_tokens(Q.attrs(spark, d))
+    return R.item_tokens(Q.attrs_table(spark, d))
 
 
 @query("r5_token_weights", f"""{Q.SQL_ATTRS}, {TOKENS}, n AS (SELECT count(*) AS n FROM attrs), f AS (SELECT field, token, count(DISTINCT item_id) AS df FROM tok GROUP BY 1, 2), g AS (SELECT *, ln(n::DOUBLE / df) AS idf FROM f, n), h AS (SELECT *, max(idf) OVER (PARTITION BY field) AS top FROM g),
 k AS (SELECT t.*, df, idf, top FROM tok t JOIN h USING (field, token) WHERE field <> 'brand' OR df >= 2)
 SELECT item_id, field, token, CASE WHEN field NOT IN ('brand', 'seg') AND top > 0 THEN greatest(0.05, idf / top) ELSE 1.0 END / count(*) OVER (PARTITION BY item_id, field) AS weight FROM k""")
 def r5(spark, d):
-    attrs = Q.attrs(spark, d)
+    attrs = Q.attrs_table(spark, d)
     return R.token_weights(R.item_tokens(attrs), attrs.count())
 
 
@@ -178,7 +178,7 @@ def r10(spark, d):
 @query("r11_fit_pairwise")
 def r11(spark, d):
     train, test, counts = split(spark, d)
-    attrs = Q.attrs(spark, d)
+    attrs = Q.attrs_table(spark, d)
     tokens = R.token_weights(R.item_tokens(attrs), attrs.count())
     model, losses = R.fit_pairwise(train, tokens, counts.select("item_id"), epochs=3)
     v = R.model_vectors(model, spark)
