@@ -20,6 +20,8 @@ from shelfspark.session import cut_lineage, table
 FREQUENT, MOST_FREQUENT = 64, 1 << 20
 #: Sets that one routing tree may hold; those of a token with more become one family.
 TREE_SETS = 1000
+#: Tokens of each set whose trees are grown first.
+FIRST_TOKENS = 4
 #: Sets and tokens of a family that one task may hold.
 FAMILY_SETS, FAMILY_TOKENS = 512, 2 << 20
 #: Ids (8 bytes each) that are broadcast; more are joined.
@@ -294,23 +296,33 @@ def similar_sets(docs: DataFrame, n: int = 3, percent: int = 90, keep: list[str]
         return cut_lineage(members.join(sizes, "family").select(F.col("node").alias("m_node"), "giver", "family", "size", "sets", "total", large.alias("large")))
 
     # all sets of a shared token are one family, if one task can hold it
-    spread = nodes.select("node", F.explode("keys").alias("key"), F.lit(False).alias("late")).unionByName(nodes.select("node", F.explode("late").alias("key"), F.lit(True).alias("late")))
+    exploded = lambda c, late: nodes.select("node", F.posexplode(c).alias("place", "key"), F.lit(late).alias("late"))
+    spread = exploded("keys", False).unionByName(exploded("late", True))
     found = spread.groupBy("key", "late").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members"))
     several = cut_lineage(found.filter("n > 1"))
-    routes = cut_lineage(spread.select("node", "key").join(several, "key"))
+    routes = cut_lineage(spread.select("node", "key", "place").join(several, "key"))
     coarse = sized(components(routes.select(F.col("node").alias("a"), F.col("least").alias("b"))).withColumnRenamed("label", "family"))
     links = cut_lineage(_trees(whole(coarse.filter("NOT large").select("m_node", "giver", "family"), "tokens"), "family", percent, True))
     wide = coarse.filter("large")
     if wide.limit(1).count():
-        # larger ones are divided by the trees of their tokens; trees with the same members are one
+        # larger ones are divided by the trees of their tokens: first of each set's first tokens; then of those whose
+        # sets are not yet together, as others connect nothing new. Trees with the same members are one
         own = cut_lineage(routes.join(wide.select(F.col("m_node").alias("node"), "giver"), "node"))
         star = F.col("late") | (F.col("n") > TREE_SETS)
-        trees = own.filter(~star).groupBy("n", "least", "members").agg(F.min("key").alias("key")).select("key")
-        trees = cut_lineage(own.filter(~star).join(trees, "key").select("key", "node"))
-        bits = whole(trees.select("node").distinct().join(givers, "node").select(F.col("node").alias("m_node"), "giver"), "bits")
-        candidates = _trees(trees.join(bits, "node"), "key", percent, False)
-        stars = own.filter(star).select(F.col("node").alias("a"), F.col("least").alias("b"))
-        fine = sized(components(candidates.unionByName(stars)).withColumnRenamed("label", "family"))
+        rare = own.filter(~star)
+
+        def grow(keys: DataFrame) -> DataFrame:
+            once = keys.groupBy("n", "least", "members").agg(F.min("key").alias("key")).select("key")
+            trees = cut_lineage(keys.join(cut_lineage(once), "key").select("key", "node"))
+            bits = whole(trees.select("node").distinct().join(givers, "node").select(F.col("node").alias("m_node"), "giver"), "bits")
+            return cut_lineage(_trees(trees.join(bits, "node"), "key", percent, False))
+
+        candidates = grow(rare.filter(F.col("place") < FIRST_TOKENS)).unionByName(own.filter(star).select(F.col("node").alias("a"), F.col("least").alias("b")))
+        together = components(candidates).withColumnRenamed("node", "t_node")
+        label = F.coalesce("label", "node")
+        apart_ = rare.join(together, F.col("node") == F.col("t_node"), "left").groupBy("key").agg(F.min(label).alias("low"), F.max(label).alias("high")).filter("low <> high").select("key")
+        candidates = candidates.unionByName(grow(rare.join(cut_lineage(apart_), "key").select(*rare.columns)))
+        fine = sized(components(candidates).withColumnRenamed("label", "family"))
         links = links.unionByName(cut_lineage(_trees(whole(fine.filter("NOT large").select("m_node", "giver", "family"), "tokens"), "family", percent, True)))
         large = fine.filter("large").drop("large")
         if large.limit(1).count():
