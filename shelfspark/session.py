@@ -48,17 +48,47 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared checkpoint folder and go on from the written copy.
+#: Spark's own setting: a query's shuffle files go when it ends, not when the driver next collects garbage.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _path(spark: SparkSession, name: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+
+
+def _file_system(spark: SparkSession, path):
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def cut_lineage(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared checkpoint folder (or a ``scratch_folder`` there) and go on from the written copy.
 
     Unlike checkpoint(), a table that is read again has the size of its files as
     its statistics. A checkpoint keeps its plan's estimate, which the joins of an
-    iterative job multiply until it fills the driver. The file system deletes
-    the table when the application ends.
+    iterative job multiply until it fills the driver. The shuffle files of the
+    write go with it, as nothing reads them again. The file system deletes the
+    table when the application ends.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_folder(spark)}/table-{uuid.uuid4()}"
-    df.write.parquet(path)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    path = f"{folder or checkpoint_folder(spark)}/table-{uuid.uuid4()}"
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
+    if folder is None:
+        _file_system(spark, _path(spark, path)).deleteOnExit(_path(spark, path))
     return spark.read.schema(df.schema).parquet(path)
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder in the shared checkpoint folder, for tables that ``drop_folder`` deletes before the application ends."""
+    name = f"{checkpoint_folder(spark)}/scratch-{uuid.uuid4()}"
+    _file_system(spark, _path(spark, name)).deleteOnExit(_path(spark, name))
+    return name
+
+
+def drop_folder(spark: SparkSession, name: str) -> None:
+    """Delete a ``scratch_folder``; what was made from its tables must be written by now."""
+    _file_system(spark, _path(spark, name)).delete(_path(spark, name), True)
