@@ -14,7 +14,7 @@ from shelfspark.llm.arrow_rows import text_rows, with_text_columns
 from shelfspark.llm.components import components
 from shelfspark.llm.signature_tree import bitmap, joined
 from shelfspark.llm.text_batches import SPACED, Words, mixed
-from shelfspark.session import cut_lineage, table
+from shelfspark.session import cut_lineage, drop_folder, scratch_folder, table
 
 #: A token of more sets than this is frequent: it comes last in the order of tokens. So many tokens may be, the most frequent ones.
 FREQUENT, MOST_FREQUENT = 64, 1 << 20
@@ -258,7 +258,8 @@ def similar_sets(docs: DataFrame, n: int = 3, percent: int = 90, keep: list[str]
         return work
 
     routed = text_rows(texts, "node long, size long, keys array<long>, late array<long>", routing, [])
-    nodes = cut_lineage(routed.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "keys", "late")]))
+    passing = scratch_folder(spark)  # until the families are known
+    nodes = cut_lineage(routed.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "keys", "late")]), passing)
     # of equal sets, the texts with the smallest id give theirs
     givers = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("giver"))
     givers = cut_lineage(givers.join(nodes.select("node", "size"), "node"))
@@ -299,34 +300,37 @@ def similar_sets(docs: DataFrame, n: int = 3, percent: int = 90, keep: list[str]
     exploded = lambda c, late: nodes.select("node", F.posexplode(c).alias("place", "key"), F.lit(late).alias("late"))
     spread = exploded("keys", False).unionByName(exploded("late", True))
     found = spread.groupBy("key", "late").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members"))
-    several = cut_lineage(found.filter("n > 1"))
-    routes = cut_lineage(spread.select("node", "key", "place").join(several, "key"))
+    several = cut_lineage(found.filter("n > 1"), passing)
+    routes = cut_lineage(spread.select("node", "key", "place").join(several, "key"), passing)
     coarse = sized(components(routes.select(F.col("node").alias("a"), F.col("least").alias("b"))).withColumnRenamed("label", "family"))
     links = cut_lineage(_trees(whole(coarse.filter("NOT large").select("m_node", "giver", "family"), "tokens"), "family", percent, True))
     wide = coarse.filter("large")
     if wide.limit(1).count():
         # larger ones are divided by the trees of their tokens: first of each set's first tokens; then of those whose
         # sets are not yet together, as others connect nothing new. Trees with the same members are one
-        own = cut_lineage(routes.join(wide.select(F.col("m_node").alias("node"), "giver"), "node"))
+        own = cut_lineage(routes.join(wide.select(F.col("m_node").alias("node"), "giver"), "node"), passing)
         star = F.col("late") | (F.col("n") > TREE_SETS)
         rare = own.filter(~star)
 
         def grow(keys: DataFrame) -> DataFrame:
             once = keys.groupBy("n", "least", "members").agg(F.min("key").alias("key")).select("key")
-            trees = cut_lineage(keys.join(cut_lineage(once), "key").select("key", "node"))
+            trees = cut_lineage(keys.join(cut_lineage(once, passing), "key").select("key", "node"), passing)
             bits = whole(trees.select("node").distinct().join(givers, "node").select(F.col("node").alias("m_node"), "giver"), "bits")
-            return cut_lineage(_trees(trees.join(bits, "node"), "key", percent, False))
+            return cut_lineage(_trees(trees.join(bits, "node"), "key", percent, False), passing)
 
         candidates = grow(rare.filter(F.col("place") < FIRST_TOKENS)).unionByName(own.filter(star).select(F.col("node").alias("a"), F.col("least").alias("b")))
         together = components(candidates).withColumnRenamed("node", "t_node")
         label = F.coalesce("label", "node")
         apart_ = rare.join(together, F.col("node") == F.col("t_node"), "left").groupBy("key").agg(F.min(label).alias("low"), F.max(label).alias("high")).filter("low <> high").select("key")
-        candidates = candidates.unionByName(grow(rare.join(cut_lineage(apart_), "key").select(*rare.columns)))
+        candidates = candidates.unionByName(grow(rare.join(cut_lineage(apart_, passing), "key").select(*rare.columns)))
         fine = sized(components(candidates).withColumnRenamed("label", "family"))
+        drop_folder(spark, passing)
         links = links.unionByName(cut_lineage(_trees(whole(fine.filter("NOT large").select("m_node", "giver", "family"), "tokens"), "family", percent, True)))
         large = fine.filter("large").drop("large")
         if large.limit(1).count():
             links = links.unionByName(large_families(large, whole, percent))
+    else:
+        drop_folder(spark, passing)
     labels = components(links)
 
     known = rows.join(labels, "node", "left").withColumn("class", F.coalesce("label", "node"))
