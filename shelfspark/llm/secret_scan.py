@@ -22,7 +22,7 @@ KINDS = ("assign", "access", "hex", "linked")
 #: The parts of a credential: who, where, and a value that alone would be too weak to report.
 IDENTIFIER = re.compile(r"""\b(?:access_?key(?:_?id)?|client_?id|account|user(?:_?name)?|login|app_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@+_.-]{3,})""", re.ASCII | re.IGNORECASE)
 ENDPOINT = re.compile(r"""\b(?:[a-z][a-z0-9+.-]{1,20}://[^\s"'<>]+|(?:endpoint|host(?:name)?|server|base_?url|region)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.:/-]{3,})""", re.ASCII | re.IGNORECASE)
-WEAK = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,128}={0,2}(?![A-Za-z0-9+/_=-])", re.ASCII)
+WEAK = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])", re.ASCII)
 #: Bits a character that a weak candidate must have, and code points between the parts of one credential.
 LEAST_ENTROPY, SCOPE = 3.0, 400
 
@@ -49,21 +49,17 @@ def _weak(value: str) -> bool:
 
 
 class Parts:
-    """Spans of one kind of part, sorted, for the question whether one lies in an interval."""
+    """Spans of one kind of part, sorted, for the question whether one lies near an interval."""
 
     def __init__(self, spans: list[tuple[int, int]]):
         self.spans = sorted(spans)
         self.starts = [s for s, _ in self.spans]
+        self.ends = sorted(e for _, e in self.spans)
 
     def near(self, start: int, end: int, scope: int) -> bool:
-        """Whether a part that does not overlap start:end begins within ``scope`` of it."""
-        for i in range(bisect.bisect_left(self.starts, start - scope), len(self.spans)):
-            s, e = self.spans[i]
-            if s > end + scope:
-                return False
-            if e <= start or s >= end:
-                return True
-        return False
+        """Whether a part ends within ``scope`` before start:end or begins within ``scope`` after it."""
+        i, k = bisect.bisect_left(self.ends, start - scope), bisect.bisect_left(self.starts, end)
+        return (i < len(self.ends) and self.ends[i] <= start) or (k < len(self.starts) and self.starts[k] <= end + scope)
 
 
 def linked_spans(text: str, base: list[Span], scope: int = SCOPE) -> list[Span]:
@@ -109,8 +105,8 @@ def secret_spans(docs: DataFrame, keep: list[str] | None = None, scope: int = SC
     n_linked, base_sha256 (of the base spans), spans (all spans as
     kind:start:end by start, then kind; code points, end exclusive). Kind
     ``linked`` holds values that alone are too weak to report, found where an
-    identifier and an endpoint lie within ``scope`` code points: an interval
-    join of the three kinds of part, swept by start in each text. Scopes never
+    identifier and an endpoint lie within ``scope`` code points, from end to
+    start: an interval join of the three kinds of part, swept by start in each text. Scopes never
     leave a text, so rows stay in their task. A null text is an empty one and
     has no spans. Repeated rows get the same result each; an empty table gives
     an empty one.

@@ -120,6 +120,20 @@ def test_secrets(spark):
     assert r["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
 
 
+def test_secrets_that_are_long_or_after_long_parts(spark):
+    from shelfspark.llm import secret_scan as op
+
+    values = ["Zx81kd0Qm3TtR7vb" * 8, "Zx81kd0Qm3TtR7vb" * 8 + "a", "Zx81kd0Qm3TtR7vb" * 32 + "=="]
+    texts = [f"user: bob\nendpoint: https://db.example.net/x\nkey {v} end" for v in values]
+    url = "https://db.example.net/" + "p.q/" * 150
+    texts += [f"{url} user: bob key Zx81kd0Qm3TtR7vbN2sW", f"{url}{' ' * 500}user: bob key Zx81kd0Qm3TtR7vbN2sW"]
+    got = {r["doc_id"]: r for r in op.secret_spans(docs_of(spark, texts)).collect()}
+    for i, v in enumerate(values):
+        at = texts[i].index(v)
+        assert got[i]["spans"] == f"linked:{at}:{at + len(v)}"
+    assert got[3]["n_linked"] == 1 and got[4]["n_linked"] == 0
+
+
 def test_shards(spark):
     from shelfspark.llm.sharding import balanced_shards
 
