@@ -85,8 +85,8 @@ class WuManber:
         return start[sure], pattern[sure] if sure else pattern
 
 
-def compiled(items: list[tuple[str, str | None]], window: int = WINDOW) -> list[WuManber]:
-    """Search tables for the windows of (item id, text) pairs, one for each length of window."""
+def compiled(items: list[tuple[str | None, str | None]], window: int = WINDOW) -> list[WuManber]:
+    """Search tables for the windows of (item id, text) pairs, one for each length of window. A null id is not listed."""
     w = Words(pa.array([t for _, t in items], pa.string()), ALNUM, True)
     by_length: dict[int, dict[tuple[bytes, ...], list]] = {}
     for i, (item, _) in enumerate(items):
@@ -95,7 +95,8 @@ def compiled(items: list[tuple[str, str | None]], window: int = WINDOW) -> list[
         for s in range(lo, hi - k + 1) if k else ():
             key = tuple(w.data[w.start[j] : w.end[j]].tobytes() for j in range(s, s + k))
             entry = by_length.setdefault(k, {}).setdefault(key, [w.hash[s : s + k], set()])
-            entry[1].add(item)
+            if item is not None:
+                entry[1].add(item)
     return [WuManber(np.array([h for h, _ in found.values()], np.uint64), [list(k) for k in found], [sorted(ids) for _, ids in found.values()]) for _, found in sorted(by_length.items())]
 
 
@@ -120,7 +121,8 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None
     with an occurring window, as sorted strings), contaminated. A window is
     ``window`` consecutive words of an item, or all words of a shorter item.
     Null and empty texts have no words; so have items without text, which are
-    never found. Repeated rows and items get the same result each. An empty
+    never found. Items with text but a null id count in n_hit and contaminated,
+    and are left out of n_items and items. Repeated rows and items get the same result each. An empty
     benchmark finds nothing; empty documents give an empty result. Items are sent to the tasks in
     blocks of about ``block_bytes``; with more than one block, the
     documents are searched once for each, with hits so far in two columns.
@@ -131,7 +133,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None
     names = list(docs.columns if keep is None else keep)
     state = docs.select(*[docs[c] for c in names], docs["text"].alias("_body"), F.lit(None).cast("binary").alias("_hit"), F.lit(None).cast("array<string>").alias("_found"))
     for b in range(blocks):
-        rows = [(r["item"], r["text"]) for r in parts.filter(F.col("block") == b).select("item", "text").collect() if r["item"] is not None]  # block_bytes
+        rows = [(r["item"], r["text"]) for r in parts.filter(F.col("block") == b).select("item", "text").collect()]  # block_bytes
         shared, last = docs.sparkSession.sparkContext.broadcast(rows), b == blocks - 1
 
         def make(shared=shared, last=last):

@@ -202,6 +202,16 @@ def test_benchmark_hits(spark, block_bytes):
         assert (r["n_words"], r["n_hit"], r["items"]) == brute_hits(texts[r["doc_id"]], items)
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 20, 10])
+def test_benchmark_hits_of_items_without_id(spark, block_bytes):
+    from shelfspark.llm.decontamination import benchmark_hits
+
+    items = spark.createDataFrame([(None, "leaked words here"), (7, "other words"), (None, None)], "item_id long, text string")
+    docs = docs_of(spark, ["the leaked words here", "some other words here", "leaked words here and other words", "clean"])
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["items"], r["contaminated"]) for r in benchmark_hits(docs, items, block_bytes=block_bytes).collect()}
+    assert got == {0: (3, 0, [], True), 1: (2, 1, ["7"], True), 2: (5, 1, ["7"], True), 3: (0, 0, [], False)}
+
+
 def test_token_counts():
     import public_tokenizers
     from tokenizers import Tokenizer
