@@ -23,12 +23,15 @@ LEAST_PAGES = 4
 #: Bytes of the style table (16 for a row) that are broadcast; a larger one is joined by host.
 BROADCAST_BYTES = 32 << 20
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg|xmp|title|math|object|canvas)\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.DOTALL | re.IGNORECASE)
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|xmp|title|object|canvas)\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.DOTALL | re.IGNORECASE)
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][\w:.-]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
 #: An opening tag of the first kind ends an open element of the second kind.
 ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}} | {t: {"p"} for t in BLOCKS - {"p", "li", "dt", "dd", "tr", "td", "th", "option", "html", "body", "head"}}
+#: Their own text is not read; an opening HTML tag of the second set ends them, as an unclosed <svg> does not hold the rest of a page.
+UNREAD = frozenset("svg annotation annotation-xml".split())
+BREAKOUT = (BLOCKS - {"title", "head", "html"}) | frozenset("b big br code em embed i img listing meta nobr ruby s small span strike strong sub sup tt u var".split())
 SCOPES = frozenset("table ul ol dl select div section article main".split())
 #: Presentation: roles of branches that are not an article's text.
 ASIDE_TAGS = frozenset("nav footer aside form button select dialog menu head search input label fieldset".split())
@@ -64,43 +67,53 @@ def _role(tag: str, attributes: str, inside: bool) -> tuple[bool, bool, str]:
 
 
 def blocks_of(page: str) -> Iterator[Block]:
-    """The blocks of text of a page, in order. Open elements are a stack; a stray closing tag is left out."""
-    # an element: tag, aside, article, main, link, path
-    stack: list[tuple[str, bool, bool, bool, bool, int]] = [("", False, False, False, False, 0)]
-    parts: list[str] = []
-    linked = 0
+    """The blocks of text of a page, in order. Open elements are a stack; a stray closing tag is left out.
+
+    Each piece of a run of text keeps the flags of the element in which it is
+    read; those of an inline aside are a block of their own, with its own path.
+    """
+    # an element: tag, aside, article, main, link, path, unread
+    stack: list[tuple[str, bool, bool, bool, bool, int, bool]] = [("", False, False, False, False, 0, False)]
+    parts: list[tuple[str, tuple]] = []
 
     def flush():
-        nonlocal linked
-        if parts:
-            text = " ".join(html_entities.unescape("".join(parts)).split())
-            n, linked = linked, 0
-            parts.clear()
+        runs: dict[tuple[bool, int], list[tuple[str, tuple]]] = {}
+        kept = None
+        for piece, top in parts:
+            run = runs.setdefault((top[1], top[5]), [])
+            run.append((piece, top))
+            if not top[1]:
+                kept = run
+            elif kept is not None:
+                kept.append((" ", top))
+        parts.clear()
+        for (aside, path), run in runs.items():
+            text = " ".join(html_entities.unescape("".join(piece for piece, _ in run)).split())
             if text:
-                top = stack[-1]
-                return Block(text, top[5], top[2], top[3], top[1], n)
-        return None
+                read = [(piece, top) for piece, top in run if not piece.isspace()]
+                yield Block(text, path, read[0][1][2], all(top[3] for _, top in read), aside, sum(len(piece.strip()) for piece, top in read if top[4]))
 
     def end(index: int):
         del stack[index:]
 
     at = 0
     for m in TOKEN.finditer(page):
-        if m.start() > at:
-            piece = page[at : m.start()]
-            parts.append(piece)
-            if stack[-1][4]:
-                linked += len(piece.strip())
+        if m.start() > at and not stack[-1][6]:
+            parts.append((page[at : m.start()], stack[-1]))
         at = m.end()
         tag = m[3]
         if tag is None:
             continue
         tag = tag.lower()
+        if not m[2] and stack[-1][6] and tag in BREAKOUT:
+            for i in range(len(stack) - 1, 0, -1):
+                if not stack[i - 1][6]:
+                    end(i)
+                    break
         if tag in BLOCKS:
-            if block := flush():
-                yield block
+            yield from flush()
         elif tag == "br":
-            parts.append(" ")
+            parts.append((" ", stack[-1]))
         if m[2]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == tag:
@@ -122,12 +135,12 @@ def blocks_of(page: str) -> Iterator[Block]:
             continue
         top = stack[-1]
         aside, main, style = _role(tag, m[4], top[2])
-        path = paths(top[5], style) if tag in BLOCKS else top[5]
+        path = paths(top[5], style) if tag in BLOCKS or (aside and not top[1]) else top[5]
         article = top[2] or tag == "article"
-        stack.append((tag, top[1] or aside, article, top[3] or main or tag == "main", top[4] or tag == "a", path))
-    parts.append(page[at:])
-    if block := flush():
-        yield block
+        stack.append((tag, top[1] or aside, article, top[3] or main or tag == "main", top[4] or tag == "a", path, top[6] or tag in UNREAD))
+    if not stack[-1][6]:
+        parts.append((page[at:], stack[-1]))
+    yield from flush()
 
 
 @functools.lru_cache(1 << 14)

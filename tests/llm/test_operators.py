@@ -176,6 +176,24 @@ def test_pages(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in got.values())
 
 
+@pytest.mark.parametrize(
+    ("body", "text"),
+    [
+        ('<p>One <svg class="i"/> two</p><p>three</p>', "One two\nthree"),
+        ("<p>One <svg><title>t</title><text>icon</text></svg> two</p><p>three</p>", "One two\nthree"),
+        ("<p>One <svg><path d=x> two</p><p>three</p>", "One\nthree"),
+        ("<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x = 1</annotation></math> hold</p>", "Let x=1 hold"),
+        ("<p>One <span class=share>no</p><p>two</p>", "One\ntwo"),
+        ("<div>One <a class=related>no<div>no</div></a> two</div>", "One\ntwo"),
+        ("<p>One <button>Share</button> two</p>", "One two"),
+    ],
+)
+def test_pages_keep_text_around_inline_elements(body, text):
+    from shelfspark.llm import html_extraction as op
+
+    assert op.main_text(f"<body><nav>n</nav><article>{body}</article><footer>f</footer></body>") == text
+
+
 def brute_hits(text, items, window=10):
     split = lambda t: [x.lower() for x in re.findall(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (t or "").encode())]
     words, hit, ids = split(text), set(), set()
