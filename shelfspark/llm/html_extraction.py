@@ -163,10 +163,11 @@ def style_nodes(pages: DataFrame) -> DataFrame:
     Equal pages of a host count once. A node's content importance is the entropy
     of its texts over the pages that have it (1: all differ, 0: always the same;
     1 if too few pages have it); its presentation importance is 0 for branches
-    whose role is not an article's text, and falls with the share of link text.
-    The importance is the product. Nodes inside an article keep their content
-    whatever its entropy, as articles may be published more than once. Rows with
-    a null host are one site.
+    whose role is not an article's text, and falls with the shares of such
+    pieces and of link text. The importance is the product. Inside articles,
+    those of a host with the same longest block count once, as articles may be
+    published more than once, also with changes; links there take nothing, as
+    they may be a title or references. Rows with a null host are one site.
     """
     hosts = pages.select(F.regexp_extract(F.lower(F.coalesce(F.col("url"), F.lit(""))), HOST, 1).alias("host"), "html")
     once = hosts.withColumn("page", F.xxhash64("html"))
@@ -178,37 +179,40 @@ def style_nodes(pages: DataFrame) -> DataFrame:
             host, page = batch.column("host").to_pylist(), batch.column("page").to_pylist()
             rows = {}
             for h, p, body in zip(host, page, batch.column("_text").to_pylist(), strict=True):
-                for b in blocks_of(body or ""):
-                    key = (h, b.path, p, 0 if b.article else hash_text(b.text))
-                    old = rows.get(key, (0, 0))
-                    rows[key] = (old[0] + len(b.text), old[1] + b.linked, b.aside, b.article)
+                blocks = list(blocks_of(body or ""))
+                longest = hash_text(max((b.text for b in blocks if b.article and not b.aside), key=len, default=""))
+                for b in blocks:
+                    key = (h, b.path, longest if b.article else p, hash_text(b.text))
+                    old = rows.get(key, (0, 0, 0))
+                    rows[key] = (old[0] + len(b.text), old[1] + b.linked, old[2] + b.aside * len(b.text), b.article)
             if rows:
                 k, v = list(zip(*rows, strict=True)), list(zip(*rows.values(), strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(k[0]), pa.array(k[1], pa.int64()), pa.array(k[2], pa.int64()), pa.array(k[3], pa.int64()), pa.array(v[0], pa.int64()), pa.array(v[1], pa.int64()), pa.array(v[2]), pa.array(v[3])], ["host", "path", "page", "content", "chars", "linked", "aside", "article"])
+                yield pa.RecordBatch.from_arrays([pa.array(k[0]), pa.array(k[1], pa.int64()), pa.array(k[2], pa.int64()), pa.array(k[3], pa.int64()), pa.array(v[0], pa.int64()), pa.array(v[1], pa.int64()), pa.array(v[2], pa.int64()), pa.array(v[3])], ["host", "path", "page", "content", "chars", "linked", "aside", "article"])
 
         return work
 
-    found = text_rows(once, "host string, path long, page long, content long, chars long, linked long, aside boolean, article boolean", make, ["host", "page"], "html")
+    found = text_rows(once, "host string, path long, page long, content long, chars long, linked long, aside long, article boolean", make, ["host", "page"], "html")
     # two steps, so that neither a large host nor a common text is one group
     distinct = found.groupBy("host", "path", "page", "content").agg(F.max("chars").alias("chars"), F.max("linked").alias("linked"), F.max("aside").alias("aside"), F.max("article").alias("article"))
-    texts = distinct.groupBy("host", "path", "content").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.max("aside").alias("aside"), F.max("article").alias("article"))
+    texts = distinct.groupBy("host", "path", "content").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.sum("aside").alias("aside"), F.max("article").alias("article"))
     n = F.col("n").cast("double")
-    nodes = texts.groupBy("host", "path").agg(F.sum("n").alias("n"), F.sum(n * F.log(n)).alias("nlogn"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.max("aside").alias("aside"), F.max("article").alias("article"))
+    nodes = texts.groupBy("host", "path").agg(F.sum("n").alias("n"), F.sum(n * F.log(n)).alias("nlogn"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.sum("aside").alias("aside"), F.max("article").alias("article"))
     total = F.col("n").cast("double")
-    entropy = F.when(F.col("article") | (F.col("n") < LEAST_PAGES), 1.0).otherwise((F.log(total) - F.col("nlogn") / total) / F.log(total))
+    entropy = F.when(F.col("n") < LEAST_PAGES, 1.0).otherwise((F.log(total) - F.col("nlogn") / total) / F.log(total))
     links = F.when(F.col("article"), 0.0).otherwise(F.least(F.col("linked") / F.greatest("chars", F.lit(1)), F.lit(1.0)))
-    return nodes.select("host", "path", (F.when(F.col("aside"), 0.0).otherwise(1.0) * (1 - links) * entropy).alias("importance"))
+    asides = F.least(F.col("aside") / F.greatest("chars", F.lit(1)), F.lit(1.0))
+    return nodes.select("host", "path", ((1 - asides) * (1 - links) * entropy).alias("importance"))
 
 
 def main_text(page: str, low: frozenset[int] | set[int] = frozenset()) -> str:
     """The blocks of a page that stay, joined by line ends: those of its articles if it has any, else of its main
-    containers, else all; less branches whose role is not an article's text and, outside articles, those in ``low``."""
+    containers, else all; less branches whose role is not an article's text and those in ``low``."""
     blocks = [b for b in blocks_of(page) if not b.aside]
     for inside in ("article", "main"):
         if any(getattr(b, inside) for b in blocks):
             blocks = [b for b in blocks if getattr(b, inside)]
             break
-    return "\n".join(b.text for b in blocks if b.article or b.path not in low)
+    return "\n".join(b.text for b in blocks if b.path not in low)
 
 
 def extracted_pages(pages: DataFrame, keep: list[str] | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:

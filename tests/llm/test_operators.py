@@ -194,6 +194,19 @@ def test_pages_keep_text_around_inline_elements(body, text):
     assert op.main_text(f"<body><nav>n</nav><article>{body}</article><footer>f</footer></body>") == text
 
 
+def test_pages_judge_branches_inside_articles(spark):
+    from shelfspark.llm import html_extraction as op
+
+    article = "<article><h1>Title {i}</h1><p>A longer paragraph about thing {i}.</p><div class=readon>Read on in our app</div></article>"
+    rows = [(i, f"http://h.org/{i}", article.replace("{i}", str(i))) for i in range(6)]
+    rows += [(10 + i, f"http://copies.org/{i}", f"<p>{i}</p>" + article.replace("{i}", "same")) for i in range(6)]
+    rows += [(20 + i, f"http://near.org/{i}", f"<article><h1>Title</h1><p>A longer paragraph about one thing.</p><div class=end>Last {i}</div></article>") for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in op.extracted_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Title {i}\nA longer paragraph about thing {i}." for i in range(6))
+    assert all(got[10 + i] == "Title same\nA longer paragraph about thing same.\nRead on in our app" for i in range(6))
+    assert all(got[20 + i] == f"Title\nA longer paragraph about one thing.\nLast {i}" for i in range(6))
+
+
 def brute_hits(text, items, window=10):
     split = lambda t: [x.lower() for x in re.findall(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (t or "").encode())]
     words, hit, ids = split(text), set(), set()
