@@ -182,7 +182,7 @@ def r11(spark, d):
     tokens = R.token_weights(R.item_tokens(attrs), attrs.count())
     model, losses = R.fit_pairwise(train, tokens, counts.select("item_id"), epochs=3)
     v = R.model_vectors(model, spark)
-    recs = R.embedding_recs(R.embedding_profile(train, v), v, train, K)
+    recs = R.embedding_recs(R.model_profiles(train, v), v, train, K)
     found = R.rank_eval(recs, test, counts, K)
     return found.unionByName(spark.createDataFrame([(f"loss_{i}", x) for i, x in enumerate(losses)], "metric string, value double"))
 

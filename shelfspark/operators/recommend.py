@@ -299,8 +299,17 @@ def fit_pairwise(train: DataFrame, tokens: DataFrame, universe: DataFrame, dim:
 
 
 def model_vectors(model: PairwiseModel, spark) -> DataFrame:
-    """The model's item vectors, for embedding_profile and embedding_recs."""
-    return spark.createDataFrame(pd.DataFrame({"item_id": model.items, "embedding": list(model.matrix())}), "item_id long, embedding array<double>")
+    """The model's item vectors, with the bias as one more component, for model_profiles and embedding_recs."""
+    rows = np.column_stack([model.matrix(), model.bias]).tolist()
+    return spark.createDataFrame(list(zip(model.items.tolist(), rows, strict=True)), "item_id long, embedding array<double>")
+
+
+def model_profiles(train: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Each user's mean vector of bought items, as in fit_pairwise, with 1 for the bias: the dot product with an item is the model's score."""
+    bought = train.select("user_id", "item_id").distinct()
+    rows = bought.join(vectors.select("item_id", F.posexplode("embedding").alias("pos", "x"), (F.size("embedding") - 1).alias("bias")), "item_id")
+    means = rows.groupBy("user_id", "pos").agg(F.when(F.col("pos") == F.first("bias"), 1.0).otherwise(F.avg("x")).alias("x"))
+    return means.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("profile"))
 
 
 def rank_eval(recs: DataFrame, truth: DataFrame, counts: DataFrame, k: int) -> DataFrame:

@@ -58,6 +58,21 @@ def test_pairwise_loss_falls_and_new_items_have_no_own_part(spark):
     assert not model.trained[6:].any()
 
 
+def test_pairwise_ranking_is_by_the_whole_score(spark):
+    import numpy as np
+
+    from shelfspark.operators import recommend as R
+
+    model = R.PairwiseModel(np.arange(6), [(np.zeros(0, np.int64), np.zeros(0))] * 6, 1, 4, 0)
+    model.trained[:], model.bias = True, np.array([0, 0, 0, 5, 1, 9.0])
+    train = spark.createDataFrame([(7, 0), (7, 1), (7, 1), (8, 2)], "user_id long, item_id long")
+    v = R.model_vectors(model, spark)
+    got = {(r["user_id"], r["item_id"]): r["score"] for r in R.embedding_recs(R.model_profiles(train, v), v, train, 2).collect()}
+    m = model.matrix()
+    want = {(u, i): float(m[own].mean(axis=0) @ m[i] + model.bias[i]) for u, own in ((7, [0, 1]), (8, [2])) for i in (3, 5)}
+    assert got == pytest.approx(want)
+
+
 def test_early_stop():
     from shelfspark.operators.recommend import early_stop
 
