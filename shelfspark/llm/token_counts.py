@@ -16,7 +16,7 @@ from shelfspark.session import table
 
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
-#: Code points in a chunk of the prefix scan; words whose counts a task remembers; longest word that is merged in step with others.
+#: Code points in a chunk; words whose counts a task remembers; longest word that is merged in step with others.
 CHUNK, REMEMBERED, TOGETHER = 1 << 20, 1 << 20, 40
 #: White space as Unicode's White_Space has it.
 WHITE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
@@ -201,7 +201,7 @@ class Transducer:
         return start & (kind != SPACE)
 
     def counted(self, texts: list[str | None]) -> np.ndarray:
-        """Tokens of each text: chunks' maps, composed by a prefix scan over the chunks."""
+        """Tokens of each text: the sum over its chunks, which are cut at white space, so that no state passes between them."""
         pieces, owner, out = [], [], np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
             body, special = self.normalised(text or "")
