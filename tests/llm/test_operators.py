@@ -99,13 +99,39 @@ def test_ngram_join(spark, monkeypatch, small):
 
 
 def test_signature_tree_prunes_no_link():
-    from shelfspark.llm.signature_tree import bitmap, joined
+    from shelfspark.llm.signature_tree import exact_links
 
     rng = np.random.default_rng(5)
-    sets = [np.unique(rng.integers(0, 2**63, 50, dtype=np.uint64)) for _ in range(60)]
-    sets += [np.sort(np.concatenate([s[2:], rng.integers(0, 2**63, 2, dtype=np.uint64)])) for s in sets[:20]]
-    links = joined(np.array([len(s) for s in sets]), [bitmap(s) for s in sets], 90, lambda i, j: len(np.intersect1d(sets[i], sets[j])) * 1.9 >= 0.9 * (len(sets[i]) + len(sets[j])))
-    assert {tuple(sorted(x)) for x in links} == {(i, 60 + i) for i in range(20)}
+    sets = [np.unique(rng.integers(0, 2**63, 155, dtype=np.uint64)) for _ in range(2000)]
+    sets += [np.sort(np.concatenate([s[2:], rng.integers(0, 2**63, 2, dtype=np.uint64)])) for s in sets[:200]]
+    a, b, tree = exact_links(sets, 90)
+    assert {tuple(sorted(x)) for x in zip(a.tolist(), b.tolist(), strict=True)} == {(i, 2000 + i) for i in range(200)}
+    assert tree.pruned > 0.9 * tree.tested
+
+
+def test_possible_links_lose_no_link():
+    from shelfspark.llm.signature_tree import bitmaps, exact_links, forests, similarity_codes
+
+    rng = np.random.default_rng(6)
+    base = [np.unique(rng.integers(0, 2**63, int(n), dtype=np.uint64)) for n in rng.integers(1, 300, 40)]
+    sets = [np.unique(np.concatenate([b[rng.random(len(b)) > 0.06], b[:1]])) for b in base for _ in range(rng.integers(1, 30))]
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    flat = np.concatenate(sets)
+    group = np.sort(rng.integers(0, 3, len(sets)))
+    a, b = forests(group, np.diff(bounds), *bitmaps(flat, bounds), similarity_codes(flat, bounds), 80)
+    assert (group[a] == group[b]).all()
+    label = np.arange(len(sets))
+    for i, j in sorted(zip(np.maximum(a, b).tolist(), np.minimum(a, b).tolist(), strict=True)):
+        label[label == label[i]] = label[j]
+    for g in range(3):
+        rows = np.flatnonzero(group == g)
+        x, y, _ = exact_links([sets[i] for i in rows], 80)
+        assert (label[rows[x]] == label[rows[y]]).all()
+        # every similar pair is joined
+        x, y = np.triu_indices(len(rows), 1)
+        for i, j in zip(rows[x].tolist(), rows[y].tolist(), strict=True):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            assert 100 * both < 80 * (len(sets[i]) + len(sets[j]) - both) or label[i] == label[j]
 
 
 def test_secrets(spark):
