@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.llm.arrow_rows import text_rows, with_text_columns
-
 from shelfspark.session import table
 
 #: Length of the vectors, letters of an n-gram (three), and the seed of the letters' vectors.
 DIMENSIONS, SEED = 1024, 17
 #: Symbols: 0 for what is between words, 1 to 26 for a to z, the rest shared by all other letters.
-SYMBOLS = 64
+SYMBOLS = 256
 #: Code points of a long text that are looked at together; n-gram vectors that are made together.
 PIECE, BLOCK = 1 << 20, 2048
 
@@ -46,27 +47,36 @@ class Profiles:
         return self.turned[0][first] * self.turned[1][second] * self.turned[2][third]
 
     def grams(self, text: str) -> np.ndarray:
-        """Codes of the three-letter runs, with one gap symbol around each word; empty without letters."""
-        points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
-        s = self.symbols[points].astype(np.int32)
-        gap = s == 0
-        keep = ~gap
-        keep[1:] |= ~gap[:-1]
-        s = s[keep]
-        if not s.any():
-            return np.zeros(0, np.int32)
-        s = np.concatenate([[0], s, [0]]) if s[-1] else np.concatenate([[0], s])
+        """Codes of the three-letter runs, with one gap symbol around each word; empty without letters.
+
+        A long text is read in pieces; the last two symbols of one go before the next.
+        """
+        found, before, lettered = [], np.zeros(1, np.int32), False
+        for at in range(0, len(text), PIECE):
+            points = np.frombuffer(text[at : at + PIECE].replace("Σ", "σ").lower().encode("utf-32-le", "replace"), np.uint32)
+            s = np.concatenate([before, self.symbols[points].astype(np.int32)])
+            keep = s != 0
+            keep[0] = True
+            keep[1:] |= s[:-1] != 0
+            s = s[keep]
+            lettered = lettered or bool(s.any())
+            found.append(self._runs(s))
+            before = s[-2:]
+        found.append(self._runs(np.append(before, 0)) if before[-1] else np.zeros(0, np.int32))
+        return np.concatenate(found) if lettered else np.zeros(0, np.int32)
+
+    @staticmethod
+    def _runs(s: np.ndarray) -> np.ndarray:
         return s[:-2] * SYMBOLS**2 + s[1:-1] * SYMBOLS + s[2:] if len(s) > 2 else np.zeros(0, np.int32)
 
     def counts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, code, count) of the n-grams of each text."""
         rows, codes, numbers = [], [], []
         for i, text in enumerate(texts):
-            for at in range(0, len(text or ""), PIECE):
-                found, n = np.unique(self.grams(text[at : at + PIECE]), return_counts=True)
-                rows.append(np.full(len(found), i))
-                codes.append(found)
-                numbers.append(n)
+            found, n = np.unique(self.grams(text or ""), return_counts=True)
+            rows.append(np.full(len(found), i))
+            codes.append(found)
+            numbers.append(n)
         if not rows:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         return np.concatenate(rows), np.concatenate(codes), np.concatenate(numbers)
@@ -84,6 +94,12 @@ class Profiles:
         return out
 
 
+@functools.lru_cache(1)
+def profiles_of(dimensions: int) -> Profiles:
+    """Made once in a Python process."""
+    return Profiles(dimensions)
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
@@ -99,7 +115,7 @@ def fit_prototypes(docs: DataFrame, dimensions: int = DIMENSIONS) -> tuple[list[
     """
 
     def make():
-        profiles, total = Profiles(dimensions), {}
+        profiles, total = profiles_of(dimensions), {}
 
         def work(batch):
             if batch is None:
@@ -135,13 +151,14 @@ def predicted_languages(docs: DataFrame, langs: list[str], prototypes: np.ndarra
     Columns: ``keep`` of ``docs`` (all by default), then the two. A text that is
     null or has no letter is ``und`` with score 0; so is every text if nothing
     was learned. Ties go to the first language by name. A negative cosine counts
-    as 0. Whole texts are used, long ones piece by piece. Repeated rows get the
+    as 0. Whole texts are used; a long one is read in pieces without losing the
+    n-grams between them. Columns named like the new ones go. Repeated rows get the
     same result each; an empty table gives an empty one.
     """
     dimensions = prototypes.shape[1] if len(langs) else DIMENSIONS
 
     def make():
-        profiles = Profiles(dimensions)
+        profiles = profiles_of(dimensions)
         goal = prototypes.T.astype(np.float32)
 
         def work(batch):

@@ -189,7 +189,10 @@ class Chain:
 
 
 def fit_chain(docs: DataFrame, labels: DataFrame, documents: int = FIT_DOCUMENTS, lines: int = FIT_LINES) -> Chain:
-    """Fit the chain on the lines of up to ``documents`` labelled documents, up to ``lines`` of each.
+    """Fit the chain on the lines of up to ``documents`` labelled documents, at most ``lines`` of each.
+
+    A document with more lines gives so many consecutive ones, from a place that
+    a hash of its id draws. Of rows with one doc_id, the least text counts.
 
     Every line first has its document's quality as label; after the fit, lines of
     good documents keep theirs, those of bad documents take the decoded label,
@@ -199,7 +202,9 @@ def fit_chain(docs: DataFrame, labels: DataFrame, documents: int = FIT_DOCUMENTS
     order = [F.xxhash64(F.lit(9), "doc_id"), F.col("doc_id")]
     known = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     some = known.orderBy(*order).limit(documents)
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id", "inner")
+    met = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id", "inner")
+    rows = met.groupBy("doc_id").agg(F.first("quality").alias("quality"), F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    rows = rows.withColumn("draw", F.xxhash64(F.lit(3), "doc_id"))
 
     def make():
         def work(batch):
@@ -207,14 +212,16 @@ def fit_chain(docs: DataFrame, labels: DataFrame, documents: int = FIT_DOCUMENTS
                 return
             got = Lines(batch.column("_text"))
             x, good = got.features(), batch.column("quality").to_numpy(zero_copy_only=False)
-            ids = batch.column("doc_id").to_pylist()
+            ids, draw = batch.column("doc_id").to_pylist(), batch.column("draw").to_pylist()
             for i in range(batch.num_rows):
-                part = x[got.bounds[i] : got.bounds[i + 1]][:lines]
+                lo, hi = int(got.bounds[i]), int(got.bounds[i + 1])
+                lo += draw[i] % max(1, hi - lo - lines + 1)
+                part = x[lo : min(hi, lo + lines)]
                 yield pa.RecordBatch.from_arrays([pa.array([ids[i]], pa.int64()), pa.array([int(good[i])], pa.int64()), pa.array([part.ravel().tolist()], pa.list_(pa.float64()))], ["doc_id", "quality", "x"])
 
         return work
 
-    sample = text_rows(rows, "doc_id long, quality long, x array<double>", make, ["doc_id", "quality"])
+    sample = text_rows(rows, "doc_id long, quality long, x array<double>", make, ["doc_id", "quality", "draw"])
     found = sorted(((r["doc_id"], r["quality"], r["x"]) for r in sample.collect()), key=lambda r: (r[0], r[2]))  # documents * lines at most
     if len({q for _, q, _ in found}) < 2:
         return Chain()
@@ -233,8 +240,9 @@ def scored_lines(docs: DataFrame, chain: Chain, keep: list[str] | None = None, s
     n_symbols, n_dup_lines, n_repeat_words, base_failed, content_share (of word
     characters, in lines that the chain marks as content), line_labels (bytes: 1
     for each content line, else 0), kept. Null and empty texts have one line
-    without words and fail the base rules. Repeated rows get the same result
-    each; an empty table gives an empty one.
+    without words and fail the base rules. Texts of any length are whole
+    chains. Ties between labels go to content. Repeated rows get the same result
+    each; an empty table gives an empty one. Columns named like the new ones go.
     """
 
     def make():
@@ -254,6 +262,11 @@ def scored_lines(docs: DataFrame, chain: Chain, keep: list[str] | None = None, s
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """scored_lines with a chain that is fitted on ``labels`` (doc_id, quality) of ``docs``.
+
+    Nulls, empty and long texts, ties, repeated rows, empty tables and clashing
+    names are as scored_lines and fit_chain say.
+    """
     return scored_lines(docs, fit_chain(docs, labels), keep)
 
 

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from shelfspark.llm.ranks import group_ranks, running_total
 from shelfspark.session import cut_lineage, table
 
-SHARDS, ROUNDS = 40, 4
+SHARDS, ROUNDS = 40, 6
+#: A text with more than one part in so many of all rows has its rows dealt apart from the others: fewer texts than this can.
+HOT_PARTS = 1000
 
 
 def lookup(values: list[int], at: Column) -> Column:
@@ -38,7 +40,9 @@ def balanced_shards(docs: DataFrame, n_shards: int = SHARDS, rounds: int = ROUND
 
     Rows with equal texts are linked. All rows get a shard at random, in counts
     that differ by one at most. Then, for some rounds, linked rows ask to move to
-    the shard in which most of their neighbours are. A move from a to b is
+    the shard in which most of their neighbours are, among those with room for
+    all of them if there are any; ties go to one by a hash that changes with the
+    round. A move from a to b is
     granted against one from b to a, or against rows without links that make
     room in b; so no shard ever has more linked rows than its quota. Rows
     without links fill what is left. The state is a count for each text and
@@ -48,23 +52,27 @@ def balanced_shards(docs: DataFrame, n_shards: int = SHARDS, rounds: int = ROUND
     rows differ by one at most), shard, slot (gapless from 0 in its shard) and
     grown_shard (null under this law). A null text counts as an empty one; empty
     texts are equal to each other. Repeated rows and null ids are rows like any
-    other. An empty table gives an empty result. Other columns are left out.
+    other. Texts of any length are one row. An empty table gives an empty result.
+    Other columns, whatever their names, are left out.
     """
     slim = cut_lineage(slim_documents(docs))
     total = slim.count()
     quotas = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
     keys = ["k1", "k2"]
     order = [F.xxhash64("doc_id", "k1"), F.col("doc_id"), F.col("k1"), F.col("size"), F.col("text_crc32")]
-    groups = slim.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
-    rows = slim.join(groups, keys, "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
-    linked = cut_lineage(group_ranks(rows.filter("copies > 1"), keys, order, F.col("copies"), "place"))
+    groups = cut_lineage(slim.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1"))
+    is_hot = F.col("copies") > total / HOT_PARTS
+    hot = F.broadcast(groups.filter(is_hot))  # HOT_PARTS at most
+    rows = slim.join(hot, keys, "left_anti").join(groups.filter(~is_hot), keys, "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
+    ranked = lambda df: group_ranks(df, keys, order, F.col("copies"), "place")
+    linked = cut_lineage(ranked(rows.filter("copies > 1")).unionByName(ranked(slim.join(hot, keys))))
     single = rows.filter("copies = 1").drop("copies")
 
     start = F.pmod(F.xxhash64(F.lit(11), "place", "k1", "k2"), F.lit(n_shards))
     cells = linked.groupBy(*keys, start.alias("shard")).agg(F.count(F.lit(1)).alias("n"))
     cells = cut_lineage(within_quota(cells, quotas))
-    for _ in range(rounds):
-        moved = propagate(cells, quotas)
+    for k in range(rounds):
+        moved = propagate(cells, quotas, k)
         if moved is None:
             break
         cells = cut_lineage(moved)
@@ -73,7 +81,10 @@ def balanced_shards(docs: DataFrame, n_shards: int = SHARDS, rounds: int = ROUND
     ranges = cells.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("shard", "n"))).alias("cells"))
     upto = F.transform("cells", lambda c, i: F.struct(c["shard"].alias("shard"), F.aggregate(F.slice("cells", 1, i + 1), F.lit(0).cast("long"), lambda t, x: t + x["n"]).alias("upto")))
     ranges = ranges.select(*keys, upto.alias("cells"))
-    placed = linked.join(ranges, keys, "inner").withColumn("shard", F.filter("cells", lambda c: c["upto"] > F.col("place"))[0]["shard"]).select(*slim.columns, "shard")
+    ranges = cut_lineage(ranges)
+    few = F.broadcast(ranges.join(hot, keys, "left_semi"))
+    placed = linked.filter(~is_hot).join(ranges, keys, "inner").unionByName(linked.filter(is_hot).join(few, keys, "inner"))
+    placed = placed.withColumn("shard", F.filter("cells", lambda c: c["upto"] > F.col("place"))[0]["shard"]).select(*slim.columns, "shard")
 
     taken = {r["shard"]: r["n"] for r in cells.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # a row a shard
     uppers, at = [], 0
@@ -113,24 +124,30 @@ def merged(cells: DataFrame) -> DataFrame:
     return cells.filter("n > 0").groupBy("k1", "k2", "shard").agg(F.sum("n").cast("long").alias("n"))
 
 
-def propagate(cells: DataFrame, quotas: list[int]) -> DataFrame | None:
-    """One round: each text's rows ask for the shard that has most of them; see balanced_shards. None: no row asks."""
+def propagate(cells: DataFrame, quotas: list[int], turn: int = 0) -> DataFrame | None:
+    """One round: each text's rows ask for one of its shards; see balanced_shards. None: no row asks, or none may move."""
     n_shards = len(quotas)
-    tie = F.xxhash64("k1", "k2", "shard")
-    best = cells.groupBy("k1", "k2").agg(F.max(F.struct("n", tie.alias("tie"), "shard")).alias("best")).select("k1", "k2", F.col("best.shard").alias("to"))
-    wishes = cells.join(best, ["k1", "k2"], "inner")
+    loads = {r["shard"]: r["n"] for r in cells.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # a row a shard
+    rooms = [q - loads.get(s, 0) for s, q in enumerate(quotas)]
+    copies = cells.groupBy("k1", "k2").agg(F.sum("n").alias("copies"))
+    fits = lookup(rooms, F.col("shard")) >= F.col("copies") - F.col("n")
+    tie = F.xxhash64(F.lit(turn), "k1", "k2", "shard")
+    best = cells.join(copies, ["k1", "k2"]).groupBy("k1", "k2").agg(F.max(F.struct(fits.alias("fits"), "n", tie.alias("tie"), "shard")).alias("best")).select("k1", "k2", F.col("best.shard").alias("to"))
+    wishes = cut_lineage(cells.join(best, ["k1", "k2"], "inner"))
     asked = wishes.filter("shard <> to").groupBy("shard", "to").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("cells")).collect()  # n_shards² rows at most
     if not asked:
         return None
-    loads = {r["shard"]: r["n"] for r in cells.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
     demand = {(r["shard"], r["to"]): r["n"] for r in asked}
     granted = {(a, b): min(n, demand.get((b, a), 0)) for (a, b), n in demand.items()}
     for b in range(n_shards):
         left = {a: demand[a, b] - granted[a, b] for a in range(n_shards) if (a, b) in demand}
-        room = min(quotas[b] - loads.get(b, 0), sum(left.values()))
-        for a, n in left.items():
-            share = room * n // max(1, sum(left.values()))
-            granted[a, b] += max(0, share)
+        room, all_ = min(rooms[b], sum(left.values())), max(1, sum(left.values()))
+        share = {a: room * n // all_ for a, n in left.items()}
+        over = room - sum(share.values())  # what rounding leaves, one row each in turn
+        for i, a in enumerate(sorted(left, key=lambda a: ((a + turn) % n_shards))):
+            granted[a, b] += share[a] + (i < over)
+    if not any(granted.values()):
+        return None
     flat = [granted.get((a, b), 0) for a in range(n_shards) for b in range(n_shards)]
     most = max([r["cells"] for r in asked], default=1)
     movers = running_total(wishes.filter("shard <> to"), ["shard", "to"], [F.xxhash64("k2", "k1"), F.col("k1"), F.col("k2")], F.lit(most), F.col("n"), "ahead")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.llm.arrow_rows import text_rows, with_text_columns
 from shelfspark.llm.text_batches import Words, byte_class, mixed, span_hashes
-from shelfspark.session import table
+from shelfspark.session import cut_lineage, table
 
 #: Labelled documents that the fit may see, by a hash of their id, and features that it keeps.
 FIT_DOCUMENTS, FEATURES = 12000, 2048
@@ -120,11 +120,16 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, documents: int = FIT_DOCU
     Spark counts the documents of either label that have a feature and keeps the
     ``features`` of largest chi-square; the driver then gets, for each of the
     documents, the kept ones that it has, and what a swap of its identity terms
-    changes. Without labels the model scores every text alike, as not toxic.
+    changes. Without documents of both labels the model scores every text alike,
+    as not toxic. Of rows with one doc_id, the least text counts; null texts are
+    empty ones. Ties in chi-square go to the smaller feature hash. Labels other
+    than 0 and 1, and those without a document, are left out.
     """
     known = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = known.orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id").limit(documents)
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id", "inner")
+    # one text for each id; the sample is written once, as it is read for the counts and for the fit
+    met = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id", "inner")
+    rows = cut_lineage(met.groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min(F.coalesce("text", F.lit(""))).alias("text")))
 
     def counting():
         def work(batch):
@@ -139,7 +144,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, documents: int = FIT_DOCU
 
         return work
 
-    sizes = {r["toxic"]: r["n"] for r in some.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
+    sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
     n_bad, n_all = sizes.get(1, 0), sum(sizes.values())
     if not n_bad or n_bad == n_all:
         return Classifier(np.zeros(0, np.uint64), np.zeros(0), -3.0)
