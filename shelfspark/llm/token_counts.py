@@ -8,16 +8,16 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfspark.llm.arrow_rows import with_text_columns
-from shelfspark.llm.text_batches import point_hashes
 from shelfspark.session import table
 
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
-#: Code points in a chunk; words whose counts a task remembers; longest word that is merged in step with others.
-CHUNK, REMEMBERED, TOGETHER = 1 << 20, 1 << 20, 40
+#: Code points in a chunk, which may end anywhere. States that a process keeps; beyond that it compiles anew.
+CHUNK, MOST_STATES = 128, 1 << 18
 #: White space as Unicode's White_Space has it.
 WHITE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 SPACE, LETTER, NUMBER, OTHER = range(4)
@@ -39,241 +39,332 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in plain else chr(next(free)) for b in range(256)]
 
 
-class Merges:
-    """Emitted-token counts of words: the merges of the vocabulary as one lookup table."""
+class Vocabulary:
+    """The vocabulary as a trie over bytes, in which END follows the last byte of a token that ends a word, and which
+    tokens may stand side by side: those that merging their concatenation leaves as they are."""
+
+    END = 256
 
     def __init__(self, path: str):
         model = json.load(open(path, encoding="utf-8"))
         ids, end = model["model"]["vocab"], model["model"]["end_of_word_suffix"]
         self.special = [t["content"] for t in model["added_tokens"]]
         letters = byte_characters()
-        self.inner = np.array([ids[c] for c in letters], np.int64)
-        self.last = np.array([ids[c + end] for c in letters], np.int64)
-        self.rank: dict[int, tuple[int, int]] = {}
-        for rank, (a, b) in enumerate(model["model"]["merges"]):
-            self.rank.setdefault(ids[a] << 16 | ids[b], (rank, ids[a + b]))
-        keys = np.array(list(self.rank), np.uint64)
-        self.none = len(self.rank) + 1
-        bits = 21
-        self.shift = np.uint64(64 - bits)
-        self.keys, self.values, self.results = np.full(1 << bits, -1, np.int64), np.full(1 << bits, self.none, np.int32), np.zeros(1 << bits, np.int32)
-        slot = self._slot(keys)
-        self.rest = []
-        for k, at in zip(keys.tolist(), slot.tolist(), strict=True):
-            if self.keys[at] >= 0:
-                self.rest.append(k)
-            else:
-                self.keys[at] = k
-                self.values[at], self.results[at] = self.rank[k]
-        self.rest = np.array(sorted(self.rest), np.int64)
-        self.rest_values = np.array([self.rank[k] for k in self.rest.tolist()], np.int32).reshape(-1, 2)
-        self.rest_first = np.zeros(1 << bits, bool)
-        self.rest_first[self._slot(self.rest.astype(np.uint64))] = True
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
-
-    def ranks(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(rank, merged id) of pairs; rank ``none`` if the pair has no merge."""
-        at = self._slot(keys.astype(np.uint64))
-        same = self.keys[at] == keys
-        rank, to = np.where(same, self.values[at], self.none), self.results[at]
-        odd = np.flatnonzero(~same & self.rest_first[at])
-        if len(odd):
-            k = np.minimum(np.searchsorted(self.rest, keys[odd]), len(self.rest) - 1)
-            hit = self.rest[k] == keys[odd]
-            rank[odd[hit]], to[odd[hit]] = self.rest_values[k[hit], 0], self.rest_values[k[hit], 1]
-        return rank, to
-
-    def counts(self, words: list[bytes]) -> np.ndarray:
-        """Tokens of each word. Short words merge in step: in each round, every word's pair of least rank, wherever it is in the word."""
-        size = np.array([len(w) for w in words])
-        out = np.zeros(len(words), np.int64)
-        for i in np.flatnonzero(size > TOGETHER).tolist():
-            out[i] = self.count_long(words[i])
-        for width in (8, 16, TOGETHER):
-            pick = np.flatnonzero((size <= width) & (out == 0))
-            if len(pick):
-                out[pick] = self._together([words[i] for i in pick.tolist()], size[pick], width)
-        return out
-
-    def _together(self, words: list[bytes], size: np.ndarray, width: int) -> np.ndarray:
-        data = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(-1, width)
-        token = self.inner[data]
-        rows = np.arange(len(words))
-        token[rows, size - 1] = self.last[data[rows, size - 1]]
-        length, out = size.copy(), np.ones(len(words), np.int64)
-        column = np.arange(width)
-        live = rows
-        while len(live):
-            on = column[None, :-1] < (length - 1)[:, None]
-            rank, to = np.full(on.shape, self.none, np.int64), np.zeros(on.shape, np.int64)
-            rank[on], to[on] = self.ranks((token[:, :-1] << 16 | token[:, 1:])[on])
-            least = rank.min(axis=1, initial=self.none)
-            done = least >= self.none
-            if done.any():
-                out[live[done]] = length[done]
-                stay = ~done
-                live, token, length, rank, to, least = live[stay], token[stay], length[stay], rank[stay], to[stay], least[stay]
-                if not len(live):
-                    break
-            hit = rank == least[:, None]
-            for j in range(1, hit.shape[1]):  # of overlapping pairs, the left one
-                hit[:, j] &= ~hit[:, j - 1]
-            token[:, :-1][hit] = to[hit]
-            keep = np.ones(token.shape, bool)
-            keep[:, 1:] &= ~hit
-            keep &= column[None, :] < length[:, None]
-            length = keep.sum(axis=1)
-            packed = np.zeros_like(token)
-            packed[column[None, :] < length[:, None]] = token[keep]
-            most = int(length.max())
-            token, column = packed[:, : max(most, 2)], column[: max(most, 2)]
-        return out
-
-    def count_long(self, word: bytes) -> int:
-        """One long word: pairs in a heap by rank and place, tokens in a linked list."""
-        token = [int(self.inner[b]) for b in word[:-1]] + [int(self.last[word[-1]])]
+        byte = {c: b for b, c in enumerate(letters)}
+        inner, last = [ids[c] for c in letters], [ids[c + end] for c in letters]
+        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        for rank, (x, y) in enumerate(model["model"]["merges"]):
+            self.merges.setdefault((ids[x], ids[y]), (rank, ids[x + y]))
+        self.symbols: dict[int, list[int]] = {}
+        self.children: list[dict[int, int]] = [{}]
+        self.token: list[int] = [-1]
+        for text, number in ids.items():
+            final = text.endswith(end)
+            path_ = [byte.get(c, -1) for c in (text[: -len(end)] if final else text)]
+            if not path_ or min(path_) < 0:
+                continue
+            symbols = [inner[x] for x in path_]
+            if final:
+                symbols[-1] = last[path_[-1]]
+                path_.append(self.END)
+            if self.merged(symbols) != [number]:
+                continue  # no word's merging ever gives it
+            self.symbols[number] = symbols
+            node = 0
+            for x in path_:
+                if x not in self.children[node]:
+                    self.children[node][x] = len(self.children)
+                    self.children.append({})
+                    self.token.append(-1)
+                node = self.children[node][x]
+            self.token[node] = number
+        self._beside: dict[int, bool] = {}
+
+    def merged(self, tokens: list[int]) -> list[int]:
+        """The merges of the vocabulary, each the pair of least rank, the left one of equal ones."""
+        tokens = list(tokens)
+        if len(tokens) > 64:
+            return self._merged_long(tokens)
+        none = (len(self.merges) + 1, 0)
+        found = [self.merges.get(p, none) for p in zip(tokens, tokens[1:], strict=False)]
+        while found:
+            best = min(found)
+            if best == none:
+                break
+            i = found.index(best)
+            tokens[i : i + 2] = [best[1]]
+            del found[i]
+            if i < len(found):
+                found[i] = self.merges.get((tokens[i], tokens[i + 1]), none)
+            if i:
+                found[i - 1] = self.merges.get((tokens[i - 1], tokens[i]), none)
+        return tokens
+
+    def _merged_long(self, token: list[int]) -> list[int]:
         n = len(token)
         left, right, gone = list(range(-1, n - 1)), [*range(1, n), -1], [False] * n
         heap: list[tuple[int, int, int, int]] = []
 
         def offer(i: int) -> None:
             j = right[i]
-            if j >= 0 and (found := self.rank.get(token[i] << 16 | token[j])):
+            if i >= 0 and j >= 0 and (found := self.merges.get((token[i], token[j]))):
                 heapq.heappush(heap, (found[0], i, token[i], token[j]))
 
         for i in range(n - 1):
             offer(i)
-        count = n
         while heap:
             _, i, a, b = heapq.heappop(heap)
             j = right[i]
             if gone[i] or j < 0 or token[i] != a or token[j] != b:
                 continue
-            token[i], gone[j], count = self.rank[a << 16 | b][1], True, count - 1
+            token[i], gone[j] = self.merges[a, b][1], True
             right[i] = right[j]
             if right[j] >= 0:
                 left[right[j]] = i
             offer(i)
             if left[i] >= 0:
                 offer(left[i])
-        return count
+        return [t for t, g in zip(token, gone, strict=True) if not g]
 
+    def beside(self, a: int, b: int) -> bool:
+        """Whether b may follow a in the tokens of a word; a is -1 at its beginning."""
+        if a < 0:
+            return True
+        key = a << 17 | b
+        if key not in self._beside:
+            self._beside[key] = self.merged(self.symbols[a] + self.symbols[b]) == [a, b]
+        return self._beside[key]
 
-class Transducer:
-    """The tokenizer as a transducer over classes of code points.
 
-    Its states are what the word in progress is: none, letters, or other signs;
-    each transition says whether a word begins. A word's accepting arc is
-    annotated with the tokens that it emits. The arcs are compiled for the words
-    that occur, once for each in a task, and kept by the word's 64-bit hash.
+#: What is known of a word in progress: for each place at which a coming token may begin, the trie node of the bytes since
+#: there, the token that ends there (-1: none), and the number of tokens up to there less that of the whole word so far.
+Word = tuple[tuple[int, int, int], ...]
+BEGIN: Word = ((0, -1, 0),)
+#: Modes: no word; letters; other signs; a quote that begins a word; a quote and the first letter of a contraction of two.
+NONE, LETTERS, SIGNS, QUOTE, QUOTE_R, QUOTE_V, QUOTE_L = range(7)
+PENDING = {QUOTE_R: ("r", "e"), QUOTE_V: ("v", "e"), QUOTE_L: ("l", "l")}
+
+
+class Transducer:
+    """The tokenizer as a deterministic transducer over code points, compiled arc by arc as texts need them.
+
+    A state is a mode of the word splitter and what is known of the word in
+    progress. An arc says by how much the number of tokens changes: a token
+    counts as soon as it is the last one of the word so far, and an arc on which
+    tokens merge has a negative number. White space leads to the first state
+    from everywhere. Arcs are kept in an open hash table, so that all chunks of
+    a batch of texts step together.
     """
 
-    def __init__(self, merges: Merges):
-        self.merges, self.classes = merges, class_table()
-        self.known, self.emits = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary, self.classes = vocabulary, class_table()
+        self.clear()
+
+    def clear(self) -> None:
+        self.states: list[tuple[int, Word]] = [(NONE, BEGIN)]
+        self.number: dict[tuple[int, Word], int] = {self.states[0]: 0}
+        self.arcs = 0
+        self._room(16)
+
+    def _room(self, bits: int) -> None:
+        self.shift = np.uint64(64 - bits)
+        self.keys, self.to = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+        self.emits = np.zeros(1 << bits, np.int32)
+
+    def size_bytes(self) -> int:
+        return self.keys.nbytes + self.to.nbytes + self.emits.nbytes
+
+    # compiling
+
+    def _byte(self, word: Word, b: int) -> tuple[Word, int]:
+        """The word after one more byte, and the change in tokens."""
+        v, live, last = self.vocabulary, [], None
+        for node, before, count in word:
+            child = v.children[node].get(b)
+            if child is None:
+                continue
+            live.append((child, before, count))
+            if last is None and v.token[child] >= 0 and v.beside(before, v.token[child]):
+                last = (v.token[child], count + 1)
+        token, more = last
+        return (*((n, t, c - more) for n, t, c in live if v.children[n]), (0, token, 0)), more
+
+    def _end(self, word: Word) -> int:
+        """The change in tokens when the word ends: its last byte becomes a final one."""
+        v = self.vocabulary
+        for node, before, count in word:
+            child = v.children[node].get(v.END)
+            if child is not None and v.beside(before, v.token[child]):
+                return count + 1
+        raise ValueError("a word without tokens")
+
+    def _read(self, word: Word, character: str) -> tuple[Word, int]:
+        total = 0
+        for b in character.encode("utf-8", "replace"):
+            word, more = self._byte(word, b)
+            total += more
+        return word, total
+
+    def _begin(self, c: str) -> tuple[int, Word, int]:
+        kind = self.classes[ord(c)]
+        if kind == SPACE:
+            return NONE, BEGIN, 0
+        word, more = self._read(BEGIN, c)
+        if kind == NUMBER:
+            return NONE, BEGIN, more + self._end(word)
+        return (LETTERS if kind == LETTER else QUOTE if c == "'" else SIGNS), word, more
+
+    def step(self, mode: int, word: Word, c: str) -> tuple[int, Word, int]:
+        """(mode, word, change in tokens) after one more code point."""
+        kind = self.classes[ord(c)]
+        if mode == NONE:
+            return self._begin(c)
+        if mode in PENDING:
+            first, second = PENDING[mode]
+            if c == second:
+                word, more = self._read(word, first + second)
+                return NONE, BEGIN, more + self._end(word)
+            ended = self._end(word)
+            mode, word, more = self._begin(first)
+            mode, word, rest = self.step(mode, word, c)
+            return mode, word, ended + more + rest
+        if mode == QUOTE and c in "stmd":
+            word, more = self._read(word, c)
+            return NONE, BEGIN, more + self._end(word)
+        if mode == QUOTE and c in "rvl":
+            return {"r": QUOTE_R, "v": QUOTE_V, "l": QUOTE_L}[c], word, 0
+        if kind == (LETTER if mode == LETTERS else OTHER):
+            word, more = self._read(word, c)
+            return (LETTERS if mode == LETTERS else SIGNS), word, more
+        ended = self._end(word)
+        mode, word, more = self._begin(c)
+        return mode, word, ended + more
+
+    def _compile(self, key: int) -> None:
+        mode, word, emits = self.step(*self.states[key >> 21], chr(key & 0x1FFFFF))
+        state = (mode, word)
+        if state not in self.number:
+            self.number[state] = len(self.states)
+            self.states.append(state)
+        if 2 * (self.arcs + 1) > len(self.keys):
+            old = self.keys >= 0
+            keys, to, emitted = self.keys[old], self.to[old], self.emits[old]
+            self._room(64 - int(self.shift) + 2)
+            for k, t, e in zip(keys.tolist(), to.tolist(), emitted.tolist(), strict=True):
+                self._put(k, t, e)
+        self._put(key, self.number[state], emits)
+        self.arcs += 1
+
+    def _put(self, key: int, to: int, emits: int) -> None:
+        at = ((key * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF) >> int(self.shift)
+        while self.keys[at] >= 0:
+            at = (at + 1) & (len(self.keys) - 1)
+        self.keys[at], self.to[at], self.emits[at] = key, to, emits
+
+    # running
+
+    def _find(self, key: np.ndarray) -> np.ndarray:
+        """The place of each arc; what is not yet compiled, is now."""
+        while True:
+            at = ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+            held = self.keys[at]
+            odd = np.flatnonzero(held != key)
+            while len(odd) and (on := held[odd] >= 0).any():
+                odd = odd[on]
+                at[odd] = (at[odd] + 1) & (len(self.keys) - 1)
+                held[odd] = self.keys[at[odd]]
+                odd = odd[held[odd] != key[odd]]
+            missing = np.unique(key[self.keys[at] != key])
+            if not len(missing):
+                return at
+            for k in missing.tolist():
+                self._compile(k)
+
+    def run(self, points: np.ndarray, start: np.ndarray, size: np.ndarray, entry: np.ndarray, known: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, tuple]:
+        """(state at the end, tokens) of chunks that are entered in given states, and their traces: both at each place.
+
+        With the ``known`` traces of another entry, a chunk is read until it is in
+        the same state as there; from then on its map is the same.
+        """
+        most = int(size.max(initial=0))
+        states, sums = np.zeros((most + 1, len(start)), np.int32), np.zeros((most + 1, len(start)), np.int32)
+        states[0] = entry
+        end, total = entry.astype(np.int64), np.zeros(len(start), np.int64)
+        live = np.arange(len(start))
+        for i in range(most):
+            live = live[size[live] > i]
+            if not len(live):
+                break
+            at = self._find(end[live] << 21 | points[start[live] + i])
+            end[live] = self.to[at]
+            total[live] += self.emits[at]
+            if known is None:
+                states[i + 1], sums[i + 1] = end, total
+                continue
+            same = known[0][i + 1, live] == end[live]
+            joined = live[same]
+            end[joined] = known[0][size[joined], joined]
+            total[joined] += known[1][size[joined], joined] - known[1][i + 1, joined]
+            live = live[~same]
+        return end, total, (states, sums)
+
+    def scan(self, points: np.ndarray, start: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Tokens of each chunk; ``first`` marks those that begin a text.
+
+        All chunks are read from the first state. Then their maps compose: each
+        chunk is entered in the state in which the one before ends, and read as
+        far as that matters, which mostly is to the end of the word. Only if it
+        matters to the chunk's end, the next chunk is looked at once more.
+        """
+        end, total, known = self.run(points, start, size, np.zeros(len(start), np.int64))
+        entry = np.zeros(len(start), np.int64)
+        while True:
+            wanted = np.where(first, 0, np.concatenate([[0], end[:-1]]))
+            todo = np.flatnonzero(wanted != entry)
+            if not len(todo):
+                return total
+            entry[todo] = wanted[todo]
+            end[todo], total[todo], _ = self.run(points, start[todo], size[todo], entry[todo], tuple(t[:, todo] for t in known))
 
     def normalised(self, text: str) -> tuple[str, int]:
         """The text as the transducer reads it, and the special tokens taken out of it."""
         special = 0
-        for s in self.merges.special:
+        for s in self.vocabulary.special:
             if s in text:
                 special += text.count(s)
                 text = text.replace(s, "\n")
         text = unicodedata.normalize("NFC", text)
         return (text.replace("Σ", "σ") if "Σ" in text else text).lower(), special
 
-    def word_starts(self, points: np.ndarray, kind: np.ndarray) -> np.ndarray:
-        """Where words begin (not at white space): at a change of class, at every number, and after a contraction."""
-        n = len(kind)
-        start = np.ones(n, bool)
-        start[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == NUMBER)
-        quotes = np.flatnonzero((points == 0x27) & start)
-        for at in quotes.tolist():
-            tail = points[at + 1 : at + 3].tolist()
-            for c in CONTRACTIONS:
-                if tail[: len(c)] == [ord(x) for x in c]:
-                    start[at + 1] = False
-                    if at + 1 + len(c) < n:
-                        start[at + 1 + len(c)] = True
-                    break
-        return start & (kind != SPACE)
-
-    def counted(self, texts: list[str | None]) -> np.ndarray:
-        """Tokens of each text: the sum over its chunks, which are cut at white space, so that no state passes between them."""
-        pieces, owner, out = [], [], np.zeros(len(texts), np.int64)
+    def counted(self, texts: list[str | None], chunk: int = CHUNK) -> np.ndarray:
+        """Tokens of each text."""
+        if len(self.states) > MOST_STATES:
+            self.clear()
+        bodies, out = [], np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
-            body, special = self.normalised(text or "")
-            out[i] = special
-            for part in self.chunks(body):
-                pieces.append(part)
-                owner.append(i)
-        if not pieces:
-            return out
-        whole = "\n".join(pieces)
-        points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
-        kind = self.classes[points]
-        start = np.flatnonzero(self.word_starts(points, kind))
-        if not len(start):
+            body, out[i] = self.normalised(text or "")
+            bodies.append(body)
+        whole = "\n".join([*bodies, ""])  # the white space ends each text's last word
+        points = np.frombuffer(whole.encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
+        if not len(points):
             return out
-        stop = np.ones(len(kind) + 1, bool)
-        stop[:-1] = kind == SPACE
-        stop[start] = True
-        ends = np.flatnonzero(stop)
-        end = ends[np.searchsorted(ends, start, "right")]
-        emitted = self.arcs(whole, points, start, end)
-        edge = np.cumsum([0, *(len(p) + 1 for p in pieces)])
-        by_piece = np.add.reduceat(np.concatenate([emitted, [0]]), np.searchsorted(start, edge[:-1]))
-        by_piece[np.diff(np.searchsorted(start, edge)) == 0] = 0
-        np.add.at(out, np.array(owner), by_piece)
-        return out
-
-    def chunks(self, body: str) -> list[str]:
-        """A long text in chunks. A chunk ends where white space does, as there the transducer is in its first state whatever came
-        before: chunk maps then are constant and compose by adding what they emit. A chunk without white space grows until one comes."""
-        if len(body) <= CHUNK:
-            return [body]
-        out, at = [], 0
-        while at < len(body):
-            end = at + CHUNK
-            while end < len(body) and self.classes[ord(body[end])] != SPACE:
-                end += 1
-            out.append(body[at:end])
-            at = end
+        size = np.array([len(b) + 1 for b in bodies])
+        n = -(-size // chunk)
+        text = np.repeat(np.arange(len(texts)), n)
+        place = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+        start = (np.cumsum(size) - size)[text] + place * chunk
+        sizes = np.minimum(chunk, size[text] - place * chunk)
+        np.add.at(out, text, self.scan(points, start, sizes, place == 0))
         return out
 
-    def arcs(self, whole: str, points: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Tokens that each word emits."""
-        key = point_hashes(points, start, end)
-        words, first, back = np.unique(key, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.known, words)
-        known = np.zeros(len(words), bool)
-        if len(self.known):
-            at = np.minimum(at, len(self.known) - 1)
-            known = self.known[at] == words
-        found = np.zeros(len(words), np.int64)
-        found[known] = self.emits[at[known]]
-        new = np.flatnonzero(~known)
-        if len(new):
-            f = first[new]
-            found[new] = self.merges.counts([whole[a:b].encode() for a, b in zip(start[f].tolist(), end[f].tolist(), strict=True)])
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known, self.emits = words, found
-            else:
-                keys = np.concatenate([self.known, words[new]])
-                order = np.argsort(keys, kind="stable")
-                self.known, self.emits = keys[order], np.concatenate([self.emits, found[new]])[order]
-        return found[back]
-
 
 _compiled: dict[str, Transducer] = {}
 
 
 def transducer(path: str) -> Transducer:
-    """Compiled once in a Python process; words that one task met, the next one knows."""
+    """One in a Python process; arcs that one task compiled, the next one has."""
     if path not in _compiled:
-        _compiled[path] = Transducer(Merges(path))
+        _compiled[path] = Transducer(Vocabulary(path))
     return _compiled[path]
 
 
@@ -283,7 +374,8 @@ def counted_tokens(docs: DataFrame, keep: list[str] | None = None, path: str | N
     Columns: ``keep`` of ``docs`` (all by default), then the three. ``path``
     names the vocabulary file, which every worker must have. Strings of special
     tokens in a text are one token each; none are added. A null text is an empty
-    one, with no tokens. Repeated rows get the same result each; an empty table
+    one, with no tokens. Texts of any length are read in chunks of CHUNK code
+    points that step together. Columns named like the new ones go. Repeated rows get the same result each; an empty table
     gives an empty one.
     """
     if path is None:
@@ -292,8 +384,6 @@ def counted_tokens(docs: DataFrame, keep: list[str] | None = None, path: str | N
         path = public_tokenizers.path(VOCABULARY)
 
     def make():
-        import pyarrow.compute as pc
-
         t = transducer(path)
 
         def work(batch):
