@@ -220,16 +220,68 @@ def test_pages_keep_text_around_inline_elements(body, text):
     assert op.main_text(f"<body><nav>n</nav><article>{body}</article><footer>f</footer></body>") == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<div class="wrap has-sidebar"><p>story</p></div>', "story"),
+        ('<article><div class="social-studies lesson">one</div><p class="legal">two</p></article>', "one\ntwo"),
+        (f'<div class=story><p>{"A long story. " * 9}</p></div><article><h2>Teaser</h2></article>', ("A long story. " * 9).strip()),
+        (f'<div class=box><p>{"A long story. " * 9}</p></div><article><h2>Teaser</h2></article>', ("A long story. " * 9).strip() + "\nTeaser"),
+        ('<div class="post"><div class="entry-header"><h1>Title</h1></div><p>text</p></div>', "Title\ntext"),
+        ('<article><header><h1>Title</h1></header><p>text</p></article>', "Title\ntext"),
+        ("<article>a<object>b</object><xmp><i>&amp;</xmp><noscript>c</noscript></article>", "ab\n<i>&amp;\nc"),
+        ('<div class="a""><p>one</p></div>', "one"),
+        ('<p title="a > b">one</p><p x=\'1"\'>two</p>', "one\ntwo"),
+        ('<p>1 < 2 and 3 <4</p>', "1 < 2 and 3 <4"),
+        ('<article><p>text</p><div class="post-comments"><p>nice</p></div><div class="newsletter-signup">join</div></article>', "text"),
+        ('<div class="page-content"><p>text</p><div id="sidebar-left">s</div><div class="top-ad">buy</div></div>', "text"),
+        ("<style>p{}</style><script>var t='</p>';</script><p>one<!-- <p>two -->", "one"),
+        ("", ""),
+    ],
+)
+def test_pages_by_roles_and_names(page, text):
+    from shelfspark.llm import html_extraction as op
+
+    assert op.main_text(page) == text
+
+
+@pytest.mark.parametrize("unit", ['<a "', "<a x=", "<a x='", "<!--", "<", "</", "<div><b>", '<p title="', "<script>", "<li>x", "&#x3c;", "<svg><p>"])
+def test_broken_pages_take_linear_time(unit):
+    import time
+
+    from shelfspark.llm import html_extraction as op
+
+    page, began = unit * (500_000 // len(unit)), time.process_time()
+    op.main_text(page)
+    op.main_text(page + ">")
+    assert time.process_time() - began < 20
+
+
+def test_pages_on_odd_rows(spark):
+    from shelfspark.llm import html_extraction as op
+
+    long_ = "<p>" + "word " * 200_000 + "</p>"
+    rows = [(1, None, None, "t", 1), (2, "", "", "t", 2), (None, "http://a.org/1", "<p>x</p>", None, 3), (4, "http://a.org/2", long_, "t", 4), (5, "http://a.org/3", "<p>same</p>", "t", 5), (5, "http://a.org/3", "<p>same</p>", "t", 5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, Text string, low int")
+    for limit in (op.BROADCAST_BYTES, -1):
+        got = op.extracted_pages(pages, broadcast_bytes=limit)
+        assert got.columns == ["page_id", "url", "low", "text", "n_chars"]
+        assert sorted((r["low"], r["text"], r["n_chars"]) for r in got.collect()) == [(1, "", 0), (2, "", 0), (3, "x", 1), (4, ("word " * 200_000).strip(), 999_999), (5, "same", 4), (5, "same", 4)]
+    assert op.extracted_pages(pages.limit(0)).count() == 0
+
+
 def test_pages_judge_branches_inside_articles(spark):
     from shelfspark.llm import html_extraction as op
 
     article = "<article><h1>Title {i}</h1><p>A longer paragraph about thing {i}.</p><div class=readon>Read on in our app</div></article>"
     rows = [(i, f"http://h.org/{i}", article.replace("{i}", str(i))) for i in range(6)]
-    rows += [(10 + i, f"http://copies.org/{i}", f"<p>{i}</p>" + article.replace("{i}", "same")) for i in range(6)]
+    rows += [(10 + i, f"http://copies.org/{i}", f"<p>{i}</p>" + article.replace("{i}", "same").replace("readon", "further")) for i in range(6)]
+    rows += [(30, "http://small.org/", article.replace("{i}", "30"))]
     rows += [(20 + i, f"http://near.org/{i}", f"<article><h1>Title</h1><p>A longer paragraph about one thing.</p><div class=end>Last {i}</div></article>") for i in range(6)]
     got = {r["page_id"]: r["text"] for r in op.extracted_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(got[i] == f"Title {i}\nA longer paragraph about thing {i}." for i in range(6))
     assert all(got[10 + i] == "Title same\nA longer paragraph about thing same.\nRead on in our app" for i in range(6))
+    assert got[30] == "Title 30\nA longer paragraph about thing 30."  # too few pages: as on other hosts
     assert all(got[20 + i] == f"Title\nA longer paragraph about one thing.\nLast {i}" for i in range(6))
 
 
@@ -284,16 +336,16 @@ def test_token_counts():
     assert op.transducer(path).counted(texts).tolist() == expected
 
 
-def test_token_chunks(monkeypatch):
+def test_token_chunks():
     import public_tokenizers
 
     from shelfspark.llm import token_counts as op
 
     t = op.transducer(public_tokenizers.path(op.VOCABULARY))
-    text = "it's a word, then 12 more words!! " * 50
-    whole = t.counted([text])[0]
-    monkeypatch.setattr(op, "CHUNK", 37)
-    assert t.counted([text])[0] == whole
+    text = "it's a word, then 12 more words!! we'll see 'really " * 50 + "abcdefghij" * 30
+    whole = t.counted([text, text[:77]], 1 << 20)
+    for chunk in (1, 2, 3, 37, 256):
+        assert t.counted([text, text[:77]], chunk).tolist() == whole.tolist()
 
 
 def test_quality_counts(spark):
