@@ -13,6 +13,8 @@ from shelfspark.session import cut_lineage, drop_folder, scratch_folder
 
 #: Links that a task contracts at a time.
 CHUNK = 1 << 20
+#: So few links (16 bytes each) one task contracts to the end, in place of further rounds.
+FEW = 1 << 16
 
 
 def contracted(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,7 +64,8 @@ def components(links: DataFrame) -> DataFrame:
     Each task first puts a star in place of what its own links connect, a bounded
     number of links at a time. Then, in turns, every node hands its larger
     neighbours (large star), then its smaller ones (small star), to the least of
-    them; the number of rounds grows with the logarithm of a component's size.
+    them; the number of rounds grows with the logarithm of a component's size; they end early where
+    few links are left, which one task contracts.
     Rounds are written to the checkpoint folder, and a round's tables are deleted
     when the next one's edges are written; nothing is collected.
     """
@@ -72,6 +75,10 @@ def components(links: DataFrame) -> DataFrame:
     edges = cut_lineage(ends.mapInArrow(_contract, "u long, v long").distinct(), held)
     before = None
     while (now := _state(edges)) != before:
+        if now[0] <= FEW:
+            edges = cut_lineage(edges.coalesce(1).mapInArrow(_contract, "u long, v long"), scratch_folder(spark))
+            drop_folder(spark, held)
+            break
         before, last, held, passing = now, held, scratch_folder(spark), scratch_folder(spark)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = cut_lineage(_starred(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), passing)

@@ -37,8 +37,10 @@ def graphs():
     yield "none", []
 
 
+@pytest.mark.parametrize("few", [0, 1 << 16])
 @pytest.mark.parametrize(("name", "links"), list(graphs()), ids=[n for n, _ in graphs()])
-def test_components(spark, name, links):
+def test_components(spark, name, links, few, monkeypatch):
+    monkeypatch.setattr("shelfspark.llm.components.FEW", few)
     found = components(spark.createDataFrame(links, "a long, b long").repartition(5))
     assert {r["node"]: r["label"] for r in found.collect()} == brute(links)
 
