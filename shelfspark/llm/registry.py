@@ -42,7 +42,7 @@ b AS (SELECT item_id::VARCHAR AS item, regexp_extract_all({LOWER}, '[^\x00-\x2F\
 i AS (SELECT DISTINCT item, k, array_to_string(w[p : p + k - 1], ' ') AS body FROM (SELECT item, w, least(10, len(w)) AS k, unnest(generate_series(1, len(w) - least(10, len(w)) + 1)) AS p FROM b WHERE len(w) > 0)),
 x AS (SELECT r, p, k, array_to_string(w[p : p + k - 1], ' ') AS body FROM (SELECT r, w, k, unnest(generate_series(1, len(w) - k + 1)) AS p FROM d, (SELECT DISTINCT k FROM i) WHERE len(w) >= k)),
 h AS (SELECT r, p, x.k, item FROM x JOIN i ON i.k = x.k AND i.body = x.body),
-c AS (SELECT r, count(DISTINCT at) AS n_hit FROM (SELECT r, unnest(generate_series(p, p + k - 1)) AS at FROM h) GROUP BY r),
+c AS (SELECT r, count(DISTINCT spot) AS n_hit FROM (SELECT r, unnest(generate_series(p, p + k - 1)) AS spot FROM h) GROUP BY r),
 t AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM h WHERE item IS NOT NULL) GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c ON c.r = d.r LEFT JOIN t ON t.r = d.r""",
