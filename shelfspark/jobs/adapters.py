@@ -20,6 +20,7 @@ BENEFIT_VALUES = [None, "Moisturizing, Anti-aging", "Brightening", "Cleansing an
 ACTIVE_VALUES = [None, "Vitamin C", "Retinol, Hyaluronic acid", "xyz", "Tea Tree oil", "Shea butter & collagen"]
 STORES = [None, " ", "None"]
 DAY_MS = 86_400_000
+MILLION = 1_000_000
 
 
 def pick(values: list[str | None], at: Column) -> Column:
@@ -35,22 +36,31 @@ def sql_pick(values: list[str | None], at: str) -> str:
 
 
 def interactions_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reviews: user, item, rating 1 to 5, epoch milliseconds, whether verified. Thinned, so that items have a long tail."""
-    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    thin = F.col("l_orderkey") % (1 + (F.col("l_partkey") * 7) % 40) == 0
-    both = lines.filter(thin).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    """Reviews: user, item, rating 1 to 5, epoch milliseconds, whether verified.
+
+    Every order line is one. Its item is drawn by numbers of the line, as the
+    sixth power of a share, so that some items sell much and most little: parts
+    are sold alike in the table.
+    """
+    lines, orders, parts = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders"), table(spark, sf_dir, "part")
+    n, least = parts.agg(F.count(F.lit(1)), F.min("p_partkey")).first()
+    share = (F.col("l_orderkey") * 7919 + F.col("l_partkey") * 104729 + F.col("l_linenumber") * 1299709) % MILLION
+    cube = F.floor(F.floor(share * share / MILLION) * share / MILLION)
+    both = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     return both.select(
         F.col("o_custkey").alias("user_id"),
-        F.col("l_partkey").alias("item_id"),
+        (F.floor(F.floor(cube * cube / MILLION) * n / MILLION) + (least or 0)).cast("long").alias("item_id"),
         (1 + F.floor((F.col("l_quantity") - 1) / 10)).cast("double").alias("rating"),
         F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("ts"),
         (F.col("l_returnflag") != "R").alias("verified"),
     )
 
 
-SQL_RAW = """raw AS (SELECT o_custkey AS user_id, l_partkey AS item_id, CAST(1 + floor((l_quantity - 1) / 10) AS DOUBLE) AS rating,
+SQL_RAW = f"""shares AS (SELECT *, (l_orderkey * 7919 + l_partkey * 104729 + l_linenumber * 1299709) % {MILLION} AS share FROM lineitem),
+cubes AS (SELECT *, share * share // {MILLION} * share // {MILLION} AS cube FROM shares),
+raw AS (SELECT o_custkey AS user_id, cube * cube // {MILLION} * (SELECT count(*) FROM part) // {MILLION} + (SELECT min(p_partkey) FROM part) AS item_id, CAST(1 + floor((l_quantity - 1) / 10) AS DOUBLE) AS rating,
   CAST(epoch_ms(o_orderdate) AS BIGINT) AS ts, l_returnflag <> 'R' AS verified
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_orderkey % (1 + (l_partkey * 7) % 40) = 0)"""
+  FROM cubes JOIN orders ON l_orderkey = o_orderkey)"""
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -155,12 +155,12 @@ def r7(spark, d):
 
 
 @query("r8_embedding_recs", f"""{BASE}, {VECTORS}, {PROFILE}, sc AS (SELECT user_id, item_id, round(list_dot_product(p, v), 9) AS score FROM prof, vec WHERE NOT EXISTS (SELECT 1 FROM train t WHERE t.user_id = prof.user_id AND t.item_id = vec.item_id)),
-rk AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM sc) SELECT user_id, CAST(rank AS INTEGER) AS rank, round(score, 5) AS score FROM rk WHERE rank <= {K}""")
+rk AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM sc) SELECT user_id, item_id, CAST(rank AS INTEGER) AS rank FROM rk WHERE rank <= {K}""")
 def r8(spark, d):
     train = split(spark, d)[0]
     v = vectors(spark, d)
     recs = R.embedding_recs(R.embedding_profile(train, v), v, train, K)
-    return recs.select("user_id", "rank", F.round("score", 5).alias("score"))
+    return recs.select("user_id", "item_id", "rank")
 
 
 @query("r9_text_vectors")
@@ -180,13 +180,22 @@ def r11(spark, d):
     train, test, counts = split(spark, d)
     attrs = Q.attrs_table(spark, d)
     tokens = R.token_weights(R.item_tokens(attrs), attrs.count())
-    model, losses = R.fit_pairwise(train, tokens, counts.select("item_id"), epochs=3)
-    v = R.model_vectors(model, spark)
-    recs = R.embedding_recs(R.model_profiles(train, v), v, train, K)
-    found = R.rank_eval(recs, test, counts, K)
+    model, losses = R.fit_pairwise(train, tokens, counts.select("item_id"), epochs=5)
+    found = R.rank_eval(R.pairwise_recs(model, train, K), test, counts, K)
     return found.unionByName(spark.createDataFrame([(f"loss_{i}", x) for i, x in enumerate(losses)], "metric string, value double"))
 
 
+@query("r12_early_stop")
+def r12(spark, d):
+    """Epochs that do best on the end of the training time, and the refitted model's metrics."""
+    train, test, counts = split(spark, d)
+    attrs = Q.attrs_table(spark, d)
+    tokens = R.token_weights(R.item_tokens(attrs), attrs.count())
+    model, epochs = R.fit_stopped(train, tokens, counts.select("item_id"), k=K, most=4, patience=1)
+    found = R.rank_eval(R.pairwise_recs(model, train, K), test, counts, K)
+    return found.unionByName(spark.createDataFrame([("epochs", float(epochs))], "metric string, value double"))
+
+
 @query("a25_seed_summary", f"{A.SQL_BASE} SELECT item_id, count(*) AS seeds, avg(rating) AS rating_mean, stddev_pop(rating) AS rating_sd FROM inter GROUP BY 1")
 def a25(spark, d):
     from shelfspark.jobs.queries_market import inter
@@ -198,3 +207,35 @@ def a25(spark, d):
 def r15(spark, d):
     recs, test, counts = popular(spark, d)
     return R.experiment_grid({"pop": lambda seed: R.rank_eval(recs, test, counts, K)}, [0, 1])
+
+
+@query("r15_experiment_variants")
+def r15b(spark, d):
+    """The grid over models: popularity, items alone, brands, sellers' and filled attributes, attributes without items, text vectors; two seeds."""
+    train, test, counts = split(spark, d)
+    attrs = Q.attrs_table(spark, d)
+    n = attrs.count()
+    universe = counts.select("item_id")
+    all_ = R.token_weights(R.item_tokens(attrs), n)
+    nothing = all_.limit(0)
+
+    def fitted(tokens, **options):
+        def run(seed):
+            model, _ = R.fit_pairwise(train, tokens, universe, epochs=1, seed=seed, **options)
+            return R.rank_eval(R.pairwise_recs(model, train, K), test, counts, K)
+
+        return run
+
+    v = vectors(spark, d)
+    pop = R.rank_eval(R.popularity_recs(train, test, K), test, counts, K)
+    knn = R.rank_eval(R.embedding_recs(R.embedding_profile(train, v), v, train, K), test, counts, K)
+    seller = R.token_weights(R.item_tokens(attrs, "seller"), n)
+    return R.experiment_grid({
+        "pop": lambda seed: pop,
+        "id": fitted(nothing, id_dropout=0.0),
+        "brand": fitted(all_.filter("field = 'brand'")),
+        "seller": fitted(seller),
+        "filled": fitted(all_),
+        "attr_only": fitted(all_, id_dropout=1.0),
+        "emb_knn": lambda seed: knn,
+    }, [0, 1])

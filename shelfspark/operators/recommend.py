@@ -15,6 +15,8 @@ from shelfspark.session import cut_lineage, ship_package
 
 #: Bytes of item vectors that each worker may hold; more items are scored in blocks.
 BLOCK_ITEMS = 1 << 16
+#: Users whose scores a task holds at once.
+SLICE_USERS = 256
 
 
 def time_cut(inter: DataFrame, test_share: float) -> float:
@@ -142,7 +144,9 @@ def popularity_recs(train: DataFrame, users: DataFrame, k: int, pool: DataFrame
     most = train.groupBy("user_id").agg(F.countDistinct("item_id").alias("n")).agg(F.max("n")).first()[0] or 0
     best = counts.orderBy(F.desc("score"), "item_id").limit(k + most)
     shelf = best.agg(F.collect_list(F.struct("item_id", "score")).alias("shelf"))  # k + most entries
-    candidates = users.select("user_id").distinct().crossJoin(F.broadcast(shelf)).select("user_id", F.inline("shelf"))
+    own = train.groupBy("user_id").agg(F.countDistinct("item_id").alias("n"))
+    each = users.select("user_id").distinct().join(own, "user_id", "left").crossJoin(F.broadcast(shelf))  # one row
+    candidates = each.select("user_id", F.inline(F.slice("shelf", F.lit(1), (F.lit(k) + F.coalesce("n", F.lit(0))).cast("int"))))
     return top_k(exclude_seen(candidates, train), k)
 
 
@@ -166,31 +170,40 @@ def embedding_recs(profiles: DataFrame, vectors: DataFrame, train: DataFrame, k:
     ship_package(spark)
     seen = train.groupBy("user_id").agg(F.collect_set("item_id").alias("seen"))
     users = profiles.join(seen, "user_id", "left").select("user_id", "profile", F.coalesce("seen", F.array().cast("array<long>")).alias("seen"))
-    items = vectors.count()
+    blocks = max(1, -(-vectors.count() // block))
+    if blocks > 1:
+        users = cut_lineage(users)
     out = None
-    for b in range(max(1, -(-items // block))):
-        rows = vectors.filter(F.pmod(F.xxhash64("item_id"), F.lit(max(1, -(-items // block)))) == b).select("item_id", "embedding").collect()  # about ``block`` vectors
-        ids = np.array([r["item_id"] for r in rows], np.int64)
+    for b in range(blocks):
+        rows = vectors.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).select("item_id", "embedding").toArrow()  # about ``block`` vectors
+        ids = rows.column("item_id").to_numpy()
         order = np.argsort(ids)
-        matrix = np.array([rows[i]["embedding"] for i in order], np.float64)
+        matrix = np.array(rows.column("embedding").to_pylist(), np.float64)[order]
         shared = spark.sparkContext.broadcast((ids[order], matrix))
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             own, m = shared.value
             for pdf in batches:
-                if not len(pdf) or not len(own):
-                    continue
-                scores = np.stack(pdf["profile"].to_numpy()) @ m.T
-                parts = []
-                for user, seen_items, row in zip(pdf["user_id"], pdf["seen"], scores, strict=True):
-                    row = row.copy()
-                    row[np.isin(own, seen_items)] = -np.inf
-                    best = np.lexsort((own, -row))[:k]
-                    best = best[np.isfinite(row[best])]
-                    parts.append(pd.DataFrame({"user_id": user, "item_id": own[best], "score": row[best]}))
-                yield pd.concat(parts)
+                for lo in range(0, len(pdf) if len(own) else 0, SLICE_USERS):
+                    part = pdf.iloc[lo : lo + SLICE_USERS]
+                    scores = np.round(np.stack(part["profile"].to_numpy()) @ m.T, 9)
+                    found = []
+                    for user, seen_items, row in zip(part["user_id"], part["seen"], scores, strict=True):
+                        at = np.searchsorted(own, seen_items)
+                        at = at[at < len(own)]
+                        row[at[np.isin(own[at], seen_items)]] = -np.inf
+                        best = np.arange(len(row))
+                        if len(row) > k:  # all that are not below the k-th, ties included
+                            best = np.flatnonzero(row >= np.partition(row, -k)[-k])
+                        best = best[np.lexsort((own[best], -row[best]))][:k]
+                        best = best[np.isfinite(row[best])]
+                        found.append(pd.DataFrame({"user_id": user, "item_id": own[best], "score": row[best]}))
+                    yield pd.concat(found)
 
         found = users.mapInPandas(run, "user_id long, item_id long, score double")
+        if blocks > 1:  # so that one block at a time is held
+            found = cut_lineage(found)
+            shared.unpersist()
         out = found if out is None else out.unionByName(found)
     return top_k(out, k)
 
@@ -217,99 +230,128 @@ def negative_samples(train: DataFrame, seed: int, epoch: int = 0) -> DataFrame:
 
 
 class PairwiseModel:
-    """Item vectors and biases; a user is the mean of the vectors of bought items."""
-
-    def __init__(self, items: np.ndarray, tokens: list[tuple[np.ndarray, np.ndarray]], n_tokens: int, dim: int, seed: int):
-        rng = np.random.default_rng(seed)
-        self.items, self.tokens = items, tokens
-        self.own = rng.normal(0, 0.05, (len(items), dim))
-        self.shared = rng.normal(0, 0.05, (n_tokens, dim))
-        self.bias = np.zeros(len(items))
-        self.trained = np.zeros(len(items), bool)
-
-    def matrix(self, masked: np.ndarray | None = None) -> np.ndarray:
-        """Vectors of all items: their tokens' weighted sum, and their own part if they were trained on."""
-        keep = self.trained if masked is None else self.trained & ~masked
-        out = self.own * keep[:, None]
-        for i, (at, w) in enumerate(self.tokens):
-            if len(at):
-                out[i] += w @ self.shared[at]
-        return out
-
-
-def fit_pairwise(train: DataFrame, tokens: DataFrame, universe: DataFrame, dim: int = 16, epochs: int = 5, rate: float = 0.5, reg: float = 1e-4, id_dropout: float = 0.3, seed: int = 0) -> tuple[PairwiseModel, list[float]]:
+    """The vectors of a fitted ranking, as tables: users (user_id, x), items (item_id, x, trained) and tokens (token, x); the last component of an item is its bias."""
+
+    def __init__(self, users: DataFrame, items: DataFrame, shared: DataFrame, tokens: DataFrame, dim: int):
+        self.users, self.items, self.shared, self.tokens, self.dim = users, items, shared, tokens, dim
+
+    def item_vectors(self, keep: Column | None = None) -> DataFrame:
+        """(item_id, embedding): the item's own part if it was trained on (and ``keep`` holds), and its tokens' weighted sum."""
+        d = range(self.dim + 1)
+        named = self.tokens.join(self.shared, "token").groupBy("item_id").agg(F.array(*[F.sum(F.col("weight") * F.col("x")[i]) for i in d]).alias("named"))
+        own = F.when(F.col("trained") & (F.lit(True) if keep is None else keep), F.col("x")).otherwise(F.array(*[F.lit(0.0) for _ in d]))
+        joined = self.items.select("item_id", own.alias("own")).join(named, "item_id", "left")
+        return joined.select("item_id", F.when(F.col("named").isNull(), F.col("own")).otherwise(F.zip_with("own", "named", lambda a, b: a + b)).alias("embedding"))
+
+
+def _starts(key: Column, dim: int, seed: int, scale: float = 0.1) -> list[Column]:
+    """Vectors by hash, about evenly from -scale to scale, and two of zeros for the steps' moments."""
+    zeros = F.array(*[F.lit(0.0) for _ in range(dim)])
+    return [F.array(*[(F.pmod(F.xxhash64(F.lit(seed), F.lit(i), key), F.lit(20001)) / 10000.0 - 1.0) * scale for i in range(dim)]).alias("x"), zeros.alias("m"), zeros.alias("s")]
+
+
+def _stepped(table_: DataFrame, sums: DataFrame, key: str, turn: int, rate: float, reg: float) -> DataFrame:
+    """One Adam step of the rows of ``table_`` that have a gradient in ``sums`` (key, n, g); others stay."""
+    both = table_.join(sums.select(F.col(key).alias("g_key"), "n", "g"), F.col(key) == F.col("g_key"), "left")
+    pull = F.zip_with("g", "x", lambda g, x: g / F.col("n") - reg * x)
+    m = F.zip_with("m", pull, lambda m, g: 0.9 * m + 0.1 * g)
+    s = F.zip_with("s", pull, lambda s, g: 0.99 * s + 0.01 * g * g)
+    moved = both.withColumns({"new_m": F.when(F.col("g").isNull(), F.col("m")).otherwise(m), "new_s": F.when(F.col("g").isNull(), F.col("s")).otherwise(s)})
+    step = F.zip_with("new_m", "new_s", lambda m, s: rate * (m / (1 - 0.9**turn)) / (F.sqrt(s / (1 - 0.99**turn)) + 1e-8))
+    x = F.when(F.col("g").isNull(), F.col("x")).otherwise(F.zip_with("x", step, lambda a, b: a + b))
+    return moved.withColumn("new_x", x).select(*[F.col(f"new_{c}").alias(c) if c in ("x", "m", "s") else c for c in table_.columns])
+
+
+def fit_pairwise(train: DataFrame, tokens: DataFrame, universe: DataFrame, dim: int = 16, epochs: int = 5, rate: float = 0.05, reg: float = 1e-4, id_dropout: float = 0.3, seed: int = 0, batches: int = 1, each: Callable[[PairwiseModel], None] | None = None) -> tuple[PairwiseModel, list[float]]:
     """Pairwise ranking: bought items above random trained ones, by log-sigmoid loss with a penalty on vectors.
 
-    Items and tokens are on the driver and must fit there; users are dealt over
-    tasks. In an epoch each task sums the gradients of its users' pairs, and the
-    driver takes one step with their mean. Items without training rows have no
-    part of their own; with ``id_dropout`` others lose theirs for an epoch, so
-    that tokens learn to do without. Returns the model and the loss by epoch.
+    Users, items and tokens (item_id, token, weight; empty: items alone) have
+    vectors in tables that are joined to the pairs. A batch's gradients are
+    summed by key, and Adam takes a step; an epoch's tables are written. The
+    driver gets the loss. Items without training rows have no part of their own;
+    with ``id_dropout`` others lose theirs for a batch, so that tokens learn to
+    do without. ``each`` sees the model after every epoch. Returns the model and
+    the mean loss by epoch.
     """
-    spark = train.sparkSession
-    ship_package(spark)
-    items = np.array(sorted(r["item_id"] for r in universe.collect()), np.int64)
-    place = {int(i): k for k, i in enumerate(items)}
-    names = sorted({r["token"] for r in tokens.select("token").distinct().collect()})
-    number = {t: k for k, t in enumerate(names)}
-    lists: list[tuple[list[int], list[float]]] = [([], []) for _ in items]
-    for r in tokens.join(universe, "item_id", "left_semi").select("item_id", "token", "weight").orderBy("item_id", "token").collect():
-        lists[place[r["item_id"]]][0].append(number[r["token"]])
-        lists[place[r["item_id"]]][1].append(r["weight"])
-    model = PairwiseModel(items, [(np.array(a, np.int64), np.array(w)) for a, w in lists], max(1, len(names)), dim, seed)
-    for r in train.select("item_id").distinct().collect():
-        model.trained[place[r["item_id"]]] = True
-    users = cut_lineage(train.groupBy("user_id").agg(F.sort_array(F.collect_set("item_id")).alias("bought")))
-    pool, losses = np.flatnonzero(model.trained), []
-    for epoch in range(epochs):
-        masked = np.random.default_rng((seed, epoch)).random(len(items)) < id_dropout
-        shared = spark.sparkContext.broadcast((items, model.matrix(masked), model.bias, pool))
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared, epoch=epoch) -> Iterator[pd.DataFrame]:
-            own, v, bias, candidates = shared.value
-            gv, gb, loss, n = np.zeros_like(v), np.zeros_like(bias), 0.0, 0
-            for pdf in batches:
-                for user, bought in zip(pdf["user_id"], pdf["bought"], strict=True):
-                    pos = np.searchsorted(own, bought)
-                    neg = np.random.default_rng((seed, epoch, int(user))).choice(candidates, len(pos))
-                    u = v[pos].mean(axis=0)
-                    x = (v[pos] - v[neg]) @ u + bias[pos] - bias[neg]
-                    pull = 1 / (1 + np.exp(np.clip(x, -30, 30)))
-                    loss, n = loss + float(np.logaddexp(0, -x).sum()), n + len(pos)
-                    gu = (pull[:, None] * (v[pos] - v[neg])).sum(axis=0) / len(pos)
-                    np.add.at(gv, pos, pull[:, None] * u + gu)
-                    np.add.at(gv, neg, -pull[:, None] * u)
-                    np.add.at(gb, pos, pull)
-                    np.add.at(gb, neg, -pull)
-            yield pd.DataFrame({"gv": [gv.ravel()], "gb": [gb], "loss": [loss], "n": [n]})
-
-        sums = users.mapInPandas(run, "gv array<double>, gb array<double>, loss double, n long").collect()  # a row a task
-        n = max(1, sum(r["n"] for r in sums))
-        gv = sum(np.array(r["gv"]).reshape(len(items), dim) for r in sums)
-        gb = sum(np.array(r["gb"]) for r in sums)
-        losses.append(sum(r["loss"] for r in sums) / n)
-        step = rate * len(items) / n
-        model.own += step * gv * (model.trained & ~masked)[:, None] - rate * reg * model.own
-        for i, (at, w) in enumerate(model.tokens):
-            if len(at):
-                np.add.at(model.shared, at, step * w[:, None] * gv[i])
-        model.shared -= rate * reg * model.shared
-        model.bias += step * gb
-    return model, losses
-
-
-def model_vectors(model: PairwiseModel, spark) -> DataFrame:
-    """The model's item vectors, with the bias as one more component, for model_profiles and embedding_recs."""
-    rows = np.column_stack([model.matrix(), model.bias]).tolist()
-    return spark.createDataFrame(list(zip(model.items.tolist(), rows, strict=True)), "item_id long, embedding array<double>")
-
-
-def model_profiles(train: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Each user's mean vector of bought items, as in fit_pairwise, with 1 for the bias: the dot product with an item is the model's score."""
+    d = range(dim + 1)
     bought = train.select("user_id", "item_id").distinct()
-    rows = bought.join(vectors.select("item_id", F.posexplode("embedding").alias("pos", "x"), (F.size("embedding") - 1).alias("bias")), "item_id")
-    means = rows.groupBy("user_id", "pos").agg(F.when(F.col("pos") == F.first("bias"), 1.0).otherwise(F.avg("x")).alias("x"))
-    return means.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("profile"))
+    trained = bought.select(F.col("item_id").alias("t_item")).distinct()
+    tokens = cut_lineage(tokens.select("item_id", "token", "weight").join(universe.select("item_id").distinct(), "item_id", "left_semi"))
+    items = universe.select("item_id").distinct().join(trained, F.col("item_id") == F.col("t_item"), "left")
+    items = cut_lineage(items.select("item_id", F.col("t_item").isNotNull().alias("trained"), *_starts(F.col("item_id"), dim + 1, seed)))
+    shared = cut_lineage(tokens.select("token").distinct().select("token", *_starts(F.col("token"), dim + 1, seed)))
+    users = cut_lineage(bought.select("user_id").distinct().select("user_id", *_starts(F.col("user_id"), dim, seed)))
+    losses, turn = [], 0
+    for epoch in range(epochs):
+        pairs = cut_lineage(negative_samples(bought, seed, epoch))
+        lost = []
+        for b in range(batches):
+            turn += 1
+            some = pairs.filter(F.pmod(F.xxhash64(F.lit(epoch), "user_id", "item_id"), F.lit(batches)) == b)
+            keep = F.pmod(F.xxhash64(F.lit(seed), F.lit(turn), "item_id"), F.lit(1000)) >= int(id_dropout * 1000)
+            v = cut_lineage(PairwiseModel(users, items, shared, tokens, dim).item_vectors(keep))
+            rows = some.join(users.select("user_id", F.col("x").alias("u")), "user_id").join(v.withColumnRenamed("embedding", "p"), "item_id")
+            rows = rows.join(v.select(F.col("item_id").alias("negative"), F.col("embedding").alias("q")), "negative")
+            u = F.array_append("u", F.lit(1.0))
+            apart = F.zip_with("p", "q", lambda a, b: a - b)
+            x = F.aggregate(F.zip_with(u, apart, lambda a, b: a * b), F.lit(0.0), lambda t, y: t + y)
+            rows = rows.select("user_id", "item_id", "negative", u.alias("u"), apart.alias("apart"), F.greatest(F.least(x, F.lit(30.0)), F.lit(-30.0)).alias("x"))
+            rows = cut_lineage(rows.withColumn("pull", 1 / (1 + F.exp("x"))))
+            total = lambda name, vec, n: rows_of(name, vec).groupBy(name).agg(F.count(F.lit(1)).alias("n"), F.array(*[F.sum(F.col("g")[i]) for i in range(n)]).alias("g"))  # noqa: B023, E731
+            rows_of = lambda name, vec: rows.select(F.col(name), F.transform(vec, lambda y: y * F.col("pull")).alias("g"))  # noqa: B023, E731
+            by_user = total("user_id", "apart", dim)
+            ups = rows_of("item_id", "u").unionByName(rows_of("negative", F.transform("u", lambda y: -y)).withColumnRenamed("negative", "item_id"))
+            by_item = cut_lineage(ups.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.sum(F.col("g")[i]) for i in d]).alias("g")))
+            by_token = tokens.join(by_item, "item_id").groupBy("token").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("weight") * F.col("g")[i]) for i in d]).alias("g"))
+            lost.append(rows.agg(F.sum(F.log1p(F.exp(-F.col("x")))), F.count(F.lit(1))).first())
+            users = cut_lineage(_stepped(users, by_user, "user_id", turn, rate, reg))
+            items = cut_lineage(_stepped(items, by_item.filter(keep), "item_id", turn, rate, reg))
+            shared = cut_lineage(_stepped(shared, by_token, "token", turn, rate, reg))
+        losses.append(sum(r[0] or 0.0 for r in lost) / max(1, sum(r[1] for r in lost)))
+        if each:
+            each(PairwiseModel(users, items, shared, tokens, dim))
+    return PairwiseModel(users, items, shared, tokens, dim), losses
+
+
+def model_profiles(model: PairwiseModel) -> DataFrame:
+    """Each user's vector with 1 for the bias: the dot product with an item's vector is the model's score."""
+    return model.users.select("user_id", F.array_append("x", F.lit(1.0)).alias("profile"))
+
+
+def pairwise_recs(model: PairwiseModel, train: DataFrame, k: int) -> DataFrame:
+    """Each user's ``k`` items of largest score that they don't have."""
+    return embedding_recs(model_profiles(model), model.item_vectors(), train, k)
+
+
+def fit_stopped(train: DataFrame, tokens: DataFrame, universe: DataFrame, k: int = 20, most: int = 20, patience: int = 2, share: float = 0.1, **options) -> tuple[PairwiseModel, int]:
+    """fit_pairwise with as many epochs as do best on a validation sample, fitted again on all of ``train``; and their number.
+
+    The sample is the last ``share`` of ``train`` by time (users known before);
+    the score is its mean NDCG at ``k``.
+    """
+    before, after = time_split(train, share)
+    before, after = cut_lineage(before), cut_lineage(after)
+    counts = item_train_counts(universe, before)
+    models: list[PairwiseModel] = []
+
+    class Enough(Exception):
+        pass
+
+    scores: list[float] = []
+
+    def each(model: PairwiseModel) -> None:
+        found = rank_eval(pairwise_recs(model, before, k), after, counts, k).filter("metric = 'ndcg'").first()
+        scores.append((found["value"] if found else None) or 0.0)
+        models.append(model)
+        if len(scores) - 1 - scores.index(max(scores)) >= patience:
+            raise Enough
+
+    try:
+        fit_pairwise(before, tokens, universe, epochs=most, each=each, **options)
+    except Enough:
+        pass
+    best = early_stop(lambda e: scores[e - 1], len(scores), patience)
+    return fit_pairwise(train, tokens, universe, epochs=best, **options)[0], best
 
 
 def rank_eval(recs: DataFrame, truth: DataFrame, counts: DataFrame, k: int) -> DataFrame:
