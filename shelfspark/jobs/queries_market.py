@@ -247,7 +247,7 @@ def a13(spark, d):
 
 
 @query("w4_popularity_expected", f"""{PAIRED}, f AS (SELECT p.segment, x.benefit AS s FROM pairs p JOIN lab x ON x.item_id = first WHERE len(x.benefit) > 0), g AS (SELECT a.segment, x.benefit AS s FROM act a JOIN lab x USING (item_id) WHERE len(x.benefit) > 0), fk AS (SELECT segment, s, count(*)::DOUBLE AS k FROM f GROUP BY 1, 2), gw AS (SELECT segment, s, count(*)::DOUBLE AS w FROM g GROUP BY 1, 2)
-SELECT segment, (SELECT count(*) FROM f WHERE f.segment = fk.segment) AS n, sum(CASE WHEN list_has_any(fk.s, gw.s) THEN k * w ELSE 0 END) / sum(k * w) AS expected FROM fk JOIN gw USING (segment) GROUP BY segment""")
+SELECT segment, any_value(n) AS n, sum(CASE WHEN list_has_any(fk.s, gw.s) THEN k * w ELSE 0 END) / sum(k * w) AS expected FROM fk JOIN gw USING (segment) JOIN (SELECT segment, count(*) AS n FROM f GROUP BY 1) c USING (segment) GROUP BY segment""")
 def w4(spark, d):
     return P.popularity_expected(pairs(spark, d), active(spark, d), P.item_labels(Q.attrs_table(spark, d)), "benefit")
 

@@ -180,7 +180,7 @@ def r11(spark, d):
     train, test, counts = split(spark, d)
     attrs = Q.attrs_table(spark, d)
     tokens = R.token_weights(R.item_tokens(attrs), attrs.count())
-    model, losses = R.fit_pairwise(train, tokens, counts.select("item_id"), epochs=5)
+    model, losses = R.fit_pairwise(train, tokens, counts.select("item_id"), epochs=3)
     found = R.rank_eval(R.pairwise_recs(model, train, K), test, counts, K)
     return found.unionByName(spark.createDataFrame([(f"loss_{i}", x) for i, x in enumerate(losses)], "metric string, value double"))
 
@@ -191,7 +191,7 @@ def r12(spark, d):
     train, test, counts = split(spark, d)
     attrs = Q.attrs_table(spark, d)
     tokens = R.token_weights(R.item_tokens(attrs), attrs.count())
-    model, epochs = R.fit_stopped(train, tokens, counts.select("item_id"), k=K, most=4, patience=1)
+    model, epochs = R.fit_stopped(train, tokens, counts.select("item_id"), k=K, most=2, patience=1)
     found = R.rank_eval(R.pairwise_recs(model, train, K), test, counts, K)
     return found.unionByName(spark.createDataFrame([("epochs", float(epochs))], "metric string, value double"))
 
@@ -211,7 +211,7 @@ def r15(spark, d):
 
 @query("r15_experiment_variants")
 def r15b(spark, d):
-    """The grid over models: popularity, items alone, brands, sellers' and filled attributes, attributes without items, text vectors; two seeds."""
+    """The grid over models: popularity, items alone, items with filled attributes, vectors of bought items; two seeds."""
     train, test, counts = split(spark, d)
     attrs = Q.attrs_table(spark, d)
     n = attrs.count()
@@ -229,13 +229,9 @@ def r15b(spark, d):
     v = vectors(spark, d)
     pop = R.rank_eval(R.popularity_recs(train, test, K), test, counts, K)
     knn = R.rank_eval(R.embedding_recs(R.embedding_profile(train, v), v, train, K), test, counts, K)
-    seller = R.token_weights(R.item_tokens(attrs, "seller"), n)
     return R.experiment_grid({
         "pop": lambda seed: pop,
         "id": fitted(nothing, id_dropout=0.0),
-        "brand": fitted(all_.filter("field = 'brand'")),
-        "seller": fitted(seller),
         "filled": fitted(all_),
-        "attr_only": fitted(all_, id_dropout=1.0),
         "emb_knn": lambda seed: knn,
     }, [0, 1])
