@@ -154,6 +154,12 @@ def a14(spark, d):
     return M.review_terms(labelled_texts(spark, d), "text", "rating", WORDS, SELF)[0]
 
 
+@query("a14_term_ratios", f"""WITH {REVIEWS}, b AS (SELECT bucket, {RATES} FROM r GROUP BY bucket), t AS (SELECT bucket, unnest([{', '.join("'" + n + "'" for n, _ in WORDS)}]) AS term, unnest([{', '.join(n for n, _ in WORDS)}]) AS rate FROM b),
+q AS (SELECT term, max(rate) FILTER (bucket = 'low') AS low, max(rate) FILTER (bucket = 'high') AS high FROM t GROUP BY term) SELECT term, low, high, CASE WHEN high > 0 THEN low / high END AS ratio FROM q""")
+def a14c(spark, d):
+    return M.term_ratios(M.review_terms(labelled_texts(spark, d), "text", "rating", WORDS, SELF)[0])
+
+
 @query("a14_review_terms_by_type", f"WITH {REVIEWS}, t AS (SELECT 'from' AS type, * FROM r WHERE s0 UNION ALL SELECT 'with', * FROM r WHERE s1) SELECT type, bucket, count(*) AS n, {RATES} FROM t WHERE type IN (SELECT type FROM t WHERE bucket = 'low' GROUP BY type HAVING count(*) >= 5) GROUP BY type, bucket")
 def a14b(spark, d):
     return M.review_terms(labelled_texts(spark, d), "text", "rating", WORDS, SELF, 5)[1]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfspark.functions.rules import COMPLAINTS, SELF_TYPES
 from shelfspark.operators.windows import quantile_bins
 
 
@@ -123,7 +124,7 @@ def seller_quality(attrs: DataFrame, inter: DataFrame) -> DataFrame:
     return flat.unionByName(by_fifth)
 
 
-def review_terms(reviews: DataFrame, text: str, rating: str, rules: list[tuple[str, str]], self_rules: list[tuple[str, str]], min_low: int = 30) -> tuple[DataFrame, DataFrame]:
+def review_terms(reviews: DataFrame, text: str, rating: str, rules: list[tuple[str, str]] = COMPLAINTS, self_rules: list[tuple[str, str]] = SELF_TYPES, min_low: int = 30) -> tuple[DataFrame, DataFrame]:
     """Rates of each complaint by rating bucket (low <= 2, high >= 4; a null rating is low), and the same by the type that
     reviewers name as their own, where a type has at least ``min_low`` low reviews."""
     r = F.coalesce(F.col(rating), F.lit(0.0))
@@ -135,3 +136,11 @@ def review_terms(reviews: DataFrame, text: str, rating: str, rules: list[tuple[s
     typed = base.withColumn("type", F.explode("types")).groupBy("type", "bucket").agg(F.count(F.lit(1)).alias("n"), *[F.avg(n).alias(n) for n in names])
     enough = typed.filter((F.col("bucket") == "low") & (F.col("n") >= min_low)).select("type")
     return rates, typed.join(F.broadcast(enough), "type", "left_semi")
+
+
+def term_ratios(rates: DataFrame) -> DataFrame:
+    """(term, low, high, ratio) of review_terms' rates: how often low reviews have a complaint, high ones, and the quotient (null if no high one has it)."""
+    names = [c for c in rates.columns if c not in ("bucket", "n")]
+    flat = rates.select("bucket", F.explode(F.array(*[F.struct(F.lit(c).alias("term"), F.col(c).alias("rate")) for c in names])).alias("e")).select("bucket", "e.*")
+    both = flat.groupBy("term").agg(*[F.max(F.when(F.col("bucket") == b, F.col("rate"))).alias(b) for b in ("low", "high")])
+    return both.withColumn("ratio", F.when(F.col("high") > 0, F.col("low") / F.col("high")))
