@@ -26,6 +26,12 @@ def s5(spark: SparkSession, d: str) -> DataFrame:
     return I.pending(e, e.filter("event_type = 'click'"), ["user_id"]).select("event_id", "user_id")
 
 
+@query("s5_pending_days", "SELECT event_id, user_id, CAST(ts AS DATE) AS day FROM events e WHERE NOT EXISTS (SELECT 1 FROM events d WHERE d.event_type = 'click' AND d.user_id = e.user_id AND CAST(d.ts AS DATE) = CAST(e.ts AS DATE))")
+def s5_days(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").withColumn("day", F.to_date("ts"))
+    return I.pending(e, e.filter("event_type = 'click'"), ["user_id", "day"]).select("event_id", "user_id", "day")
+
+
 @query("p1_parse_details", "SELECT event_id, json_extract_string(props, '$.k') AS k, len(json_keys(props)) AS n_keys FROM events")
 def p1(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "events").select("event_id", I.parse_details(F.col("props")).alias("m"))
@@ -35,11 +41,20 @@ def p1(spark: SparkSession, d: str) -> DataFrame:
 URL = "coalesce(nullif(large, ''), nullif(hi_res, ''))"
 
 
-@query("p2_main_image_url", f"WITH {A.SQL_IMAGES} SELECT item_id, coalesce(min_by({URL}, pos) FILTER (variant = 'MAIN' AND {URL} IS NOT NULL), min_by({URL}, pos) FILTER ({URL} IS NOT NULL)) AS url FROM imgs GROUP BY item_id")
+MAIN_URLS = """(SELECT item_id, url FROM (SELECT item_id, coalesce(nullif(large, ''), hi_res) AS url, row_number() OVER (PARTITION BY item_id ORDER BY CASE WHEN variant = 'MAIN' THEN 0 ELSE 1 END, pos) AS r FROM imgs) WHERE r = 1)"""
+
+
+@query("p2_main_image_url", f"WITH {A.SQL_IMAGES} SELECT * FROM {MAIN_URLS}")
 def p2(spark: SparkSession, d: str) -> DataFrame:
     return A.images(spark, d).select("item_id", I.main_image_url(F.col("images")).alias("url"))
 
 
+@query("p2_main_large_url", f"WITH {A.SQL_IMAGES} SELECT item_id, coalesce(min_by(large, pos) FILTER (variant = 'MAIN' AND large <> ''), min_by(large, pos)) AS url FROM imgs GROUP BY item_id")
+def p2_columns(spark: SparkSession, d: str) -> DataFrame:
+    i = A.images(spark, d).select("item_id", F.struct(F.col("images.variant").alias("variant"), F.col("images.large").alias("large")).alias("columns"))
+    return i.select("item_id", I.main_large_url(F.col("columns")).alias("url"))
+
+
 EXPLODED = f"""WITH {A.SQL_IMAGES}, ex AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY CASE WHEN variant = 'MAIN' THEN 0 ELSE 1 END, pos) - 1 AS "order",
   variant, coalesce(nullif(hi_res, ''), large) AS url, coalesce(hi_res, '') <> '' AS is_hires FROM imgs WHERE {URL} IS NOT NULL)"""
 
@@ -85,7 +100,7 @@ def p7(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select(F.col("p_partkey").alias("item_id"), T.to_number(A.pick(PRICES, F.col("p_partkey"))).alias("price"))
 
 
-@query("p8_build_items", f"WITH {A.SQL_ITEMS}, {A.SQL_IMAGES}, u AS (SELECT item_id, coalesce(min_by({URL}, pos) FILTER (variant = 'MAIN' AND {URL} IS NOT NULL), min_by({URL}, pos) FILTER ({URL} IS NOT NULL)) AS image_url FROM imgs GROUP BY item_id) SELECT item_id, segment, coalesce(title, '') AS title, image_url, price, raw_form FROM items JOIN u USING (item_id)")
+@query("p8_build_items", f"WITH {A.SQL_ITEMS}, {A.SQL_IMAGES} SELECT item_id, segment, coalesce(title, '') AS title, url AS image_url, price, raw_form FROM items JOIN {MAIN_URLS} USING (item_id)")
 def p8(spark: SparkSession, d: str) -> DataFrame:
     raw = A.items(spark, d).join(A.images(spark, d), "item_id")
     rows = raw.unionAll(raw).select("item_id", "segment", F.coalesce("title", F.lit("")).alias("title"), I.main_image_url(F.col("images")).alias("image_url"), "price", "raw_form")

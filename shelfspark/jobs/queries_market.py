@@ -81,6 +81,11 @@ def a4(spark, d):
     return M.profile_catalog(it, {"title": T.nonempty_text(F.col("title")), "features": F.col("features").isNotNull()})
 
 
+@query("a4_example_rows", f"WITH {A.SQL_ITEMS} SELECT item_id, substr(title, 1, 300) AS title, substr(features, 1, 300) AS features, substr(description, 1, 300) AS description FROM items WHERE title NOT IN ('', 'None') AND features NOT IN ('', 'None') AND description NOT IN ('', 'None') ORDER BY item_id LIMIT 2")
+def a4_examples(spark, d):
+    return M.example_rows(A.items(spark, d), "item_id", ["title", "features", "description"])
+
+
 @query("a5_profile_reviews", f"""{BASE}, u AS (SELECT user_id, count(*) AS c FROM inter GROUP BY 1)
 SELECT 'reviews' AS metric, count(*)::DOUBLE AS value FROM raw UNION ALL SELECT 'verified_share', avg(CASE WHEN verified THEN 1.0 ELSE 0 END) FROM raw
 UNION ALL SELECT 'first_ts', min(ts)::DOUBLE FROM raw UNION ALL SELECT 'last_ts', max(ts)::DOUBLE FROM raw UNION ALL SELECT 'users', count(DISTINCT user_id)::DOUBLE FROM raw
@@ -240,6 +245,16 @@ def a12(spark, d):
     return P.cross_brand_consistency(labelled(spark, d))
 
 
+def _named(other: str, n: str, p: str) -> str:
+    return f"""SELECT segment, label, count(*) AS {n}, avg(CASE WHEN list_contains(y, label) THEN 1.0 ELSE 0 END) AS {p} FROM (SELECT p.segment, unnest(x.benefit) AS label, y.benefit AS y FROM drawn p JOIN lab x ON x.item_id = p.first JOIN lab y ON y.item_id = p.{other}
+WHERE x.brand <> y.brand AND len(y.benefit) > 0) GROUP BY 1, 2 HAVING count(*) >= 20 AND {p} > 0"""
+
+
+@query("a12_cross_brand_label_lift", f"{PAIRED}, r AS ({_named('second', 'n', 'p')}), b AS ({_named('rand', 'n_base', 'base')}) SELECT segment, label, n, p, n_base, base, p / base AS lift FROM r JOIN b USING (segment, label)")
+def a12_labels(spark, d):
+    return P.cross_brand_label_lift(labelled(spark, d), "benefit", 20)
+
+
 def _cells(other: str, t: str) -> str:
     return f"""SELECT p.segment, count(*) AS n_{t}, avg(CASE WHEN b AND a THEN 1.0 ELSE 0 END) AS {t}11, avg(CASE WHEN b AND NOT a THEN 1.0 ELSE 0 END) AS {t}10, avg(CASE WHEN NOT b AND a THEN 1.0 ELSE 0 END) AS {t}01, avg(CASE WHEN NOT b AND NOT a THEN 1.0 ELSE 0 END) AS {t}00
 FROM (SELECT p.segment, x.brand = y.brand AS b, list_has_any(x.benefit, y.benefit) AS a FROM drawn p JOIN lab x ON x.item_id = first JOIN lab y ON y.item_id = {other} WHERE x.brand IS NOT NULL AND y.brand IS NOT NULL AND len(x.benefit) > 0 AND len(y.benefit) > 0) p GROUP BY 1"""

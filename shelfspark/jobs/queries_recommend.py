@@ -60,6 +60,16 @@ def r4(spark, d):
     return R.item_tokens(Q.attrs_table(spark, d))
 
 
+SELLER_TOKENS = """SELECT item_id, 'brand' AS field, 'brand=' || lower(regexp_replace(store, '^\\s+|\\s+$', '', 'g')) AS token FROM attrs WHERE coalesce(store, '') <> '' AND store <> 'None'
+UNION ALL SELECT item_id, 'seg', 'seg=' || segment FROM attrs UNION ALL SELECT item_id, 'form', 'form=' || unnest(form_seller) FROM attrs UNION ALL SELECT item_id, 'skin', 'skin=' || unnest(list_filter(skin_seller, lambda x: x <> 'all')) FROM attrs
+UNION ALL SELECT item_id, 'benefit', 'benefit=' || unnest(benefit_seller) FROM attrs UNION ALL SELECT item_id, 'active', 'active=' || unnest(active_seller) FROM attrs"""
+
+
+@query("r4_item_tokens_seller", f"{Q.SQL_ATTRS} {SELLER_TOKENS}")
+def r4_seller(spark, d):
+    return R.item_tokens(Q.attrs_table(spark, d), "seller")
+
+
 @query("r5_token_weights", f"""{Q.SQL_ATTRS}, {TOKENS}, n AS (SELECT count(*) AS n FROM attrs), f AS (SELECT field, token, count(DISTINCT item_id) AS df FROM tok GROUP BY 1, 2), g AS (SELECT *, ln(n::DOUBLE / df) AS idf FROM f, n), h AS (SELECT *, max(idf) OVER (PARTITION BY field) AS top FROM g),
 k AS (SELECT t.*, df, idf, top FROM tok t JOIN h USING (field, token) WHERE field <> 'brand' OR df >= 2)
 SELECT item_id, field, token, CASE WHEN field NOT IN ('brand', 'seg') AND top > 0 THEN greatest(0.05, idf / top) ELSE 1.0 END / count(*) OVER (PARTITION BY item_id, field) AS weight FROM k""")
@@ -148,10 +158,10 @@ PROFILE = """px AS (SELECT t.user_id, i AS pos, sum(v[i]) AS x FROM train t JOIN
 prof AS (SELECT px.user_id, list(x / n ORDER BY pos) AS p FROM px JOIN pn USING (user_id) GROUP BY 1)"""
 
 
-@query("r7_embedding_profile", f"{BASE}, {VECTORS}, {PROFILE} SELECT user_id, round(p[1], 6) AS first_, round(list_sum(p), 6) AS total, CAST(len(p) AS INTEGER) AS dim FROM prof")
+@query("r7_embedding_profile", f"{BASE}, {VECTORS}, {PROFILE} SELECT user_id, CAST(i - 1 AS INTEGER) AS place, round(p[i], 6) AS x FROM prof, generate_series(1, 64) g(i)")
 def r7(spark, d):
     p = R.embedding_profile(split(spark, d)[0], vectors(spark, d))
-    return p.select("user_id", F.round(F.col("profile")[0], 6).alias("first_"), F.round(F.aggregate("profile", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.size("profile").alias("dim"))
+    return p.select("user_id", F.posexplode("profile").alias("place", "x")).withColumn("x", F.round("x", 6))
 
 
 @query("r8_embedding_recs", f"""{BASE}, {VECTORS}, {PROFILE}, sc AS (SELECT user_id, item_id, round(list_dot_product(p, v), 9) AS score FROM prof, vec WHERE NOT EXISTS (SELECT 1 FROM train t WHERE t.user_id = prof.user_id AND t.item_id = vec.item_id)),

@@ -64,13 +64,37 @@ def n14(spark, d):
     return O.assemble_lines(ocr(spark, d), ["item_id"])
 
 
-RAWS = ['{"form": "cream", "skin_type": ["dry"], "benefits": ["hydrating", "firming"], "evidence": {"form": "a rich cream", "skin_type": "for dry skin"}}', '{"form": "gel", "skin_type": ["oily", "acne"], "benefits": ["bright', "sorry", None, 'Here: {"form": "serum", "skin_type": [], "benefits": []}']
+RAWS = [
+    '{"form": "cream", "skin_type": ["dry"], "benefits": ["hydrating", "firming"], "evidence": {"form": "a rich cream", "skin_type": "for dry skin"}}',
+    '{"form": "gel", "skin_type": ["oily", "acne"], "benefits": ["bright',
+    "sorry",
+    None,
+    'Here: {"form": "serum", "skin_type": [], "benefits": []}',
+    '{"form": "balm", "skin_type": ["dry"], "benefits": ["soothing"], "evidence": {"form": "a soft balm", "skin_type": ["on dry skin", "cracked"], "benefits": ["calms", "smooth',
+]
 
 
-@query("n15_parse_model_output")
+def _evidence_sql(key: str) -> str:
+    cut = f"""regexp_extract_all(regexp_extract(tail, '"{key}"\\s*:\\s*\\[([^\\]]*)$', 1), '"([^"]*)"', 1)"""
+    return f"""CASE WHEN ok THEN json_extract_string(j, '$.evidence.{key}') WHEN regexp_matches(tail, '"{key}"\\s*:\\s*"[^"]*"') THEN regexp_extract(tail, '"{key}"\\s*:\\s*"([^"]*)"', 1)
+WHEN regexp_matches(tail, '"{key}"\\s*:\\s*\\[[^\\]]*\\]') THEN regexp_extract(tail, '"{key}"\\s*:\\s*(\\[[^\\]]*\\])', 1) WHEN len({cut}) > 0 THEN CAST(to_json({cut}) AS VARCHAR) END AS {key}_quote"""
+
+
+def _list_sql(key: str) -> str:
+    return f"""CASE WHEN ok THEN coalesce(CAST(json_extract(j, '$.{key}') AS VARCHAR[]), []) ELSE regexp_extract_all(regexp_extract(head, '"{key}"\\s*:\\s*\\[([^\\]]*)', 1), '"([^"]*)"', 1) END"""
+
+
+MODEL_OUTPUT = f"""WITH {A.SQL_ITEMS}, raws AS (SELECT item_id, coalesce({A.sql_pick(RAWS, 'item_id')}, '') AS raw FROM items), x AS (SELECT *, regexp_extract(raw, '(?s)\\{{.*\\}}', 0) AS obj, regexp_split_to_array(raw, '"evidence"\\s*:') AS halves FROM raws),
+y AS (SELECT *, obj <> '' AND json_valid(obj) AS ok, CASE WHEN obj <> '' AND json_valid(obj) THEN obj ELSE '{{}}' END AS j, halves[1] AS head, coalesce(halves[2], '') AS tail FROM x),
+z AS (SELECT item_id, CASE WHEN ok THEN json_extract_string(j, '$.form') ELSE nullif(regexp_extract(head, '"form"\\s*:\\s*"([^"]*)"', 1), '') END AS form, {_list_sql('skin_type')} AS skin, {_list_sql('benefits')} AS benefit, NOT ok AS truncated, {', '.join(map(_evidence_sql, ('form', 'skin_type', 'benefits')))} FROM y)
+SELECT item_id, form, {S.text('skin')} AS skin, {S.text('benefit')} AS benefit, truncated, form_quote, skin_type_quote, benefits_quote FROM z"""
+
+
+@query("n15_parse_model_output", MODEL_OUTPUT)
 def n15(spark, d):
     p = A.items(spark, d).select("item_id", O.parse_model_output(A.pick(RAWS, F.col("item_id"))).alias("p"))
-    return p.select("item_id", "p.form", Q.joined("p.skin").alias("skin"), Q.joined("p.benefit").alias("benefit"), "p.truncated")
+    quotes = [F.col("p.evidence")[k].alias(f"{k}_quote") for k in ("form", "skin_type", "benefits")]
+    return p.select("item_id", "p.form", Q.joined("p.skin").alias("skin"), Q.joined("p.benefit").alias("benefit"), "p.truncated", *quotes)
 
 
 QUOTES = ["Moisturizes and soothes", "clay exfoliating mask", "firming peptides for mature skin types", "", None, "the best gold cream"]
@@ -112,9 +136,14 @@ def n18(spark, d):
     return c.select("item_id", "form", Q.joined("skin").alias("skin"), Q.joined("active").alias("active"))
 
 
-@query("n19_find_evidence")
+WANTED = [label for label, _ in R.FORMS]
+
+
+@query("n19_find_evidence", f"""WITH {A.SQL_ITEMS}, {S.SECTIONS}, w AS (SELECT item_id, pos - 1 AS at_, {A.sql_pick(WANTED, 'item_id')} AS label, lower(raw) AS low FROM lines),
+h AS (SELECT item_id, label, at_, CASE label {' '.join(f"WHEN '{n}' THEN regexp_extract(low, {S.q(f'(?s)(.{{0,60}}(?:{rx}).{{0,60}})')}, 1)" for n, rx in R.FORMS)} END AS evidence FROM w)
+SELECT item_id, label, min_by(evidence, at_) AS evidence, CAST(min(at_) AS INTEGER) AS "first" FROM h WHERE evidence <> '' GROUP BY 1, 2""")
 def n19(spark, d):
-    lines = A.items(spark, d).select("item_id", F.posexplode(F.split(Q.tagged(), "\n")).alias("order", "text"), F.lit("cream").alias("label"))
+    lines = A.items(spark, d).select("item_id", F.posexplode(F.split(Q.tagged(), "\n")).alias("order", "text"), A.pick(WANTED, F.col("item_id")).alias("label"))
     return O.find_evidence(lines, "item_id", "order", "text", "label", R.FORMS)
 
 
@@ -162,6 +191,39 @@ def a18(spark, d):
     return X.score_methods(O.normalize_items(A.items(spark, d)), {"images": labels, "again": labels}, "item_id", "form", ["skin"])
 
 
+def methods(spark, d):
+    """Labels of three methods: images, rules on the text, and both with the title."""
+    images = O.aggregate_labels(kids(spark, d), "item_id", "order", "form", ["skin"])
+    rules = L.with_text_labels(A.items(spark, d), Q.tagged()).select("item_id", F.col("text_form").alias("form"), F.col("text_skin").alias("skin"), F.col("text_active").alias("active"))
+    combined = O.combine_methods(images.withColumn("benefit", L.no_labels()), rules, A.items(spark, d), "item_id")
+    return {"images": images, "rules": rules, "combined": combined}
+
+
+METHODS = f"""{TRUTH}, {S.SECTIONS}, img AS (SELECT u.item_id, b.form, u.skin FROM u LEFT JOIN b USING (item_id)), rul AS (SELECT item_id, form, skin FROM v2),
+com AS (SELECT t.item_id, coalesce({S.first(S.free(S.LOW_TITLE), R.FORMS_V2)}, img.form) AS form, list_sort(list_distinct(list_concat(coalesce(img.skin, []), {S.skin(S.free(S.LOW_TITLE))}))) AS skin FROM items t LEFT JOIN img USING (item_id)),
+mm AS (SELECT 'images' AS method, * FROM img UNION ALL SELECT 'rules', * FROM rul UNION ALL SELECT 'combined', * FROM com),
+tr AS (SELECT item_id, segment, CASE WHEN form <> 'other' THEN form END AS gt_form, coalesce(skin, []) AS gt_skin FROM norm)"""
+RESOLUTION = "hr AS (SELECT item_id, bool_and(is_hires) AS high FROM ex GROUP BY 1), pm AS (SELECT tr.*, mm.method, mm.form AS pred_form, mm.skin AS pred_skin, CASE WHEN high THEN 'high' ELSE 'low' END AS resolution FROM tr JOIN mm USING (item_id) LEFT JOIN hr USING (item_id))"
+
+
+def _methods_sql(by: str) -> str:
+    many = lambda name, where: f"""SELECT method, coalesce({by}, 'ALL') AS {by}, '{name}' AS attribute, count(*) AS n, avg(CASE WHEN len(pred_skin) > 0 THEN 1.0 ELSE 0 END) AS answered, coalesce(sum(len(list_intersect(gt_skin, pred_skin)))::DOUBLE / nullif(sum(len(pred_skin)), 0), 0) AS precision,
+sum(len(list_intersect(gt_skin, pred_skin)))::DOUBLE / sum(len(gt_skin)) AS recall FROM pm WHERE len(gt_skin) > 0 AND {where} GROUP BY GROUPING SETS ((method, {by}), (method))"""
+    return f"""SELECT method, coalesce({by}, 'ALL') AS {by}, 'form' AS attribute, count(*) AS n, avg(CASE WHEN pred_form IS NOT NULL THEN 1.0 ELSE 0 END) AS answered, coalesce(count(*) FILTER (pred_form = gt_form)::DOUBLE / nullif(count(pred_form), 0), 0) AS precision, NULL::DOUBLE AS recall FROM pm WHERE gt_form IS NOT NULL GROUP BY GROUPING SETS ((method, {by}), (method))
+UNION ALL {many('skin', 'true')} UNION ALL {many('skin_not_all', "gt_skin <> ['all']")}"""
+
+
+@query("a18_methods_by_segment", f"{METHODS}, {RESOLUTION} {_methods_sql('segment')}")
+def a18_segment(spark, d):
+    return X.score_methods(O.normalize_items(A.items(spark, d)), methods(spark, d), "item_id", "form", ["skin"], vague={"skin": "all"})
+
+
+@query("a18_methods_by_resolution", f"{METHODS}, {RESOLUTION} {_methods_sql('resolution')}")
+def a18_resolution(spark, d):
+    stats = C.image_stats(I.explode_images(A.images(spark, d), "item_id"), "item_id")
+    return X.score_methods(O.normalize_items(A.items(spark, d)), methods(spark, d), "item_id", "form", ["skin"], "resolution", {"skin": "all"}, stats)
+
+
 @query("a19_extra_info_share", f"""{KIDS}, a AS (SELECT item_id, list_distinct(flatten(list(skin))) AS al, coalesce(flatten(list(skin) FILTER ("order" = 0)), []) AS mn FROM kids GROUP BY 1)
 SELECT count(*) AS n, avg(CASE WHEN len(list_filter(al, lambda x: NOT list_contains(mn, x))) > 0 THEN 1.0 ELSE 0 END) AS share FROM a WHERE len(al) > 0""")
 def a19(spark, d):
@@ -184,6 +246,15 @@ def a21(spark, d):
     return X.corrected_precision(X.score_multilabel(p, "skin").filter("segment = 'ALL'"), verdicts)
 
 
+NOTES = ["vague word", " title only", "vague word ", None, "other product"]
+
+
+@query("a21_review_notes", f"{TRUTH}, e AS ({ERRORS}), vd AS (SELECT ['A', 'B', 'C', 'x'][item_id % 4 + 1] AS verdict, trim({A.sql_pick(NOTES, 'item_id')}) AS note FROM e) SELECT note, count(*) AS n FROM vd WHERE verdict = 'B' AND note IS NOT NULL GROUP BY 1 ORDER BY n DESC, note LIMIT 10")
+def a21_notes(spark, d):
+    wrong = X.error_candidates(predicted(spark, d), "item_id", "form", ["skin"])
+    return X.review_notes(wrong.withColumns({"verdict": A.pick(["A", "B", "C", "x"], F.col("item_id")), "note": A.pick(NOTES, F.col("item_id"))}))
+
+
 MATRIX = f"{TRUTH}, r AS (SELECT item_id, unnest(pred_skin) AS label, 'images' AS m FROM p UNION ALL SELECT item_id, unnest(gt_skin), 'in_truth' FROM p), x AS (SELECT item_id, 'skin' AS attribute, label, bool_or(m = 'images') AS images, bool_or(m = 'in_truth') AS in_truth FROM r GROUP BY 1, 2, 3)"
 
 
@@ -202,8 +273,76 @@ def a23(spark, d):
     return X.audit_score(matrix(spark, d).withColumn("verdict", F.when(F.col("item_id") % 3 == 0, "O").otherwise("X")), ["images"])
 
 
-@query("a24_compare_score", f"""{TRUTH}, h AS (SELECT *, list_distinct(['dry', CASE WHEN item_id % 2 = 0 THEN 'oily' ELSE 'dry' END]) AS h, unnest(['all', CASE WHEN len(gt_skin) = 0 THEN 'blank' ELSE 'has_truth' END]) AS kind FROM p)
-SELECT 'skin' AS attribute, kind, 'images' AS method, count(*) AS n, avg(CASE WHEN len(pred_skin) > 0 THEN 1.0 ELSE 0 END) AS answered, CASE WHEN sum(len(pred_skin)) > 0 THEN sum(len(list_intersect(h, pred_skin)))::DOUBLE / sum(len(pred_skin)) ELSE 0 END AS precision, sum(len(list_intersect(h, pred_skin)))::DOUBLE / sum(len(h)) AS recall FROM h GROUP BY kind""")
+MANY = f"""{METHODS}, lab AS (SELECT method, item_id, 'form' AS attribute, form AS label FROM mm WHERE form IS NOT NULL UNION ALL SELECT method, item_id, 'skin', unnest(skin) FROM mm UNION ALL SELECT 'in_truth', item_id, 'form', gt_form FROM tr WHERE gt_form IS NOT NULL UNION ALL SELECT 'in_truth', item_id, 'skin', unnest(gt_skin) FROM tr),
+mx AS (SELECT item_id, attribute, label, bool_or(method = 'images') AS images, bool_or(method = 'rules') AS rules, bool_or(method = 'combined') AS combined, bool_or(method = 'in_truth') AS in_truth FROM lab GROUP BY 1, 2, 3),
+jd AS (SELECT mx.*, tr.gt_form IS NULL AND len(gt_skin) = 0 AS blank, ['O', 'x', '', 'o'][mx.item_id % 4 + 1] AS verdict FROM mx JOIN tr USING (item_id) WHERE verdict <> '')"""
+EACH = "(SELECT unnest(['images', 'rules', 'combined']) AS method, unnest([images, rules, combined]) AS given, * FROM jd)"
+
+
+def as_lists(df):
+    return df.select("item_id", F.when(F.col("form").isNotNull(), F.array("form")).otherwise(L.no_labels()).alias("form"), "skin")
+
+
+def judged(spark, d):
+    """The labels of three methods and the truth, with a human's marks."""
+    own = O.normalize_items(A.items(spark, d)).select("item_id", F.when(F.col("form") != "other", F.col("form")).alias("form"), F.coalesce("skin", L.no_labels()).alias("skin"))
+    sheet = X.audit_matrix({n: as_lists(m) for n, m in methods(spark, d).items()}, as_lists(own), "item_id", ["form", "skin"])
+    blank = own.select("item_id", (F.col("form").isNull() & (F.size("skin") == 0)).alias("blank"))
+    return sheet.join(blank, "item_id").withColumn("verdict", A.pick(["O", "x", "", "o"], F.col("item_id")))
+
+
+@query("a22_audit_methods", f"{MANY} SELECT * FROM mx")
+def a22_methods(spark, d):
+    return judged(spark, d).drop("blank", "verdict")
+
+
+@query("a23_audit_methods", f"{MANY} SELECT attribute, method, count(*) AS n, avg(CASE WHEN upper(verdict) = 'O' THEN 1.0 ELSE 0 END) AS human, avg(CASE WHEN in_truth THEN 1.0 ELSE 0 END) FILTER (NOT blank) AS seller FROM {EACH} WHERE given GROUP BY 1, 2")
+def a23_methods(spark, d):
+    return X.audit_score(judged(spark, d), ["images", "rules", "combined"], blank="blank")
+
+
+@query("a23_audit_blank", f"{MANY} SELECT method, count(*) AS n, avg(CASE WHEN upper(verdict) = 'O' THEN 1.0 ELSE 0 END) AS human FROM {EACH} WHERE given AND blank GROUP BY 1")
+def a23_blank(spark, d):
+    return X.audit_blank(judged(spark, d), ["images", "rules", "combined"])
+
+
+SHEET = f"""{METHODS}, own AS (SELECT item_id, segment, gt_form IS NULL AND len(gt_skin) = 0 AS blank, coalesce(gt_form, '') AS f, gt_skin AS s FROM tr),
+sh AS (SELECT own.item_id, segment, blank, unnest(['form', 'skin']) AS attribute, unnest([f, array_to_string(s, ', ')]) AS seller, {', '.join(f"unnest([coalesce({t}.form, ''), coalesce(array_to_string({t}.skin, ', '), '')]) AS {n}" for n, t in (('images', 'img'), ('rules', 'rul'), ('combined', 'com')))}
+FROM own LEFT JOIN img USING (item_id) LEFT JOIN rul USING (item_id) LEFT JOIN com USING (item_id))"""
+
+
+def sheet(spark, d):
+    return X.compare_sheet(O.normalize_items(A.items(spark, d)), methods(spark, d), "item_id", "form", ["skin"])
+
+
+@query("a24_compare_sheet", f"{SHEET} SELECT *, seller AS human, '' AS confirmed, '' AS note FROM sh")
+def a24_sheet(spark, d):
+    return sheet(spark, d)
+
+
+SPLIT = "list_filter(list_transform(string_split(lower({}), ','), lambda x: trim(x)), lambda x: x <> '')"
+
+
+def _canonical_sql(c: str) -> str:
+    return f"CASE WHEN attribute = 'skin' THEN {S.canonical(SPLIT.format(c))} ELSE list_distinct({SPLIT.format(c)}) END"
+
+
+SCORED = "SELECT attribute, kind, method, count(*) AS n, avg(CASE WHEN len(p) > 0 THEN 1.0 ELSE 0 END) AS answered, coalesce(sum(len(list_intersect(t, p)))::DOUBLE / nullif(sum(len(p)), 0), 0) AS precision, coalesce(sum(len(list_intersect(t, p)))::DOUBLE / nullif(sum(len(t)), 0), 0) AS recall"
+
+
+@query("a24_compare_methods", f"""{SHEET}, hm AS (SELECT *, CASE WHEN item_id % 3 = 0 THEN combined WHEN attribute = 'skin' AND item_id % 3 = 1 THEN 'Dry, oily, normal,combination' ELSE seller END AS human FROM sh WHERE item_id % 5 <> 0),
+mt AS (SELECT attribute, unnest(['all', CASE WHEN blank THEN 'blank' ELSE 'has_truth' END]) AS kind, {_canonical_sql('human')} AS t, images, rules, combined, seller FROM hm),
+lg AS (SELECT attribute, kind, t, unnest(['images', 'rules', 'combined', 'seller']) AS method, unnest([images, rules, combined, seller]) AS v FROM mt),
+sc AS (SELECT attribute, kind, method, t, {_canonical_sql('v')} AS p FROM lg WHERE NOT (kind = 'blank' AND method = 'seller')) {SCORED} FROM sc GROUP BY 1, 2, 3""")
+def a24_methods(spark, d):
+    at = F.col("item_id") % 3
+    human = F.when(at == 0, F.col("combined")).when((F.col("attribute") == "skin") & (at == 1), "Dry, oily, normal,combination").otherwise(F.col("seller"))
+    done = sheet(spark, d).withColumns({"human": human, "confirmed": F.when(F.col("item_id") % 5 != 0, " y").otherwise("")})
+    return X.compare_score(done, ["images", "rules", "combined"], confirmed="confirmed", seller="seller")
+
+
+@query("a24_compare_score", f"""{TRUTH}, h AS (SELECT *, {S.canonical('pred_skin')} AS ps, list_distinct(['dry', CASE WHEN item_id % 2 = 0 THEN 'oily' ELSE 'dry' END]) AS h, unnest(['all', CASE WHEN len(gt_skin) = 0 THEN 'blank' ELSE 'has_truth' END]) AS kind FROM p)
+SELECT 'skin' AS attribute, kind, 'images' AS method, count(*) AS n, avg(CASE WHEN len(ps) > 0 THEN 1.0 ELSE 0 END) AS answered, CASE WHEN sum(len(ps)) > 0 THEN sum(len(list_intersect(h, ps)))::DOUBLE / sum(len(ps)) ELSE 0 END AS precision, sum(len(list_intersect(h, ps)))::DOUBLE / sum(len(h)) AS recall FROM h GROUP BY kind""")
 def a24(spark, d):
     p = predicted(spark, d)
     human = F.when(F.col("item_id") % 2 == 0, "Dry, oily").otherwise("dry")

@@ -99,23 +99,37 @@ def assemble_lines(lines: DataFrame, keys: list[str], min_score: float = 0.5) ->
 
 
 def parse_model_output(raw: Column) -> Column:
-    """form, skin, benefit and evidence of a model's JSON; of a cut string, the fields and list items that are whole; truncated says so."""
+    """form, skin, benefit and evidence of a model's JSON; of a cut string, the fields and list items that are whole, evidence included; truncated says so.
+
+    Evidence is a map from field to quote; a list of quotes stays a JSON array.
+    """
     schema = "form string, skin_type array<string>, benefits array<string>, evidence map<string,string>, _corrupt_record string"
     whole = F.from_json(F.regexp_extract(F.coalesce(raw, F.lit("")), r"(?s)\{.*\}", 0), schema, {"columnNameOfCorruptRecord": "_corrupt_record"})
     good = whole.isNotNull() & whole["_corrupt_record"].isNull() & raw.rlike(r"(?s)\{.*\}")
-    head = F.split(F.coalesce(raw, F.lit("")), r'"evidence"\s*:')[0]
+    halves = F.split(F.coalesce(raw, F.lit("")), r'"evidence"\s*:', 2)
+    head, tail = F.get(halves, 0), F.coalesce(F.get(halves, 1), F.lit(""))
 
     def listed(key: str) -> Column:
         inside = F.regexp_extract(head, rf'(?s)"{key}"\s*:\s*\[([^\]]*)', 1)
         return F.regexp_extract_all(inside, F.lit(r'"([^"]*)"'), 1)
 
     form = F.nullif(F.regexp_extract(head, r'"form"\s*:\s*"([^"]*)"', 1), F.lit(""))
+    def quoted(key: str) -> Column:
+        quote, several = rf'"{key}"\s*:\s*"([^"]*)"', rf'"{key}"\s*:\s*(\[[^\]]*\])'
+        cut = F.regexp_extract_all(F.regexp_extract(tail, rf'"{key}"\s*:\s*\[([^\]]*)$', 1), F.lit(r'"([^"]*)"'), 1)
+        return (
+            F.when(tail.rlike(quote), F.regexp_extract(tail, quote, 1)).when(tail.rlike(several), F.regexp_extract(tail, several, 1))
+            .when(F.size(cut) > 0, F.to_json(cut))
+        )
+
+    keys = ("form", "skin_type", "benefits")
+    found = F.map_filter(F.map_from_arrays(F.array(*map(F.lit, keys)), F.array(*map(quoted, keys))), lambda k, v: v.isNotNull())
     choose = lambda a, b: F.when(good, a).otherwise(b)
     return F.struct(
         choose(whole["form"], form).alias("form"),
         choose(F.coalesce(whole["skin_type"], L.no_labels()), listed("skin_type")).alias("skin"),
         choose(F.coalesce(whole["benefits"], L.no_labels()), listed("benefits")).alias("benefit"),
-        F.when(good, whole["evidence"]).alias("evidence"),
+        choose(whole["evidence"], found).alias("evidence"),
         (~good).alias("truncated"),
     )
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark.functions.rules import COMPLAINTS, SELF_TYPES
+from shelfspark.functions.text import nonempty_text
 from shelfspark.operators.windows import quantile_bins
 
 
@@ -38,6 +39,14 @@ def profile_catalog(items: DataFrame, filled: dict[str, Column]) -> DataFrame:
     return items.select(F.explode(F.array(*entries)).alias("e")).groupBy("e.metric", "e.value").agg(F.sum("e.n").alias("n"))
 
 
+def example_rows(items: DataFrame, key: str, columns: list[str], n: int = 2, width: int = 300) -> DataFrame:
+    """The first ``n`` rows by key that have all ``columns``, each clipped to ``width`` characters."""
+    whole = items
+    for c in columns:
+        whole = whole.filter(nonempty_text(F.col(c)))
+    return whole.select(key, *[F.substring(c, 1, width).alias(c) for c in columns]).orderBy(key).limit(n)
+
+
 def profile_reviews(reviews: DataFrame, inter: DataFrame, ks: list[int]) -> DataFrame:
     """(metric, value) of reviews: totals, verified share, time range, users, and users and rows kept at each k."""
     all_ = reviews.agg(

@@ -68,6 +68,24 @@ def cross_brand_consistency(pairs: DataFrame, attributes: list[str] = ATTRIBUTES
     return joined.select("segment", "attribute", "n", "n_base", "p", "base", F.when(F.col("base") > 0, F.col("p") / F.col("base")).alias("lift"))
 
 
+def cross_brand_label_lift(pairs: DataFrame, attribute: str, min_pairs: int = 200) -> DataFrame:
+    """For each label of the first item: how often an item of another known brand has it, bought next against drawn at random.
+
+    Real and random pairs are each on their own; items without labels are
+    skipped, and both sides need ``min_pairs`` pairs and a hit.
+    """
+    get = lambda side: F.coalesce(F.col(f"{side}_labels")[attribute], F.array().cast("array<string>"))
+
+    def shares(other: str, n: str, p: str) -> DataFrame:
+        rows = pairs.filter(F.col("first_brand") != F.col(f"{other}_brand")).select("segment", get("first").alias("x"), get(other).alias("y")).filter(F.size("y") > 0)
+        each = rows.select("segment", F.explode(F.array_distinct("x")).alias("label"), "y")
+        hit = F.avg(F.when(F.expr("array_contains(y, label)"), 1.0).otherwise(0.0))
+        return each.groupBy("segment", "label").agg(F.count(F.lit(1)).alias(n), hit.alias(p)).filter((F.col(n) >= min_pairs) & (F.col(p) > 0))
+
+    both = shares("second", "n", "p").join(shares("rand", "n_base", "base"), ["segment", "label"])
+    return both.withColumn("lift", F.col("p") / F.col("base"))
+
+
 def brand_attr_synergy(pairs: DataFrame, attribute: str, min_pairs: int = 500) -> DataFrame:
     """Same brand and same attribute, real against random, and whether both together lift more than each alone."""
     get = lambda side: F.coalesce(F.col(f"{side}_labels")[attribute], F.array().cast("array<string>"))

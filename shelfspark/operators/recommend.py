@@ -208,8 +208,11 @@ def embedding_recs(profiles: DataFrame, vectors: DataFrame, train: DataFrame, k:
     return top_k(out, k)
 
 
-def text_vectors(items: DataFrame, text: str, dim: int = 256) -> DataFrame:
-    """A unit vector for each item from its words: hashed counts weighed by rarity. Items without words get zeros."""
+def text_vectors(items: DataFrame, text: str, dim: int = 256, wanted: DataFrame | None = None) -> DataFrame:
+    """A unit vector for each item from its words: hashed counts weighed by rarity. Items without words get zeros.
+
+    Given ``wanted`` (item_id), those items get a vector; of one that ``items`` lacks it is zeros.
+    """
     from pyspark.ml.feature import IDF, HashingTF, Normalizer, Tokenizer
     from pyspark.ml.functions import vector_to_array
 
@@ -217,7 +220,11 @@ def text_vectors(items: DataFrame, text: str, dim: int = 256) -> DataFrame:
     counts = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=dim).transform(words)
     rare = IDF(inputCol="_tf", outputCol="_idf").fit(counts).transform(counts)
     unit = Normalizer(inputCol="_idf", outputCol="_v").transform(rare)
-    return unit.select("item_id", vector_to_array("_v").alias("embedding"))
+    found = unit.select("item_id", vector_to_array("_v").alias("embedding"))
+    if wanted is None:
+        return found
+    all_wanted = wanted.select("item_id").distinct().join(found, "item_id", "left")
+    return all_wanted.withColumn("embedding", F.coalesce("embedding", F.array_repeat(F.lit(0.0), dim)))
 
 
 def negative_samples(train: DataFrame, seed: int, epoch: int = 0) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -13,10 +14,30 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType | str, limit:
     return df if limit is None else df.limit(limit)
 
 
-def read_sheet(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """A CSV sheet with a header; a byte-order mark in it is taken off. Sheets in another encoding name it ('cp949')."""
-    df = spark.read.option("header", True).option("encoding", encoding).option("multiLine", True).option("escape", '"').csv(path)
-    return df.toDF(*[c.lstrip("﻿") for c in df.columns])
+def read_sheet(spark: SparkSession, path: str, encoding: str = "UTF-8", fallback: str | None = "cp949") -> DataFrame:
+    """A CSV sheet with a header; a byte-order mark in it is taken off.
+
+    A sheet that has bytes outside ``encoding`` is read byte by byte and decoded
+    as ``fallback`` (any of Python's that keeps ASCII), as spreadsheet programs may
+    save in another encoding; None reads it as it is.
+    """
+    def read(name: str) -> DataFrame:
+        df = spark.read.option("header", True).option("encoding", name).option("multiLine", True).option("escape", '"').csv(path)
+        return df.toDF(*[c.lstrip("﻿") for c in df.columns])
+
+    df = read(encoding)
+    if fallback is None or not df.columns:
+        return df
+    broken = F.concat_ws("", *[F.col(f"`{c}`") for c in df.columns]).contains("\ufffd")
+    if "\ufffd" not in "".join(df.columns) and df.filter(broken).isEmpty():
+        return df
+
+    @F.pandas_udf("string")
+    def decoded(cells: pd.Series) -> pd.Series:
+        return cells.map(lambda c: None if c is None else c.encode("latin-1").decode(fallback, "replace"))
+
+    raw = read("ISO-8859-1")
+    return raw.select(*[decoded(F.col(f"`{c}`")).alias(c.encode("latin-1").decode(fallback, "replace")) for c in raw.columns])
 
 
 def write_sheet(df: DataFrame, path: str) -> None:
@@ -25,6 +46,24 @@ def write_sheet(df: DataFrame, path: str) -> None:
     df.select(F.col(first).alias("﻿" + first), *rest).coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
 
 
+def write_report(parts: list[tuple[str, DataFrame]], path: str) -> None:
+    """Summary tables, each under its title, as one Markdown text; a table's rows are sorted by its columns.
+
+    Meant for summaries, which are small whatever they sum up: one task writes them.
+    """
+    out = None
+    for at, (title, df) in enumerate(parts):
+        cells = [F.regexp_replace(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), r"\s*[|\r\n]+\s*", " ") for c in df.columns]
+        head = f"## {title}\n\n| {' | '.join(df.columns)} |\n|{'---|' * len(df.columns)}"
+        body = df.select(F.lit(at).alias("part"), F.lit(1).alias("place"), F.concat(F.lit("| "), F.array_join(F.array(*cells), " | "), F.lit(" |")).alias("line"))
+        top = df.sparkSession.range(1).select(F.lit(at).alias("part"), F.lit(0).alias("place"), F.lit(head).alias("line"))
+        end = df.sparkSession.range(1).select(F.lit(at).alias("part"), F.lit(2).alias("place"), F.lit("").alias("line"))
+        for piece in (top, body, end):
+            out = piece if out is None else out.unionByName(piece)
+    if out is not None:
+        out.coalesce(1).sortWithinPartitions("part", "place", "line").select("line").write.mode("overwrite").text(path)
+
+
 def pending(df: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose keys are not in ``done`` yet; append their results to it."""
     return df.join(done.select(*keys).distinct(), keys, "left_anti")
@@ -43,14 +82,20 @@ def image_list(columns: Column) -> Column:
 
 
 def image_url(image: Column) -> Column:
-    """The large picture, else the high-resolution one; null if both are missing or empty."""
-    return F.coalesce(F.nullif(image["large"], F.lit("")), F.nullif(image["hi_res"], F.lit("")))
+    """The large picture; where it is missing or empty, the high-resolution one as it is."""
+    return F.coalesce(F.nullif(image["large"], F.lit("")), image["hi_res"])
 
 
 def main_image_url(images: Column) -> Column:
-    """The first main image's address, else the first image's."""
-    urls = lambda a: F.get(F.array_compact(F.transform(a, image_url)), 0)
-    return F.coalesce(urls(F.filter(images, lambda i: i["variant"] == "MAIN")), urls(images))
+    """The first main image's address, even if it has none; without a main image the first one's."""
+    return image_url(F.coalesce(F.get(F.filter(images, lambda i: i["variant"] == "MAIN"), 0), F.get(images, 0)))
+
+
+def main_large_url(columns: Column) -> Column:
+    """Of a struct of arrays (variant, large): the first main image's large picture that is not empty, else the first large one as it is."""
+    both = F.arrays_zip(columns["variant"].alias("variant"), columns["large"].alias("large"))
+    main = F.get(F.filter(both, lambda i: (i["variant"] == "MAIN") & (i["large"] != "")), 0)
+    return F.coalesce(main["large"], F.get(columns["large"], 0))
 
 
 def explode_images(df: DataFrame, key: str, images: str = "images") -> DataFrame:

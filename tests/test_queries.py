@@ -107,3 +107,35 @@ def test_sheets_and_lines(spark, tmp_path):
     assert I.read_sheet(spark, str(tmp_path / "sheet")).columns == ["product", "note"]
     (tmp_path / "x.jsonl").write_text('{"a": 1}\n{"a": 2}\n')
     assert I.read_jsonl(spark, str(tmp_path / "x.jsonl"), "a long", 1).count() == 1
+    for name in ("utf-8-sig", "cp949"):
+        (tmp_path / f"{name}.csv").write_bytes("product,memo\na,맞음 뷁\nb,\n".encode(name))
+        got = I.read_sheet(spark, str(tmp_path / f"{name}.csv"))
+        assert [tuple(r) for r in got.select("product", "memo").collect()] == [("a", "맞음 뷁"), ("b", None)]
+
+
+def test_report(spark, tmp_path):
+    from shelfspark.sources import ingest as I
+
+    df = spark.createDataFrame([("b", 2.5), ("a|c", None)], "name string, share double")
+    I.write_report([("First", df), ("Second", df.filter("share > 9"))], str(tmp_path / "report"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "report").glob("part-*")))
+    assert text == "## First\n\n| name | share |\n|---|---|\n| a c |  |\n| b | 2.5 |\n\n## Second\n\n| name | share |\n|---|---|\n\n"
+
+
+def test_text_vectors_of_missing_items(spark):
+    from shelfspark.operators import recommend as R
+
+    items = spark.createDataFrame([(1, "dry skin"), (2, None), (3, "gel")], "item_id long, t string")
+    wanted = spark.createDataFrame([(1,), (2,), (9,), (9,)], "item_id long")
+    got = {r["item_id"]: r["embedding"] for r in R.text_vectors(items, "t", 16, wanted).collect()}
+    assert set(got) == {1, 2, 9} and got[9] == [0.0] * 16 and got[2][:0] == [] and sum(x * x for x in got[1]) == pytest.approx(1)
+
+
+def test_cut_model_output(spark):
+    from pyspark.sql import functions as F
+
+    from shelfspark.operators.attributes import parse_model_output
+
+    raw = '{"form": "balm", "benefits": ["calms"], "evidence": {"form": "a soft balm", "benefits": ["it calms", "and smoo'
+    got = spark.createDataFrame([(raw,)], "raw string").select(parse_model_output(F.col("raw")).alias("p")).first()["p"]
+    assert got["truncated"] and got["form"] == "balm" and got["benefit"] == ["calms"] and got["evidence"] == {"form": "a soft balm", "benefits": '["it calms"]'}
