@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ATTRIBUTES = ["form", "skin", "benefit", "benefit_main", "active", "active_main", "store"]
@@ -26,26 +26,38 @@ def attach_pair_attributes(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return out
 
 
-def _stacked(pairs: DataFrame, other: str, attributes: list[str]) -> DataFrame:
-    """A row for each pair and attribute: labels of the first item (x) and the other one (y)."""
-    one = lambda side: F.transform(F.array(*[F.lit(a) for a in attributes]), lambda a: F.struct(a.alias("attribute"), F.coalesce(F.col(f"first_labels")[a], F.array().cast("array<string>")).alias("x"), F.coalesce(F.col(f"{side}_labels")[a], F.array().cast("array<string>")).alias("y")))  # noqa: E731, F541
-    return pairs.select("segment", F.explode(one(other)).alias("e")).select("segment", "e.*")
+def _overlaps(pairs: DataFrame, others: dict[str, tuple[str, str]], attributes: list[str], other_brand: bool = False) -> DataFrame:
+    """For each segment and attribute and each item that the first one is held against: how many pairs have labels on both sides, and which share of them has one in common.
+
+    ``others`` names the count and the share for each; 'all' is no skin label.
+    Given ``other_brand``, only pairs of two known, different brands count. One
+    pass over the pairs for all attributes and sides.
+    """
+    none = F.array().cast("array<string>")
+
+    def labels(side: str, a: Column) -> Column:
+        own = F.coalesce(F.col(f"{side}_labels")[a], none)
+        return F.when(a == "skin", F.filter(own, lambda v: v != "all")).otherwise(own)
+
+    entries = F.transform(F.array(*map(F.lit, attributes)), lambda a: F.struct(a.alias("attribute"), labels("first", a).alias("first"), *[labels(o, a).alias(o) for o in others]))
+    known = [(F.col("first_brand") != F.col(f"{o}_brand") if other_brand else F.lit(True)).alias(f"{o}_counts") for o in others]
+    rows = pairs.select("segment", F.explode(entries).alias("e"), *known).filter(F.size("e.first") > 0)
+    found = []
+    for o, (n, p) in others.items():
+        both = F.col(f"{o}_counts") & (F.size(F.col("e")[o]) > 0)
+        found += [F.count_if(both).alias(n), F.avg(F.when(both, F.arrays_overlap(F.col("e.first"), F.col("e")[o]).cast("double"))).alias(p)]
+    return rows.groupBy("segment", F.col("e.attribute").alias("attribute")).agg(*found)
 
 
 def pair_overlap(pairs: DataFrame, other: str, attributes: list[str] = ATTRIBUTES) -> DataFrame:
-    """Of the pairs in which both items have an attribute, how many share a label; 'all' is no skin label. One pass for all attributes."""
-    rows = _stacked(pairs, other, attributes)
-    plain = lambda c: F.when(F.col("attribute") == "skin", F.filter(c, lambda v: v != "all")).otherwise(F.col(c))
-    rows = rows.withColumns({"x": plain("x"), "y": plain("y")}).filter((F.size("x") > 0) & (F.size("y") > 0))
-    return rows.groupBy("segment", "attribute").agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.arrays_overlap("x", "y"), 1.0).otherwise(0.0)).alias("p"))
+    """Of the pairs in which both items have an attribute, how many share a label; 'all' is no skin label."""
+    return _overlaps(pairs, {other: ("n", "p")}, attributes).filter("n > 0")
 
 
 def consistency_table(pairs: DataFrame, attributes: list[str] = ATTRIBUTES) -> DataFrame:
     """Overlap of real and random pairs, and their ratio, for each segment and attribute."""
-    real = pair_overlap(pairs, "second", attributes)
-    base = pair_overlap(pairs, "rand", attributes).select("segment", "attribute", F.col("p").alias("base"))
-    joined = real.join(base, ["segment", "attribute"], "left")
-    return joined.select("segment", "attribute", "n", "p", "base", F.when(F.col("base") > 0, F.col("p") / F.col("base")).alias("lift"))
+    both = _overlaps(pairs, {"second": ("n", "p"), "rand": ("n_base", "base")}, attributes).filter("n > 0")
+    return both.select("segment", "attribute", "n", "p", "base", F.when(F.col("base") > 0, F.col("p") / F.col("base")).alias("lift"))
 
 
 def label_lift(pairs: DataFrame, attribute: str, min_pairs: int = 300) -> DataFrame:
@@ -62,10 +74,8 @@ def label_lift(pairs: DataFrame, attribute: str, min_pairs: int = 300) -> DataFr
 
 def cross_brand_consistency(pairs: DataFrame, attributes: list[str] = ATTRIBUTES) -> DataFrame:
     """As consistency_table, for real and for random pairs of two known, different brands, each on its own."""
-    real = pair_overlap(pairs.filter("first_brand <> second_brand"), "second", attributes)
-    base = pair_overlap(pairs.filter("first_brand <> rand_brand"), "rand", attributes).select("segment", "attribute", F.col("p").alias("base"), F.col("n").alias("n_base"))
-    joined = real.join(base, ["segment", "attribute"])
-    return joined.select("segment", "attribute", "n", "n_base", "p", "base", F.when(F.col("base") > 0, F.col("p") / F.col("base")).alias("lift"))
+    both = _overlaps(pairs, {"second": ("n", "p"), "rand": ("n_base", "base")}, attributes, other_brand=True).filter("n > 0 AND n_base > 0")
+    return both.select("segment", "attribute", "n", "n_base", "p", "base", F.when(F.col("base") > 0, F.col("p") / F.col("base")).alias("lift"))
 
 
 def cross_brand_label_lift(pairs: DataFrame, attribute: str, min_pairs: int = 200) -> DataFrame:

@@ -22,31 +22,29 @@ SLICE_USERS = 256
 def time_cut(inter: DataFrame, test_share: float) -> float:
     """The interpolated quantile of the time stamps at 1 - test_share, exact.
 
-    Day counts find the day in which it lies; only that day's stamps are sorted."""
-    n = inter.count()
-    if not n:
-        return 0.0
-    place = (1 - test_share) * (n - 1)
-    day = F.floor(F.col("ts") / 86_400_000)
-    days = inter.groupBy(day.alias("day")).agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("low")).orderBy("day").collect()  # a row a day
-    before = 0
-    for i, r in enumerate(days):
-        if before + r["n"] > int(place):
-            ranks = [int(place) - before, min(int(place) + 1, n - 1) - before]
-            inside = inter.filter(day == r["day"]).groupBy("ts").agg(F.count(F.lit(1)).alias("n")).orderBy("ts")
-            found, seen = [], 0
-            rows = [(x["ts"], x["n"]) for x in inside.toLocalIterator()]
-            for k in ranks:
-                seen, value = 0, None
-                for ts, m in rows:
-                    seen += m
-                    if seen > k:
-                        value = ts
-                        break
-                found.append(days[i + 1]["low"] if value is None else value)
-            return found[0] + (found[1] - found[0]) * (place - int(place))
-        before += r["n"]
-    raise ValueError("no rows")
+    Counts by day tell the day in which it lies, counts of that day's seconds the
+    second, and so on; a cell with one stamp ends the search. The driver gets a
+    row for each day, 86,400 and 1,000 at most after that.
+    """
+    rows, place, k, following, cell = inter, 0.0, None, None, None
+    for width in (86_400_000, 1_000, 1):
+        of = F.floor(F.col("ts") / width)
+        cells = rows.groupBy(of.alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("low"), F.max("ts").alias("high")).orderBy("cell").collect()
+        if k is None:
+            if not cells:
+                return 0.0
+            place = (1 - test_share) * (sum(r["n"] for r in cells) - 1)
+            k = int(place)
+        for i, cell in enumerate(cells):
+            if k < cell["n"]:
+                following = cells[i + 1]["low"] if i + 1 < len(cells) else following
+                break
+            k -= cell["n"]
+        if cell["low"] == cell["high"]:
+            break
+        rows = rows.filter(of == cell["cell"])
+    upper = cell["low"] if k + 1 < cell["n"] or following is None else following
+    return cell["low"] + (upper - cell["low"]) * (place - int(place))
 
 
 def time_split(inter: DataFrame, test_share: float = 0.1) -> tuple[DataFrame, DataFrame]:
@@ -151,10 +149,12 @@ def popularity_recs(train: DataFrame, users: DataFrame, k: int, pool: DataFrame
 
 
 def embedding_profile(train: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Each user's sum of the vectors of bought items, at unit length."""
-    rows = train.join(vectors.select("item_id", F.posexplode("embedding").alias("pos", "x")), "item_id")
-    sums = rows.groupBy("user_id", "pos").agg(F.sum(F.col("x").cast("double")).alias("x"))
-    whole = sums.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("v"))
+    """Each user's sum of the vectors of bought items, at unit length. A sum for each component, so a user is one row in the shuffle."""
+    first = vectors.select(F.size("embedding").alias("dim")).first()
+    dim = first["dim"] if first else 0
+    rows = train.select("user_id", "item_id").join(vectors.select("item_id", "embedding"), "item_id")
+    sums = rows.groupBy("user_id").agg(*[F.sum(F.col("embedding")[i].cast("double")).alias(f"s{i}") for i in range(dim)])
+    whole = sums.select("user_id", F.array(*[f"s{i}" for i in range(dim)]).cast("array<double>").alias("v"))
     norm = F.greatest(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)), F.lit(1e-8))
     return whole.select("user_id", F.transform("v", lambda x: x / norm).alias("profile"))
 

@@ -139,3 +139,15 @@ def test_cut_model_output(spark):
     raw = '{"form": "balm", "benefits": ["calms"], "evidence": {"form": "a soft balm", "benefits": ["it calms", "and smoo'
     got = spark.createDataFrame([(raw,)], "raw string").select(parse_model_output(F.col("raw")).alias("p")).first()["p"]
     assert got["truncated"] and got["form"] == "balm" and got["benefit"] == ["calms"] and got["evidence"] == {"form": "a soft balm", "benefits": '["it calms"]'}
+
+
+@pytest.mark.parametrize("stamps", [[5], [1, 1, 2, 2], [i * 250 for i in range(40)], [i * 86_400_000 + j for i in range(3) for j in (0, 1, 1, 999, 1000, 61_000)]])
+@pytest.mark.parametrize("share", [0.1, 0.25, 0.5])
+def test_time_cut(spark, stamps, share):
+    import numpy as np
+
+    from shelfspark.operators.recommend import time_cut
+
+    df = spark.createDataFrame([(x,) for x in stamps], "ts long")
+    assert time_cut(df, share) == pytest.approx(float(np.quantile(stamps, 1 - share)), abs=1e-6)
+    assert time_cut(df.filter("ts < 0"), share) == 0
