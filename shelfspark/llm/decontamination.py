@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import uuid
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +17,7 @@ from shelfspark.session import cut_lineage, table
 
 WINDOW = 10
 #: Bytes of item text whose tables one pass may hold; more items come in further passes.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Window ends that one lane of the search covers.
 LANE = 256
 _SHIFT_BITS = 20
@@ -27,10 +29,12 @@ class WuManber:
 
     ``shift`` has for each block's hash how far the end of the search window may
     move without missing a pattern; 0: a pattern may end here. ``suffix`` sorts
-    the patterns by the hash of their last block.
+    the patterns by the hash of their last block. ``texts`` are the patterns'
+    words joined by blanks; ``owners`` (pattern, place in ``names``), sorted, says
+    whose they are.
     """
 
-    def __init__(self, hashes: np.ndarray, words: list[list[bytes]], items: list[list[str]]):
+    def __init__(self, hashes: np.ndarray, texts: list[bytes], owners: np.ndarray, names: list[str]):
         self.m = m = hashes.shape[1]
         self.block = min(2, m)
         self.shift = np.full(1 << _SHIFT_BITS, m - self.block + 1, np.uint8)
@@ -40,8 +44,9 @@ class WuManber:
         last = self._blocks(hashes[:, m - 2] if self.block == 2 else None, hashes[:, m - 1])
         order = np.argsort(last, kind="stable")
         self.suffix, self.hashes = last[order], hashes[order]
-        self.words = [words[i] for i in order]
-        self.items = [items[i] for i in order]
+        self.texts, self.order, self.names = texts, order, names
+        self.owner = owners[:, 1]
+        self.owned = np.searchsorted(owners[:, 0], np.arange(len(texts) + 1))
 
     @staticmethod
     def _blocks(first: np.ndarray | None, second: np.ndarray) -> np.ndarray:
@@ -81,23 +86,55 @@ class WuManber:
         for j in range(m):
             same = w.hash[start + j] == self.hashes[pattern, j]
             start, pattern = start[same], pattern[same]
-        sure = [all(w.data[w.start[s + j] : w.end[s + j]].tobytes() == x for j, x in enumerate(self.words[p])) for s, p in zip(start.tolist(), pattern.tolist(), strict=True)]
-        return start[sure], pattern[sure] if sure else pattern
+        pattern = self.order[pattern]
+        sure = np.array([joined(w, s, m) == self.texts[p] for s, p in zip(start.tolist(), pattern.tolist(), strict=True)], bool)
+        return start[sure], pattern[sure]
+
+    def items(self, pattern: int) -> list[str]:
+        return [self.names[j] for j in self.owner[self.owned[pattern] : self.owned[pattern + 1]].tolist()]
+
+
+def joined(w: Words, first: int, n: int) -> bytes:
+    """The words from ``first`` on, which hold no blank, as one string."""
+    return b" ".join(w.data[w.start[j] : w.end[j]].tobytes() for j in range(first, first + n))
 
 
 def compiled(items: list[tuple[str | None, str | None]], window: int = WINDOW) -> list[WuManber]:
     """Search tables for the windows of (item id, text) pairs, one for each length of window. A null id is not listed."""
     w = Words(pa.array([t for _, t in items], pa.string()), ALNUM, True)
-    by_length: dict[int, dict[tuple[bytes, ...], list]] = {}
+    names = sorted({item for item, _ in items if item is not None})
+    number = {item: j for j, item in enumerate(names)}
+    tables: dict[int, tuple[dict[bytes, int], array, array]] = {}
     for i, (item, _) in enumerate(items):
         lo, hi = int(w.bounds[i]), int(w.bounds[i + 1])
         k = min(window, hi - lo)
-        for s in range(lo, hi - k + 1) if k else ():
-            key = tuple(w.data[w.start[j] : w.end[j]].tobytes() for j in range(s, s + k))
-            entry = by_length.setdefault(k, {}).setdefault(key, [w.hash[s : s + k], set()])
+        if not k:
+            continue
+        pattern, first, owners = tables.setdefault(k, ({}, array("q"), array("q")))
+        whole, edge = joined(w, lo, hi - lo), [0, *np.cumsum(w.end[lo:hi] - w.start[lo:hi] + 1).tolist()]
+        for at in range(hi - lo - k + 1):
+            p = pattern.setdefault(whole[edge[at] : edge[at + k] - 1], len(first))
+            if p == len(first):
+                first.append(lo + at)
             if item is not None:
-                entry[1].add(item)
-    return [WuManber(np.array([h for h, _ in found.values()], np.uint64), [list(k) for k in found], [sorted(ids) for _, ids in found.values()]) for _, found in sorted(by_length.items())]
+                owners.append(p * len(names) + number[item])
+    made = []
+    for k in sorted(tables):
+        pattern, first, owners = tables.pop(k)
+        own = np.unique(np.array(owners, np.int64))
+        made.append(WuManber(w.hash[np.array(first, np.int64)[:, None] + np.arange(k)], list(pattern), np.stack([own // max(1, len(names)), own % max(1, len(names))], 1), names))
+    return made
+
+
+#: What this process compiled last, so that its tasks compile an item block once.
+_LAST: dict[str, list[WuManber]] = {}
+
+
+def compiled_once(key: str, items: list[tuple[str | None, str | None]], window: int) -> list[WuManber]:
+    if key not in _LAST:
+        _LAST.clear()
+        _LAST[key] = compiled(items, window)
+    return _LAST[key]
 
 
 def _matched(batch: pa.RecordBatch, tables: list[WuManber], column: str = "_text") -> tuple[Words, np.ndarray, list[set[str]]]:
@@ -109,7 +146,7 @@ def _matched(batch: pa.RecordBatch, tables: list[WuManber], column: str = "_text
         np.add.at(edge, start, 1)
         np.add.at(edge, start + t.m, -1)
         for row, p in set(zip(w.text[start].tolist(), pattern.tolist(), strict=True)):
-            found[row].update(t.items[p])
+            found[row].update(t.items(p))
     return w, np.cumsum(edge[:-1]) > 0, found
 
 
@@ -134,10 +171,10 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None
     state = docs.select(*[docs[c] for c in names], docs["text"].alias("_body"), F.lit(None).cast("binary").alias("_hit"), F.lit(None).cast("array<string>").alias("_found"))
     for b in range(blocks):
         rows = [(r["item"], r["text"]) for r in parts.filter(F.col("block") == b).select("item", "text").collect()]  # block_bytes
-        shared, last = docs.sparkSession.sparkContext.broadcast(rows), b == blocks - 1
+        shared, last, key = docs.sparkSession.sparkContext.broadcast(rows), b == blocks - 1, uuid.uuid4().hex
 
-        def make(shared=shared, last=last):
-            tables = compiled(shared.value, window)
+        def make(shared=shared, last=last, key=key):
+            tables = compiled_once(key, shared.value, window)
 
             def work(batch: pa.RecordBatch) -> list:
                 w, hit, found = _matched(batch, tables)
