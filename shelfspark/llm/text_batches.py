@@ -12,9 +12,8 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
 
-#: Rows and bytes that a task holds at once. A longer text is a slice of its own.
+#: Rows and bytes of a slice. A longer text is a slice of its own. Spark hands over batches of up to spark.sql.execution.arrow.maxBytesPerBatch (64 MB).
 SLICE_ROWS, SLICE_BYTES = 512, 1 << 20
 
 _MASK = (1 << 64) - 1
@@ -22,12 +21,6 @@ _ODD = 0x9E3779B97F4A7C15
 _ODD_INVERSE = pow(_ODD, -1, 1 << 64)
 
 
-def small_batches(df: DataFrame, rows: int = SLICE_ROWS) -> DataFrame:
-    """``df``, with Arrow batches of at most ``rows`` rows in this session, as texts may be long."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return df
-
-
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most SLICE_ROWS rows and about SLICE_BYTES bytes of text."""
     for batch in batches:
