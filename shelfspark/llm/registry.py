@@ -1,7 +1,10 @@
 """The queries of this subpackage and their SQL twins."""
 
 import corpus_pipeline
+from shelfspark.llm.conversation_repair import op12_conversation_repair
 from shelfspark.llm.decontamination import op7_decontamination
+from shelfspark.llm.embedding_dedup import op13_embedding_dedup
+from shelfspark.llm.fill_in_middle import op11_fill_in_middle
 from shelfspark.llm.html_extraction import op6_html_extraction
 from shelfspark.llm.language_id import op1_language_id
 from shelfspark.llm.mixing import op10_mix_sources
@@ -23,6 +26,9 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_quality_rules": op9_quality_rules,
     "op10_mix_sources": op10_mix_sources,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_embedding_dedup": op13_embedding_dedup,
     "pipeline": corpus_pipeline.run,
 }
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -46,4 +52,20 @@ c AS (SELECT r, count(DISTINCT spot) AS n_hit FROM (SELECT r, unnest(generate_se
 t AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM h WHERE item IS NOT NULL) GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c ON c.r = d.r LEFT JOIN t ON t.r = d.r""",
+    "op11_fill_in_middle": r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS w, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+n AS (SELECT *, len(w)::BIGINT AS n, ('0x' || h[1:8])::UBIGINT AS h1, ('0x' || h[9:16])::UBIGINT AS h2, ('0x' || h[25:32])::UBIGINT AS h4, t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') AS plain FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1))::BIGINT AS lo, greatest(h1 % (n + 1), h2 % (n + 1))::BIGINT AS hi FROM n),
+p AS (SELECT *, coalesce(array_to_string(w[1:lo], ''), '') AS pre, coalesce(array_to_string(w[lo + 1:hi], ''), '') AS mid, coalesce(array_to_string(w[hi + 1:], ''), '') AS suf, CASE WHEN plain THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM c),
+o AS (SELECT *, CASE form WHEN 'plain' THEN t WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid ELSE '<P>' || pre || '<S>' || suf || '<M>' || mid END AS output FROM p),
+s AS (SELECT *, string_split(output, '<M>') AS halves FROM o),
+b AS (SELECT *, CASE WHEN form <> 'plain' THEN string_split(substr(halves[1], 4), CASE form WHEN 'spm' THEN '<P>' ELSE '<S>' END) END AS ends FROM s)
+SELECT doc_id, n, form, CASE WHEN NOT plain THEN length(pre)::BIGINT END AS prefix_chars, CASE WHEN NOT plain THEN length(mid)::BIGINT END AS middle_chars, sha256(output) AS output_sha256,
+sha256(CASE form WHEN 'plain' THEN output WHEN 'spm' THEN ends[2] || halves[2] || ends[1] ELSE ends[1] || halves[2] || ends[2] END) AS restored_sha256 FROM b""",
+    "op13_embedding_dedup": r"""WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+f AS (SELECT r, vec_id, e FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.r AS a, b.r AS b FROM f a JOIN f b ON a.r <> b.r AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT r, r AS t FROM v UNION SELECT reach.r, l.b FROM reach JOIN l ON l.a = reach.t),
+c AS (SELECT reach.r, min(o.vec_id) AS component_id FROM reach JOIN v o ON o.r = reach.t GROUP BY 1),
+n AS (SELECT a AS r, count(*) AS n FROM l GROUP BY 1)
+SELECT v.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.component_id, c.component_id IS NOT DISTINCT FROM v.vec_id AS kept FROM v JOIN c ON c.r = v.r LEFT JOIN n ON n.r = v.r""",
 }
