@@ -167,8 +167,9 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None
     size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, math.ceil(size / block_bytes))
     parts = benchmark.select(F.col("item_id").cast("string").alias("item"), "text", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).alias("block"))
-    names = list(docs.columns if keep is None else keep)
-    state = docs.select(*[docs[c] for c in names], docs["text"].alias("_body"), F.lit(None).cast("binary").alias("_hit"), F.lit(None).cast("array<string>").alias("_found"))
+    new = ("n_words", "n_hit", "n_items", "items", "contaminated")
+    names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in new]
+    state = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), docs["text"].alias("body"), F.lit(None).cast("binary").alias("hit"), F.lit(None).cast("array<string>").alias("found"))
     for b in range(blocks):
         rows = [(r["item"], r["text"]) for r in parts.filter(F.col("block") == b).select("item", "text").collect()]  # block_bytes
         shared, last, key = docs.sparkSession.sparkContext.broadcast(rows), b == blocks - 1, uuid.uuid4().hex
@@ -178,7 +179,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None
 
             def work(batch: pa.RecordBatch) -> list:
                 w, hit, found = _matched(batch, tables)
-                for i, (bits, ids) in enumerate(zip(batch.column("_hit").to_pylist(), batch.column("_found").to_pylist(), strict=True)):
+                for i, (bits, ids) in enumerate(zip(batch.column("hit").to_pylist(), batch.column("found").to_pylist(), strict=True)):
                     found[i].update(ids or [])
                     if bits:
                         lo, hi = w.bounds[i], w.bounds[i + 1]
@@ -192,11 +193,11 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None
 
             return work
 
-        fields = "n_words long, n_hit long, n_items long, items array<string>, contaminated boolean" if last else "_hit binary, _found array<string>"
-        state = with_text_columns(state, fields, make, names if last else [*names, "_body"], "_body", ["_hit", "_found"])
+        fields = "n_words long, n_hit long, n_items long, items array<string>, contaminated boolean" if last else "hit binary, found array<string>"
+        state = with_text_columns(state, fields, make, ["row"] if last else ["row", "body"], "body", ["hit", "found"])
         if not last:
             state = cut_lineage(state)
-    return state
+    return state.select("row.*", *new)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

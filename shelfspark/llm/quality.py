@@ -212,16 +212,16 @@ def fit_chain(docs: DataFrame, labels: DataFrame, documents: int = FIT_DOCUMENTS
                 return
             got = Lines(batch.column("_text"))
             x, good = got.features(), batch.column("quality").to_numpy(zero_copy_only=False)
-            ids, draw = batch.column("doc_id").to_pylist(), batch.column("draw").to_pylist()
+            ids, draw = batch.column("doc_id"), batch.column("draw").to_pylist()
             for i in range(batch.num_rows):
                 lo, hi = int(got.bounds[i]), int(got.bounds[i + 1])
                 lo += draw[i] % max(1, hi - lo - lines + 1)
                 part = x[lo : min(hi, lo + lines)]
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i]], pa.int64()), pa.array([int(good[i])], pa.int64()), pa.array([part.ravel().tolist()], pa.list_(pa.float64()))], ["doc_id", "quality", "x"])
+                yield pa.RecordBatch.from_arrays([ids.slice(i, 1), pa.array([int(good[i])], pa.int64()), pa.array([part.ravel().tolist()], pa.list_(pa.float64()))], ["doc_id", "quality", "x"])
 
         return work
 
-    sample = text_rows(rows, "doc_id long, quality long, x array<double>", make, ["doc_id", "quality", "draw"])
+    sample = text_rows(rows, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, quality long, x array<double>", make, ["doc_id", "quality", "draw"])
     found = sorted(((r["doc_id"], r["quality"], r["x"]) for r in sample.collect()), key=lambda r: (r[0], r[2]))  # documents * lines at most
     if len({q for _, q, _ in found}) < 2:
         return Chain()

@@ -167,11 +167,11 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, documents: int = FIT_DOCU
             has = [at[here[i] : here[i + 1]].tolist() for i in range(n)]
             swap = [None if pairs[i] is None else other[there[i] : there[i + 1]].tolist() for i in range(n)]
             kind = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("toxic").cast(pa.int32()), pa.array(has, kind), pa.array(swap, kind)], ["doc_id", "toxic", "has", "swap"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic").cast(pa.int32()), pa.array(has, kind), pa.array(swap, kind)], ["doc_id", "toxic", "has", "swap"])
 
         return work
 
-    sample = sorted((tuple(r) for r in text_rows(rows, "doc_id long, toxic int, has array<long>, swap array<long>", listing, ["doc_id", "toxic"]).collect()), key=lambda r: (r[0], r[2]))  # documents * features at most
+    sample = sorted((tuple(r) for r in text_rows(rows, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, toxic int, has array<long>, swap array<long>", listing, ["doc_id", "toxic"]).collect()), key=lambda r: (r[0], r[2]))  # documents * features at most
     label = np.array([r[1] for r in sample])
     row = np.repeat(np.arange(len(sample)), [len(r[2]) for r in sample])
     column = np.array([c for r in sample for c in r[2]], np.int64)
