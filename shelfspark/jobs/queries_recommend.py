@@ -8,8 +8,11 @@ from shelfspark.jobs import adapters as A
 from shelfspark.jobs import queries_items as Q
 from shelfspark.jobs.queries_market import active
 from shelfspark.jobs.registry import query
+from shelfspark.operators import experiments as X
 from shelfspark.operators import recommend as R
-from shelfspark.session import table
+from shelfspark.operators import retrieval as V
+from shelfspark.operators.pairwise import Setting, fit_models
+from shelfspark.session import cut_lineage, table
 
 K = 20
 SPLIT = f"""{A.SQL_SEGMENTED}, {A.SQL_ACTIVE}, cut AS (SELECT quantile_cont(ts, 0.9) AS cut FROM act), train AS (SELECT act.* FROM act, cut WHERE ts < cut),
@@ -102,7 +105,7 @@ def j7(spark, d):
 def w8(spark, d):
     from shelfspark.jobs.queries_market import inter
 
-    return R.top_k(inter(spark, d).select("user_id", "item_id", F.col("rating").alias("score")), 3)
+    return V.top_k(inter(spark, d).select("user_id", "item_id", F.col("rating").alias("score")), 3)
 
 
 @query("u2_item_universe", f"{BASE} SELECT item_id FROM universe")
@@ -169,7 +172,7 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, it
 def r8(spark, d):
     train = split(spark, d)[0]
     v = vectors(spark, d)
-    recs = R.embedding_recs(R.embedding_profile(train, v), v, train, K)
+    recs = V.embedding_recs(R.embedding_profile(train, v), v, train, K)
     return recs.select("user_id", "item_id", "rank")
 
 
@@ -187,23 +190,26 @@ def r10(spark, d):
 
 @query("r11_fit_pairwise")
 def r11(spark, d):
+    """Metrics of two models that are fitted at once, with tokens alone and with text vectors, and the loss of each epoch."""
     train, test, counts = split(spark, d)
-    attrs = Q.attrs_table(spark, d)
-    tokens = R.token_weights(R.item_tokens(attrs), attrs.count())
-    model, losses = R.fit_pairwise(train, tokens, counts.select("item_id"), epochs=3)
-    found = R.rank_eval(R.pairwise_recs(model, train, K), test, counts, K)
-    return found.unionByName(spark.createDataFrame([(f"loss_{i}", x) for i, x in enumerate(losses)], "metric string, value double"))
+    settings = X.settings_of(["filled+drop", "filled_emb"], [0], id_dropout=0.3)
+    tokens = X.feature_sets(Q.attrs_table(spark, d), settings)
+    models, losses = fit_models(train, counts.select("item_id"), settings, 5, tokens, vectors(spark, d))
+    names = spark.createDataFrame([(s.key,) for s in settings], "model string")
+    found = R.rank_eval(X.model_recs(models, train, K, test), test, counts, K, names)
+    lost = [(m, f"loss_{i}", x) for m, own in losses.items() for i, x in enumerate(own)]
+    return found.unionByName(spark.createDataFrame(lost, "model string, metric string, value double"))
 
 
 @query("r12_early_stop")
 def r12(spark, d):
     """Epochs that do best on the end of the training time, and the refitted model's metrics."""
     train, test, counts = split(spark, d)
-    attrs = Q.attrs_table(spark, d)
-    tokens = R.token_weights(R.item_tokens(attrs), attrs.count())
-    model, epochs = R.fit_stopped(train, tokens, counts.select("item_id"), k=K, most=2, patience=1)
-    found = R.rank_eval(R.pairwise_recs(model, train, K), test, counts, K)
-    return found.unionByName(spark.createDataFrame([("epochs", float(epochs))], "metric string, value double"))
+    settings = [Setting("filled+drop", 0, "filled", id_dropout=0.5)]
+    tokens = X.feature_sets(Q.attrs_table(spark, d), settings)
+    models, epochs = X.fit_stopped(train, counts.select("item_id"), settings, tokens, k=K)
+    found = R.rank_eval(X.model_recs(models, train, K, test), test, counts, K)
+    return found.unionByName(spark.createDataFrame([("epochs", float(epochs[settings[0].key]))], "metric string, value double"))
 
 
 @query("a25_seed_summary", f"{A.SQL_BASE} SELECT item_id, count(*) AS seeds, avg(rating) AS rating_mean, stddev_pop(rating) AS rating_sd FROM inter GROUP BY 1")
@@ -213,35 +219,36 @@ def a25(spark, d):
     return R.seed_summary(inter(spark, d), "item_id", ["rating"])
 
 
-@query("r15_experiment_grid", f"{BASE}, {POPULAR}, {_metrics('test', 'top').replace('SELECT ' + chr(39) + 'recall' + chr(39) + ' AS metric', 'SELECT * FROM (SELECT ' + chr(39) + 'recall' + chr(39) + ' AS metric')}) CROSS JOIN (SELECT 'pop' AS variant, unnest([0, 1]) AS seed)")
+KNN = f"""{VECTORS}, {PROFILE}, sc AS (SELECT user_id, item_id, round(list_dot_product(p, v), 9) AS score FROM prof, vec WHERE user_id IN (SELECT user_id FROM test) AND NOT EXISTS (SELECT 1 FROM train t WHERE t.user_id = prof.user_id AND t.item_id = vec.item_id)),
+knn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM sc) WHERE rank <= {K}),
+cknn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM sc WHERE user_id IN (SELECT user_id FROM ctest) AND item_id IN (SELECT item_id FROM coldc)) WHERE rank <= {K})"""
+
+
+def _variant(name: str, recs: str, cold: str) -> str:
+    one = f"SELECT '{name}' AS variant, 0 AS seed, metric, value FROM (WITH {_metrics('test', recs)})"
+    return f"{one} UNION ALL SELECT '{name}', 0, 'cold_' || metric, value FROM (WITH {_metrics('ctest', cold)}) WHERE metric IN ('recall', 'ndcg', 'users')"
+
+
+def grid(spark, d, variants, seeds, **options):
+    train, test, counts = split(spark, d)
+    train, test, counts = cut_lineage(train), cut_lineage(test), cut_lineage(counts)
+    return X.experiment_grid(train, test, counts, Q.attrs_table(spark, d), cut_lineage(vectors(spark, d)), variants, seeds, K, **options)
+
+
+@query("r15_experiment_grid", f"{BASE}, {POPULAR}, {COLD}, {KNN} {_variant('pop', 'top', 'ctop')} UNION ALL {_variant('emb_knn', 'knn', 'cknn')}")
 def r15(spark, d):
-    recs, test, counts = popular(spark, d)
-    return R.experiment_grid({"pop": lambda seed: R.rank_eval(recs, test, counts, K)}, [0, 1])
+    return grid(spark, d, ["pop", "emb_knn"], [0])
 
 
 @query("r15_experiment_variants")
 def r15b(spark, d):
-    """The grid over models: popularity, items alone, items with filled attributes, vectors of bought items; two seeds."""
-    train, test, counts = split(spark, d)
-    attrs = Q.attrs_table(spark, d)
-    n = attrs.count()
-    universe = counts.select("item_id")
-    all_ = R.token_weights(R.item_tokens(attrs), n)
-    nothing = all_.limit(0)
-
-    def fitted(tokens, **options):
-        def run(seed):
-            model, _ = R.fit_pairwise(train, tokens, universe, epochs=1, seed=seed, **options)
-            return R.rank_eval(R.pairwise_recs(model, train, K), test, counts, K)
+    """The whole grid: both baselines, nine fitted variants, the base variant without a field, two seeds."""
+    return grid(spark, d, [*X.FIXED, *X.VARIANTS], [0, 1], ablation=["brand", "form"])
 
-        return run
 
+@query("r8_approximate_recs")
+def r8_lists(spark, d):
+    """Recommendations from the nearest lists of an inverted file."""
+    train = split(spark, d)[0]
     v = vectors(spark, d)
-    pop = R.rank_eval(R.popularity_recs(train, test, K), test, counts, K)
-    knn = R.rank_eval(R.embedding_recs(R.embedding_profile(train, v), v, train, K), test, counts, K)
-    return R.experiment_grid({
-        "pop": lambda seed: pop,
-        "id": fitted(nothing, id_dropout=0.0),
-        "filled": fitted(all_),
-        "emb_knn": lambda seed: knn,
-    }, [0, 1])
+    return V.approximate_recs(R.embedding_profile(train, v), v, train, K).select("user_id", "item_id", "rank")

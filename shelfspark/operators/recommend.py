@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark.functions import labels as L
+from shelfspark.operators.joins import salted_join
 from shelfspark.operators.windows import dense_index, md5_number
-from shelfspark.session import cut_lineage, ship_package
+from shelfspark.session import cut_lineage
 
-#: Bytes of item vectors that each worker may hold; more items are scored in blocks.
-BLOCK_ITEMS = 1 << 16
-#: Users whose scores a task holds at once.
-SLICE_USERS = 256
+#: Popular items that are broadcast; longer shelves are joined.
+SHELF = 1 << 16
 
 
 def time_cut(inter: DataFrame, test_share: float) -> float:
@@ -128,24 +125,32 @@ def exclude_seen(candidates: DataFrame, train: DataFrame) -> DataFrame:
     return candidates.join(train.select("user_id", "item_id").distinct(), ["user_id", "item_id"], "left_anti")
 
 
-def top_k(scores: DataFrame, k: int) -> DataFrame:
-    """The ``k`` best items of each user, with their rank from 1; ties by item."""
-    w = Window.partitionBy("user_id").orderBy(F.desc("score"), "item_id")
-    return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+def popularity_recs(train: DataFrame, users: DataFrame, k: int, pool: DataFrame | None = None, shelf: int = SHELF) -> DataFrame:
+    """Each user's ``k`` most sold items that they don't have; ties by item.
 
-
-def popularity_recs(train: DataFrame, users: DataFrame, k: int, pool: DataFrame | None = None) -> DataFrame:
-    """Each user's ``k`` most sold items that they don't have: only the first k + (most items that one has) can be among them."""
+    Items are ranked once. A user's list ends at the rank above which k items
+    are not theirs: of their own items' ranks r0 < r1 < ... those with
+    r_j - j < k push the end by one. The items up to the largest end are
+    broadcast where there are at most ``shelf`` of them; else the ranks, which
+    all users share, are dealt over tasks.
+    """
+    bought = train.select("user_id", "item_id").distinct()
     counts = train.groupBy("item_id").agg(F.count(F.lit(1)).cast("double").alias("score"))
     if pool is not None:
         counts = pool.select("item_id").distinct().join(counts, "item_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    most = train.groupBy("user_id").agg(F.countDistinct("item_id").alias("n")).agg(F.max("n")).first()[0] or 0
-    best = counts.orderBy(F.desc("score"), "item_id").limit(k + most)
-    shelf = best.agg(F.collect_list(F.struct("item_id", "score")).alias("shelf"))  # k + most entries
-    own = train.groupBy("user_id").agg(F.countDistinct("item_id").alias("n"))
-    each = users.select("user_id").distinct().join(own, "user_id", "left").crossJoin(F.broadcast(shelf))  # one row
-    candidates = each.select("user_id", F.inline(F.slice("shelf", F.lit(1), (F.lit(k) + F.coalesce("n", F.lit(0))).cast("int"))))
-    return top_k(exclude_seen(candidates, train), k)
+    ranked = dense_index(counts.withColumn("less", -F.col("score")), [], ["less", "item_id"], "place").drop("less")
+    ranked = cut_lineage(ranked)
+    asked = users.select("user_id").distinct()
+    own = salted_join(bought.join(asked, "user_id", "left_semi"), ranked.select("item_id", "place"), ["item_id"], F.xxhash64("user_id"))
+    turn = F.row_number().over(Window.partitionBy("user_id").orderBy("place")) - 1
+    pushed = own.withColumn("turn", turn).filter(F.col("place") - F.col("turn") < k).groupBy("user_id").agg(F.collect_list("place").alias("taken"))
+    each = cut_lineage(asked.join(pushed, "user_id", "left").withColumn("taken", F.coalesce("taken", F.array().cast("array<bigint>"))))
+    last = k + (each.agg(F.max(F.size("taken"))).first()[0] or 0)
+    free = F.array_except(F.sequence(F.lit(0).cast("long"), F.size("taken") + F.lit(k - 1).cast("long")), "taken")
+    rows = each.select("user_id", F.posexplode(free).alias("at", "place")).select("user_id", "place", (F.col("at") + 1).alias("rank"))
+    best = ranked.filter(F.col("place") < last)
+    joined = rows.join(F.broadcast(best), "place") if last <= shelf else salted_join(rows, best, ["place"], F.xxhash64("user_id"))
+    return joined.select("user_id", "item_id", "score", "rank")
 
 
 def embedding_profile(train: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -159,55 +164,6 @@ def embedding_profile(train: DataFrame, vectors: DataFrame) -> DataFrame:
     return whole.select("user_id", F.transform("v", lambda x: x / norm).alias("profile"))
 
 
-def embedding_recs(profiles: DataFrame, vectors: DataFrame, train: DataFrame, k: int, block: int = BLOCK_ITEMS) -> DataFrame:
-    """Each user's ``k`` items of largest dot product that they don't have.
-
-    Items are cut into blocks of at most ``block``; users meet each block in
-    tasks that multiply matrices and keep k + (items that the user has); the
-    blocks' best are merged. No pair of user and item is a row before that.
-    """
-    spark = profiles.sparkSession
-    ship_package(spark)
-    seen = train.groupBy("user_id").agg(F.collect_set("item_id").alias("seen"))
-    users = profiles.join(seen, "user_id", "left").select("user_id", "profile", F.coalesce("seen", F.array().cast("array<long>")).alias("seen"))
-    blocks = max(1, -(-vectors.count() // block))
-    if blocks > 1:
-        users = cut_lineage(users)
-    out = None
-    for b in range(blocks):
-        rows = vectors.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).select("item_id", "embedding").toArrow()  # about ``block`` vectors
-        ids = rows.column("item_id").to_numpy()
-        order = np.argsort(ids)
-        matrix = np.array(rows.column("embedding").to_pylist(), np.float64)[order]
-        shared = spark.sparkContext.broadcast((ids[order], matrix))
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            own, m = shared.value
-            for pdf in batches:
-                for lo in range(0, len(pdf) if len(own) else 0, SLICE_USERS):
-                    part = pdf.iloc[lo : lo + SLICE_USERS]
-                    scores = np.round(np.stack(part["profile"].to_numpy()) @ m.T, 9)
-                    found = []
-                    for user, seen_items, row in zip(part["user_id"], part["seen"], scores, strict=True):
-                        at = np.searchsorted(own, seen_items)
-                        at = at[at < len(own)]
-                        row[at[np.isin(own[at], seen_items)]] = -np.inf
-                        best = np.arange(len(row))
-                        if len(row) > k:  # all that are not below the k-th, ties included
-                            best = np.flatnonzero(row >= np.partition(row, -k)[-k])
-                        best = best[np.lexsort((own[best], -row[best]))][:k]
-                        best = best[np.isfinite(row[best])]
-                        found.append(pd.DataFrame({"user_id": user, "item_id": own[best], "score": row[best]}))
-                    yield pd.concat(found)
-
-        found = users.mapInPandas(run, "user_id long, item_id long, score double")
-        if blocks > 1:  # so that one block at a time is held
-            found = cut_lineage(found)
-            shared.unpersist()
-        out = found if out is None else out.unionByName(found)
-    return top_k(out, k)
-
-
 def text_vectors(items: DataFrame, text: str, dim: int = 256, wanted: DataFrame | None = None) -> DataFrame:
     """A unit vector for each item from its words: hashed counts weighed by rarity. Items without words get zeros.
 
@@ -236,141 +192,24 @@ def negative_samples(train: DataFrame, seed: int, epoch: int = 0) -> DataFrame:
     return drawn.join(index.withColumnRenamed("item_id", "negative"), "idx").drop("idx")
 
 
-class PairwiseModel:
-    """The vectors of a fitted ranking, as tables: users (user_id, x), items (item_id, x, trained) and tokens (token, x); the last component of an item is its bias."""
-
-    def __init__(self, users: DataFrame, items: DataFrame, shared: DataFrame, tokens: DataFrame, dim: int):
-        self.users, self.items, self.shared, self.tokens, self.dim = users, items, shared, tokens, dim
-
-    def item_vectors(self, keep: Column | None = None) -> DataFrame:
-        """(item_id, embedding): the item's own part if it was trained on (and ``keep`` holds), and its tokens' weighted sum."""
-        d = range(self.dim + 1)
-        named = self.tokens.join(self.shared, "token").groupBy("item_id").agg(F.array(*[F.sum(F.col("weight") * F.col("x")[i]) for i in d]).alias("named"))
-        own = F.when(F.col("trained") & (F.lit(True) if keep is None else keep), F.col("x")).otherwise(F.array(*[F.lit(0.0) for _ in d]))
-        joined = self.items.select("item_id", own.alias("own")).join(named, "item_id", "left")
-        return joined.select("item_id", F.when(F.col("named").isNull(), F.col("own")).otherwise(F.zip_with("own", "named", lambda a, b: a + b)).alias("embedding"))
-
-
-def _starts(key: Column, dim: int, seed: int, scale: float = 0.1) -> list[Column]:
-    """Vectors by hash, about evenly from -scale to scale, and two of zeros for the steps' moments."""
-    zeros = F.array(*[F.lit(0.0) for _ in range(dim)])
-    return [F.array(*[(F.pmod(F.xxhash64(F.lit(seed), F.lit(i), key), F.lit(20001)) / 10000.0 - 1.0) * scale for i in range(dim)]).alias("x"), zeros.alias("m"), zeros.alias("s")]
-
-
-def _stepped(table_: DataFrame, sums: DataFrame, key: str, turn: int, rate: float, reg: float) -> DataFrame:
-    """One Adam step of the rows of ``table_`` that have a gradient in ``sums`` (key, n, g); others stay."""
-    both = table_.join(sums.select(F.col(key).alias("g_key"), "n", "g"), F.col(key) == F.col("g_key"), "left")
-    pull = F.zip_with("g", "x", lambda g, x: g / F.col("n") - reg * x)
-    m = F.zip_with("m", pull, lambda m, g: 0.9 * m + 0.1 * g)
-    s = F.zip_with("s", pull, lambda s, g: 0.99 * s + 0.01 * g * g)
-    moved = both.withColumns({"new_m": F.when(F.col("g").isNull(), F.col("m")).otherwise(m), "new_s": F.when(F.col("g").isNull(), F.col("s")).otherwise(s)})
-    step = F.zip_with("new_m", "new_s", lambda m, s: rate * (m / (1 - 0.9**turn)) / (F.sqrt(s / (1 - 0.99**turn)) + 1e-8))
-    x = F.when(F.col("g").isNull(), F.col("x")).otherwise(F.zip_with("x", step, lambda a, b: a + b))
-    return moved.withColumn("new_x", x).select(*[F.col(f"new_{c}").alias(c) if c in ("x", "m", "s") else c for c in table_.columns])
+def rank_eval(recs: DataFrame, truth: DataFrame, counts: DataFrame, k: int, by: DataFrame | None = None) -> DataFrame:
+    """(metric, value): mean recall and NDCG at ``k`` over users with truth, users, and recall and rows of each popularity bucket.
 
-
-def fit_pairwise(train: DataFrame, tokens: DataFrame, universe: DataFrame, dim: int = 16, epochs: int = 5, rate: float = 0.05, reg: float = 1e-4, id_dropout: float = 0.3, seed: int = 0, batches: int = 1, each: Callable[[PairwiseModel], None] | None = None) -> tuple[PairwiseModel, list[float]]:
-    """Pairwise ranking: bought items above random trained ones, by log-sigmoid loss with a penalty on vectors.
-
-    Users, items and tokens (item_id, token, weight; empty: items alone) have
-    vectors in tables that are joined to the pairs. A batch's gradients are
-    summed by key, and Adam takes a step; an epoch's tables are written. The
-    driver gets the loss. Items without training rows have no part of their own;
-    with ``id_dropout`` others lose theirs for a batch, so that tokens learn to
-    do without. ``each`` sees the model after every epoch. Returns the model and
-    the mean loss by epoch.
-    """
-    d = range(dim + 1)
-    bought = train.select("user_id", "item_id").distinct()
-    trained = bought.select(F.col("item_id").alias("t_item")).distinct()
-    tokens = cut_lineage(tokens.select("item_id", "token", "weight").join(universe.select("item_id").distinct(), "item_id", "left_semi"))
-    items = universe.select("item_id").distinct().join(trained, F.col("item_id") == F.col("t_item"), "left")
-    items = cut_lineage(items.select("item_id", F.col("t_item").isNotNull().alias("trained"), *_starts(F.col("item_id"), dim + 1, seed)))
-    shared = cut_lineage(tokens.select("token").distinct().select("token", *_starts(F.col("token"), dim + 1, seed)))
-    users = cut_lineage(bought.select("user_id").distinct().select("user_id", *_starts(F.col("user_id"), dim, seed)))
-    losses, turn = [], 0
-    for epoch in range(epochs):
-        pairs = cut_lineage(negative_samples(bought, seed, epoch))
-        lost = []
-        for b in range(batches):
-            turn += 1
-            some = pairs.filter(F.pmod(F.xxhash64(F.lit(epoch), "user_id", "item_id"), F.lit(batches)) == b)
-            keep = F.pmod(F.xxhash64(F.lit(seed), F.lit(turn), "item_id"), F.lit(1000)) >= int(id_dropout * 1000)
-            v = cut_lineage(PairwiseModel(users, items, shared, tokens, dim).item_vectors(keep))
-            rows = some.join(users.select("user_id", F.col("x").alias("u")), "user_id").join(v.withColumnRenamed("embedding", "p"), "item_id")
-            rows = rows.join(v.select(F.col("item_id").alias("negative"), F.col("embedding").alias("q")), "negative")
-            u = F.array_append("u", F.lit(1.0))
-            apart = F.zip_with("p", "q", lambda a, b: a - b)
-            x = F.aggregate(F.zip_with(u, apart, lambda a, b: a * b), F.lit(0.0), lambda t, y: t + y)
-            rows = rows.select("user_id", "item_id", "negative", u.alias("u"), apart.alias("apart"), F.greatest(F.least(x, F.lit(30.0)), F.lit(-30.0)).alias("x"))
-            rows = cut_lineage(rows.withColumn("pull", 1 / (1 + F.exp("x"))))
-            total = lambda name, vec, n: rows_of(name, vec).groupBy(name).agg(F.count(F.lit(1)).alias("n"), F.array(*[F.sum(F.col("g")[i]) for i in range(n)]).alias("g"))  # noqa: B023, E731
-            rows_of = lambda name, vec: rows.select(F.col(name), F.transform(vec, lambda y: y * F.col("pull")).alias("g"))  # noqa: B023, E731
-            by_user = total("user_id", "apart", dim)
-            ups = rows_of("item_id", "u").unionByName(rows_of("negative", F.transform("u", lambda y: -y)).withColumnRenamed("negative", "item_id"))
-            by_item = cut_lineage(ups.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.sum(F.col("g")[i]) for i in d]).alias("g")))
-            by_token = tokens.join(by_item, "item_id").groupBy("token").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("weight") * F.col("g")[i]) for i in d]).alias("g"))
-            lost.append(rows.agg(F.sum(F.log1p(F.exp(-F.col("x")))), F.count(F.lit(1))).first())
-            users = cut_lineage(_stepped(users, by_user, "user_id", turn, rate, reg))
-            items = cut_lineage(_stepped(items, by_item.filter(keep), "item_id", turn, rate, reg))
-            shared = cut_lineage(_stepped(shared, by_token, "token", turn, rate, reg))
-        losses.append(sum(r[0] or 0.0 for r in lost) / max(1, sum(r[1] for r in lost)))
-        if each:
-            each(PairwiseModel(users, items, shared, tokens, dim))
-    return PairwiseModel(users, items, shared, tokens, dim), losses
-
-
-def model_profiles(model: PairwiseModel) -> DataFrame:
-    """Each user's vector with 1 for the bias: the dot product with an item's vector is the model's score."""
-    return model.users.select("user_id", F.array_append("x", F.lit(1.0)).alias("profile"))
-
-
-def pairwise_recs(model: PairwiseModel, train: DataFrame, k: int) -> DataFrame:
-    """Each user's ``k`` items of largest score that they don't have."""
-    return embedding_recs(model_profiles(model), model.item_vectors(), train, k)
-
-
-def fit_stopped(train: DataFrame, tokens: DataFrame, universe: DataFrame, k: int = 20, most: int = 20, patience: int = 2, share: float = 0.1, **options) -> tuple[PairwiseModel, int]:
-    """fit_pairwise with as many epochs as do best on a validation sample, fitted again on all of ``train``; and their number.
-
-    The sample is the last ``share`` of ``train`` by time (users known before);
-    the score is its mean NDCG at ``k``.
+    Given ``by``, a table of the models (a row each, with their key columns),
+    ``recs`` hold these columns too, and so does the result: one pass for all.
     """
-    before, after = time_split(train, share)
-    before, after = cut_lineage(before), cut_lineage(after)
-    counts = item_train_counts(universe, before)
-    models: list[PairwiseModel] = []
-
-    class Enough(Exception):
-        pass
-
-    scores: list[float] = []
-
-    def each(model: PairwiseModel) -> None:
-        found = rank_eval(pairwise_recs(model, before, k), after, counts, k).filter("metric = 'ndcg'").first()
-        scores.append((found["value"] if found else None) or 0.0)
-        models.append(model)
-        if len(scores) - 1 - scores.index(max(scores)) >= patience:
-            raise Enough
-
-    try:
-        fit_pairwise(before, tokens, universe, epochs=most, each=each, **options)
-    except Enough:
-        pass
-    best = early_stop(lambda e: scores[e - 1], len(scores), patience)
-    return fit_pairwise(train, tokens, universe, epochs=best, **options)[0], best
-
-
-def rank_eval(recs: DataFrame, truth: DataFrame, counts: DataFrame, k: int) -> DataFrame:
-    """(metric, value): mean recall and NDCG at ``k`` over users with truth, users, and recall and rows of each popularity bucket."""
+    keys = by.columns if by is not None else []
     gain = 1 / F.log2(F.col("rank") + 1)
-    rows = truth.select("user_id", "item_id").distinct().join(recs.select("user_id", "item_id", "rank"), ["user_id", "item_id"], "left").join(counts, "item_id", "left")
+    wanted = truth.select("user_id", "item_id").distinct().join(counts, "item_id", "left")
+    wanted = wanted.crossJoin(F.broadcast(by)) if by is not None else wanted  # models
+    rows = wanted.join(recs.select(*keys, "user_id", "item_id", "rank"), [*keys, "user_id", "item_id"], "left")
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.count(F.lit(1)), F.lit(k)).cast("int")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1))
-    users = rows.groupBy("user_id").agg((F.count("rank") / F.count(F.lit(1))).alias("recall"), (F.coalesce(F.sum(gain), F.lit(0.0)) / ideal).alias("ndcg"))
-    whole = users.agg(F.avg("recall").alias("recall"), F.avg("ndcg").alias("ndcg"), F.count(F.lit(1)).cast("double").alias("users"))
-    flat = whole.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in whole.columns])).alias("e")).select("e.*")
-    buckets = rows.groupBy(pop_bucket(F.coalesce("n", F.lit(0))).alias("b")).agg((F.count("rank") / F.count(F.lit(1))).alias("r"), F.count(F.lit(1)).cast("double").alias("m"))
-    each = buckets.select(F.explode(F.array(F.struct(F.concat(F.lit("R_"), "b").alias("metric"), F.col("r").alias("value")), F.struct(F.concat(F.lit("N_"), "b").alias("metric"), F.col("m").alias("value")))).alias("e")).select("e.*")
+    users = rows.groupBy(*keys, "user_id").agg((F.count("rank") / F.count(F.lit(1))).alias("recall"), (F.coalesce(F.sum(gain), F.lit(0.0)) / ideal).alias("ndcg"))
+    names = ["recall", "ndcg", "users"]
+    whole = users.groupBy(*keys).agg(F.avg("recall").alias("recall"), F.avg("ndcg").alias("ndcg"), F.count(F.lit(1)).cast("double").alias("users"))
+    flat = whole.select(*keys, F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in names])).alias("e")).select(*keys, "e.*")
+    buckets = rows.groupBy(*keys, pop_bucket(F.coalesce("n", F.lit(0))).alias("b")).agg((F.count("rank") / F.count(F.lit(1))).alias("r"), F.count(F.lit(1)).cast("double").alias("m"))
+    each = buckets.select(*keys, F.explode(F.array(F.struct(F.concat(F.lit("R_"), "b").alias("metric"), F.col("r").alias("value")), F.struct(F.concat(F.lit("N_"), "b").alias("metric"), F.col("m").alias("value")))).alias("e")).select(*keys, "e.*")
     return flat.unionByName(each)
 
 
@@ -393,13 +232,3 @@ def early_stop(fit: Callable[[int], float], most: int, patience: int = 2) -> int
 def seed_summary(results: DataFrame, by: str, metrics: list[str]) -> DataFrame:
     """Mean and population standard deviation over seeds; nulls are left out."""
     return results.groupBy(by).agg(F.count(F.lit(1)).alias("seeds"), *[F.avg(m).alias(f"{m}_mean") for m in metrics], *[F.stddev_pop(m).alias(f"{m}_sd") for m in metrics])
-
-
-def experiment_grid(variants: dict[str, Callable[[int], DataFrame]], seeds: list[int]) -> DataFrame:
-    """Run each variant with each seed; a variant gives (metric, value) rows. One table of (variant, seed, metric, value)."""
-    out = None
-    for name, run in variants.items():
-        for seed in seeds:
-            rows = run(seed).select(F.lit(name).alias("variant"), F.lit(seed).alias("seed"), "metric", "value")
-            out = rows if out is None else out.unionByName(rows)
-    return out

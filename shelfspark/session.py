@@ -8,6 +8,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 _shipped: set[str] = set()
@@ -94,3 +95,9 @@ def scratch_folder(spark: SparkSession) -> str:
 def drop_folder(spark: SparkSession, name: str) -> None:
     """Delete a ``scratch_folder``; what was made from its tables must be written by now."""
     _file_system(spark, _path(spark, name)).delete(_path(spark, name), True)
+
+
+def read_finished(spark: SparkSession, path: str, schema: StructType) -> DataFrame | None:
+    """The table at ``path`` if its write came to its end, else None."""
+    mark = _path(spark, f"{path}/_SUCCESS")
+    return spark.read.schema(schema).parquet(path) if _file_system(spark, mark).exists(mark) else None

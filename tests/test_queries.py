@@ -48,51 +48,6 @@ def test_entry(spark):
     assert {r["segment"] for r in entry.entry(spark).collect()} >= {"ALL"}
 
 
-def planted(spark):
-    """Users buy items of their own parity; the last item of each is not in training, and every item has its parity as a token."""
-    train = spark.createDataFrame([(u, i, u * 100 + i) for u in range(20) for i in range(10) if (u + i) % 2 == 0 and i != u % 10], "user_id long, item_id long, ts long")
-    test = spark.createDataFrame([(u, i, 0) for u in range(20) for i in (u % 10, 10 + u % 2)], "user_id long, item_id long, ts long")
-    tokens = spark.createDataFrame([(i, f"f{i % 2}", 1.0) for i in range(12)], "item_id long, token string, weight double")
-    return train, test, tokens, spark.range(12).withColumnRenamed("id", "item_id")
-
-
-def test_pairwise_beats_popularity_on_planted_tastes(spark):
-    from shelfspark.operators import recommend as R
-
-    train, test, tokens, universe = planted(spark)
-    model, losses = R.fit_pairwise(train, tokens, universe, dim=4, epochs=6, rate=0.3, id_dropout=0.3)
-    assert losses[-1] < 0.8 * losses[0]
-    counts = R.item_train_counts(universe, train)
-    score = lambda recs: {r["metric"]: r["value"] for r in R.rank_eval(recs, test, counts, 2).collect()}["recall"]
-    assert score(R.pairwise_recs(model, train, 2)) > 1.5 * score(R.popularity_recs(train, test, 2))
-    # an item that nobody bought has its tokens' part alone
-    own = {r["item_id"]: r["embedding"] for r in model.item_vectors().collect()}
-    named = {r["token"]: r["x"] for r in model.shared.collect()}
-    assert own[10] == pytest.approx(named["f0"]) and own[11] == pytest.approx(named["f1"]) and own[0] != pytest.approx(named["f0"])
-
-
-def test_pairwise_ranking_is_by_the_whole_score(spark):
-    from shelfspark.operators import recommend as R
-
-    users = spark.createDataFrame([(7, [1.0, 0.5]), (8, [-1.0, 0.0])], "user_id long, x array<double>")
-    vectors = {i: [0.1 * i, -0.2 * i, float(b)] for i, b in enumerate([0, 0, 0, 5, 1, 9.0])}
-    items = spark.createDataFrame([(i, x, i != 5) for i, x in vectors.items()], "item_id long, x array<double>, trained boolean")
-    none = spark.createDataFrame([], "item_id long, token string, weight double, x array<double>")
-    model = R.PairwiseModel(users, items, none.select("token", "x"), none.select("item_id", "token", "weight"), 2)
-    train = spark.createDataFrame([(7, 0), (7, 1), (7, 1), (8, 2)], "user_id long, item_id long")
-    got = {(r["user_id"], r["item_id"]): r["score"] for r in R.pairwise_recs(model, train, 2).collect()}
-    want = {(u, i): a * vectors[i][0] + b * vectors[i][1] + vectors[i][2] for u, a, b in ((7, 1.0, 0.5), (8, -1.0, 0.0)) for i in (3, 4)}
-    assert got == pytest.approx(want)
-
-
-def test_early_stop_and_refit(spark):
-    from shelfspark.operators import recommend as R
-
-    train, _, tokens, universe = planted(spark)
-    model, epochs = R.fit_stopped(train, tokens, universe, k=2, most=2, patience=1, dim=3)
-    assert 1 <= epochs <= 2 and model.users.count() == 20
-
-
 def test_early_stop():
     from shelfspark.operators.recommend import early_stop
 
