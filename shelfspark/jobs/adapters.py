@@ -19,6 +19,7 @@ SKIN_VALUES = [None, "Dry, Oily & Combination, Normal", "All", "sensitive skin",
 BENEFIT_VALUES = [None, "Moisturizing, Anti-aging", "Brightening", "Cleansing and Soothing", "xyz", "Sun protection", "Hydrating; Firming"]
 ACTIVE_VALUES = [None, "Vitamin C", "Retinol, Hyaluronic acid", "xyz", "Tea Tree oil", "Shea butter & collagen"]
 STORES = [None, " ", "None"]
+REVIEW_TEXTS = ["I have sensitive skin and this burned; the redness stayed.", "Smells wonderful, my dry skin loves it", "Broke me out within days!! My acne-prone skin hates it", "Greasy and heavy on my oily skin.", "It didn't work. No difference, waste of money", None, "My very dry skin got flaky, too dry", "Nice texture", "My combination skin itches, an odd odour", "Drying. I have very sensitive skin", "Clogged pores and pimples", ""]
 DAY_MS = 86_400_000
 MILLION = 1_000_000
 

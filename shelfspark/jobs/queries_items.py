@@ -12,8 +12,9 @@ from shelfspark.jobs import adapters as A
 from shelfspark.jobs import sql as S
 from shelfspark.jobs.registry import query
 from shelfspark.operators import attributes as O
-from shelfspark.session import cut_lineage, table
+from shelfspark.session import cut_lineage, scratch_folder, table
 from shelfspark.sources import ingest as I
+from shelfspark.streaming.append import append_pending, appended
 
 
 def joined(c) -> F.Column:
@@ -32,6 +33,38 @@ def s5_days(spark: SparkSession, d: str) -> DataFrame:
     return I.pending(e, e.filter("event_type = 'click'"), ["user_id", "day"]).select("event_id", "user_id", "day")
 
 
+@query("s5_append_resumed", "SELECT event_id, user_id, CAST(ts AS DATE) AS day, CAST(CASE WHEN event_type = 'click' THEN 0 ELSE 1 END AS BIGINT) AS batch FROM events")
+def s5_append(spark: SparkSession, d: str) -> DataFrame:
+    """A run that was stopped after the clicks, resumed over all events, and started once more with nothing left to do."""
+    events, path = table(spark, d, "events").select("event_id", "user_id", "ts", "event_type"), scratch_folder(spark)
+    schema = "event_id long, user_id long, day date"
+    dated = lambda df: df.select("event_id", "user_id", F.to_date("ts").alias("day"))
+    for batch, rows in enumerate((events.filter("event_type = 'click'"), events, events)):
+        append_pending(rows, path, ["event_id"], dated, schema, batch)
+    return appended(spark, path, schema)
+
+
+EVENT = "event_id long, user_id long, event_type string, value double"
+
+
+def _as_lines(spark: SparkSession, d: str) -> str:
+    """The events as gzipped JSON lines, in files by event_id."""
+    path = f"{scratch_folder(spark)}/events"
+    rows = table(spark, d, "events").select(*[c.split(" ")[0] for c in EVENT.split(", ")])
+    rows.repartitionByRange("event_id").sortWithinPartitions("event_id").write.option("compression", "gzip").json(path)
+    return path
+
+
+@query("s1_read_jsonl", "SELECT event_id, user_id, event_type, value FROM events")
+def s1(spark: SparkSession, d: str) -> DataFrame:
+    return I.read_jsonl(spark, _as_lines(spark, d), EVENT)
+
+
+@query("s1_first_lines", "SELECT event_id, user_id, event_type, value FROM events ORDER BY event_id LIMIT 300")
+def s1_first(spark: SparkSession, d: str) -> DataFrame:
+    return I.read_jsonl(spark, _as_lines(spark, d), EVENT, 300)
+
+
 @query("p1_parse_details", "SELECT event_id, json_extract_string(props, '$.k') AS k, len(json_keys(props)) AS n_keys FROM events")
 def p1(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "events").select("event_id", I.parse_details(F.col("props")).alias("m"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.functions import rules as R
 from shelfspark.functions import text as T
+from shelfspark.functions.rules import COMPLAINTS, SELF_TYPES
 from shelfspark.jobs import adapters as A
 from shelfspark.jobs import queries_items as Q
 from shelfspark.jobs import sql as S
@@ -141,17 +142,23 @@ WORDS = [("the", r"\b(the|and)\b"), ("of", r"\bof\b"), ("this", r"\bth(is|at)\b"
 SELF = [("from", r"\bfrom\b"), ("with", r"\bwith\b")]
 
 
-def _flags(rules) -> str:
-    return ", ".join(f"CASE WHEN regexp_matches(lower(text), '{rx}') THEN 1.0 ELSE 0 END AS \"{n}\"" for n, rx in rules)
+def _hit(rx: str, text: str = "text") -> str:
+    """A rule in SQL; its word boundaries are those of all scripts' letters."""
+    edges = rx.replace("'", "''").replace(r"\b", "(?:^|$|[^\\p{L}\\p{M}\\p{N}_])")
+    return f"regexp_matches(lower({text}), '{edges}')"
 
 
-REVIEWS = f"r AS (SELECT CASE WHEN quality = 0 THEN 'low' ELSE 'high' END AS bucket, {_flags(WORDS)}, regexp_matches(lower(text), '{SELF[0][1]}') AS s0, regexp_matches(lower(text), '{SELF[1][1]}') AS s1 FROM documents JOIN labels USING (doc_id) WHERE lang = 'en')"
+def _flags(rules, text: str = "text") -> str:
+    return ", ".join(f"CASE WHEN {_hit(rx, text)} THEN 1.0 ELSE 0 END AS \"{n}\"" for n, rx in rules)
+
+
+REVIEWS = f"r AS (SELECT CASE WHEN quality = 0 THEN 'low' ELSE 'high' END AS bucket, {_flags(WORDS)}, {_hit(SELF[0][1])} AS s0, {_hit(SELF[1][1])} AS s1 FROM documents JOIN labels USING (doc_id))"
 RATES = ", ".join(f'avg("{n}") AS "{n}"' for n, _ in WORDS)
 
 
 def labelled_texts(spark, d):
     docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
-    return docs.filter("lang = 'en'").join(labels, "doc_id").withColumn("rating", F.when(F.col("quality") == 0, 1.0).otherwise(5.0))
+    return docs.join(labels, "doc_id").withColumn("rating", F.when(F.col("quality") == 0, 1.0).otherwise(5.0))
 
 
 @query("a14_review_terms", f"WITH {REVIEWS} SELECT bucket, count(*) AS n, {RATES} FROM r GROUP BY bucket")
@@ -170,6 +177,27 @@ def a14b(spark, d):
     return M.review_terms(labelled_texts(spark, d), "text", "rating", WORDS, SELF, 5)[1]
 
 
+REVIEWED = f"""WITH {A.SQL_RAW}, s AS (SELECT *, {A.sql_pick(A.REVIEW_TEXTS, 'user_id * 31 + item_id * 17 + ts // 86400000')} AS text FROM raw),
+r AS (SELECT CASE WHEN rating <= 2 THEN 'low' WHEN rating >= 4 THEN 'high' ELSE 'mid' END AS bucket, {_flags(COMPLAINTS)}, [{', '.join(f"CASE WHEN {_hit(rx)} THEN '{n}' END" for n, rx in SELF_TYPES)}] AS types FROM s)"""
+COMPLAINT_RATES = ", ".join(f'avg("{n}") AS "{n}"' for n, _ in COMPLAINTS)
+
+
+def reviewed(spark, d):
+    """Every order line with a review text by its numbers."""
+    raw = A.interactions_raw(spark, d)
+    return raw.withColumn("text", A.pick(A.REVIEW_TEXTS, F.col("user_id") * 31 + F.col("item_id") * 17 + F.floor(F.col("ts") / 86_400_000)))
+
+
+@query("a14_complaints", f"{REVIEWED} SELECT bucket, count(*) AS n, {COMPLAINT_RATES} FROM r GROUP BY bucket")
+def a14_complaints(spark, d):
+    return M.review_terms(reviewed(spark, d), "text", "rating")[0]
+
+
+@query("a14_complaints_by_type", f"{REVIEWED}, t AS (SELECT unnest(list_filter(types, lambda x: x IS NOT NULL)) AS type, * EXCLUDE (types) FROM r) SELECT type, bucket, count(*) AS n, {COMPLAINT_RATES} FROM t WHERE type IN (SELECT type FROM t WHERE bucket = 'low' GROUP BY type HAVING count(*) >= 30) GROUP BY type, bucket")
+def a14_complaints_by_type(spark, d):
+    return M.review_terms(reviewed(spark, d), "text", "rating")[1]
+
+
 PAIRS = f"""{SEG}, {ACT}, nexts AS (SELECT segment, user_id, item_id AS first, lead(item_id) OVER w AS second, lead(ts) OVER w - ts AS gap_ms FROM act WINDOW w AS (PARTITION BY segment, user_id ORDER BY ts, item_id)),
 pairs AS (SELECT * FROM nexts WHERE gap_ms >= 86400000)"""
 DRAWN = """idx AS (SELECT segment, item_id, row_number() OVER (PARTITION BY segment ORDER BY ts, user_id, item_id) - 1 AS idx FROM act), sizes AS (SELECT segment, count(*) AS size FROM act GROUP BY 1),

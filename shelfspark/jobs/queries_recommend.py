@@ -26,6 +26,13 @@ def split(spark, d):
     return train, test, R.item_train_counts(R.item_universe(train, test), train)
 
 
+def split_once(spark, d):
+    """The split, written once, for jobs that read it several times."""
+    train, test = R.time_split(cut_lineage(active(spark, d)), 0.1)
+    train, test = cut_lineage(train), cut_lineage(test)
+    return train, test, cut_lineage(R.item_train_counts(R.item_universe(train, test), train))
+
+
 @query("r1_time_split", f"{BASE} SELECT 'train' AS part, user_id, item_id, ts FROM train UNION ALL SELECT 'test', user_id, item_id, ts FROM test")
 def r1(spark, d):
     train, test, _ = split(spark, d)
@@ -86,7 +93,7 @@ recs AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC,
 
 
 def popular(spark, d):
-    train, test, counts = split(spark, d)
+    train, test, counts = split_once(spark, d)
     return R.popularity_recs(train, test, K), test, counts
 
 
@@ -142,7 +149,7 @@ ctop AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER
 
 @query("r14_cold_pool_eval", f"{BASE}, {COLD}, {_metrics('ctest', 'ctop')}")
 def r14(spark, d):
-    train, test, counts = split(spark, d)
+    train, test, counts = split_once(spark, d)
     pool = R.cold_pool(counts)
     truth = test.join(pool.select("item_id"), "item_id", "left_semi")
     return R.rank_eval(R.popularity_recs(train, truth, K, pool), truth, counts, K)
@@ -170,16 +177,20 @@ def r7(spark, d):
 @query("r8_embedding_recs", f"""{BASE}, {VECTORS}, {PROFILE}, sc AS (SELECT user_id, item_id, round(list_dot_product(p, v), 9) AS score FROM prof, vec WHERE NOT EXISTS (SELECT 1 FROM train t WHERE t.user_id = prof.user_id AND t.item_id = vec.item_id)),
 rk AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM sc) SELECT user_id, item_id, CAST(rank AS INTEGER) AS rank FROM rk WHERE rank <= {K}""")
 def r8(spark, d):
-    train = split(spark, d)[0]
-    v = vectors(spark, d)
-    recs = V.embedding_recs(R.embedding_profile(train, v), v, train, K)
+    train = split_once(spark, d)[0]
+    v = cut_lineage(vectors(spark, d))
+    recs = V.embedding_recs(cut_lineage(R.embedding_profile(train, v)), v, train, K)
     return recs.select("user_id", "item_id", "rank")
 
 
-@query("r9_text_vectors")
+@query("r9_text_vectors", f"""WITH {A.SQL_ITEMS}, t AS (SELECT item_id, unnest(list_filter(regexp_split_to_array(lower(concat_ws(' ', title, features, description)), '\\s+'), lambda w: w <> '')) AS word FROM items),
+c AS (SELECT item_id, ('0x' || substr(md5(word), 1, 8))::BIGINT % 256 AS place, count(*) AS tf FROM t GROUP BY 1, 2), i AS (SELECT place, ln(((SELECT count(*) FROM items) + 1)::DOUBLE / (count(*) + 1)) AS idf FROM c GROUP BY 1),
+w AS (SELECT item_id, place, tf * idf AS x FROM c JOIN i USING (place)), n AS (SELECT item_id, sqrt(sum(x * x)) AS norm FROM w GROUP BY 1)
+SELECT item_id, CAST(place AS INTEGER) AS place, round(x / norm, 6) AS x FROM w JOIN n USING (item_id) WHERE x <> 0""")
 def r9(spark, d):
     it = A.items(spark, d).select("item_id", F.concat_ws(" ", "title", "features", "description").alias("text"))
-    return R.text_vectors(it, "text").select("item_id", F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x).alias("norm"))
+    v = R.text_vectors(it, "text").select("item_id", F.posexplode("embedding").alias("place", "x"))
+    return v.filter("x <> 0").withColumn("x", F.round("x", 6))
 
 
 @query("r10_negative_samples", f"""{BASE}, ti AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS idx, count(*) OVER () AS n FROM (SELECT DISTINCT item_id FROM train))
@@ -191,7 +202,7 @@ def r10(spark, d):
 @query("r11_fit_pairwise")
 def r11(spark, d):
     """Metrics of two models that are fitted at once, with tokens alone and with text vectors, and the loss of each epoch."""
-    train, test, counts = split(spark, d)
+    train, test, counts = split_once(spark, d)
     settings = X.settings_of(["filled+drop", "filled_emb"], [0], id_dropout=0.3)
     tokens = X.feature_sets(Q.attrs_table(spark, d), settings)
     models, losses = fit_models(train, counts.select("item_id"), settings, 5, tokens, vectors(spark, d))
@@ -204,7 +215,7 @@ def r11(spark, d):
 @query("r12_early_stop")
 def r12(spark, d):
     """Epochs that do best on the end of the training time, and the refitted model's metrics."""
-    train, test, counts = split(spark, d)
+    train, test, counts = split_once(spark, d)
     settings = [Setting("filled+drop", 0, "filled", id_dropout=0.5)]
     tokens = X.feature_sets(Q.attrs_table(spark, d), settings)
     models, epochs = X.fit_stopped(train, counts.select("item_id"), settings, tokens, k=K)
@@ -230,8 +241,7 @@ def _variant(name: str, recs: str, cold: str) -> str:
 
 
 def grid(spark, d, variants, seeds, **options):
-    train, test, counts = split(spark, d)
-    train, test, counts = cut_lineage(train), cut_lineage(test), cut_lineage(counts)
+    train, test, counts = split_once(spark, d)
     return X.experiment_grid(train, test, counts, Q.attrs_table(spark, d), cut_lineage(vectors(spark, d)), variants, seeds, K, **options)
 
 
@@ -249,6 +259,6 @@ def r15b(spark, d):
 @query("r8_approximate_recs")
 def r8_lists(spark, d):
     """Recommendations from the nearest lists of an inverted file."""
-    train = split(spark, d)[0]
-    v = vectors(spark, d)
-    return V.approximate_recs(R.embedding_profile(train, v), v, train, K).select("user_id", "item_id", "rank")
+    train = split_once(spark, d)[0]
+    v = cut_lineage(vectors(spark, d))
+    return V.approximate_recs(cut_lineage(R.embedding_profile(train, v)), v, train, K).select("user_id", "item_id", "rank")

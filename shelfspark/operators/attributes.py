@@ -109,17 +109,23 @@ def parse_model_output(raw: Column) -> Column:
     halves = F.split(F.coalesce(raw, F.lit("")), r'"evidence"\s*:', 2)
     head, tail = F.get(halves, 0), F.coalesce(F.get(halves, 1), F.lit(""))
 
+    inner = r'([^"\\]*+(?:\\.[^"\\]*+)*+)'  # of a JSON string, escapes included
+
+    def plain(quoted: Column) -> Column:
+        return F.coalesce(F.get(F.from_json(F.concat(F.lit('["'), quoted, F.lit('"]')), "array<string>"), 0), quoted)
+
     def listed(key: str) -> Column:
         inside = F.regexp_extract(head, rf'(?s)"{key}"\s*:\s*\[([^\]]*)', 1)
-        return F.regexp_extract_all(inside, F.lit(r'"([^"]*)"'), 1)
+        return F.transform(F.regexp_extract_all(inside, F.lit(f'"{inner}"'), 1), plain)
+
+    form = F.nullif(plain(F.regexp_extract(head, rf'"form"\s*:\s*"{inner}"', 1)), F.lit(""))
 
-    form = F.nullif(F.regexp_extract(head, r'"form"\s*:\s*"([^"]*)"', 1), F.lit(""))
     def quoted(key: str) -> Column:
-        quote, several = rf'"{key}"\s*:\s*"([^"]*)"', rf'"{key}"\s*:\s*(\[[^\]]*\])'
-        cut = F.regexp_extract_all(F.regexp_extract(tail, rf'"{key}"\s*:\s*\[([^\]]*)$', 1), F.lit(r'"([^"]*)"'), 1)
+        quote, several = rf'"{key}"\s*:\s*"{inner}"', rf'"{key}"\s*:\s*(\[[^\]]*\])'
+        cut = F.regexp_extract_all(F.regexp_extract(tail, rf'"{key}"\s*:\s*\[([^\]]*)$', 1), F.lit(f'"{inner}"'), 1)
         return (
-            F.when(tail.rlike(quote), F.regexp_extract(tail, quote, 1)).when(tail.rlike(several), F.regexp_extract(tail, several, 1))
-            .when(F.size(cut) > 0, F.to_json(cut))
+            F.when(tail.rlike(quote), plain(F.regexp_extract(tail, quote, 1))).when(tail.rlike(several), F.regexp_extract(tail, several, 1))
+            .when(F.size(cut) > 0, F.to_json(F.transform(cut, plain)))
         )
 
     keys = ("form", "skin_type", "benefits")

@@ -36,6 +36,15 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], spread: Column
     return dealt.join(spread_out, [*on, free], how).drop(free)
 
 
+#: Rows that are broadcast after they were counted.
+MOST_BROADCAST = 1 << 16
+
+
+def lookup_join(left: DataFrame, right: DataFrame, on: list[str], spread: Column, how: str = "left", most: int = MOST_BROADCAST) -> DataFrame:
+    """``left`` with what ``right`` says of its keys: broadcast where ``right`` has at most ``most`` rows by count, else a salted_join."""
+    return left.join(F.broadcast(right), on, how) if right.count() <= most else salted_join(left, right, on, spread, how)
+
+
 def _free_name(taken: list[str], name: str = "salt") -> str:
     low = {c.lower() for c in taken}
     while name in low:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfspark.operators.joins import MOST_BROADCAST, lookup_join
+from shelfspark.session import cut_lineage
+
 ATTRIBUTES = ["form", "skin", "benefit", "benefit_main", "active", "active_main", "store"]
 
 
@@ -16,13 +19,19 @@ def item_labels(attrs: DataFrame, attributes: list[str] = ATTRIBUTES) -> DataFra
     return attrs.select("item_id", brand.alias("brand"), F.map_from_arrays(F.array(*[F.lit(a) for a in attributes]), F.array(*arrays)).alias("labels"))
 
 
-def attach_pair_attributes(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Brands and labels of the first, second and random item of each pair."""
-    out = pairs
+def attach_pair_attributes(pairs: DataFrame, labels: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """Brands and labels of the first, second and random item of each pair.
+
+    Few items sell most, so no side is joined by a plain shuffle on items: a
+    catalogue of at most ``most`` items is broadcast, a larger one meets the
+    pairs of popular items in several tasks.
+    """
+    out, labels = pairs, cut_lineage(labels)
+    deal = F.xxhash64(*[c for c in ("user_id", "first", "second") if c in pairs.columns])
     for side in ("first", "second", "rand"):
         if side in pairs.columns:
             own = labels.select(F.col("item_id").alias(side), F.col("brand").alias(f"{side}_brand"), F.col("labels").alias(f"{side}_labels"))
-            out = out.join(own, side, "left")
+            out = lookup_join(out, own, [side], deal, most=most)
     return out
 
 

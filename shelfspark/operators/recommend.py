@@ -165,21 +165,21 @@ def embedding_profile(train: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def text_vectors(items: DataFrame, text: str, dim: int = 256, wanted: DataFrame | None = None) -> DataFrame:
-    """A unit vector for each item from its words: hashed counts weighed by rarity. Items without words get zeros.
+    """(item_id, embedding): a unit vector for each item from its words: hashed counts weighed by rarity. Items without words get zeros.
 
-    Given ``wanted`` (item_id), those items get a vector; of one that ``items`` lacks it is zeros.
+    A word's place is its md5 number modulo ``dim``; a place that df of N items
+    have weighs ln((N + 1) / (df + 1)). Given ``wanted`` (item_id), those items
+    get a vector; of one that ``items`` lacks it is zeros.
     """
-    from pyspark.ml.feature import IDF, HashingTF, Normalizer, Tokenizer
-    from pyspark.ml.functions import vector_to_array
-
-    words = Tokenizer(inputCol="_text", outputCol="_words").transform(items.select("item_id", F.coalesce(text, F.lit("")).alias("_text")))
-    counts = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=dim).transform(words)
-    rare = IDF(inputCol="_tf", outputCol="_idf").fit(counts).transform(counts)
-    unit = Normalizer(inputCol="_idf", outputCol="_v").transform(rare)
-    found = unit.select("item_id", vector_to_array("_v").alias("embedding"))
-    if wanted is None:
-        return found
-    all_wanted = wanted.select("item_id").distinct().join(found, "item_id", "left")
+    words = items.select("item_id", F.explode(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")).alias("word"))
+    counts = cut_lineage(words.groupBy("item_id", F.pmod(md5_number("word"), F.lit(dim)).cast("int").alias("place")).agg(F.count(F.lit(1)).alias("tf")))
+    n = items.count()
+    rare = counts.groupBy("place").agg(F.log(F.lit(float(n + 1)) / (F.count(F.lit(1)) + 1)).alias("idf"))  # dim rows
+    weights = counts.join(F.broadcast(rare), "place").select("item_id", "place", (F.col("tf") * F.col("idf")).alias("x"))
+    held = weights.groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.struct("place", "x"))).alias("at"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))  # dim entries at most
+    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.when(F.col("norm") > 0, F.coalesce(F.col("at")[i], F.lit(0.0)) / F.col("norm")).otherwise(0.0))
+    found = held.select("item_id", dense.alias("embedding"))
+    all_wanted = (items if wanted is None else wanted).select("item_id").distinct().join(found, "item_id", "left")
     return all_wanted.withColumn("embedding", F.coalesce("embedding", F.array_repeat(F.lit(0.0), dim)))
 
 

@@ -101,3 +101,12 @@ def read_finished(spark: SparkSession, path: str, schema: StructType) -> DataFra
     """The table at ``path`` if its write came to its end, else None."""
     mark = _path(spark, f"{path}/_SUCCESS")
     return spark.read.schema(schema).parquet(path) if _file_system(spark, mark).exists(mark) else None
+
+
+def list_folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in ``path``, in order; none if there is no such folder."""
+    place = _path(spark, path)
+    files = _file_system(spark, place)
+    if not files.exists(place):
+        return []
+    return sorted(f.getPath().getName() for f in files.listStatus(place) if f.isDirectory())

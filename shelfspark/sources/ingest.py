@@ -9,9 +9,21 @@ from pyspark.sql.types import StructType
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str, limit: int | None = None) -> DataFrame:
-    """JSON lines, compressed or not, with a given schema. A gzip file is one task; repartition after it."""
-    df = spark.read.schema(schema).json(path)
-    return df if limit is None else df.limit(limit)
+    """JSON lines, compressed or not, with a given schema; blank lines are none, broken ones give nulls.
+
+    A gzip file can't be split: its lines are read by one task and dealt over
+    the cores before they are parsed. With ``limit``, the first so many lines in
+    the order of file names and places: each task keeps that many of its own.
+    """
+    lines = spark.read.text(path)
+    if limit is not None:
+        place = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+        lines = place.filter(F.trim("value") != "").orderBy("file", "block", "row").limit(limit).select("value")
+    elif any(name.endswith(".gz") for name in lines.inputFiles()):
+        lines = lines.repartition(spark.sparkContext.defaultParallelism)
+    kind = spark.createDataFrame([], schema).schema
+    parsed = lines.filter(F.trim("value") != "").select(F.from_json("value", kind).alias("row"))
+    return parsed.select("row.*")
 
 
 def read_sheet(spark: SparkSession, path: str, encoding: str = "UTF-8", fallback: str | None = "cp949") -> DataFrame:
@@ -65,7 +77,7 @@ def write_report(parts: list[tuple[str, DataFrame]], path: str) -> None:
 
 
 def pending(df: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows whose keys are not in ``done`` yet; append their results to it."""
+    """Rows whose keys are not in ``done`` yet; ``streaming.append`` adds their results to it."""
     return df.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
