@@ -18,6 +18,8 @@ from shelfspark.session import cut_lineage, drop_folder, scratch_folder, table
 
 #: A token in the prefixes of more sets than this is frequent: it comes late in the order of tokens. So many may be, the most frequent ones.
 FREQUENT, MOST_FREQUENT = 64, 1 << 20
+#: Tokens that a task counts together, and how often one must come there to be counted beyond prefixes.
+STRETCH, LOCAL = 1 << 22, 8
 #: Sets that the tree of one token holds; those of a token with more are dealt over several trees.
 TREE_SETS = 1000
 #: Sets and tokens of a family that one task compares.
@@ -72,6 +74,11 @@ def needed(size: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * size // 100)
 
 
+def asked(size: np.ndarray, percent: int) -> np.ndarray:
+    """The least overlap that a set of this size has with a similar one that is not smaller."""
+    return -(-2 * percent * size // (100 + percent))
+
+
 def _lists(values: np.ndarray, owner: np.ndarray, n: int) -> pa.Array:
     """The values of each of n owners."""
     order = np.argsort(owner, kind="stable")
@@ -98,10 +105,14 @@ class Frequent:
         return out
 
 
-def prefixes(tokens: np.ndarray, bounds: np.ndarray, percent: int, frequent: Frequent | None = None, stretch: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(tokens, sets, number if frequent) of the sets' prefixes: so many first tokens that two similar sets share one of them.
+def prefixes(tokens: np.ndarray, bounds: np.ndarray, percent: int, frequent: Frequent | None = None, stretch: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens, sets, number if frequent, inner) of the sets' prefixes: so many first tokens that two similar sets share one of them.
 
-    All sets order their tokens alike: by the number's power of two if frequent, then by hash.
+    All sets order their tokens alike: by the number's power of two if frequent,
+    then by hash. The first token that two similar sets share is an inner one of
+    the smaller set, whose overlap is at least ``asked``: so sets that have a
+    frequent token only behind more rare ones than they may differ in do not
+    meet by it.
     """
     size = np.diff(bounds)
     length = np.where(size > 0, size - needed(size, percent) + 1, 0)
@@ -111,27 +122,31 @@ def prefixes(tokens: np.ndarray, bounds: np.ndarray, percent: int, frequent: Fre
     if number.any():
         order = np.lexsort((np.log2(number + 1).astype(np.int64), text))
         tokens, number = tokens[order], number[order]
-    taken = np.arange(len(tokens)) - bounds[:-1][text] < length[text]
-    return tokens[taken], text[taken], number[taken]
+    place = np.arange(len(tokens)) - bounds[:-1][text]
+    taken = place < length[text]
+    inner = place < (size - asked(size, percent) + 1)[text]
+    return tokens[taken], text[taken], number[taken], inner[taken]
 
 
-def tree_keys(tokens: np.ndarray, sets: np.ndarray, number: np.ndarray, size: np.ndarray, codes: np.ndarray, percent: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def tree_keys(tokens: np.ndarray, sets: np.ndarray, number: np.ndarray, inner: np.ndarray, size: np.ndarray, codes: np.ndarray, percent: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(key, set) of the trees of prefix tokens, and of those (without regard to the part) that are dealt over several.
 
     A token has a tree for each width of bitmap. A set is in those of all widths
     that smaller similar sets may have, so two similar sets meet in the tree of
-    the narrower one's width. A token of more than ``most`` sets has parts by min-hash.
+    the narrower one's width. A token of more than ``most`` sets has parts by
+    min-hash. A key's lowest bit says whether the token is an inner one of the set.
     """
+    flagged = lambda key, on: (key & ~np.uint64(1)) | inner[on].astype(np.uint64)
     high, low = width_class(size)[sets], width_class(needed(size, percent))[sets]
     keys, owners, hot, hot_owners = [], [], [], []
     for down in range(int((high - low).max(initial=0)) + 1):
         on = np.flatnonzero(high - down >= low)
         key = mixed(tokens[on] ^ ((high[on] - down).astype(np.uint64) * _K))
         many = number[on] > most
-        hot.append(key[many])
+        hot.append(flagged(key, on)[many])
         hot_owners.append(sets[on][many])
         parts = np.where(many, -(-number[on] // most), 1).astype(np.uint64)
-        keys.append(mixed(key + codes[sets[on]] % parts * _OTHER))
+        keys.append(flagged(mixed(key + codes[sets[on]] % parts * _OTHER), on))
         owners.append(sets[on])
     return tuple(np.concatenate(x) for x in (keys, owners, hot, hot_owners))
 
@@ -180,26 +195,26 @@ def _ints(group: pa.Table, name: str) -> np.ndarray:
 
 
 def shared_trees(rows: DataFrame) -> DataFrame:
-    """(tree, node, hot) for the trees (key, node) of two nodes or more; trees of the same nodes get one number.
+    """(tree, node, inner, hot) for the trees (key, node, inner) of two nodes or more, of which one has the token as an inner one; trees of the same nodes get one number.
 
     A key that has far more nodes than were counted is dealt over several trees;
     ``hot`` is the key then, else null.
     """
 
     def work(group: pa.Table) -> Iterator[pa.RecordBatch]:
-        key, node = _ints(group, "key"), _ints(group, "node")
-        order = np.lexsort((node, key))
-        key, node = key[order], node[order]
+        key, node, inner = _ints(group, "key"), _ints(group, "node"), group.column("inner").to_numpy()
+        order = np.lexsort((~inner, node, key))
+        key, node, inner = key[order], node[order], inner[order]
         once = np.ones(len(key), bool)
         once[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-        key, node = key[once], node[once]
+        key, node, inner = key[once], node[once], inner[once]
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         count = np.diff(np.append(start, len(key)))
-        several = np.repeat(count > 1, count)
+        several = np.repeat((count > 1) & np.logical_or.reduceat(inner, start), count)
         if not several.any():
             return
         large = np.repeat(count > 4 * TREE_SETS, count)[several]
-        key, node = key[several], node[several]
+        key, node, inner = key[several], node[several], inner[several]
         place = np.arange(len(key))
         new = np.concatenate([[True], key[1:] != key[:-1]])
         place -= np.maximum.accumulate(np.where(new, place, 0))
@@ -207,13 +222,13 @@ def shared_trees(rows: DataFrame) -> DataFrame:
         start = np.flatnonzero(new)
         members = np.add.reduceat(mixed(node.view(np.uint64) ^ _K), start)
         tree = np.repeat(mixed(members), np.diff(np.append(start, len(key)))).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(tree), pa.array(node), pa.array(key, mask=~large)], ["tree", "node", "hot"])
+        yield pa.RecordBatch.from_arrays([pa.array(tree), pa.array(node), pa.array(inner), pa.array(key, mask=~large)], ["tree", "node", "inner", "hot"])
 
-    return _by_key(rows, "key", work, "tree long, node long, hot long", 1 << 16)
+    return _by_key(rows, "key", work, "tree long, node long, inner boolean, hot long", 1 << 16)
 
 
 def possible_links(trees: DataFrame, percent: int) -> DataFrame:
-    """(a, b) that the bitmaps of ``trees`` (tree, node, size, code, bits) leave, as a spanning set of each tree's."""
+    """(a, b) that the bitmaps of ``trees`` (tree, node, inner, size, code, bits) leave, as a spanning set of each tree's."""
 
     def work(group: pa.Table) -> Iterator[pa.RecordBatch]:
         group = group.combine_chunks()
@@ -221,7 +236,7 @@ def possible_links(trees: DataFrame, percent: int) -> DataFrame:
         bits = group.column("bits").chunk(0).cast(pa.large_binary())
         bounds = np.frombuffer(bits.buffers()[1], np.int64)[bits.offset : bits.offset + len(bits) + 1]
         words = np.frombuffer(bits.buffers()[2], np.uint8)[bounds[0] : bounds[-1]].copy().view(np.uint64)
-        x, y = forests(tree, _ints(group, "size"), words, (bounds - bounds[0]) >> 3, group.column("code").to_numpy(), percent)
+        x, y = forests(tree, _ints(group, "size"), words, (bounds - bounds[0]) >> 3, group.column("code").to_numpy(), percent, group.column("inner").to_numpy())
         yield pa.RecordBatch.from_arrays([pa.array(node[x]), pa.array(node[y])], ["a", "b"])
 
     return _by_key(trees, "tree", work, "a long, b long", FOREST_ROWS)
@@ -253,18 +268,40 @@ class _Nodes:
         return cut_lineage(df, self.folder)
 
     def frequent(self):
-        """A broadcast of the frequent tokens: MOST_FREQUENT at most."""
+        """A broadcast of the frequent tokens: MOST_FREQUENT at most.
+
+        Counted are the tokens of all prefixes (by hash alone, a little longer
+        than they will be) and, as a template's tokens stand behind those too,
+        the tokens of whole sets that come LOCAL times or more in a stretch of
+        STRETCH tokens of a task. Neither changes what is found, only what meets.
+        """
         n, percent = self.n, self.percent
 
         def make():
+            held: list[np.ndarray] = []
+
+            def often() -> pa.RecordBatch:
+                found, count = np.unique(np.concatenate(held), return_counts=True)
+                held.clear()
+                many = count >= LOCAL
+                return pa.RecordBatch.from_arrays([pa.array(found[many].view(np.int64)), pa.array(np.zeros(int(many.sum()), np.int64)), pa.array(count[many])], ["key", "n", "whole"])
+
             def work(batch):
-                if batch is not None:
-                    got, *_ = prefixes(*token_sets(batch.column("_text"), n), percent, None, 1.25)
-                    yield pa.RecordBatch.from_arrays([pa.array(got.view(np.int64))], ["key"])
+                if batch is None:
+                    if held:
+                        yield often()
+                    return
+                tokens, bounds = token_sets(batch.column("_text"), n)
+                held.append(tokens)
+                got, *_ = prefixes(tokens, bounds, percent, None, 1.25)
+                yield pa.RecordBatch.from_arrays([pa.array(got.view(np.int64)), pa.array(np.ones(len(got), np.int64)), pa.array(np.zeros(len(got), np.int64))], ["key", "n", "whole"])
+                if sum(map(len, held)) >= STRETCH:
+                    yield often()
 
             return work
 
-        counts = text_rows(self.texts, "key long", make, []).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > FREQUENT)
+        rows = text_rows(self.texts, "key long, n long, whole long", make, [])
+        counts = rows.groupBy("key").agg(F.greatest(F.sum("n"), F.sum("whole")).alias("n")).filter(F.col("n") > FREQUENT)
         found = counts.orderBy(F.col("n").desc(), "key").limit(MOST_FREQUENT).toArrow()
         return self.spark.sparkContext.broadcast((found.column("key").to_numpy().view(np.uint64), found.column("n").to_numpy().astype(np.int64)))
 
@@ -344,27 +381,30 @@ def dealt_families(members: DataFrame) -> Iterator[DataFrame]:
 
 
 def meetings(nodes: _Nodes, rows: DataFrame) -> DataFrame:
-    """(pair, node, label) for what is left to compare in groups of any size (group, node, size, label).
+    """(pair, node, label) for what is left to compare in groups of any size (group, node, size, label, inner).
 
     A group that one task can compare is one pair. The sets of a larger one are
     dealt to blocks of one range of sizes each, those of a label with many sets
     to blocks of their own; two blocks meet unless they have one label or no
-    sizes that go together. Only numbers are joined here.
+    sizes that go together, or neither has a set with the token as an inner one
+    that is not larger than some of the other's. Only numbers are joined here.
     """
     whole = rows.groupBy("group").agg(F.count(F.lit(1)).alias("sets"), F.sum("size").alias("total")).select(F.col("group").alias("g"), _large("sets", "total").alias("large"))
     of_label = rows.groupBy("group", "label").agg(F.count(F.lit(1)).alias("same")).filter(F.col("same") * 2 > FAMILY_SETS).select(F.col("group").alias("l_group"), F.col("label").alias("pool"))
     marked = rows.join(whole, F.col("group") == F.col("g")).join(of_label, (F.col("group") == F.col("l_group")) & (F.col("label") == F.col("pool")), "left")
     range_ = F.when(F.col("large"), F.floor(F.log("size") / F.log(F.lit(1.1)))).otherwise(0)
-    marked = marked.select("group", "node", "size", "label", F.when(F.col("large"), F.col("pool")).alias("pool"), range_.alias("range"))
+    marked = marked.select("group", "node", "size", "label", "inner", F.when(F.col("large"), F.col("pool")).alias("pool"), range_.alias("range"))
     of_range = marked.groupBy("group", "pool", "range").agg(F.count(F.lit(1)).alias("sets"), F.sum("size").alias("total"))
     of_range = of_range.select(F.col("group").alias("r_group"), F.col("pool").alias("r_pool"), F.col("range").alias("r_range"), _parts("sets", "total").alias("parts"))
     same = (F.col("group") == F.col("r_group")) & F.col("pool").eqNullSafe(F.col("r_pool")) & (F.col("range") == F.col("r_range"))
     block = F.xxhash64("group", "pool", "range", F.pmod(F.xxhash64(F.lit(2), "node"), "parts"))
-    marked = nodes.cut(marked.join(of_range, same).select("group", block.alias("block"), "pool", "node", "size", "label"))
-    each = nodes.cut(marked.groupBy("group", "block").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.first("pool").alias("pool")))
+    marked = nodes.cut(marked.join(of_range, same).select("group", block.alias("block"), "pool", "node", "size", "label", "inner"))
+    least = F.coalesce(F.min(F.when(F.col("inner"), F.col("size"))), F.lit(1 << 62)).alias("least")
+    each = nodes.cut(marked.groupBy("group", "block").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.first("pool").alias("pool"), least))
     other = each.select(*[F.col(c).alias(f"o_{c}") for c in each.columns])
     meet = each.join(other, (F.col("group") == F.col("o_group")) & (F.col("block") <= F.col("o_block")))
     meet = meet.filter((100 * F.col("high") >= nodes.percent * F.col("o_low")) & (100 * F.col("o_high") >= nodes.percent * F.col("low")))
+    meet = meet.filter((F.col("least") <= F.col("o_high")) | (F.col("o_least") <= F.col("high")))
     meet = meet.filter(F.col("pool").isNull() | ~F.col("pool").eqNullSafe(F.col("o_pool")))
     meet = meet.select("block", "o_block", F.xxhash64("block", "o_block").alias("pair"))
     sides = meet.select("pair", "block").unionByName(meet.select("pair", F.col("o_block").alias("block"))).distinct()
@@ -386,7 +426,8 @@ def similar_sets(docs: DataFrame, n: int = 3, percent: int = 90, keep: list[str]
 
     1. Every text gives a 128-bit key of its set; equal sets are one node.
     2. Two similar sets share a token of their prefixes (frequent tokens come
-       last in the order of all tokens). Each token that prefixes share has a
+       last in the order of all tokens); it is among the smaller set's inner
+       ones, as it has few tokens that a similar larger one lacks. Each such token has a
        signature tree, whose nodes hold OR-combined bitmaps and size ranges. A
        traversal of the tree against itself prunes pairs of branches by their
        largest possible overlap, and gives possible links, as a spanning set of
@@ -430,9 +471,10 @@ def joined_nodes(nodes: _Nodes) -> DataFrame:
     """Links (a, b) that join what is similar among ``nodes``; steps 2 to 4 of similar_sets."""
     percent = nodes.percent
     nodes.describe()
-    found = nodes.cut(shared_trees(nodes.table.select("node", F.explode("keys").alias("key"))))
+    bare, inner = F.shiftright("key", 1).alias("key"), (F.col("key").bitwiseAND(F.lit(1)) == 1).alias("inner")
+    found = nodes.cut(shared_trees(nodes.table.select("node", F.explode("keys").alias("key")).select("node", bare, inner)))
     bits = nodes.table.select(F.col("node").alias("b_node"), "size", "code", "bits")
-    trees = found.select("tree", "node").distinct().join(bits, F.col("node") == F.col("b_node")).drop("b_node")
+    trees = found.groupBy("tree", "node").agg(F.max("inner").alias("inner")).join(bits, F.col("node") == F.col("b_node")).drop("b_node")
     possible = nodes.cut(possible_links(trees, percent))
     family = components(possible).select(F.col("node").alias("f_node"), F.col("label").alias("family"))
     members = nodes.cut(nodes.table.select("node", "size", "code").join(family, F.col("node") == F.col("f_node")).drop("f_node"))
@@ -444,15 +486,15 @@ def joined_nodes(nodes: _Nodes) -> DataFrame:
     for block in dealt_families(large) if some else ():
         links = links.unionByName(nodes.cut(sure_links(nodes.tokens(block), "block", percent)))
     # what may be similar and is not yet joined: in the trees of large families, and across the trees of one token
-    hot = nodes.table.select("node", F.explode("hot").alias("group")).unionByName(found.filter("hot IS NOT NULL").select("node", F.col("hot").alias("group")))
-    inside = found.select("tree", "node").join(large.select(F.col("node").alias("i_node"), "family"), F.col("node") == F.col("i_node")).select("node", F.xxhash64("tree", "family").alias("group"))
-    groups = nodes.cut((hot.unionByName(inside) if some else hot).distinct())
+    hot = nodes.table.select("node", F.explode("hot").alias("key")).select("node", bare.alias("group"), inner).unionByName(found.filter("hot IS NOT NULL").select("node", F.col("hot").alias("group"), "inner"))
+    inside = found.select("tree", "node", "inner").join(large.select(F.col("node").alias("i_node"), "family"), F.col("node") == F.col("i_node")).select("node", F.xxhash64("tree", "family").alias("group"), "inner")
+    groups = nodes.cut((hot.unionByName(inside) if some else hot).groupBy("node", "group").agg(F.max("inner").alias("inner")))
     if not groups.limit(1).count():
         return links
     labels = components(links).select(F.col("node").alias("l_node"), "label")
     sizes = nodes.table.select(F.col("node").alias("s_node"), "size")
-    groups = nodes.cut(groups.join(sizes, F.col("node") == F.col("s_node")).join(labels, F.col("node") == F.col("l_node"), "left").select("group", "node", "size", F.coalesce("label", "node").alias("label")))
-    open_ = groups.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("group")
+    groups = nodes.cut(groups.join(sizes, F.col("node") == F.col("s_node")).join(labels, F.col("node") == F.col("l_node"), "left").select("group", "node", "size", "inner", F.coalesce("label", "node").alias("label")))
+    open_ = groups.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("inner").alias("some")).filter("low <> high AND some").select("group")
     paired = meetings(nodes, groups.join(open_, "group"))
     return links.unionByName(nodes.cut(sure_links(nodes.tokens(paired), "pair", percent)))
 

@@ -61,15 +61,17 @@ def _ranges(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 class Level:
     """The nodes of one height in all trees: children (by number, one below), size range, OR of the bitmaps, the most
-    tokens that a set hides behind shared bits, and the label that all sets below have (-1: several)."""
+    tokens that a set hides behind shared bits, the label that all sets below have (-1: several), and the size of the
+    least set that may be the smaller one of a pair."""
 
-    def __init__(self, first: np.ndarray, group: np.ndarray, small: np.ndarray, large: np.ndarray, bits: np.ndarray, hidden: np.ndarray, label: np.ndarray):
+    def __init__(self, first: np.ndarray, group: np.ndarray, small: np.ndarray, large: np.ndarray, bits: np.ndarray, hidden: np.ndarray, label: np.ndarray, least: np.ndarray):
         self.first, self.group = first, group
         self.count = np.diff(np.append(first, len(small)))
         self.small, self.large = np.minimum.reduceat(small, first), np.maximum.reduceat(large, first)
         self.bits, self.hidden = np.bitwise_or.reduceat(bits, first, axis=0), np.maximum.reduceat(hidden, first)
         low, high = np.minimum.reduceat(label, first), np.maximum.reduceat(label, first)
         self.label = np.where(low == high, low, -1)
+        self.least = np.minimum.reduceat(least, first)
 
 
 class Forest:
@@ -78,15 +80,17 @@ class Forest:
     A group's sets are ordered by min-hash, so that leaves of LEAF sets hold
     alike ones, and nodes of FANOUT children stand above them up to one root. A
     tree is traversed against itself: a pair of nodes goes if its size ranges or
-    its bitmaps leave no room for a similar pair, or if all below is joined
-    already. What the traversal leaves is tested by the bitmaps of both sets, and
+    its bitmaps leave no room for a similar pair, if all below is joined
+    already, or if no set of ``inner`` (all by default) below one is as small as
+    some below the other: the smaller set of a pair must be such a one. What the traversal leaves is tested by the bitmaps of both sets, and
     by ``sure`` if given. ``tested`` and ``pruned`` count pairs of nodes.
     """
 
-    def __init__(self, group: np.ndarray, sizes: np.ndarray, bits: np.ndarray, codes: np.ndarray, percent: int, labels: np.ndarray | None = None, sure: Callable[[int, int], bool] | None = None):
+    def __init__(self, group: np.ndarray, sizes: np.ndarray, bits: np.ndarray, codes: np.ndarray, percent: int, labels: np.ndarray | None = None, sure: Callable[[int, int], bool] | None = None, inner: np.ndarray | None = None):
         self.order = np.lexsort((sizes, codes, group))
         self.group, self.sizes, self.bits = group[self.order], sizes[self.order].astype(np.int64), bits[self.order]
         self.percent, self.sure = percent, sure
+        self.least = self.sizes if inner is None else np.where(inner[self.order], self.sizes, np.int64(1) << 62)
         self.step = max(LEAF**2, TOGETHER // (8 * bits.shape[1]))
         self.tested = self.pruned = 0
         self.label = np.arange(len(group))
@@ -100,7 +104,7 @@ class Forest:
         level = None
         self.levels: list[Level] = []
         while level is None or (level.group[1:] == level.group[:-1]).any():
-            up = (self.group, self.sizes, self.sizes, self.bits, hidden, self.label) if level is None else (level.group, level.small, level.large, level.bits, level.hidden, level.label)
+            up = (self.group, self.sizes, self.sizes, self.bits, hidden, self.label, self.least) if level is None else (level.group, level.small, level.large, level.bits, level.hidden, level.label, level.least)
             new = np.ones(len(up[0]), bool)
             new[1:] = up[0][1:] != up[0][:-1]
             place = np.arange(len(new)) - np.flatnonzero(new)[np.cumsum(new) - 1]
@@ -119,7 +123,7 @@ class Forest:
     def _test(self, x: np.ndarray, y: np.ndarray) -> None:
         for lo in range(0, len(x), self.step):
             a, b = x[lo : lo + self.step], y[lo : lo + self.step]
-            apart = self.label[a] != self.label[b]
+            apart = (self.label[a] != self.label[b]) & ((self.least[a] <= self.sizes[b]) | (self.least[b] <= self.sizes[a]))
             a, b = a[apart], b[apart]
             near = self._possible(a, b)
             a, b = a[near], b[near]
@@ -153,6 +157,7 @@ class Forest:
         """Whether no set below node a can be similar to one below node b."""
         percent = self.percent
         out = (100 * level.large[a] < percent * level.small[b]) | (100 * level.large[b] < percent * level.small[a])
+        out |= (level.least[a] > level.large[b]) & (level.least[b] > level.large[a])
         on = np.flatnonzero(~out)
         for lo in range(0, len(on), self.step):
             i = on[lo : lo + self.step]
@@ -167,7 +172,7 @@ class Forest:
         for height in range(len(self.levels) - 1, -1, -1):
             level = self.levels[height]
             two = a != b
-            open_ = (level.label[a] < 0) | (level.label[a] != level.label[b])
+            open_ = ((level.label[a] < 0) | (level.label[a] != level.label[b])) & ((level.least[a] <= level.large[b]) | (level.least[b] <= level.large[a]))
             a, b, two = a[open_], b[open_], two[open_]
             gone = np.zeros(len(a), bool)
             gone[two] = self._apart(level, a[two], b[two])
@@ -192,7 +197,7 @@ class Forest:
         return x[keep], y[keep]
 
 
-def forests(group: np.ndarray, sizes: np.ndarray, words: np.ndarray, bounds: np.ndarray, codes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def forests(group: np.ndarray, sizes: np.ndarray, words: np.ndarray, bounds: np.ndarray, codes: np.ndarray, percent: int, inner: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Possible links (row, row) within each ``group`` (sorted), as a spanning set: a forest for each width of bitmap.
 
     The sets of a group take the width of its narrowest bitmap.
@@ -202,7 +207,7 @@ def forests(group: np.ndarray, sizes: np.ndarray, words: np.ndarray, bounds: np.
     found = []
     for w in np.unique(width).tolist():
         rows = np.flatnonzero(width == w)
-        x, y = Forest(group[rows], sizes[rows], folded(words, bounds, rows, w), codes[rows], percent).links()
+        x, y = Forest(group[rows], sizes[rows], folded(words, bounds, rows, w), codes[rows], percent, inner=None if inner is None else inner[rows]).links()
         found.append((rows[x], rows[y]))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 

@@ -196,3 +196,39 @@ def test_long_conversation_is_split(spark):
     assert (r["cost"], r["audit"]) == p.answer()
     assert op.ways([(x[2][:1], f) for x, f in zip(own, faults, strict=True)][:400], 0, True).popitem()[1] == op.best(op.stretch_map([(x[2][:1], f) for x, f in zip(own, faults, strict=True)][:400]))
     assert list(itertools.islice(op._faults("t", 3, True), 5)) == ["t", "d", "d"]
+
+
+@pytest.mark.parametrize("own", ["ten", "some"])
+def test_templated_pages_do_not_meet(spark, monkeypatch, own):
+    """Pages of one template with words of their own: what is compared as whole sets grows with the pages, and no link is lost."""
+    from shelfspark.llm import ngram_join as op
+
+    monkeypatch.setattr(op, "TREE_SETS", 100)
+    asked, meet, tokens = [], op.meetings, op._Nodes.tokens
+
+    def counted(nodes, rows):
+        out = nodes.cut(meet(nodes, rows))
+        asked.append(out.count())
+        return out
+
+    monkeypatch.setattr(op, "meetings", counted)
+    rng, sizes = np.random.default_rng(4), {}
+    base = " ".join(f"t{i}" for i in range(120))
+    for n in (500, 2000):
+        asked.clear()
+        texts = [f"{base} " + " ".join(f"o{x}" for x in rng.integers(0, 10**9, 10 if own == "ten" else int(rng.integers(4, 40)))) for _ in range(n)]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+        got = {r["doc_id"]: r["component_id"] for r in op.similar_sets(docs).collect()}
+        sizes[n] = sum(asked)
+        if n == 500:
+            sets = [{tuple(w[j : j + 3]) for j in range(len(w) - 2)} for w in (t.split() for t in texts)]
+            label = list(range(n))
+            for i in range(n):
+                for j in range(i):
+                    both = len(sets[i] & sets[j])
+                    if label[i] != label[j] and 100 * both >= 90 * (len(sets[i]) + len(sets[j]) - both):
+                        low, high = sorted((label[i], label[j]))
+                        label = [low if x == high else x for x in label]
+            assert [got[i] for i in range(n)] == label
+    assert tokens is op._Nodes.tokens
+    assert sizes[2000] <= (0 if own == "ten" else 10 * 2000), sizes
