@@ -18,6 +18,8 @@ VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
 #: Code points in a chunk, which may end anywhere. States that a process keeps; beyond that it compiles anew.
 CHUNK, MOST_STATES = 128, 1 << 18
+#: Code points that are read between two looks at the number of states; a window ends at a chunk, and its last state goes on.
+WINDOW = 1 << 18
 #: White space as Unicode's White_Space has it.
 WHITE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 SPACE, LETTER, NUMBER, OTHER = range(4)
@@ -240,19 +242,22 @@ class Transducer:
         mode, word, more = self._begin(c)
         return mode, word, ended + more
 
-    def _compile(self, key: int) -> None:
-        mode, word, emits = self.step(*self.states[key >> 21], chr(key & 0x1FFFFF))
-        state = (mode, word)
+    def _numbered(self, state: tuple[int, Word]) -> int:
         if state not in self.number:
             self.number[state] = len(self.states)
             self.states.append(state)
+        return self.number[state]
+
+    def _compile(self, key: int) -> None:
+        mode, word, emits = self.step(*self.states[key >> 21], chr(key & 0x1FFFFF))
+        state = self._numbered((mode, word))
         if 2 * (self.arcs + 1) > len(self.keys):
             old = self.keys >= 0
             keys, to, emitted = self.keys[old], self.to[old], self.emits[old]
             self._room(64 - int(self.shift) + 2)
             for k, t, e in zip(keys.tolist(), to.tolist(), emitted.tolist(), strict=True):
                 self._put(k, t, e)
-        self._put(key, self.number[state], emits)
+        self._put(key, state, emits)
         self.arcs += 1
 
     def _put(self, key: int, to: int, emits: int) -> None:
@@ -308,23 +313,54 @@ class Transducer:
             live = live[~same]
         return end, total, (states, sums)
 
-    def scan(self, points: np.ndarray, start: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Tokens of each chunk; ``first`` marks those that begin a text.
-
-        All chunks are read from the first state. Then their maps compose: each
-        chunk is entered in the state in which the one before ends, and read as
-        far as that matters, which mostly is to the end of the word. Only if it
-        matters to the chunk's end, the next chunk is looked at once more.
+    def scan(self, points: np.ndarray, start: np.ndarray, size: np.ndarray, first: np.ndarray, carried: int = 0) -> tuple[np.ndarray, int]:
+        """Tokens from each chunk's entry to the end of its text or of the chunks, and the state at the very end.
+
+        ``first`` marks chunks that begin a text; the first chunk of all is
+        entered in the state ``carried``. A chunk's map says for a state at its
+        entry the state at its exit and the tokens. All maps begin with the first
+        state and then take in, all chunks at once, the states in which the maps
+        before them end, until none is new: as many rounds as there are states
+        that live on across a chunk, mostly one, as another entry mostly is
+        forgotten by the end of the word, and the chunk is read no further. Then
+        a prefix scan composes the maps, twice as many chunks in each step.
         """
-        end, total, known = self.run(points, start, size, np.zeros(len(start), np.int64))
-        entry = np.zeros(len(start), np.int64)
-        while True:
-            wanted = np.where(first, 0, np.concatenate([[0], end[:-1]]))
-            todo = np.flatnonzero(wanted != entry)
-            if not len(todo):
-                return total
-            entry[todo] = wanted[todo]
-            end[todo], total[todo], _ = self.run(points, start[todo], size[todo], entry[todo], tuple(t[:, todo] for t in known))
+        n = len(start)
+        end, total, known = self.run(points, start, size, np.zeros(n, np.int64))
+        chunk, entry, exit_, tokens = [np.arange(n)], [np.zeros(n, np.int64)], [end], [total]
+        key = lambda c, e: c * np.int64(1 << 32) + e
+        keys = key(chunk[0], entry[0])
+        ask_chunk, ask_entry = np.arange(1, n)[~first[1:]], end[:-1][~first[1:]]
+        if n and carried:
+            ask_chunk, ask_entry = np.append(ask_chunk, 0), np.append(ask_entry, carried)
+        while len(ask_chunk):
+            new = np.setdiff1d(key(ask_chunk, ask_entry), keys)
+            if not len(new):
+                break
+            at, into = new >> 32, new & 0xFFFFFFFF
+            out, more, _ = self.run(points, start[at], size[at], into, tuple(t[:, at] for t in known))
+            for held, x in zip((chunk, entry, exit_, tokens), (at, into, out, more), strict=True):
+                held.append(x)
+            keys = np.concatenate([keys, new])
+            on = (at + 1 < n) & ~first[np.minimum(at + 1, n - 1)]
+            ask_chunk, ask_entry = at[on] + 1, out[on]
+        chunk, exit_, tokens = (np.concatenate(x) for x in (chunk, exit_, tokens))
+        order = np.argsort(keys, kind="stable")
+        follows = (chunk + 1 < n) & ~first[np.minimum(chunk + 1, n - 1)]
+        sums, then = np.append(tokens, 0), np.full(len(keys) + 1, len(keys))
+        found = np.searchsorted(keys[order], key(chunk[follows] + 1, exit_[follows]))
+        then[:-1][follows] = order[found]
+        last = np.where(then == len(keys), np.arange(len(keys) + 1), then)
+        while (then != len(keys)).any():
+            sums, then, last = sums + sums[then], then[then], last[last]
+        at = np.arange(n)
+        if n and carried and not first[0]:
+            at[0] = order[np.searchsorted(keys[order], key(np.int64(0), np.int64(carried)))]
+        tail = 0
+        if n:
+            begin = np.flatnonzero(first)[-1] if first.any() else 0
+            tail = int(exit_[last[at[begin]]])
+        return sums[at], tail
 
     def normalised(self, text: str) -> tuple[str, int]:
         """The text as the transducer reads it, and the special tokens taken out of it."""
@@ -338,8 +374,6 @@ class Transducer:
 
     def counted(self, texts: list[str | None], chunk: int = CHUNK) -> np.ndarray:
         """Tokens of each text."""
-        if len(self.states) > MOST_STATES:
-            self.clear()
         bodies, out = [], np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
             body, out[i] = self.normalised(text or "")
@@ -354,7 +388,18 @@ class Transducer:
         place = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
         start = (np.cumsum(size) - size)[text] + place * chunk
         sizes = np.minimum(chunk, size[text] - place * chunk)
-        np.add.at(out, text, self.scan(points, start, sizes, place == 0))
+        carried = 0
+        for at in range(0, len(text), WINDOW // chunk):
+            part = slice(at, at + WINDOW // chunk)
+            if len(self.states) > MOST_STATES:
+                state = self.states[carried]
+                self.clear()
+                carried = self._numbered(state)
+            first = place[part] == 0
+            counts, carried = self.scan(points, start[part], sizes[part], first, carried)
+            heads = first.copy()
+            heads[0] = True
+            np.add.at(out, text[part][heads], counts[heads])
         return out
 
 

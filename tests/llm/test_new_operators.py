@@ -232,3 +232,25 @@ def test_templated_pages_do_not_meet(spark, monkeypatch, own):
             assert [got[i] for i in range(n)] == label
     assert tokens is op._Nodes.tokens
     assert sizes[2000] <= (0 if own == "ten" else 10 * 2000), sizes
+
+
+def test_token_counts_in_windows(monkeypatch):
+    """Windows, cleared tables and any chunk size change no count; a long odd text does not fill the memory."""
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from shelfspark.llm import token_counts as op
+
+    path = public_tokenizers.path(op.VOCABULARY)
+    library = Tokenizer.from_file(path)
+    random.seed(1)
+    texts = ["", "don't stop'll 'rx 12 é ΑΣΣ", "ha" * 700, "a" * 999, "'" * 77, "".join(random.choices("abcdefghij +/", k=5000)), " x ", "".join(random.choices("qwertyuiop", k=3000))]
+    want = [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    t = op.Transducer(op.Vocabulary(path))
+    for chunk, window, most in ((128, 1 << 18, 1 << 18), (16, 64, 50), (1, 7, 10), (5, 5, 1), (128, 128, 300)):
+        monkeypatch.setattr(op, "WINDOW", window)
+        monkeypatch.setattr(op, "MOST_STATES", most)
+        assert t.counted(texts, chunk).tolist() == want
+        assert len(t.states) <= most + 2 * window + 2
