@@ -22,12 +22,13 @@ LEAST_IMPORTANCE, PRESENTATION = 0.3, 0.3
 LEAST_PAGES = 4
 #: Bytes of the style table (16 for a row) that are broadcast; a larger one is joined by host.
 BROADCAST_BYTES = 32 << 20
-#: Text outside of articles makes them teasers if it is so many times theirs.
-TEASER = 3
 
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 ATTRIBUTE = re.compile(r"""[\s/]*(?:([^\s/>=][^\s/>=]*|=[^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*|["'][^\s>]*))?)?)?""")
 RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.IGNORECASE) for t in ("script", "style", "template", "textarea", "iframe", "title", "noembed", "noframes", "xmp")}
+#: Text outside of articles makes them teasers if it is so many times theirs.
+TEASER = 3
+HEADINGS = frozenset("h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul xmp".split())
 #: An opening tag of the first kind ends an open element of the second kind.
@@ -37,12 +38,13 @@ UNREAD = frozenset("svg annotation annotation-xml".split())
 BREAKOUT = (BLOCKS - {"title", "head", "html"}) | frozenset("b big br code em embed i img listing meta nobr ruby s small span strike strong sub sup tt u var".split())
 SCOPES = frozenset("table ul ol dl select div section article main".split())
 #: Roles of branches that are not an article's text: their presentation has no weight.
-ASIDE_TAGS = frozenset("nav footer aside form button select dialog menu head search input label fieldset".split())
+ASIDE_TAGS = frozenset("nav footer aside form button select dialog menu head search input".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar tablist status".split())
-#: Class names as evidence only. Weights against a branch: of plain names, and of ones that articles use too, outside and inside.
+#: Class names. Weights against a branch: of plain names, which decide as a role does, and, as evidence that a page's own
+#: text outweighs, of ones that articles use too, outside and inside.
 PLAIN_NAMES = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion promobox cookie cookies consent gdpr newsletter subscribe subscription signup share sharing sharebar related recommended recommendations sidebar breadcrumb breadcrumbs comments commentlist disqus respond popup modal overlay pagination pager navbar nav navigation menu skip".split())
 LOOSE_NAMES = frozenset("banner notice notices notification alert login social topbar footer header masthead comment replies reply toolbar widget widgets legal copyright disclaimer hidden".split())
-PLAIN_WEIGHT, LOOSE_WEIGHT, LOOSE_INSIDE = 0.9, 0.8, 0.3
+PLAIN_WEIGHT, LOOSE_WEIGHT, LOOSE_INSIDE = 0.9, 0.55, 0.3
 #: First and last parts of longer names that say nothing of the branch itself, or that it is an article's.
 NOT_ITSELF = frozenset("has with no without is js entry post article story page main content".split())
 KINDS_OF = frozenset("area bar block body box bottom buttons button container content footer form group header icons inner item items left line links list main menu module nav outer panel region right row section slot strip text thread title top unit widget wrap wrapper zone".split())
@@ -53,10 +55,10 @@ HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 class Block:
     """A run of text, where it is in the page's style tree, and what its branches are: ``aside`` is the weight against them."""
 
-    __slots__ = ("article", "aside", "linked", "main", "parent", "path", "text")
+    __slots__ = ("article", "aside", "heading", "linked", "main", "parent", "path", "text")
 
-    def __init__(self, text: str, path: int, parent: int, article: bool, main: bool, aside: float, linked: int):
-        self.text, self.path, self.parent, self.article, self.main, self.aside, self.linked = text, path, parent, article, main, aside, linked
+    def __init__(self, text: str, path: int, parent: int, article: bool, main: bool, aside: float, linked: int, heading: bool = False):
+        self.text, self.path, self.parent, self.article, self.main, self.aside, self.linked, self.heading = text, path, parent, article, main, aside, linked, heading
 
 
 @functools.lru_cache(1 << 14)
@@ -171,7 +173,7 @@ def blocks_of(page: str) -> Iterator[Block]:
             text = " ".join(html_entities.unescape("".join(piece for piece, _ in run)).split())
             if text:
                 read = [(piece, top) for piece, top in run if not piece.isspace()]
-                yield Block(text, path, read[0][1][6], read[0][1][2], all(top[3] for _, top in read), aside, sum(len(piece.strip()) for piece, top in read if top[4]))
+                yield Block(text, path, read[0][1][6], read[0][1][2], all(top[3] for _, top in read), aside, sum(len(piece.strip()) for piece, top in read if top[4]), read[0][1][0] in HEADINGS)
 
     def end(index: int):
         for e in stack[index:]:
@@ -300,10 +302,18 @@ def style_nodes(pages: DataFrame) -> DataFrame:
 
 
 def main_text(page: str, low: frozenset[int] | set[int] = frozenset()) -> str:
-    """The blocks of a page that stay, joined by line ends: all but branches in ``low`` and those whose role is not an
-    article's text. If it has articles, theirs, unless they are but teasers of the text beside them; else those of its
-    main containers if it has any."""
-    blocks = [b for b in blocks_of(page) if b.aside < PLAIN_WEIGHT and b.path not in low]
+    """The blocks of a page that stay, joined by line ends: all but branches in ``low`` and those whose role or plain
+    name is not an article's text. If it has articles, theirs, unless they are but teasers of the text beside
+    them; else those of its main containers if it has any. A heading in an article that is in ``low``, as its site repeats it, stays if text that stays follows it
+    before the next heading: it names that text."""
+    whole = [b for b in blocks_of(page) if b.aside < PLAIN_WEIGHT]
+    blocks, after = [], False
+    for b in reversed(whole):
+        stays = b.path not in low or (b.heading and b.article and after)
+        if stays:
+            blocks.append(b)
+        after = b.article and not b.heading and (stays or (after and b.path in low))
+    blocks.reverse()
     for inside in ("article", "main"):
         held = [b for b in blocks if getattr(b, inside)]
         size = sum(len(b.text) for b in held)

@@ -389,8 +389,8 @@ class Transducer:
         start = (np.cumsum(size) - size)[text] + place * chunk
         sizes = np.minimum(chunk, size[text] - place * chunk)
         carried = 0
-        for at in range(0, len(text), WINDOW // chunk):
-            part = slice(at, at + WINDOW // chunk)
+        for at in range(0, len(text), max(1, WINDOW // chunk)):
+            part = slice(at, at + max(1, WINDOW // chunk))
             if len(self.states) > MOST_STATES:
                 state = self.states[carried]
                 self.clear()

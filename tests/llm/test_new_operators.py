@@ -254,3 +254,19 @@ def test_token_counts_in_windows(monkeypatch):
         monkeypatch.setattr(op, "MOST_STATES", most)
         assert t.counted(texts, chunk).tolist() == want
         assert len(t.states) <= most + 2 * window + 2
+
+
+def test_repeated_headings_and_loose_names(spark):
+    """Headings that a site repeats between unlike texts of articles stay; loose names don't drop a page's own text, site-wide text goes."""
+    from shelfspark.llm.html_extraction import extracted_pages
+
+    def texts(pages):
+        df = spark.createDataFrame([(i, "https://a.example/x", h) for i, h in enumerate(pages)], "page_id long, url string, html string")
+        return [r["text"] for r in sorted(extracted_pages(df, ["page_id"]).collect(), key=lambda r: r["page_id"])]
+
+    for i, got in enumerate(texts([f'<div class="legal"><p>Story {i} of the court, told at length.</p></div><p class="footer">All rights reserved</p>' for i in range(12)])):
+        assert got == f"Story {i} of the court, told at length."
+    recipe = "<article><h1>Cake {0}</h1><h2>Ingredients</h2><p>Flour {0} and eggs.</p><h2>Method</h2><p>Stir {0} times.</p><h2>Share</h2><div><em>Tell your friends</em></div></article>"
+    for i, got in enumerate(texts([recipe.format(i) for i in range(12)])):
+        assert got == f"Cake {i}\nIngredients\nFlour {i} and eggs.\nMethod\nStir {i} times."
+    assert texts(["<article><p>a <label>b</label> c</p></article>"]) == ["a b c"]
