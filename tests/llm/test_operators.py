@@ -20,10 +20,11 @@ def docs_of(spark, texts, source=lambda i: f"s{i % 3}"):
 ODD = [None, "", " \t\n", "word", "é ß 中文", "a b c d e f g h i j k l m n o p " * 3000, "same text here for all", "same text here for all"]
 
 
-def every_operator(spark, docs):
-    from shelfspark.llm import decontamination, language_id, mixing, ngram_join, quality, secret_scan, sharding, token_counts, toxicity
+def every_operator(spark, docs, labels=None):
+    from shelfspark.llm import decontamination, fill_in_middle, language_id, mixing, ngram_join, quality, secret_scan, sharding, token_counts, toxicity
 
-    labels = spark.createDataFrame([(3, 1, 0), (4, 0, 1), (6, 1, 0), (None, 1, None)], "doc_id long, quality int, toxic int")
+    if labels is None:
+        labels = spark.createDataFrame([(3, 1, 0), (4, 0, 1), (6, 1, 0), (None, 1, None)], "doc_id long, quality int, toxic int")
     items = spark.createDataFrame([(1, "same text"), (2, None), (None, "x")], "item_id long, text string")
     langs, prototypes = language_id.fit_prototypes(docs)
     yield "language", language_id.predicted_languages(docs, langs, prototypes)
@@ -35,6 +36,28 @@ def every_operator(spark, docs):
     yield "tokens", token_counts.counted_tokens(docs)
     yield "quality", quality.quality_rules(docs, labels)
     yield "mix", mixing.mixed_sources(docs)
+    yield "middle", fill_in_middle.fill_in_middle(docs)
+
+
+@pytest.mark.parametrize("kind", ["text ids", "clashing names"])
+def test_odd_ids_and_names(spark, kind):
+    """Ids of another type and columns of any name change no result: each row's values are those of the plain table."""
+    labels = spark.createDataFrame([(3, 1, 0), (4, 0, 1), (6, 1, 0)], "doc_id long, quality int, toxic int")
+    plain = docs_of(spark, ODD).drop("kept", "Score")
+    docs, known = plain, labels
+    if kind == "text ids":
+        docs, known = (df.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id"))) for df in (plain, labels))
+    else:
+        for name in ("_text", "_hit", "_found", "_body", "row", "body", "also0", "kept0", "hit", "found", "salt", "node", "label"):
+            docs = docs.withColumn(name, F.lit("x"))
+    want = dict(every_operator(spark, plain, labels))
+    for name, found in every_operator(spark, docs, known):
+        same = [c for c in want[name].columns if c not in plain.columns and not (kind == "text ids" and c in ("component_id", "slot", "shard", "taken", "output", "restored", "form", "prefix_chars", "middle_chars"))]
+        rows = lambda df: sorted((str(r["doc_id"]).removeprefix("d"), *(repr(r[c]) for c in same)) for r in df.select("doc_id", *same).collect())  # noqa: B023, E731
+        if name == "shards":  # where equal rows stand is free
+            same = [c for c in same if c in ("size", "text_crc32")]
+        assert rows(found) == rows(want[name]), name
+        assert kind == "text ids" or {"_text", "_hit", "_found", "_body", "salt"} <= set(found.columns) or name in ("join", "shards"), name
 
 
 @pytest.mark.parametrize("kind", ["odd", "empty"])
