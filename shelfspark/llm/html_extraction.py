@@ -26,9 +26,7 @@ BROADCAST_BYTES = 32 << 20
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 ATTRIBUTE = re.compile(r"""[\s/]*(?:([^\s/>=][^\s/>=]*|=[^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*|["'][^\s>]*))?)?)?""")
 RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.IGNORECASE) for t in ("script", "style", "template", "textarea", "iframe", "title", "noembed", "noframes", "xmp")}
-#: Text outside of articles makes them teasers if it is so many times theirs.
-TEASER = 3
-HEADINGS = frozenset("h2 h3 h4 h5 h6".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul xmp".split())
 #: An opening tag of the first kind ends an open element of the second kind.
@@ -40,11 +38,17 @@ SCOPES = frozenset("table ul ol dl select div section article main".split())
 #: Roles of branches that are not an article's text: their presentation has no weight.
 ASIDE_TAGS = frozenset("nav footer aside form button select dialog menu head search input".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar tablist status".split())
-#: Class names. Weights against a branch: of plain names, which decide as a role does, and, as evidence that a page's own
-#: text outweighs, of ones that articles use too, outside and inside.
-PLAIN_NAMES = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion promobox cookie cookies consent gdpr newsletter subscribe subscription signup share sharing sharebar related recommended recommendations sidebar breadcrumb breadcrumbs comments commentlist disqus respond popup modal overlay pagination pager navbar nav navigation menu skip".split())
+#: Class names: of lists of links, of the site's requests to readers, of text by others. A name is evidence: it weighs in
+#: importance, and decides only with a second sign (``by_name``).
+LINK_NAMES = frozenset("breadcrumb breadcrumbs menu nav navbar navigation pager pagination recommendations recommended related skip".split())
+REQUEST_NAMES = frozenset("consent cookie cookies gdpr modal newsletter overlay popup promotion respond share sharebar sharing signup subscribe subscription".split())
+FOREIGN_NAMES = frozenset("ad ads adsense adv advert advertisement advertising adverts commentlist comments disqus promo promobox sidebar sponsor sponsored".split())
+PLAIN_NAMES = LINK_NAMES | REQUEST_NAMES | FOREIGN_NAMES
 LOOSE_NAMES = frozenset("banner notice notices notification alert login social topbar footer header masthead comment replies reply toolbar widget widgets legal copyright disclaimer hidden".split())
-PLAIN_WEIGHT, LOOSE_WEIGHT, LOOSE_INSIDE = 0.9, 0.55, 0.3
+#: Weights of names. With the first, texts that differ over a site's pages stay above LEAST_IMPORTANCE, whatever the layout.
+NAME_WEIGHT, LOOSE_INSIDE = 0.55, 0.3
+NO_KIND, LINKS, REQUEST, FOREIGN = range(4)
+SENTENCE_END = re.compile(r"[.!?\u2026\u3002\uff01\uff1f][\"')\]\u00bb\u2019\u201d]*$")
 #: First and last parts of longer names that say nothing of the branch itself, or that it is an article's.
 NOT_ITSELF = frozenset("has with no without is js entry post article story page main content".split())
 KINDS_OF = frozenset("area bar block body box bottom buttons button container content footer form group header icons inner item items left line links list main menu module nav outer panel region right row section slot strip text thread title top unit widget wrap wrapper zone".split())
@@ -53,47 +57,49 @@ HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 
 class Block:
-    """A run of text, where it is in the page's style tree, and what its branches are: ``aside`` is the weight against them."""
+    """A run of text, where it is in the page's style tree, and what its branches are: ``aside`` is the weight against
+    them, 1 of roles, and ``kind`` what their names say."""
 
-    __slots__ = ("article", "aside", "heading", "linked", "main", "parent", "path", "text")
+    __slots__ = ("article", "aside", "heading", "kind", "linked", "main", "parent", "path", "text")
 
-    def __init__(self, text: str, path: int, parent: int, article: bool, main: bool, aside: float, linked: int, heading: bool = False):
-        self.text, self.path, self.parent, self.article, self.main, self.aside, self.linked, self.heading = text, path, parent, article, main, aside, linked, heading
+    def __init__(self, text: str, path: int, parent: int, article: bool, main: bool, aside: float, kind: int, linked: int, heading: str):
+        self.text, self.path, self.parent, self.article, self.main, self.aside, self.kind, self.linked, self.heading = text, path, parent, article, main, aside, kind, linked, heading
 
 
 @functools.lru_cache(1 << 14)
-def name_weight(names: str, inside: bool) -> float:
-    """The weight of class and id names against a branch. A name counts whole, or as the first or last part of a longer one."""
-    most = 0.0
+def name_weight(names: str, inside: bool) -> tuple[float, int]:
+    """The weight of class and id names against a branch, and their kind. A name counts whole, or as the first or last part of a longer one."""
+    most, kind = 0.0, NO_KIND
     for name in names.lower().split():
         parts = [x for x in re.split(r"[-_]+|\d+", name) if x]
         if not parts or (len(parts) > 1 and parts[0] in NOT_ITSELF - {"page", "main", "content"}) or (len(parts) > 1 and parts[0] in NOT_ITSELF and parts[-1] == "header"):
-            plain = {parts[-1]} & {"comments", "commentlist", "ad", "ads"} if len(parts) > 1 and parts[0] in ("post", "entry", "article", "story") else set()
-            most = max(most, PLAIN_WEIGHT if plain else 0.0)
-            continue
-        found = {parts[-1]} | ({parts[0]} if all(x in KINDS_OF or x in PLAIN_NAMES for x in parts[1:]) else set())
+            found = {parts[-1]} & {"comments", "commentlist", "ad", "ads"} if len(parts) > 1 and parts[0] in ("post", "entry", "article", "story") else set()
+        else:
+            found = {parts[-1]} | ({parts[0]} if all(x in KINDS_OF or x in PLAIN_NAMES for x in parts[1:]) else set())
         if found & PLAIN_NAMES:
-            most = max(most, PLAIN_WEIGHT)
+            most = NAME_WEIGHT
+            kind = max(kind, FOREIGN if found & FOREIGN_NAMES else REQUEST if found & REQUEST_NAMES else LINKS)
         elif found & LOOSE_NAMES:
-            most = max(most, LOOSE_INSIDE if inside else LOOSE_WEIGHT)
-    return most
+            most = max(most, LOOSE_INSIDE if inside else NAME_WEIGHT)
+    return most, kind
 
 
-def _role(tag: str, attributes: dict[str, str], inside: bool) -> tuple[float, bool, str]:
-    """(weight against it as article text, likely main container, style) of an element. ``inside`` an article or main container, a header is its title."""
-    aside, main, style = float(tag in ASIDE_TAGS or (tag == "header" and not inside)), False, tag
+def _role(tag: str, attributes: dict[str, str], inside: bool) -> tuple[float, int, bool, str]:
+    """(weight against it as article text, kind by name, likely main container, style) of an element. ``inside`` an article or main container, a header is its title."""
+    aside, kind, main, style = float(tag in ASIDE_TAGS or (tag == "header" and not inside)), NO_KIND, False, tag
     if attributes:
         names = f"{attributes.get('class', '')} {attributes.get('id', '')}".strip()
         if names:
             style = f"{tag}.{re.sub('[0-9]+', '#', attributes.get('class', ''))}"
             if tag not in ("html", "body", "article", "main"):
-                aside = max(aside, name_weight(names, inside))
+                weight, kind = name_weight(names, inside)
+                aside = max(aside, weight)
             main = bool(MAIN_NAMES.search(names))
         role = attributes.get("role", "").lower()
         if role in ASIDE_ROLES or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", ""), re.IGNORECASE):
             aside = 1.0
         main = main or role == "main" or attributes.get("itemprop", "") == "articleBody"
-    return aside, main, style
+    return aside, kind, main, style
 
 
 def tokens_of(page: str) -> Iterator[tuple[str, str, dict[str, str] | None, bool]]:
@@ -147,33 +153,62 @@ def tokens_of(page: str) -> Iterator[tuple[str, str, dict[str, str] | None, bool
             at = end
 
 
+def block_of(run: list[tuple[str, tuple]]) -> Block | None:
+    """The block of the pieces of a run and their elements; None if it is white space."""
+    text = " ".join(html_entities.unescape("".join(piece for piece, _ in run)).split())
+    if not text:
+        return None
+    read = [(piece, top) for piece, top in run if not piece.isspace()]
+    first = read[0][1]
+    return Block(text, first[5], first[6], first[2], all(top[3] for _, top in read), first[1], first[8], sum(len(piece.strip()) for piece, top in read if top[4]), first[10])
+
+
+def apart(block: Block | None) -> bool:
+    """Whether a block's name has a second sign in its own text: half of it is links or, but for lists of links, it is no sentence."""
+    if block is None:
+        return True
+    return 2 * block.linked >= len(block.text) or (block.kind != LINKS and not SENTENCE_END.search(block.text))
+
+
+def by_name(block: Block) -> bool:
+    """Whether a block's name and a second sign say that it is not an article's text, if the page has text of its own
+    beside it: the sign of ``apart``, the name of text by others, or of a request outside of articles."""
+    return block.kind != NO_KIND and (apart(block) or block.kind == FOREIGN or (block.kind == REQUEST and not block.article))
+
+
 def blocks_of(page: str) -> Iterator[Block]:
     """The blocks of text of a page, in order. Open elements are a stack; a stray closing tag is left out.
 
     Each piece of a run of text keeps the flags of the element in which it is
-    read; those of an inline aside are a block of their own, with its own path.
+    read; those of an inline aside are a block of their own, with its own path,
+    but for a name without a second sign, which is part of the text around it.
     """
-    # an element: tag, aside, article, main, link, path, parent's path, unread
-    stack: list[tuple[str, float, bool, bool, bool, int, int, bool]] = [("", 0.0, False, False, False, 0, 0, False)]
+    # an element: tag, aside, article, main, link, path, parent's path, unread, kind, element around a named inline one, heading
+    stack: list[tuple] = [("", 0.0, False, False, False, 0, 0, False, NO_KIND, None, "")]
     places: dict[str, list[int]] = {}
     parts: list[tuple[str, tuple]] = []
 
     def flush():
+        named: dict[int, list[tuple[str, tuple]]] = {}
+        for piece, top in parts:
+            if top[9]:
+                named.setdefault(top[5], []).append((piece, top))
+        joined = {path for path, run in named.items() if not apart(block_of(run))}
         runs: dict[tuple[float, int], list[tuple[str, tuple]]] = {}
         kept = None
         for piece, top in parts:
+            while top[9] and top[5] in joined:
+                top = (*top[9][:4], top[4], *top[9][5:])
             run = runs.setdefault((top[1], top[5]), [])
             run.append((piece, top))
-            if top[1] < PLAIN_WEIGHT:
+            if top[1] < 1 and not top[9]:
                 kept = run
             elif kept is not None:
                 kept.append((" ", top))
         parts.clear()
-        for (aside, path), run in runs.items():
-            text = " ".join(html_entities.unescape("".join(piece for piece, _ in run)).split())
-            if text:
-                read = [(piece, top) for piece, top in run if not piece.isspace()]
-                yield Block(text, path, read[0][1][6], read[0][1][2], all(top[3] for _, top in read), aside, sum(len(piece.strip()) for piece, top in read if top[4]), read[0][1][0] in HEADINGS)
+        for run in runs.values():
+            if block := block_of(run):
+                yield block
 
     def end(index: int):
         for e in stack[index:]:
@@ -209,11 +244,12 @@ def blocks_of(page: str) -> Iterator[Block]:
         if closed and tag not in BLOCKS:
             continue
         top = stack[-1]
-        aside, main, style = _role(tag, attributes, top[2] or top[3])
-        own = tag in BLOCKS or aside > top[1]
+        aside, named, main, style = _role(tag, attributes, top[2] or top[3])
+        own = tag in BLOCKS or aside > top[1] or named > top[8]
+        around = None if tag in BLOCKS or aside >= 1 else top if named > top[8] else top[9]
         path, parent = (paths(top[5], style), top[5]) if own else (top[5], top[6])
         places.setdefault(tag, []).append(len(stack))
-        stack.append((tag, max(top[1], aside), top[2] or tag == "article", top[3] or main or tag == "main", top[4] or tag == "a", path, parent, top[7] or tag in UNREAD))
+        stack.append((tag, max(top[1], aside), top[2] or tag == "article", top[3] or main or tag == "main", top[4] or tag == "a", path, parent, top[7] or tag in UNREAD, max(top[8], named), around, tag if tag in HEADINGS else "" if tag in BLOCKS else top[10]))
     yield from flush()
 
 
@@ -263,7 +299,7 @@ def style_nodes(pages: DataFrame) -> DataFrame:
             rows = {}
             for h, p, body in zip(host, page, batch.column("_text").to_pylist(), strict=True):
                 blocks = list(blocks_of(body or ""))
-                longest = hash_text(max((b.text for b in blocks if b.article and b.aside < PLAIN_WEIGHT), key=len, default=""))
+                longest = hash_text(max((b.text for b in blocks if b.article and b.aside < 1 and b.kind == NO_KIND), key=len, default=""))
                 shown: dict[tuple[int, bool], list[int]] = {}
                 for b in blocks:
                     key = (h, b.path, b.parent, longest if b.article else p, hash_text(b.text), True)
@@ -302,22 +338,24 @@ def style_nodes(pages: DataFrame) -> DataFrame:
 
 
 def main_text(page: str, low: frozenset[int] | set[int] = frozenset()) -> str:
-    """The blocks of a page that stay, joined by line ends: all but branches in ``low`` and those whose role or plain
-    name is not an article's text. If it has articles, theirs, unless they are but teasers of the text beside
-    them; else those of its main containers if it has any. A heading in an article that is in ``low``, as its site repeats it, stays if text that stays follows it
-    before the next heading: it names that text."""
-    whole = [b for b in blocks_of(page) if b.aside < PLAIN_WEIGHT]
+    """The blocks of a page that stay, joined by line ends: all but those whose role is not an article's text, branches in
+    ``low``, and those of ``by_name``. Names drop nothing where the article, or the page, has no text without them. If
+    the page has articles with more than headings and links, theirs; else those of its main containers if it has any. A
+    heading in an article that is in ``low``, as its site repeats it, stays if text that stays follows it before the
+    next heading: it names that text."""
+    whole = [b for b in blocks_of(page) if b.aside < 1]
+    own = {inside: any(b.kind == NO_KIND and not b.heading and b.path not in low and (b.article or not inside) for b in whole) for inside in (True, False)}
+    whole = [b for b in whole if not (own[b.article] and by_name(b))]
     blocks, after = [], False
     for b in reversed(whole):
-        stays = b.path not in low or (b.heading and b.article and after)
+        stays = b.path not in low or (b.heading not in ("", "h1") and b.article and after)
         if stays:
             blocks.append(b)
-        after = b.article and not b.heading and (stays or (after and b.path in low))
+        after = b.article and b.heading in ("", "h1") and (stays or (after and b.path in low))
     blocks.reverse()
     for inside in ("article", "main"):
         held = [b for b in blocks if getattr(b, inside)]
-        size = sum(len(b.text) for b in held)
-        if held and sum(len(b.text) - b.linked for b in blocks) <= (1 + TEASER) * size:
+        if any(not b.heading and 2 * b.linked < len(b.text) for b in held):
             blocks = held
             break
     return "\n".join(b.text for b in blocks)

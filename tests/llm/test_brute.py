@@ -171,3 +171,48 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
     empty = docs.limit(0)
     for stage in stages.values():
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+NAMES = {"": "own", "lead": "own", "menu": "links", "related": "links", "share-box": "request", "newsletter": "request", "top-ad": "foreign", "comments": "foreign"}
+
+
+def _random_page(rng):
+    """(html, expected text) from one list of branches: (in the article, tag, class, text, whole text is a link)."""
+    branches = []
+    for inside in (False, True, False):
+        for _ in range(rng.integers(0, 4)):
+            text = f"word{rng.integers(1000)} of some text" + ("." if rng.random() < 0.6 else "")
+            branches.append((inside, ["p", "div", "h2", "nav"][rng.integers(4)], list(NAMES)[rng.integers(len(NAMES))], text, rng.random() < 0.25))
+    # the branches before, in and after the article come in the order of the list
+    html = ""
+    before = [b for i, b in enumerate(branches) if not b[0] and not any(x[0] for x in branches[:i])]
+    within = [b for b in branches if b[0]]
+    after = branches[len(before) + len(within) :]
+    for part, wrap in ((before, "{}"), (within, "<article>{}</article>"), (after, "{}")):
+        html += wrap.format("".join(f'<{t} class="{c}">{f"<a href=x>{x}</a>" if link else x}</{t}>' for _, t, c, x, link in part))
+
+    def own(scope):
+        return any(NAMES[c] == "own" and t not in ("h2", "nav") for inside, t, c, _, _ in branches if inside or not scope)
+
+    def goes(inside, tag, name, text, link):
+        kind = NAMES[name]
+        if tag == "nav":
+            return True
+        if kind == "own" or not own(inside):
+            return False
+        sign = link or (kind != "links" and not text.endswith("."))
+        return sign or kind == "foreign" or (kind == "request" and not inside)
+
+    left = [b for b in branches if not goes(*b)]
+    if any(b[0] and b[1] != "h2" and not b[4] for b in left):
+        left = [b for b in left if b[0]]
+    return html, "\n".join(b[3] for b in left)
+
+
+def test_main_text_against_the_definition():
+    from shelfspark.llm.html_extraction import main_text
+
+    rng = np.random.default_rng(21)
+    for _ in range(2000):
+        html, expected = _random_page(rng)
+        assert main_text(html) == expected, html

@@ -452,3 +452,34 @@ def test_knapsack_is_exact():
         for n, c in zip(length, count - base, strict=True):
             sums = {s + int(n) * k for s in sums for k in range(int(c) + 1)}
         assert (taken <= count).all() and abs(int((length * taken).sum()) - budget) == min(abs(s - budget) for s in sums)
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<article><p>Lunch.</p><section class="menu"><p>Soup of the day with bread</p></section></article>', "Lunch.\nSoup of the day with bread"),
+        ('<article><p>Lemma.</p><p class="related">The related theorem holds.</p></article>', "Lemma.\nThe related theorem holds."),
+        ('<article><p id="subscribe">You subscribe to a theory.</p></article>', "You subscribe to a theory."),
+        ('<article><p>See.</p><p>Open the <span class="menu">File</span> list.</p></article>', "See.\nOpen the File list."),
+        ('<article><p>Yes, really.</p></article><div class="box"><p>' + "Other text of the site. " * 9 + "</p></div>", "Yes, really."),
+        ('<article><p>Text.</p><div class="related"><a href=x>Another story.</a></div><div class="comments"><p>I agree.</p></div></article>', "Text."),
+        ('<article><p>Text.</p><div class="ad"><p>Buy this now.</p></div><div class="share">Share it</div></article>', "Text."),
+        ("<p>a <label>b</label> c</p>", "a b c"),
+    ],
+)
+def test_names_never_decide_alone(page, text):
+    from shelfspark.llm import html_extraction as op
+
+    assert op.main_text(page) == text
+
+
+def test_sites_whose_names_mislead(spark):
+    from shelfspark.llm import html_extraction as op
+
+    story = ["Rain fell on {i} hills.", "The {i} ministers met.", "Prices rose by {i} cents.", "A {i} year old won."]
+    rows = [(100 * k + i, f"http://{name}.org/{i}", f'<div class="{name}"><p>{story[i % 4].format(i=i)} {i} reasons.</p></div>') for k, name in enumerate(("legal", "menu", "newsletter", "comments")) for i in range(12)]
+    recipe = "<article><h1>Dish {i}</h1><h2>Ingredients</h2><p>{i} eggs.</p><h2>Method</h2><p>Boil for {i} minutes.</p><div class=newsletter><p>Get a recipe every week.</p></div></article>"
+    rows += [(1000 + i, f"http://food.org/{i}", recipe.format(i=i)) for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in op.extracted_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[100 * k + i] == f"{story[i % 4].format(i=i)} {i} reasons." for k in range(4) for i in range(12))
+    assert all(got[1000 + i] == f"Dish {i}\nIngredients\n{i} eggs.\nMethod\nBoil for {i} minutes." for i in range(6))
