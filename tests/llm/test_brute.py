@@ -1,11 +1,13 @@
 """What SQL does not express, against brute force on small inputs."""
 
 import math
+import zlib
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from tests.llm.test_operators import brute_components, brute_hits, brute_targets, docs_of
 
@@ -216,3 +218,68 @@ def test_main_text_against_the_definition():
     for _ in range(2000):
         html, expected = _random_page(rng)
         assert main_text(html) == expected, html
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_a_round_of_moves_against_the_rules(spark, seed):
+    from pyspark.sql import functions as F
+
+    from shelfspark.llm.sharding import propagate
+
+    rng, n_shards = np.random.default_rng(seed), 4
+    before = {(k, int(s)): int(rng.integers(1, 6)) for k in range(30) for s in rng.choice(n_shards, rng.integers(1, 4), replace=False)}
+    loads = [sum(n for (_, s), n in before.items() if s == t) for t in range(n_shards)]
+    quotas = [x + int(rng.integers(0, 3)) for x in loads]
+    cells = spark.createDataFrame([(k, 7 * k, s, n) for (k, s), n in before.items()], "k1 long, k2 long, shard long, n long")
+    tie = {(r["k1"], r["shard"]): r["tie"] for r in cells.select("k1", "shard", F.xxhash64(F.lit(2), "k1", "k2", "shard").alias("tie")).collect()}
+    after = {(r["k1"], r["shard"]): r["n"] for r in propagate(cells, quotas, 2).collect()}
+
+    copies, to = Counter(), {}
+    for (k, _), n in before.items():
+        copies[k] += n
+    room = [q - x for q, x in zip(quotas, loads, strict=True)]
+    for k in copies:
+        to[k] = max((s for s in range(n_shards) if (k, s) in before), key=lambda s: (room[s] >= copies[k] - before[k, s], before[k, s], tie[k, s]))
+    asked = Counter()
+    for (k, s), n in before.items():
+        asked[s, to[k]] += n * (s != to[k])
+    assert Counter({k: sum(n for (x, _), n in after.items() if x == k) for k in copies}) == copies
+    moved = Counter()
+    for (k, s), n in before.items():
+        left = after.get((k, s), 0)
+        assert s == to[k] or 0 <= left <= n
+        moved[s, to[k]] += (n - left) * (s != to[k])
+    for b in range(n_shards):
+        swapped = {a: min(asked[a, b], asked[b, a]) for a in range(n_shards) if a != b}
+        unmet = sum(asked[a, b] - x for a, x in swapped.items())
+        # what is swapped one for one, and of the rest as much as there is room for, shared in proportion
+        assert sum(moved[a, b] for a in swapped) == sum(swapped.values()) + min(room[b], unmet)
+        for a, x in swapped.items():
+            fair = min(room[b], unmet) * (asked[a, b] - x) / max(unmet, 1)
+            assert x + int(fair) <= moved[a, b] <= min(asked[a, b], x + int(fair) + 1)
+        assert sum(n for (_, s), n in after.items() if s == b) <= quotas[b]
+    partial = Counter((s, to[k]) for (k, s), n in before.items() if s != to[k] and 0 < after.get((k, s), 0) < n)
+    assert max(partial.values(), default=0) <= 1
+
+
+def test_shards_against_the_contract(spark):
+    from shelfspark.llm.sharding import balanced_shards
+
+    rng = np.random.default_rng(5)
+    kinds = [None, "", "é" * 50, *[f"t{i}" for i in range(200)]]
+    texts = [kinds[min(int(rng.geometric(0.02)) - 1, 202)] for _ in range(700)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    rows = {r["doc_id"]: r for r in balanced_shards(docs, 40).collect()}
+    again = {r["doc_id"]: r for r in balanced_shards(docs.coalesce(1), 40).collect()}
+    assert rows == again and sorted(rows) == list(range(700))
+    held, together = Counter(r["shard"] for r in rows.values()), defaultdict(Counter)
+    assert {held[s] for s in range(40)} == {17, 18}
+    assert sorted((r["shard"], r["slot"]) for r in rows.values()) == sorted((s, i) for s in held for i in range(held[s]))
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        assert (rows[i]["size"], rows[i]["text_crc32"], rows[i]["law"], rows[i]["grown_shard"]) == (16 + len(raw), zlib.crc32(raw), "rows", None)
+        together[t or ""][rows[i]["shard"]] += 1
+    # pairs of equal texts that meet in a shard, against rows dealt at random. Here groups fill most of a shard each, so that
+    # few fit beside each other: 2,092 of 4,694 pairs meet
+    met = sum(n * (n - 1) for c in together.values() for n in c.values())
+    assert met >= 10 * sum(c.total() * (c.total() - 1) for c in together.values()) / 40
