@@ -205,7 +205,7 @@ def r11(spark, d):
     train, test, counts = split_once(spark, d)
     settings = X.settings_of(["filled+drop", "filled_emb"], [0], id_dropout=0.3)
     tokens = X.feature_sets(Q.attrs_table(spark, d), settings)
-    models, losses = fit_models(train, counts.select("item_id"), settings, 5, tokens, vectors(spark, d))
+    models, losses = fit_models(train, counts.select("item_id"), settings, 5, tokens, cut_lineage(vectors(spark, d)))
     names = spark.createDataFrame([(s.key,) for s in settings], "model string")
     found = R.rank_eval(X.model_recs(models, train, K, test), test, counts, K, names)
     lost = [(m, f"loss_{i}", x) for m, own in losses.items() for i, x in enumerate(own)]

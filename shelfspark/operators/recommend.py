@@ -14,6 +14,8 @@ from shelfspark.session import cut_lineage
 
 #: Popular items that are broadcast; longer shelves are joined.
 SHELF = 1 << 16
+#: Buckets of items by their purchases in training.
+POP_BUCKETS = ("0", "1-4", "5-19", "20+")
 
 
 def time_cut(inter: DataFrame, test_share: float) -> float:
@@ -196,7 +198,8 @@ def rank_eval(recs: DataFrame, truth: DataFrame, counts: DataFrame, k: int, by:
     """(metric, value): mean recall and NDCG at ``k`` over users with truth, users, and recall and rows of each popularity bucket.
 
     Given ``by``, a table of the models (a row each, with their key columns),
-    ``recs`` hold these columns too, and so does the result: one pass for all.
+    ``recs`` hold these columns too, and so does the result: one pass for all
+    models and metrics. Buckets without truth are left out.
     """
     keys = by.columns if by is not None else []
     gain = 1 / F.log2(F.col("rank") + 1)
@@ -204,13 +207,16 @@ def rank_eval(recs: DataFrame, truth: DataFrame, counts: DataFrame, k: int, by:
     wanted = wanted.crossJoin(F.broadcast(by)) if by is not None else wanted  # models
     rows = wanted.join(recs.select(*keys, "user_id", "item_id", "rank"), [*keys, "user_id", "item_id"], "left")
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.count(F.lit(1)), F.lit(k)).cast("int")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1))
-    users = rows.groupBy(*keys, "user_id").agg((F.count("rank") / F.count(F.lit(1))).alias("recall"), (F.coalesce(F.sum(gain), F.lit(0.0)) / ideal).alias("ndcg"))
-    names = ["recall", "ndcg", "users"]
-    whole = users.groupBy(*keys).agg(F.avg("recall").alias("recall"), F.avg("ndcg").alias("ndcg"), F.count(F.lit(1)).cast("double").alias("users"))
-    flat = whole.select(*keys, F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in names])).alias("e")).select(*keys, "e.*")
-    buckets = rows.groupBy(*keys, pop_bucket(F.coalesce("n", F.lit(0))).alias("b")).agg((F.count("rank") / F.count(F.lit(1))).alias("r"), F.count(F.lit(1)).cast("double").alias("m"))
-    each = buckets.select(*keys, F.explode(F.array(F.struct(F.concat(F.lit("R_"), "b").alias("metric"), F.col("r").alias("value")), F.struct(F.concat(F.lit("N_"), "b").alias("metric"), F.col("m").alias("value")))).alias("e")).select(*keys, "e.*")
-    return flat.unionByName(each)
+    bucket = pop_bucket(F.coalesce("n", F.lit(0)))
+    each = [(b, F.count(F.when(bucket == b, 1)).alias(f"m{i}"), F.count(F.when(bucket == b, F.col("rank"))).alias(f"h{i}")) for i, b in enumerate(POP_BUCKETS)]
+    users = rows.groupBy(*keys, "user_id").agg(
+        (F.count("rank") / F.count(F.lit(1))).alias("recall"), (F.coalesce(F.sum(gain), F.lit(0.0)) / ideal).alias("ndcg"), *[c for _, *both in each for c in both]
+    )
+    sums = [F.sum(c).cast("double").alias(c) for i in range(len(each)) for c in (f"m{i}", f"h{i}")]
+    whole = users.groupBy(*keys).agg(F.avg("recall").alias("recall"), F.avg("ndcg").alias("ndcg"), F.count(F.lit(1)).cast("double").alias("users"), *sums)
+    entry = lambda name, value: F.struct(F.lit(name).alias("metric"), value.alias("value"))
+    held = [F.when(F.col(f"m{i}") > 0, F.array(entry(f"R_{b}", F.try_divide(f"h{i}", f"m{i}")), entry(f"N_{b}", F.col(f"m{i}")))).otherwise(F.array()) for i, b in enumerate(POP_BUCKETS)]
+    return whole.select(*keys, F.explode(F.concat(F.array(*[entry(c, F.col(c)) for c in ("recall", "ndcg", "users")]), *held)).alias("e")).select(*keys, "e.*")
 
 
 def cold_pool(counts: DataFrame, cold_max: int = 5) -> DataFrame:
