@@ -334,6 +334,31 @@ def test_benchmark_hits(spark, block_bytes):
         assert (r["n_words"], r["n_hit"], r["items"]) == brute_hits(texts[r["doc_id"]], items)
 
 
+def test_benchmark_hits_by_join_of_rows_alike(spark):
+    """Items beyond a block's bytes: a passage that most documents share, repeated rows, columns with the join's names, a filter that lets much pass."""
+    from shelfspark.llm import decontamination as D
+
+    rng = np.random.default_rng(8)
+    vocabulary = [f"w{i}" for i in range(400)]
+    template = " ".join(rng.choice(vocabulary, 25))
+    items = [(i, " ".join(rng.choice(vocabulary, int(rng.integers(1, 60))))) for i in range(60)] + [(99, template + " end"), (100, template), (None, "W1 w2")]
+    texts = [template + " " + " ".join(rng.choice(vocabulary, 30)) for _ in range(120)] + [items[i][1] + " x " + items[i][1] for i in range(40)] + [" ".join(rng.choice(vocabulary, 200)) for _ in range(40)] + [None, "", "w1 W2"]
+    rows = [(j % 7, t, "x", "y", "z") for j, t in enumerate(texts)] * 2
+    docs = spark.createDataFrame(rows, "id int, text string, k string, body string, near string")
+    given = spark.createDataFrame(items, "item_id long, text string")
+    one = D.benchmark_hits(docs, given)
+    small, D.MOST_FILTER = D.MOST_FILTER, D.LEAST_FILTER
+    try:
+        two = D.benchmark_hits(docs, given, block_bytes=100).toPandas()
+    finally:
+        D.MOST_FILTER = small
+    assert one.columns == list(two.columns) and len(two) == len(rows)
+    key = lambda df: sorted(repr((r["id"], r["text"], r["k"], r["n_words"], r["n_hit"], r["n_items"], list(r["items"]), r["contaminated"])) for r in df.to_dict("records"))
+    assert key(two) == key(one.toPandas())
+    assert two["contaminated"].any() and not two["contaminated"].all()
+    assert D.benchmark_hits(docs.limit(0), given, block_bytes=100).count() == 0
+
+
 @pytest.mark.parametrize("block_bytes", [1 << 20, 10])
 def test_benchmark_hits_of_items_without_id(spark, block_bytes):
     from shelfspark.llm.decontamination import benchmark_hits
