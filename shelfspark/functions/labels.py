@@ -9,7 +9,6 @@ from shelfspark.functions import rules as R
 from shelfspark.functions.text import clean_text, normalised_words, strip_free, strip_negation
 
 
-
 def no_labels() -> Column:
     return F.array().cast("array<string>")
 
@@ -27,8 +26,17 @@ def first_label(c: Column, rules: R.Rules) -> Column:
 
 
 def all_labels(c: Column, rules: R.Rules) -> Column:
-    """The labels of all rules that hit, in the order of the rules."""
-    return F.array_compact(F.array(*[F.when(hits(c, regex), F.lit(label)) for label, regex in rules]))
+    """The labels of all rules that hit, in the order of the rules. Without a lambda, as Spark compiles nothing that stands in one."""
+    return _known([F.when(hits(c, regex), F.lit(label)) for label, regex in rules])
+
+
+def sorted_labels(c: Column, rules: R.Rules) -> Column:
+    """The labels of all rules that hit, sorted: the rules are, before they are tried."""
+    return all_labels(c, sorted(rules))
+
+
+def _known(labels: list[Column]) -> Column:
+    return F.array_except(F.array(*labels), F.array(F.lit(None).cast("string")))
 
 
 def norm_single(c: Column, rules: R.Rules) -> Column:
@@ -76,7 +84,12 @@ def split_sections(tagged: Column, negation: bool = True) -> Column:
     first mark says: all in one row, without a shuffle, in time linear in the
     lines.
     """
-    cleaned = strip_negation if negation else (lambda c: c)
+    found = _sections(_parts(tagged), negation)
+    return F.struct(*[c.alias(name) for name, c in zip(("claim", "big", "ingr"), found, strict=True)])
+
+
+def _parts(tagged: Column) -> Column:
+    """The marked lines of a tagged text, cut before those that start something."""
 
     def marked(raw: Column) -> Column:
         big = raw.startswith("[BIG] ")
@@ -84,11 +97,16 @@ def split_sections(tagged: Column, negation: bool = True) -> Column:
         kind = F.when(hits(low, R.INGREDIENT_HEADER), "I").when(hits(low, R.USAGE_HEADER), "S").when(big, "B").otherwise("P")
         return F.concat(kind, F.when(hits(low, R.USAGE_START), "u").otherwise("-"), low)
 
-    parts = F.split(F.array_join(F.transform(F.split(F.coalesce(tagged, F.lit("")), "\n"), marked), "\n"), r"\n(?=[ISB][u-])")
+    return F.split(F.array_join(F.transform(F.split(F.coalesce(tagged, F.lit("")), "\n"), marked), "\n"), r"\n(?=[ISB][u-])")
+
+
+def _sections(parts: Column, negation: bool = True) -> tuple[Column, Column, Column]:
+    """Claim lines, big claim lines and ingredient lines."""
+    cleaned = strip_negation if negation else (lambda c: c)
     lines = lambda kinds: F.flatten(F.transform(F.filter(parts, lambda p: F.substring(p, 1, 1).isin(*kinds)), lambda p: F.split(p, "\n")))
     texts = lambda held: F.transform(held, lambda x: cleaned(F.substring(x, 3, 1 << 30)))
     claims = F.filter(lines("BP"), lambda x: F.substring(x, 2, 1) != "u")
-    return F.struct(texts(claims).alias("claim"), texts(F.filter(claims, lambda x: x.startswith("B"))).alias("big"), texts(lines("I")).alias("ingr"))
+    return texts(claims), texts(F.filter(claims, lambda x: x.startswith("B"))), texts(lines("I"))
 
 
 def skin_rule(label: str, regex: str) -> str:
@@ -100,47 +118,49 @@ SKIN_IN_CONTEXT: R.Rules = [(label, skin_rule(label, regex)) for label, regex in
 
 
 def skin_labels(c: Column) -> Column:
-    return F.array_sort(all_labels(c, SKIN_IN_CONTEXT))
+    return sorted_labels(c, SKIN_IN_CONTEXT)
 
 
 def active_labels(c: Column, compact: Column | None = None) -> Column:
     """Actives in a text; long names also in the text without white space."""
     compact = F.regexp_replace(c, r"(?U)\s+", "") if compact is None else compact
-    long = [r for r in R.ACTIVES if r[0] in R.LONG_ACTIVES]
-    return F.array_sort(F.array_union(all_labels(c, R.ACTIVES), all_labels(compact, long)))
+    either = lambda label, regex: hits(c, regex) | hits(compact, regex) if label in R.LONG_ACTIVES else hits(c, regex)
+    return _known([F.when(either(label, regex), F.lit(label)) for label, regex in sorted(R.ACTIVES)])
 
 
 def with_text_labels(df: DataFrame, tagged: Column, prefix: str = "text_") -> DataFrame:
     """Add the labels of a tagged text by its sections: form, skin, benefit, active, active_hero, evidence.
 
     The sections are columns of their own before the rules see them, so that
-    each is made once and not once for every rule.
+    each is made once and not once for every rule; they are cut from an array,
+    as a struct's fields would be made one by one, the text cut for each.
     """
-    cut = df.withColumn("_s", split_sections(tagged))
-    ingr = F.regexp_replace(F.array_join("_s.ingr", " "), r"(?U)-\s+(?=[a-z])", "")
-    cut = cut.withColumns({"_claim": F.array_join("_s.claim", " "), "_big": F.array_join("_s.big", " "), "_ingr": ingr})
+    cut = df.withColumn("_parts", _parts(tagged))
+    claim, big, ingr = (F.array_join(c, " ") for c in _sections(F.col("_parts")))
+    cut = cut.withColumns({"_claim": claim, "_big": big, "_ingr": F.regexp_replace(ingr, r"(?U)-\s+(?=[a-z])", "")})
     cut = cut.withColumn("_source", F.concat("_claim", F.lit(" "), "_ingr")).withColumn("_compact", F.regexp_replace("_source", r"(?U)\s+", ""))
     claim, big = F.col("_claim"), F.col("_big")
     return cut.withColumns({
         f"{prefix}form": first_label(big, R.FORMS_V2),
         f"{prefix}skin": skin_labels(claim),
-        f"{prefix}benefit": F.array_sort(all_labels(claim, R.BENEFITS_V2)),
+        f"{prefix}benefit": sorted_labels(claim, R.BENEFITS_V2),
         f"{prefix}active": active_labels(F.col("_source"), F.col("_compact")),
-        f"{prefix}active_hero": F.array_sort(all_labels(big, R.ACTIVES)),
+        f"{prefix}active_hero": sorted_labels(big, R.ACTIVES),
         f"{prefix}evidence": F.substring(claim, 1, 300),
-    }).drop("_s", "_claim", "_big", "_ingr", "_source", "_compact")
+    }).drop("_parts", "_claim", "_big", "_ingr", "_source", "_compact")
 
 
-def label_text_v1(text: Column) -> Column:
-    """Labels of a whole text by plain rules."""
-    t = F.translate(F.lower(F.coalesce(text, F.lit(""))), "_", " ")
-    return F.struct(
-        first_label(t, R.FORMS).alias("form"),
-        F.array_sort(all_labels(t, R.STRICT_SKIN_TYPES)).alias("skin"),
-        F.array_sort(all_labels(t, R.BENEFITS)).alias("benefit"),
-        active_labels(t).alias("active"),
-        F.substring(F.coalesce(text, F.lit("")), 1, 300).alias("evidence"),
-    )
+def with_text_labels_v1(df: DataFrame, text: Column, prefix: str = "text_") -> DataFrame:
+    """Add the labels of a whole text by plain rules: form, skin, benefit, active, evidence. The text is made ready once for all of them."""
+    cut = df.withColumn("_whole", F.coalesce(text, F.lit(""))).withColumn("_low", F.translate(F.lower("_whole"), "_", " ")).withColumn("_compact", F.regexp_replace("_low", r"(?U)\s+", ""))
+    t = F.col("_low")
+    return cut.withColumns({
+        f"{prefix}form": first_label(t, R.FORMS),
+        f"{prefix}skin": sorted_labels(t, R.STRICT_SKIN_TYPES),
+        f"{prefix}benefit": sorted_labels(t, R.BENEFITS),
+        f"{prefix}active": active_labels(t, F.col("_compact")),
+        f"{prefix}evidence": F.substring("_whole", 1, 300),
+    }).drop("_whole", "_low", "_compact")
 
 
 def _low(title: Column) -> Column:
@@ -156,7 +176,7 @@ def title_skin(title: Column) -> Column:
 
 
 def title_benefits(title: Column) -> Column:
-    return F.array_sort(all_labels(strip_negation(_low(title)), R.BENEFITS_V2))
+    return sorted_labels(strip_negation(_low(title)), R.BENEFITS_V2)
 
 
 def title_actives(title: Column) -> Column:

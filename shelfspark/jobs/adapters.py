@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.session import table
+from shelfspark.session import spread, table
 
 TITLES = ["Advanced Dry Skin Therapy Lotion", "Soap-Free Cleanser Foam", "TURMERIC CLAY MASK", "Vitamin C Brightening Serum", "Tea Tree Acne Gel for oily skin", "Collagen Sheet Mask", "Hydrating Cream with Hyaluronic Acid", None, "Shea Butter Balm", "SPF 50 Sunscreen Spray", "Gentle Wash not drying", "Retinol Night Repair Anti-Aging Cream", ""]
 FEATURES = ["Moisturizes and soothes. No mineral oil; paraben-free. For all skin types.", "Deep cleansing foam! Removes dirt. Suitable for oily and combination skin.", "Exfoliating clay. Reduces redness? Calms sensitive skin.", None, "Firming peptides. Lifts and plumps mature skin.", "Contains ceramide and squalane. Does not contain retinol. Repairs the barrier.", "Brightens dark spots. Radiant glow."]
@@ -65,8 +65,8 @@ raw AS (SELECT o_custkey AS user_id, cube * cube // {MILLION} * (SELECT count(*)
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The catalogue, with what sellers entered."""
-    p = table(spark, sf_dir, "part")
+    """The catalogue, with what sellers entered. A part is a few bytes, its texts and their rules are not: parts are dealt over all tasks first."""
+    p = spread(table(spark, sf_dir, "part"))
     k = F.col("p_partkey")
     return p.select(
         k.alias("item_id"),

@@ -231,8 +231,8 @@ LOW_BODY = f"replace(lower({S.BODY}), '_', ' ')"
 @query("n8_label_text_v1", f"WITH {A.SQL_ITEMS}, t AS (SELECT item_id, {LOW_BODY} AS t FROM items), l AS (SELECT item_id, {S.first('t', R.FORMS)} AS form, list_sort({S.every('t', R.STRICT_SKIN_TYPES)}) AS skin, list_sort({S.every('t', R.BENEFITS)}) AS benefit, {S.actives('t')} AS active FROM t) SELECT item_id, form, {S.text('skin')} AS skin, {S.text('benefit')} AS benefit, {S.text('active')} AS active FROM l")
 def n8(spark: SparkSession, d: str) -> DataFrame:
     body = F.concat(F.coalesce("features", F.lit("")), F.lit("\n"), F.coalesce("description", F.lit("")))
-    v = A.items(spark, d).select("item_id", L.label_text_v1(body).alias("v"))
-    return v.select("item_id", "v.form", *[joined(f"v.{c}").alias(c) for c in ("skin", "benefit", "active")])
+    v = L.with_text_labels_v1(A.items(spark, d), body)
+    return v.select("item_id", F.col("text_form").alias("form"), *[joined(f"text_{c}").alias(c) for c in ("skin", "benefit", "active")])
 
 
 @query("n9_title_form_skin", f"WITH {A.SQL_ITEMS}, l AS (SELECT item_id, {S.first(S.free(S.LOW_TITLE), R.FORMS_V2)} AS form, {S.skin(S.free(S.LOW_TITLE))} AS skin FROM items) SELECT item_id, form, {S.text('skin')} AS skin FROM l")

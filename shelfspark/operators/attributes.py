@@ -43,7 +43,7 @@ def fill_attributes(norm: DataFrame, inter: DataFrame) -> DataFrame:
         L.canonical_skin(F.col("_skin")).alias("skin_text"),
         F.col("text_benefit").alias("benefit_text"),
         F.col("text_active").alias("active_text"),
-        F.array_sort(L.all_labels(F.col("_own"), R.BENEFITS_V2)).alias("benefit_main"),
+        L.sorted_labels(F.col("_own"), R.BENEFITS_V2).alias("benefit_main"),
         L.active_labels(F.col("_own"), F.col("_compact")).alias("active_main"),
     )
     union = lambda k: F.array_sort(F.array_union(f"{k}_seller", f"{k}_text"))
@@ -153,7 +153,7 @@ def ground_labels(df: DataFrame, source: str) -> DataFrame:
         "benefit_g": F.array_sort(F.array_intersect("benefit", L.all_labels(text["benefit"], R.BENEFITS))),
         "form_q": L.first_label(text["form"], R.FORMS_V2),
         "skin_q": L.skin_labels(text["skin"]),
-        "benefit_q": F.array_sort(L.all_labels(text["benefit"], R.BENEFITS_V2)),
+        "benefit_q": L.sorted_labels(text["benefit"], R.BENEFITS_V2),
     }).drop("form_text", "skin_text", "benefit_text")
 
 

@@ -53,3 +53,30 @@ def test_evidence(spark):
     assert value(spark, ok, q="a b c d X", s="a b c d") is True
     assert value(spark, ok, q="a b X Y", s="a b c d") is False
     assert value(spark, ok, q="", s="a") is False
+
+
+def test_sorted_labels(spark):
+    assert value(spark, L.sorted_labels(F.col("c"), R.BENEFITS_V2), c="smoothing, firming and bright") == ["anti_aging", "brightening", "smoothing"]
+    assert value(spark, L.sorted_labels(F.col("c"), R.BENEFITS_V2), c="") == []
+    assert value(spark, L.active_labels(F.col("c")), c="hyal uronic gel with cica") == ["centella", "hyaluronic_acid"]
+
+
+def test_texts_are_made_ready_once(spark):
+    """No rule stands in a lambda, which Spark would not compile, and the text is cut once for all sections."""
+    df = spark.createDataFrame([("[BIG] Clay mask\nfor dry skin\nIngredients: Cica", "Shea gel")], "t string, u string")
+    plan = lambda out: out._jdf.queryExecution().optimizedPlan().toString()
+    v2, v1 = L.with_text_labels(df, F.col("t")), L.with_text_labels_v1(df, F.col("u"))
+    assert plan(v2).count("split(coalesce(") == 1 and plan(v1).count("translate(") == 1
+    assert "isnotnull(lambda" not in plan(v2) + plan(v1)
+    got, whole = v2.first(), v1.first()
+    assert (got["text_form"], got["text_skin"], got["text_active"]) == ("clay_scrub", ["dry"], ["centella"])
+    assert (whole["text_form"], whole["text_active"]) == ("gel", ["shea_butter"])
+
+
+def test_small_files_are_dealt_over_all_tasks(spark, tmp_path):
+    from shelfspark.jobs import adapters as A
+
+    columns = [F.col("id").alias("p_partkey"), *[F.lit("x").alias(c) for c in ("p_type", "p_brand")], F.lit(1.0).alias("p_retailprice"), F.lit(3).alias("p_size")]
+    spark.range(100).select(*columns).coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    held = A.items(spark, str(tmp_path)).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(held) >= 4 and max(r["count"] for r in held) <= 50
