@@ -238,3 +238,27 @@ def test_grid(spark):
     assert set(cells) == {(v, s) for v in VARIANTS for s in (0, 1)} | {("filled+drop - form", 0), ("filled+drop - form", 1)} | {(v, 0) for v in FIXED}
     assert all({"recall", "ndcg", "cold_recall", "cold_ndcg", "users", "cold_users"} <= set(m) for m in cells.values())
     assert all("best_epoch" in m for (v, _), m in cells.items() if v not in FIXED)
+
+
+@pytest.mark.parametrize("block, shard", [(1000, 1000), (3, 7)])
+def test_items_of_one_vector(spark, block, shard):
+    """Items that share a vector are scored once; ties among them, among other vectors and with items that a user has are as for each item alone."""
+    from shelfspark.operators.retrieval import _grouped, approximate_recs, embedding_profile, embedding_recs
+
+    rng = np.random.default_rng(11)
+    kinds = rng.integers(-1, 2, (6, 3)).astype(float)
+    items = [(i, kinds[rng.integers(0, 6)]) for i in range(90)]
+    seen = {u: set(rng.integers(0, 90, 4 * u + 1).tolist()) for u in range(20)}
+    seen[20] = set(range(88))
+    train = spark.createDataFrame([(u, i) for u, own in seen.items() for i in own], "user_id long, item_id long")
+    vectors = spark.createDataFrame([(i, x.tolist()) for i, x in items], "item_id long, embedding array<double>")
+    assert _grouped(vectors, []).count() == len({tuple(x) for _, x in items}) <= 6
+    profiles = embedding_profile(train, vectors, block)
+    own = {r["user_id"]: np.array(r["profile"]) for r in profiles.collect()}
+    known = dict(items)
+    for u, bought in seen.items():
+        total = np.sum([known[i] for i in bought], axis=0)
+        assert own[u] == pytest.approx(total / max(np.linalg.norm(total), 1e-8))
+    want = [(u, i, r) for u, i, _, r in brute(list(own.items()), items, seen, 5)]
+    for found in (embedding_recs(profiles, vectors, train, 5, block, shard=shard), approximate_recs(profiles, vectors, train, 5, probes=10_000, block=block, shard=shard)):
+        assert sorted((r["user_id"], r["item_id"], r["rank"]) for r in found.collect()) == want
