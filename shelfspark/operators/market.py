@@ -143,8 +143,8 @@ def review_terms(reviews: DataFrame, text: str, rating: str, rules: list[tuple[s
     names = [n for n, _ in rules]
     rates = base.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *[F.avg(n).alias(n) for n in names])
     typed = base.withColumn("type", F.explode("types")).groupBy("type", "bucket").agg(F.count(F.lit(1)).alias("n"), *[F.avg(n).alias(n) for n in names])
-    enough = typed.filter((F.col("bucket") == "low") & (F.col("n") >= min_low)).select("type")
-    return rates, typed.join(F.broadcast(enough), "type", "left_semi")
+    known = F.max(F.when(F.col("bucket") == "low", F.col("n"))).over(Window.partitionBy("type"))  # 3 rows for each type, so the reviews are read once
+    return rates, typed.withColumn("_low", known).filter(F.col("_low") >= min_low).drop("_low")
 
 
 def term_ratios(rates: DataFrame) -> DataFrame:
