@@ -106,3 +106,28 @@ def test_time_cut(spark, stamps, share):
     df = spark.createDataFrame([(x,) for x in stamps], "ts long")
     assert time_cut(df, share) == pytest.approx(float(np.quantile(stamps, 1 - share)), abs=1e-6)
     assert time_cut(df.filter("ts < 0"), share) == 0
+
+
+def test_text_vectors_join_no_whole_vector(spark):
+    """Vectors are made whole after the last shuffle; repeated rows of an item are one text."""
+    from shelfspark.operators.recommend import text_vectors
+
+    items = spark.createDataFrame([(1, "soap bar soap"), (1, "bar"), (2, "bar gel"), (3, None)], "item_id long, t string")
+    out = text_vectors(items, "t", 8)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "AS embedding" in plan.split("Join", 1)[0] and "AS embedding" not in plan.split("Join", 1)[1]
+    got = {r["item_id"]: list(r["embedding"]) for r in out.collect()}
+    assert got[3] == [0.0] * 8 and sum(x * x for x in got[1]) == pytest.approx(1.0)
+    one = {r["item_id"]: list(r["embedding"]) for r in text_vectors(spark.createDataFrame([(1, "soap bar soap bar"), (2, "bar gel"), (3, "")], "item_id long, t string"), "t", 8).collect()}
+    assert set(one) == set(got) and [x > 0 for x in one[1]] == [x > 0 for x in got[1]]
+
+
+def test_reviews_are_read_once_for_types(spark):
+    """Types with few low reviews are left out without a second pass over the reviews."""
+    from shelfspark.operators.market import review_terms
+
+    reviews = [("My dry skin burned", 1.0)] * 3 + [("My dry skin is fine", 5.0), ("my oily skin", 1.0), (None, None)]
+    rates, typed = review_terms(spark.createDataFrame(reviews, "text string, rating double"), "text", "rating", min_low=3)
+    assert "Join" not in typed._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["type"], r["bucket"], r["n"], r["irritation"]) for r in typed.collect()) == [("dry", "high", 1, 0.0), ("dry", "low", 3, 1.0)]
+    assert {r["bucket"]: r["n"] for r in rates.collect()} == {"low": 5, "high": 1}
