@@ -248,14 +248,14 @@ def n10(spark: SparkSession, d: str) -> DataFrame:
 COLS = [f"{k}{x}" for k in ("form", "skin", "benefit", "active") for x in ("_seller", "_text", "")] + ["benefit_main", "active_main"]
 
 
-def attrs(spark: SparkSession, d: str) -> DataFrame:
+def attrs(spark: SparkSession, d: str, interactions: DataFrame | None = None) -> DataFrame:
     it = A.items(spark, d)
-    return O.fill_attributes(O.normalize_items(it), I.build_interactions(A.interactions_raw(spark, d), it))
+    return O.fill_attributes(O.normalize_items(it), I.build_interactions(A.interactions_raw(spark, d), it) if interactions is None else interactions)
 
 
-def attrs_table(spark: SparkSession, d: str) -> DataFrame:
+def attrs_table(spark: SparkSession, d: str, interactions: DataFrame | None = None) -> DataFrame:
     """The attributes as a written table, for jobs that look items up several times: the rules run once."""
-    return cut_lineage(attrs(spark, d))
+    return cut_lineage(attrs(spark, d, interactions))
 
 
 SQL_ATTRS = f"{A.SQL_BASE},\n{S.NORM},\n{S.SECTIONS},\n{S.ATTRS}"

@@ -16,7 +16,7 @@ from shelfspark.operators import attributes as O
 from shelfspark.operators import market as M
 from shelfspark.operators import pairs as P
 from shelfspark.operators import windows as W
-from shelfspark.session import table
+from shelfspark.session import cut_lineage, table
 from shelfspark.sources import ingest as I
 
 BASE, SEG, ACT = A.SQL_BASE, A.SQL_SEGMENTED, A.SQL_ACTIVE
@@ -30,8 +30,8 @@ def segmented(spark: SparkSession, d: str) -> DataFrame:
     return I.attach_segment(inter(spark, d), A.items(spark, d))
 
 
-def active(spark: SparkSession, d: str) -> DataFrame:
-    return I.attach_segment(I.filter_active_users(inter(spark, d), 5), A.items(spark, d))
+def active(spark: SparkSession, d: str, interactions: DataFrame | None = None) -> DataFrame:
+    return I.attach_segment(I.filter_active_users(inter(spark, d) if interactions is None else interactions, 5), A.items(spark, d))
 
 
 @query("w1_dedup_first", f"WITH {A.SQL_RAW} SELECT user_id, item_id, min(ts) AS ts, arg_min(rating, struct_pack(a := ts, b := rating)) AS rating FROM raw GROUP BY user_id, item_id")
@@ -208,8 +208,8 @@ def pairs(spark, d):
     return W.consecutive_pairs(active(spark, d), A.DAY_MS)
 
 
-def drawn(spark, d):
-    a = active(spark, d)
+def drawn(spark, d, interactions=None):
+    a = cut_lineage(active(spark, d, interactions))  # for the pairs, the index and the sizes
     return W.popularity_draw(W.consecutive_pairs(a, A.DAY_MS), a)
 
 
@@ -243,7 +243,9 @@ def overlaps(other: str, where: str = "true", attributes=P.ATTRIBUTES) -> str:
 
 
 def labelled(spark, d):
-    return P.attach_pair_attributes(drawn(spark, d), P.item_labels(Q.attrs_table(spark, d)))
+    """The pairs with their items' labels. Interactions are built and written once, for the pairs, the draw and the attributes."""
+    i = cut_lineage(inter(spark, d))
+    return P.attach_pair_attributes(drawn(spark, d, i), P.item_labels(Q.attrs_table(spark, d, i)))
 
 
 @query("j8_attach_pair_attributes", f"{PAIRED} SELECT p.segment, user_id, first, second, rand, x.brand AS first_brand, y.brand AS second_brand, z.brand AS rand_brand, {S.text('x.skin')} AS first_skin, {S.text('z.active')} AS rand_active FROM drawn p LEFT JOIN lab x ON x.item_id = first LEFT JOIN lab y ON y.item_id = second LEFT JOIN lab z ON z.item_id = rand")
