@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.functions import rules as R
 from shelfspark.functions.text import clean_text, normalised_words, strip_free, strip_negation
+from shelfspark.operators.joins import once_each
 
 
 def no_labels() -> Column:
@@ -133,8 +134,13 @@ def with_text_labels(df: DataFrame, tagged: Column, prefix: str = "text_") -> Da
 
     The sections are columns of their own before the rules see them, so that
     each is made once and not once for every rule; they are cut from an array,
-    as a struct's fields would be made one by one, the text cut for each.
+    as a struct's fields would be made one by one, the text cut for each. Texts
+    that many rows share are labelled once.
     """
+    return once_each(df.withColumn("_tagged", tagged), ["_tagged"], lambda own: _labelled(own, F.col("_tagged"), prefix)).drop("_tagged")
+
+
+def _labelled(df: DataFrame, tagged: Column, prefix: str) -> DataFrame:
     cut = df.withColumn("_parts", _parts(tagged))
     claim, big, ingr = (F.array_join(c, " ") for c in _sections(F.col("_parts")))
     cut = cut.withColumns({"_claim": claim, "_big": big, "_ingr": F.regexp_replace(ingr, r"(?U)-\s+(?=[a-z])", "")})

@@ -8,16 +8,32 @@ from pyspark.sql import functions as F
 from shelfspark.functions import labels as L
 from shelfspark.functions import rules as R
 from shelfspark.functions import text as T
+from shelfspark.operators.joins import once_each
 
 
 def normalize_items(items: DataFrame) -> DataFrame:
-    """Add form, skin, benefit, active from the raw values: null is blank, [] and 'other' are outside the vocabulary."""
-    return items.withColumns({
+    """Add form, skin, benefit, active from the raw values: null is blank, [] and 'other' are outside the vocabulary. Values that many items share are looked up once."""
+    rules = {
         "form": L.norm_single(F.col("raw_form"), R.FORMS),
         "skin": L.norm_multi(F.col("raw_skin"), R.SKIN_TYPES),
         "benefit": L.norm_multi(F.col("raw_benefit"), R.BENEFITS),
         "active": L.norm_multi(F.col("raw_active"), R.ACTIVES),
-    })
+    }
+    for name, rule in rules.items():
+        items = once_each(items, [f"raw_{name}"], lambda own, name=name, rule=rule: own.withColumn(name, rule))
+    return items
+
+
+def _title_labels(df: DataFrame) -> DataFrame:
+    """Add what the title says of form and skin, and the benefits and actives that it claims."""
+    low = F.lower(F.coalesce("title", F.lit("")))
+    own = df.withColumns({"_free": T.strip_free(low), "_own": T.strip_negation(low)}).withColumn("_compact", F.regexp_replace("_own", r"(?U)\s+", ""))
+    return own.withColumns({
+        "_title_form": L.first_label(F.col("_free"), R.FORMS_V2),
+        "_title_skin": L.all_labels(F.col("_free"), L.SKIN_IN_CONTEXT),
+        "benefit_main": L.sorted_labels(F.col("_own"), R.BENEFITS_V2),
+        "active_main": L.active_labels(F.col("_own"), F.col("_compact")),
+    }).drop("_free", "_own", "_compact")
 
 
 def fill_attributes(norm: DataFrame, inter: DataFrame) -> DataFrame:
@@ -26,13 +42,9 @@ def fill_attributes(norm: DataFrame, inter: DataFrame) -> DataFrame:
     One form, the seller's before the text's; the other attributes are unions.
     benefit_main and active_main are what the title claims.
     """
-    bought = norm.join(inter.select("item_id").distinct(), "item_id", "left_semi")
-    v2 = L.with_text_labels(bought, T.tagged_text(F.col("title"), F.col("features"), F.col("description")))
-    low = F.lower(F.coalesce("title", F.lit("")))
-    v2 = v2.withColumns({"_free": T.strip_free(low), "_own": T.strip_negation(low)}).withColumn("_compact", F.regexp_replace("_own", r"(?U)\s+", ""))
-    text_form = F.coalesce(L.first_label(F.col("_free"), R.FORMS_V2), "text_form")
-    skin_text = F.array_union("text_skin", L.all_labels(F.col("_free"), L.SKIN_IN_CONTEXT))
-    v2 = v2.withColumns({"_form": text_form, "_skin": skin_text, "_seller_skin": L.labels_or_none(F.col("skin"))})
+    v2 = L.with_text_labels(norm, T.tagged_text(F.col("title"), F.col("features"), F.col("description")))
+    v2 = once_each(v2, ["title"], _title_labels).join(inter.select("item_id").distinct(), "item_id", "left_semi")
+    v2 = v2.withColumns({"_form": F.coalesce("_title_form", "text_form"), "_skin": F.array_union("text_skin", "_title_skin"), "_seller_skin": L.labels_or_none(F.col("skin"))})
     found = v2.select(
         "item_id", "segment", "store", "price",
         L.as_label_array(F.col("form")).alias("form_seller"),
@@ -43,8 +55,7 @@ def fill_attributes(norm: DataFrame, inter: DataFrame) -> DataFrame:
         L.canonical_skin(F.col("_skin")).alias("skin_text"),
         F.col("text_benefit").alias("benefit_text"),
         F.col("text_active").alias("active_text"),
-        L.sorted_labels(F.col("_own"), R.BENEFITS_V2).alias("benefit_main"),
-        L.active_labels(F.col("_own"), F.col("_compact")).alias("active_main"),
+        "benefit_main", "active_main",
     )
     union = lambda k: F.array_sort(F.array_union(f"{k}_seller", f"{k}_text"))
     return found.withColumns({
@@ -159,11 +170,12 @@ def ground_labels(df: DataFrame, source: str) -> DataFrame:
 
 def combine_methods(model: DataFrame, ruled: DataFrame, titles: DataFrame, key: str) -> DataFrame:
     """Form, skin and benefit from a model, actives from rules; the title's form comes first, its skin types are added."""
-    both = titles.select(key, "title").join(model.select(key, "form", "skin", "benefit"), key, "left").join(ruled.select(key, "active"), key, "left")
+    said = once_each(titles.select(key, "title"), ["title"], lambda own: own.withColumns({"_form": L.title_form(F.col("title")), "_skin": L.title_skin(F.col("title"))}))
+    both = said.join(model.select(key, "form", "skin", "benefit"), key, "left").join(ruled.select(key, "active"), key, "left")
     return both.select(
         key,
-        F.coalesce(L.title_form(F.col("title")), "form").alias("form"),
-        F.array_sort(F.array_union(L.labels_or_none(F.col("skin")), L.title_skin(F.col("title")))).alias("skin"),
+        F.coalesce("_form", "form").alias("form"),
+        F.array_sort(F.array_union(L.labels_or_none(F.col("skin")), F.col("_skin"))).alias("skin"),
         L.labels_or_none(F.col("benefit")).alias("benefit"),
         L.labels_or_none(F.col("active")).alias("active"),
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.functions.labels import canonical_skin
+from shelfspark.session import cut_lineage
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -63,7 +64,7 @@ def score_methods(truth: DataFrame, methods: dict[str, DataFrame], key: str, sin
     out = None
     for name, labels in methods.items():
         both = attach_predictions(truth, labels, key, single, multi)
-        both = both if stats is None else with_resolution(both, stats, key)
+        both = cut_lineage(both if stats is None else with_resolution(both, stats, key))  # for a pass by attribute each
         rows = score_table(both, single, multi, by, vague).select(F.lit(name).alias("method"), by, "attribute", "n", "answered", "precision", "recall")
         out = rows if out is None else out.unionByName(rows)
     return out

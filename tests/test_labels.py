@@ -80,3 +80,23 @@ def test_small_files_are_dealt_over_all_tasks(spark, tmp_path):
     spark.range(100).select(*columns).coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
     held = A.items(spark, str(tmp_path)).groupBy(F.spark_partition_id().alias("p")).count().collect()
     assert len(held) >= 4 and max(r["count"] for r in held) <= 50
+
+
+def test_shared_texts_are_worked_on_once(spark):
+    """Where rows share their keys, work sees each different one once, nulls too; where they don't, it sees every row."""
+    from pyspark.sql import functions as F
+
+    from shelfspark.operators.joins import once_each
+
+    df = spark.createDataFrame([(i, None if i % 5 == 0 else f"k{i % 5}", f"v{i % 2}", "old") for i in range(100)], "id long, k string, v string, added string")
+    seen = []
+
+    def work(own):
+        seen.append(own.count())
+        return own.withColumn("added", F.concat_ws("|", "k", "v"))
+
+    want = sorted((i, "|".join([*([] if i % 5 == 0 else [f"k{i % 5}"]), f"v{i % 2}"])) for i in range(100))
+    for options, n in (({}, 10), ({"most": 3}, 100), ({"most_bytes": 5}, 100)):
+        out = once_each(df, ["k", "v"], work, **options)
+        assert sorted((r["id"], r["added"]) for r in out.collect()) == want and sorted(out.columns) == sorted(df.columns) and seen.pop() == n
+    once_each(df.limit(0), ["k"], work)
