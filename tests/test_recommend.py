@@ -262,3 +262,29 @@ def test_items_of_one_vector(spark, block, shard):
     want = [(u, i, r) for u, i, _, r in brute(list(own.items()), items, seen, 5)]
     for found in (embedding_recs(profiles, vectors, train, 5, block, shard=shard), approximate_recs(profiles, vectors, train, 5, probes=10_000, block=block, shard=shard)):
         assert sorted((r["user_id"], r["item_id"], r["rank"]) for r in found.collect()) == want
+
+
+def test_more_models_make_no_more_groups(spark, monkeypatch):
+    """A group's vectors are there once for each model, however many models are fitted together; in parts, a model's vectors are those of a fit in one task."""
+    from shelfspark.operators import pairwise as P
+
+    monkeypatch.setattr(P, "LEAST_PAIRS", 12)
+    monkeypatch.setattr(P, "GROUP_PAIRS", 40)
+    train, _, tokens, universe = planted(spark)
+    text = spark.createDataFrame([(i, [1.0 if i % 2 else -1.0, 0.5]) for i in range(12)], "item_id long, embedding array<double>")
+    settings = [P.Setting("tokens", i, "odd", **OPTIONS) for i in range(3)] + [P.Setting("text", 0, text=True, **OPTIONS), P.Setting("id", 0, **OPTIONS), P.Setting("id", 1, **OPTIONS)]
+    seen = []
+    trained = P._trained
+    monkeypatch.setattr(P, "_trained", lambda state, fixed, active, epoch, groups: seen.append(groups) or trained(state, fixed, active, epoch, groups))
+    read = lambda m: {(r["model"], r["kind"], r["key"]): tuple(r["x"]) for r in m.vectors.collect()}
+    found = []
+    for least in (2, 99):
+        monkeypatch.setattr(P, "MODELS_APART", least)
+        models, losses = P.fit_models(train, universe, settings, 2, tokens, text)
+        assert all(len(x) == 2 for x in losses.values())
+        found.append(read(models))
+    assert found[0].keys() == found[1].keys() and all(found[1][k] == pytest.approx(v, abs=1e-9) for k, v in found[0].items())
+    P.fit_models(train, universe, settings[:1], 1, tokens)
+    assert len(set(seen)) == 1 and seen[0] == 2
+    monkeypatch.setattr(P, "MODELS_APART", 2)
+    assert [len(p) for p in P._parts(settings, 1, 4)] == [2, 2, 2] and [len(p) for p in P._parts(settings, 9, 4)] == [6]
