@@ -288,3 +288,27 @@ def test_more_models_make_no_more_groups(spark, monkeypatch):
     assert len(set(seen)) == 1 and seen[0] == 2
     monkeypatch.setattr(P, "MODELS_APART", 2)
     assert [len(p) for p in P._parts(settings, 1, 4)] == [2, 2, 2] and [len(p) for p in P._parts(settings, 9, 4)] == [6]
+
+
+def test_every_known_user_validates(spark, monkeypatch):
+    """The epochs are chosen on all users of the validation time, however many there are."""
+    from shelfspark.operators import experiments as X
+    from shelfspark.operators.pairwise import Setting
+
+    users = 9_000
+    train = spark.range(users * 10).select((F.col("id") % users).alias("user_id"), F.floor(F.col("id") / users).alias("item_id"), F.col("id").alias("ts"))
+    settings, asked = [Setting("id")], []
+
+    class Fitted:
+        pass
+
+    Fitted.settings = settings
+
+    def recs(models, before, k, users, counted):
+        asked.append((users.select("user_id").distinct().count(), counted[1]))
+        return users.select(F.lit("id/0").alias("model"), "user_id", "item_id", F.lit(1).alias("rank"))
+
+    monkeypatch.setattr(X, "model_recs", recs)
+    monkeypatch.setattr(X, "fit_models", lambda before, universe, settings, most, tokens, text, each, folder: each(1, Fitted, {}))
+    epochs, scores = X.best_epochs(train, spark.range(10).withColumnRenamed("id", "item_id"), settings)
+    assert asked == [(users, users)] and scores == {"id/0": [1.0]} and epochs == {"id/0": 1}
