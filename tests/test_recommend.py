@@ -312,3 +312,47 @@ def test_every_known_user_validates(spark, monkeypatch):
     monkeypatch.setattr(X, "fit_models", lambda before, universe, settings, most, tokens, text, each, folder: each(1, Fitted, {}))
     epochs, scores = X.best_epochs(train, spark.range(10).withColumnRenamed("id", "item_id"), settings)
     assert asked == [(users, users)] and scores == {"id/0": [1.0]} and epochs == {"id/0": 1}
+
+
+@pytest.mark.parametrize("block", [1000, 3])
+def test_recs_of_own_profiles(spark, monkeypatch, block):
+    """From a user's items to their best others in one pass: the rows of profile and search one after the other; where the vectors are one block, no profile is written."""
+    from shelfspark.operators import retrieval as V
+
+    rng = np.random.default_rng(13)
+    kinds = rng.normal(size=(7, 3))
+    vectors = spark.createDataFrame([(i, kinds[i % 7].tolist()) for i in range(60)], "item_id long, embedding array<double>")
+    # items bought twice, one without a vector, a user who has nothing else, one who has nearly all
+    train = spark.createDataFrame([(u, int(i)) for u in range(15) for i in rng.integers(0, 60, 2 * u + 1)] + [(0, 99), (20, 99)] + [(21, i) for i in range(58)], "user_id long, item_id long")
+    profiles = V.embedding_profile(train, vectors, block).localCheckpoint()
+    want = sorted(map(tuple, V.embedding_recs(profiles, vectors, train, 5, block).collect()))
+    every = sorted(map(tuple, V.approximate_recs(profiles, vectors, train, 5, probes=99, block=block).collect()))
+    written = []
+    whole = V.embedding_profile
+    monkeypatch.setattr(V, "embedding_profile", lambda *a: written.append(a) or whole(*a))
+    assert sorted(map(tuple, V.profile_recs(train, vectors, 5, block).collect())) == want == every
+    assert sorted(map(tuple, V.approximate_recs(None, vectors, train, 5, probes=99, block=block).collect())) == want
+    assert len(written) == (0 if block == 1000 else 2) and {r[0] for r in want} == {*range(15), 21}
+
+
+def test_scores_near_each_other(spark):
+    """Scores that differ by less than short numbers tell apart, in a block of more rows than are looked through one by one; large and small vectors, users of nothing."""
+    import pyarrow as pa
+
+    from shelfspark.operators import retrieval as V
+
+    rng = np.random.default_rng(17)
+    lists = lambda x, kind: pa.array([list(r) for r in x], pa.list_(kind))
+    for scale in (1.0, 1e-7, 1e25):
+        m = (1.0 + 1e-8 * rng.integers(0, 40, (3000, 2))) * scale
+        x = np.vstack([rng.normal(size=(20, 2)), np.zeros((1, 2))])
+        own = [sorted(set(rng.integers(0, 3000, 50).tolist())) for _ in x]
+        names = rng.permutation(3000)
+        items = pa.RecordBatch.from_arrays([lists(names[:, None], pa.int64()), lists(m, pa.float64()), lists([[]] * 3000, pa.int32())], ["ids", "vector", "lists"])
+        users = pa.RecordBatch.from_arrays([pa.array(range(21)), lists(x, pa.float64()), lists(own, pa.int64()), lists([[]] * 21, pa.int32())], ["user_id", "vector", "seen", "lists"])
+        got = [r for b in V._best(users, V._Block([items]), 7, []) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        for u in range(21):
+            best = sorted((-s, int(i)) for s, i in zip(np.round((x[u] * m).sum(1), 9), names, strict=True) if i not in own[u])[:7]
+            mine = [(i, s) for v, i, s in got if v == u]
+            assert [s for _, s in mine] == pytest.approx([-s for s, _ in best], rel=1e-12, abs=1.1e-9)
+            assert scale != 1.0 or [i for i, _ in mine] == [i for _, i in best]
