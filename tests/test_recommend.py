@@ -356,3 +356,23 @@ def test_scores_near_each_other(spark):
             mine = [(i, s) for v, i, s in got if v == u]
             assert [s for _, s in mine] == pytest.approx([-s for s, _ in best], rel=1e-12, abs=1.1e-9)
             assert scale != 1.0 or [i for i, _ in mine] == [i for _, i in best]
+
+
+def test_no_runs_of_nulls_on_the_way_to_python(spark, monkeypatch):
+    """Strings and lists that a row lacks are empty where rows go to Python: Spark goes through all nulls at a column's end after each row."""
+    from shelfspark.operators import pairwise as P
+    from shelfspark.operators import retrieval as V
+
+    seen = []
+    packed, met = P._packed, V._met
+    monkeypatch.setattr(P, "_packed", lambda rows, *a: seen.append(rows) or packed(rows, *a))
+    train, _, tokens, universe = planted(spark)
+    text = spark.createDataFrame([(i, [1.0, float(i % 2)]) for i in range(5)], "item_id long, embedding array<double>")
+    models, _ = P.fit_models(train, universe, [P.Setting("all", 0, "odd", text=True, **OPTIONS)], 1, tokens, text)
+    assert models.profiles().count() == 20
+    monkeypatch.setattr(V, "_met", lambda users, items, *a: seen.append(V._cells(users, items, [], a[2])) or met(users, items, *a))
+    assert V.profile_recs(train, text, 2).count() and V.embedding_profile(train, text).count()
+    kinds = ("string", "array")
+    for rows in seen[1:]:
+        assert not rows.filter(" OR ".join(f"{f.name} IS NULL" for f in rows.schema if f.dataType.simpleString().startswith(kinds))).count()
+    assert len(seen) == 3 and not [f.name for f in seen[0].schema if f.nullable and f.dataType.simpleString().startswith(kinds)]
