@@ -137,14 +137,17 @@ def popularity_recs(train: DataFrame, users: DataFrame, k: int, pool: DataFrame
     broadcast where there are at most ``shelf`` of them; else the ranks, which
     all users share, are dealt over tasks.
     """
-    bought = train.select("user_id", "item_id").distinct()
+    bought = train.select("user_id", "item_id")
     counts = train.groupBy("item_id").agg(F.count(F.lit(1)).cast("double").alias("score"))
     if pool is not None:
         counts = pool.select("item_id").distinct().join(counts, "item_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     ranked = dense_index(counts.withColumn("less", -F.col("score")), [], ["less", "item_id"], "place").drop("less")
     ranked = cut_lineage(ranked)
     asked = users.select("user_id").distinct()
-    own = salted_join(bought.join(asked, "user_id", "left_semi"), ranked.select("item_id", "place"), ["item_id"], F.xxhash64("user_id"))
+    # an item pushes the end only if fewer than k of the ranks before it aren't the user's, so not beyond k and all that a user has
+    near = k + (train.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0)
+    places, mine = ranked.filter(F.col("place") < near).select("item_id", "place"), bought.join(asked, "user_id", "left_semi")
+    own = mine.join(F.broadcast(places), "item_id").distinct() if near <= shelf else salted_join(mine.distinct(), places, ["item_id"], F.xxhash64("user_id"))
     turn = F.row_number().over(Window.partitionBy("user_id").orderBy("place")) - 1
     pushed = own.withColumn("turn", turn).filter(F.col("place") - F.col("turn") < k).groupBy("user_id").agg(F.collect_list("place").alias("taken"))
     each = cut_lineage(asked.join(pushed, "user_id", "left").withColumn("taken", F.coalesce("taken", F.array().cast("array<bigint>"))))

@@ -376,3 +376,14 @@ def test_no_runs_of_nulls_on_the_way_to_python(spark, monkeypatch):
     for rows in seen[1:]:
         assert not rows.filter(" OR ".join(f"{f.name} IS NULL" for f in rows.schema if f.dataType.simpleString().startswith(kinds))).count()
     assert len(seen) == 3 and not [f.name for f in seen[0].schema if f.nullable and f.dataType.simpleString().startswith(kinds)]
+
+
+def test_popular_items_near_the_top_are_broadcast(spark, monkeypatch):
+    """Only ranks that a user's items can push are joined with what users have, and purchases are not dealt by item for it."""
+    from shelfspark.operators import recommend as R
+
+    train = spark.createDataFrame([(u, i) for u in range(30) for i in range(u % 7, 200, 40)] + [(7, 3), (7, 3)], "user_id long, item_id long")
+    asked = train.select("user_id").distinct()
+    want = sorted(map(tuple, R.popularity_recs(train, asked, 4, shelf=1).collect()))
+    monkeypatch.setattr(R, "salted_join", None)
+    assert sorted(map(tuple, R.popularity_recs(train, asked, 4).collect())) == want and len(want) == 120
